@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import hashlib
 import heapq
+import re
 import unicodedata
 from collections.abc import Iterator
 
@@ -39,16 +40,24 @@ def words_of(text: str | None) -> list[str]:
 
     if not text:
         return []
+    if text.isascii():
+        return re.findall("[a-z0-9]+", text.lower())
     return regex.findall(r"[\p{L}\p{N}]+", unicodedata.normalize("NFC", skeleton(text)).lower())
 
 
 class _WordKeys(dict):
-    """Word to the eight bytes of its digest; cleared when full."""
+    """A stretch without white space to the digests of its words, eight bytes each; cleared when full.
 
-    def __missing__(self, word: str) -> bytes:
-        if len(self) >= MEMO_SIZE:
-            self.clear()
-        out = self[word] = hashlib.blake2b(word.encode("utf-8", "surrogatepass"), digest_size=8).digest()
+    White space stays white space in the consistent form, so stretches can be brought to it one by one.
+    """
+
+    def __missing__(self, stretch: str) -> bytes:
+        words = words_of(stretch)
+        out = b"".join(hashlib.blake2b(w.encode("utf-8", "surrogatepass"), digest_size=8).digest() for w in words)
+        if len(stretch) <= 64:
+            if len(self) >= MEMO_SIZE:
+                self.clear()
+            self[stretch] = out
         return out
 
 
@@ -61,7 +70,7 @@ def seeds(texts: DataFrame, key: str, text: str, min_words: int) -> DataFrame:
         keys = _WordKeys()
         get = keys.__getitem__
         for batch in batches:
-            made = [b"".join(map(get, words_of(t))) for t in batch.column(1).to_pylist()]
+            made = [b"".join(map(get, t.split())) if t else b"" for t in batch.column(1).to_pylist()]
             lengths = np.array([len(m) // 8 for m in made], np.int64)
             words = np.frombuffer(b"".join(made), np.uint64)
             windows = np.maximum(lengths - min_words + 1, 0)

@@ -1,7 +1,8 @@
 """Encoding a corpus with a public byte-level tokenizer.
 
-A text is split into pieces by the tokenizer's pattern; each piece is encoded once per worker and kept in
-a bounded memo, since pieces repeat. A piece's bytes are mapped to Latin-1 characters, so that an
+A text is split into pieces by the tokenizer's pattern. A blank that a visible character follows always
+begins a piece, so texts are first cut there with a plain split, and each stretch between two such blanks is
+encoded once per worker and kept in a bounded memo, since stretches repeat. A piece's bytes are mapped to Latin-1 characters, so that an
 Aho-Corasick automaton over text gives the longest token starting at every byte. From the longest match
 the encoder steps back to shorter prefixes until the token is compatible with the one before it: a pair of
 adjacent tokens is compatible when merging their bytes by rank would never have joined across the border.
@@ -15,6 +16,7 @@ are ordinary text; repeated rows each keep theirs; an empty table gives an empty
 from __future__ import annotations
 
 import base64
+import re
 from array import array
 from collections.abc import Iterator
 from functools import cache
@@ -29,14 +31,18 @@ PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S
 MEMO_SIZE = 500_000
 
 
-class _Pieces(dict):
-    """Piece of text to the bytes of its ids (32-bit integers)."""
+#: A blank that begins no piece: white space or the end follows.
+LOOSE_BLANK = r" (?:\s|\Z)"
 
-    def __init__(self, vocabulary: bytes, memo_size: int) -> None:
+
+class Encoder:
+    """Pieces of text to ids, for one vocabulary."""
+
+    def __init__(self, vocabulary: bytes, memo_size: int = MEMO_SIZE) -> None:
         import ahocorasick
 
-        super().__init__()
         self.memo_size = memo_size
+        self.known: dict[str, list[int]] = {}
         ranks = {base64.b64decode(a).decode("latin-1"): int(b) for a, b in map(bytes.split, vocabulary.splitlines())}
         self.ranks = ranks
         self.words = words = {rank: token for token, rank in ranks.items()}
@@ -93,6 +99,16 @@ class _Pieces(dict):
             known = self.fits[key] = self._compatible(left, right, 1 << 31)
         return known
 
+    def ids(self, piece: str) -> list[int]:
+        out = self.known.get(piece)
+        if out is None:
+            out = self.encode(piece)
+            if len(piece) <= 64:
+                if len(self.known) >= self.memo_size:
+                    self.known.clear()
+                self.known[piece] = out
+        return out
+
     def encode(self, piece: str) -> list[int]:
         text = piece.encode("utf-8", "surrogatepass").decode("latin-1")
         whole = self.ranks.get(text)
@@ -122,18 +138,51 @@ class _Pieces(dict):
                 token = longest[at] if at < len(text) else -1
         return out
 
-    def __missing__(self, piece: str) -> bytes:
-        if len(self) >= self.memo_size:
-            self.clear()
-        ids = array("i", self.encode(piece)).tobytes()
-        if len(piece) <= 64:
-            self[piece] = ids
+
+class Stretches(dict):
+    """A stretch of text, without the blank before it, to the bytes of its ids (32-bit integers)."""
+
+    def __init__(self, encoder: Encoder, pattern: str, blank: str) -> None:
+        import regex
+
+        super().__init__()
+        self.encoder, self.blank, self.split = encoder, blank, regex.compile(pattern).findall
+
+    def __missing__(self, stretch: str) -> bytes:
+        ids = array("i", [i for piece in self.split(self.blank + stretch) for i in self.encoder.ids(piece)]).tobytes()
+        if len(stretch) <= 64:
+            if len(self) >= self.encoder.memo_size:
+                self.clear()
+            self[stretch] = ids
         return ids
 
 
+class Texts:
+    """Whole texts to the bytes of their ids."""
+
+    def __init__(self, vocabulary: bytes, pattern: str = PATTERN, memo_size: int = MEMO_SIZE) -> None:
+        encoder = Encoder(vocabulary, memo_size)
+        self.first, self.next = Stretches(encoder, pattern, ""), Stretches(encoder, pattern, " ")
+        self.loose = re.compile(LOOSE_BLANK).search
+
+    def __call__(self, text: str | None) -> bytes:
+        if not text:
+            return b""
+        parts = text.split(" ")
+        if self.loose(text):
+            whole = [parts[0]]
+            for part in parts[1:]:
+                if part and not self.loose(" " + part[0]):
+                    whole.append(part)
+                else:
+                    whole[-1] += " " + part
+            parts = whole
+        return self.first[parts[0]] + b"".join(map(self.next.__getitem__, parts[1:]))
+
+
 @cache
-def _pieces(vocabulary: bytes, memo_size: int) -> _Pieces:
-    return _Pieces(vocabulary, memo_size)
+def _texts(vocabulary: bytes, pattern: str, memo_size: int) -> Texts:
+    return Texts(vocabulary, pattern, memo_size)
 
 
 def encode_corpus(
@@ -148,12 +197,10 @@ def encode_corpus(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
-        import regex
 
-        pieces = _pieces(shared.value, memo_size)
-        split, get = regex.compile(pattern).findall, pieces.__getitem__
+        encode = _texts(shared.value, pattern, memo_size)
         for batch in batches:
-            made = [b"".join(map(get, split(t))) if t else b"" for t in batch.column(1).to_pylist()]
+            made = [encode(t) for t in batch.column(1).to_pylist()]
             offsets = np.zeros(len(made) + 1, np.int32)
             np.cumsum([len(m) // 4 for m in made], out=offsets[1:])
             values = pa.Array.from_buffers(pa.int32(), int(offsets[-1]), [None, pa.py_buffer(b"".join(made))])
