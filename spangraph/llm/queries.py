@@ -67,7 +67,8 @@ def p7_tiles(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p7_found(spark: SparkSession, folder: str) -> DataFrame:
-    return leaked_items(load(spark, folder, "documents"), load(spark, folder, "eval_items")).select("doc_id", "item_id")
+    found = leaked_items(load(spark, folder, "documents"), load(spark, folder, "eval_items"))
+    return found.where(F.col("longest") >= 12).select("doc_id", "item_id")
 
 
 def p8_found(spark: SparkSession, folder: str) -> DataFrame:
