@@ -28,6 +28,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from spangraph.session import cut_lineage
+
 BLOCK = 4_000_000  # units that are hashed at a time
 GEAR = 0x9E3779B97F4A7C15
 SCATTER = 0xBF58476D1CE4E5B9
@@ -128,8 +130,10 @@ def shared_spans(records: DataFrame, keys: list[str], units: str, least: int, wi
     )
     places = cut.drop("chunk", "anchor", "record")
     # chunk texts are at most 2 * least units; any_value is the same text for one digest
-    classes = cut.groupBy("anchor", "key_a", "key_b").agg(
-        F.min("record").alias("lo"), F.max("record").alias("hi"), F.max("n").alias("n"), F.any_value("chunk").alias("chunk")
+    classes = cut_lineage(
+        cut.groupBy("anchor", "key_a", "key_b").agg(
+            F.min("record").alias("lo"), F.max("record").alias("hi"), F.max("n").alias("n"), F.any_value("chunk").alias("chunk")
+        )
     )
     borders = (
         classes.groupBy("anchor")
