@@ -7,8 +7,11 @@ steps with a leading arrow (``>1<7``). Everything below works on the exploded fo
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
+
+from spangraph.functions.seq import reverse_complement
 
 
 def walk_text(steps: Column) -> Column:
@@ -18,3 +21,155 @@ def walk_text(steps: Column) -> Column:
         lambda s: F.concat(F.when(s.endswith("-"), "<").otherwise(">"), s.substr(F.lit(1), F.length(s) - 1)),
     )
     return F.when(steps.rlike(r"\A[<>]") | (steps == "*"), steps).otherwise(F.array_join(signed, ""))
+
+
+def distinct_paths(paths: DataFrame) -> DataFrame:
+    """One row per path_name that has a walk (repeated rows share their content), with ``walk`` as arrowed steps."""
+    kept = paths.where("path_name is not null and steps is not null and steps not in ('*', '')")
+    rest = [F.max(c).alias(c) for c in ("graph_name", "sample_name", "haplotype", "contig", "walk_start", "walk_end") if c in paths.columns]
+    return kept.groupBy("path_name").agg(*rest, F.min(walk_text(F.col("steps"))).alias("walk"))
+
+
+def step_arrays(paths: DataFrame) -> DataFrame:
+    """Adds ``steps``: the walk as an array of arrowed steps."""
+    return paths.withColumn("steps", F.regexp_extract_all("walk", F.lit("[<>][^<>]+"), F.lit(0))).drop("walk")
+
+
+def explode_steps(paths: DataFrame, *carry: str) -> DataFrame:
+    """(path_name, *carry, idx, step, node_id, reverse), one row per step."""
+    arrays = step_arrays(paths)
+    return arrays.select("path_name", *carry, F.posexplode("steps").alias("idx", "step")).select(
+        "path_name", *carry, "idx", "step", F.expr("substring(step, 2)").alias("node_id"), F.col("step").startswith("<").alias("reverse")
+    )
+
+
+def distinct_nodes(nodes: DataFrame) -> DataFrame:
+    """(node_id, sequence, bp) per node; a missing sequence is null, a missing length is that of the sequence."""
+    known = F.when(F.col("sequence") != "*", F.col("sequence"))
+    return (
+        nodes.where("node_id is not null").groupBy("node_id")
+        .agg(F.max(known).alias("sequence"), F.max("length_bp").alias("length_bp"))
+        .select("node_id", "sequence", F.coalesce(F.length("sequence").cast("long"), F.col("length_bp"), F.lit(0)).alias("bp"))
+    )
+
+
+def flip(step: Column) -> Column:
+    return F.concat(F.when(step.startswith(">"), "<").otherwise(">"), step.substr(F.lit(2), F.length(step)))
+
+
+def coordinates(steps: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Adds start_bp and end_bp of each step along its path."""
+    along = W.partitionBy("path_name").orderBy("idx").rowsBetween(W.unboundedPreceding, 0)
+    sized = steps.join(nodes.select("node_id", "bp"), "node_id", "left").withColumn("bp", F.coalesce("bp", F.lit(0)))
+    out = sized.withColumn("end_bp", F.sum("bp").over(along))
+    return out.withColumn("start_bp", F.col("end_bp") - F.col("bp")).drop("bp")
+
+
+def edges(steps: DataFrame) -> DataFrame:
+    """(path_name, idx, edge): each pair of neighbouring steps, read in the lesser of its two directions."""
+    following = F.lead("step").over(W.partitionBy("path_name").orderBy("idx"))
+    pairs = steps.withColumn("__next", following).where("__next is not null")
+    edge = F.least(F.concat("step", "__next"), F.concat(flip(F.col("__next")), flip(F.col("step"))))
+    return pairs.select("path_name", "idx", edge.alias("edge"))
+
+
+def dosage(rows: DataFrame, feature: str, column: str = "path_name") -> DataFrame:
+    """(feature, column, n): how often each path visits each feature."""
+    return rows.groupBy(F.col(feature).alias("feature"), column).agg(F.count(F.lit(1)).alias("n"))
+
+
+def feature_stats(doses: DataFrame, n_columns: DataFrame, min_paths: int = 1) -> DataFrame:
+    """(feature, present, min_count, max_count, total, informative) per feature.
+
+    Informative: the carriers differ in count, or else both carriers and others are more than ``min_paths``.
+    """
+    stats = doses.groupBy("feature").agg(
+        F.count(F.lit(1)).alias("present"), F.min("n").alias("min_count"), F.max("n").alias("max_count"), F.sum("n").alias("total")
+    )
+    absent = n_columns.scalar() - F.col("present")
+    return stats.withColumn("informative", (F.col("min_count") != F.col("max_count")) | (F.least(F.col("present"), absent) > min_paths))
+
+
+def distinct_sites(sites: DataFrame) -> DataFrame:
+    """One row per bubble_id, that of the least row_no."""
+    first = W.partitionBy("bubble_id").orderBy("row_no")
+    return sites.where("bubble_id is not null").withColumn("__r", F.row_number().over(first)).where("__r = 1").drop("__r")
+
+
+def crossings(sites: DataFrame, steps: DataFrame) -> DataFrame:
+    """(bubble_id, path_name, crossing, left_idx, right_idx, forward): where a walk enters a site by one boundary and leaves by the other."""
+    ends = sites.where("source_node is not null and sink_node is not null and source_node <> sink_node")
+    bound = lambda node, orient, role: F.struct(F.col(node).alias("node_id"), (F.col(orient) == "-").alias("flipped"), F.lit(role).alias("role"))
+    both = ends.select("bubble_id", F.inline(F.array(bound("source_node", "source_orient", "s"), bound("sink_node", "sink_orient", "t"))))
+    hits = steps.join(both, "node_id").withColumn("straight", F.col("reverse") == F.col("flipped"))
+    order = W.partitionBy("bubble_id", "path_name").orderBy("idx")
+    nxt = hits.withColumn("to_role", F.lead("role").over(order)).withColumn("to_straight", F.lead("straight").over(order)).withColumn(
+        "right_idx", F.lead("idx").over(order)
+    )
+    ahead = (F.col("role") == "s") & (F.col("to_role") == "t") & F.col("straight") & F.col("to_straight")
+    back = (F.col("role") == "t") & (F.col("to_role") == "s") & ~F.col("straight") & ~F.col("to_straight")
+    found = nxt.where(ahead | back)
+    return found.select("bubble_id", "path_name", F.row_number().over(order).alias("crossing"), F.col("idx").alias("left_idx"), "right_idx", ahead.alias("forward"))
+
+
+def signatures(found: DataFrame, arrays: DataFrame) -> DataFrame:
+    """Adds ``inside`` (the steps between the boundaries, read from source to sink) and ``signature``."""
+    cut = F.slice("steps", F.col("left_idx") + 2, F.col("right_idx") - F.col("left_idx") - 1)
+    joined = found.join(arrays.select("path_name", "steps"), "path_name")
+    read = joined.withColumn("inside", F.when(F.col("forward"), cut).otherwise(F.transform(F.reverse(cut), flip))).drop("steps")
+    return read.withColumn("signature", F.array_join("inside", ""))
+
+
+def tandem_runs(steps: DataFrame, max_period: int = 3) -> DataFrame:
+    """(path_name, period, first_idx, last_idx, copies): maximal repeats of a block of ``period`` steps, at least two copies."""
+    out = None
+    order = W.partitionBy("path_name").orderBy("idx")
+    for period in range(1, max_period + 1):
+        same = steps.withColumn("__same", F.coalesce(F.col("step") == F.lag("step", period).over(order), F.lit(False)))
+        island = same.where("__same").withColumn("__island", F.col("idx") - F.row_number().over(order))
+        runs = island.groupBy("path_name", "__island").agg(F.min("idx").alias("a"), F.max("idx").alias("b"), F.count(F.lit(1)).alias("n"))
+        found = runs.where(F.col("n") >= period).select(
+            "path_name", F.lit(period).alias("period"), (F.col("a") - period).alias("first_idx"), F.col("b").alias("last_idx"),
+            (F.floor(F.col("n") / period) + 1).cast("long").alias("copies"),
+        )
+        out = found if out is None else out.unionByName(found)
+    return out
+
+
+def spelled(steps: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(path_name, sequence): node sequences in walk order, reversed steps as reverse complements; a missing sequence is N of its length."""
+    base = F.coalesce(F.col("sequence"), F.expr("repeat('N', cast(bp as int))"), F.lit(""))
+    parts = steps.join(nodes, "node_id", "left").withColumn("part", F.when(F.col("reverse"), reverse_complement(base)).otherwise(base))
+    ordered = F.array_sort(F.collect_list(F.struct("idx", "part")))
+    return parts.groupBy("path_name").agg(F.array_join(F.transform(ordered, lambda p: p["part"]), "").alias("sequence"))
+
+
+def backbone(steps: DataFrame) -> DataFrame:
+    """(graph_name, node_id, n_paths): nodes that every path of a graph walks exactly once; ``steps`` carries graph_name."""
+    per_path = steps.groupBy("graph_name", "node_id", "path_name").agg(F.count(F.lit(1)).alias("n"))
+    nodes = per_path.groupBy("graph_name", "node_id").agg(F.count(F.lit(1)).alias("n_paths"), F.max("n").alias("most"))
+    whole = steps.groupBy("graph_name").agg(F.count_distinct("path_name").alias("all_paths"))
+    return nodes.join(whole, "graph_name").where("most = 1 and n_paths = all_paths").select("graph_name", "node_id", "n_paths")
+
+
+def shared_support(steps: DataFrame, min_share: float) -> DataFrame:
+    """(graph_name, node_id, n_paths, share): nodes that at least ``min_share`` of a graph's paths walk exactly once."""
+    per_path = steps.groupBy("graph_name", "node_id", "path_name").agg(F.count(F.lit(1)).alias("n"))
+    nodes = per_path.groupBy("graph_name", "node_id").agg(F.count_if(F.col("n") == 1).alias("n_paths"))
+    whole = steps.groupBy("graph_name").agg(F.count_distinct("path_name").alias("all_paths"))
+    out = nodes.join(whole, "graph_name").withColumn("share", F.round(F.col("n_paths") / F.col("all_paths"), 6))
+    return out.where(F.col("n_paths") >= F.col("all_paths") * min_share).drop("all_paths")
+
+
+def orientation_runs(steps: DataFrame, reference: DataFrame) -> DataFrame:
+    """(path_name, run, backward, n_steps, ref_lo, ref_hi): runs of one direction against the reference's steps.
+
+    ``reference`` is (node_id, ref_idx, ref_reverse), nodes that the reference walks exactly once.
+    """
+    order = W.partitionBy("path_name").orderBy("idx")
+    at = steps.join(reference, "node_id").withColumn("backward", F.col("reverse") != F.col("ref_reverse"))
+    changed = F.coalesce((F.col("backward") != F.lag("backward").over(order)).cast("int"), F.lit(0))
+    runs = at.withColumn("__c", changed).withColumn("run", F.sum("__c").over(order.rowsBetween(W.unboundedPreceding, 0)))
+    return runs.groupBy("path_name", "run").agg(
+        F.bool_or("backward").alias("backward"), F.count(F.lit(1)).alias("n_steps"), F.min("ref_idx").alias("ref_lo"), F.max("ref_idx").alias("ref_hi")
+    )
