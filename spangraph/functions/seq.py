@@ -22,3 +22,108 @@ def canonical(col: Column) -> Column:
     """The lesser of an upper-case k-mer and its reverse complement; null where another letter occurs."""
     upper = F.upper(col)
     return F.when(is_plain(upper), F.least(upper, F.reverse(F.translate(upper, BASES, "TGCA"))))
+
+
+def let(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` worked out once; keeps deep arithmetic from growing with each use."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def kmers(col: Column, k: int) -> Column:
+    """Array of the k-mers of a text, in order; empty where the text is shorter. Linear in the text: one regular expression with a look-ahead."""
+    return F.regexp_extract_all(col, F.lit(f"(?s)(?=(.{{{k}}}))"), F.lit(1))
+
+
+def encode(col: Column) -> Column:
+    """Two bits a base (A0 C1 G2 T3) of an upper-case plain k-mer of at most 31 bases."""
+    return F.conv(F.translate(col, BASES, "0123"), 4, 10).cast("bigint")
+
+
+def decode(code: Column, k: int) -> Column:
+    return F.translate(F.lpad(F.conv(code.cast("string"), 10, 4), k, "0"), "0123", BASES)
+
+
+def _times(x: Column, constant: int) -> Column:
+    """x * constant modulo 2^64, in limbs of 16 bits so that nothing overflows."""
+    k = [(constant >> s) & 65535 for s in (0, 16, 32, 48)]
+    limbs = F.array(*[F.shiftrightunsigned(x, s).bitwiseAND(65535) for s in (0, 16, 32, 48)])
+
+    def product(a: Column) -> Column:
+        c = [F.lit(0).cast("bigint")] * 4
+        part = lambda i: sum((a[j] * F.lit(k[i - j]) for j in range(1, i + 1)), a[0] * F.lit(k[i]))
+        return let(part(0), lambda c0: let(part(1) + F.shiftrightunsigned(c0, 16), lambda c1: let(
+            part(2) + F.shiftrightunsigned(c1, 16), lambda c2: let(part(3) + F.shiftrightunsigned(c2, 16), lambda c3: (
+                c0.bitwiseAND(65535).bitwiseOR(F.shiftleft(c1.bitwiseAND(65535), 16))
+                .bitwiseOR(F.shiftleft(c2.bitwiseAND(65535), 32)).bitwiseOR(F.shiftleft(c3.bitwiseAND(65535), 48)))))))
+
+    return let(limbs, product)
+
+
+# The constants of the splitmix64 finalizer, and the seed that sets minimizer hashes apart.
+MIX_1, MIX_2 = 0xBF58476D1CE4E5B9, 0x94D049BB133111EB
+MINIMIZER_SEED = 0x6A09E667F3BCC908
+
+
+def mix64(x: Column) -> Column:
+    """The splitmix64 finalizer, as a signed long."""
+    fold = lambda v, n: v.bitwiseXOR(F.shiftrightunsigned(v, n))
+    return let(x, lambda a: let(_times(fold(a, 30), MIX_1), lambda b: let(_times(fold(b, 27), MIX_2), lambda c: fold(c, 31))))
+
+
+def unsigned(x: Column) -> Column:
+    """A signed long whose order is that of ``x`` taken as unsigned."""
+    return x.bitwiseXOR(F.lit(-(1 << 63)))
+
+
+def smer_hashes(kmer: Column, s: int, seed: int = 0) -> Column:
+    """Array of the hashes of the canonical s-mers of a k-mer, ordered as unsigned."""
+    return F.transform(kmers(kmer, s), lambda m: unsigned(mix64(encode(canonical(m)).bitwiseXOR(F.lit(seed)))))
+
+
+def closed_syncmer(kmer: Column, s: int) -> Column:
+    """True where the least s-mer hash stands first or last."""
+    return let(smer_hashes(kmer, s), lambda h: F.array_min(h).isin(F.element_at(h, 1), F.element_at(h, -1)))
+
+
+def minimizer(kmer: Column, m: int) -> Column:
+    return F.array_min(smer_hashes(kmer, m, MINIMIZER_SEED))
+
+
+def dust(kmer: Column) -> Column:
+    """Low-complexity score: pairs of equal triplets over (length - 3)."""
+    pairs = let(kmers(kmer, 3), lambda t: F.aggregate(
+        F.transform(F.array_distinct(t), lambda x: F.size(F.filter(t, lambda y: y == x))), F.lit(0), lambda a, c: a + (c * (c - 1) / 2).cast("int")))
+    return F.when(F.length(kmer) < 4, 0.0).otherwise(pairs / (F.length(kmer) - 3))
+
+
+def least_rotation(unit: Column) -> Column:
+    """The least of all rotations of a text and of its reverse complement."""
+    turns = lambda u: F.transform(F.sequence(F.lit(1), F.length(u)), lambda i: F.concat(F.substring(u, i, F.length(u)), F.substring(u, F.lit(1), i - 1)))
+    return F.when(F.length(unit) > 0, F.array_min(F.concat(turns(unit), turns(reverse_complement(unit)))))
+
+
+def shortest_period(unit: Column) -> Column:
+    """The least p that divides the length, with the text a repeat of its first p letters."""
+    n = F.length(unit)
+    fits = F.filter(F.sequence(F.lit(1), n), lambda p: (n % p == 0) & (F.repeat(F.substring(unit, F.lit(1), p), (n / p).cast("int")) == unit))
+    return F.when(n > 0, F.array_min(fits))
+
+
+def error_rate(quality: Column, low: float = 0.001, high: float = 0.08, missing: float = 0.01) -> Column:
+    """Mean error rate of a Phred+33 quality text, kept within [low, high]; ``missing`` where there is none."""
+    chars = F.filter(F.split(quality, ""), lambda c: c != "")
+    mean = F.aggregate(chars, F.lit(0.0), lambda a, c: a + F.pow(F.lit(10.0), -(F.ascii(c) - 33) / 10.0)) / F.size(chars)
+    return F.when(F.length(quality) > 0, F.least(F.lit(high), F.greatest(F.lit(low), mean))).otherwise(missing)
+
+
+def percent_escape(col: Column) -> Column:
+    """Percent, semicolon, equals, comma, tab and line ends as percent codes; percent first."""
+    for ch, code in (("%", "%25"), (";", "%3B"), ("=", "%3D"), (",", "%2C"), ("\t", "%09"), ("\n", "%0A"), ("\r", "%0D")):
+        col = F.replace(col, F.lit(ch), F.lit(code))
+    return col
+
+
+def percent_unescape(col: Column) -> Column:
+    for ch, code in (("\r", "%0D"), ("\n", "%0A"), ("\t", "%09"), (",", "%2C"), ("=", "%3D"), (";", "%3B"), ("%", "%25")):
+        col = F.replace(col, F.lit(code), F.lit(ch))
+    return col

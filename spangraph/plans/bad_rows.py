@@ -23,7 +23,7 @@ def p5_found(spark: SparkSession, folder: str) -> DataFrame:
 def p5_good(spark: SparkSession, folder: str) -> DataFrame:
     truth = lambda c: F.lower(c).isin("true", "1")
     return accepted(checked_lines(spark, folder)).select(
-        "raw_id", "path_name", "chrom", F.col("region_start_1based").cast("bigint").alias("region_start_1based"), "path_length_bp",
+        "raw_id", "path_name", "chrom", F.col("region_start_1based").try_cast("bigint").alias("region_start_1based"), "path_length_bp",
         truth(F.col("half_open")).alias("half_open"), truth(F.col("length_mismatch")).alias("length_mismatch"), "path_type",
     )
 
