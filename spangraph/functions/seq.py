@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 BASES = "ACGT"
 
@@ -34,6 +35,16 @@ def kmers(col: Column, k: int) -> Column:
     return F.regexp_extract_all(col, F.lit(f"(?s)(?=(.{{{k}}}))"), F.lit(1))
 
 
+def canonical_kmers(col: Column, k: int) -> Column:
+    """Array of the canonical k-mers of a text, in order; null where another letter than A, C, G, T occurs.
+
+    The reverse complement is made once for the whole text; its k-mers, read backwards, pair up with the text's own.
+    """
+    up = F.upper(col)
+    back = F.reverse(kmers(F.reverse(F.translate(up, BASES, "TGCA")), k))
+    return F.zip_with(kmers(up, k), back, lambda a, b: F.when(~a.rlike("[^ACGT]"), F.least(a, b)))
+
+
 def encode(col: Column) -> Column:
     """Two bits a base (A0 C1 G2 T3) of an upper-case plain k-mer of at most 31 bases."""
     return F.conv(F.translate(col, BASES, "0123"), 4, 10).cast("bigint")
@@ -43,31 +54,40 @@ def decode(code: Column, k: int) -> Column:
     return F.translate(F.lpad(F.conv(code.cast("string"), 10, 4), k, "0"), "0123", BASES)
 
 
-def _times(x: Column, constant: int) -> Column:
-    """x * constant modulo 2^64, in limbs of 16 bits so that nothing overflows."""
-    k = [(constant >> s) & 65535 for s in (0, 16, 32, 48)]
-    limbs = F.array(*[F.shiftrightunsigned(x, s).bitwiseAND(65535) for s in (0, 16, 32, 48)])
-
-    def product(a: Column) -> Column:
-        c = [F.lit(0).cast("bigint")] * 4
-        part = lambda i: sum((a[j] * F.lit(k[i - j]) for j in range(1, i + 1)), a[0] * F.lit(k[i]))
-        return let(part(0), lambda c0: let(part(1) + F.shiftrightunsigned(c0, 16), lambda c1: let(
-            part(2) + F.shiftrightunsigned(c1, 16), lambda c2: let(part(3) + F.shiftrightunsigned(c2, 16), lambda c3: (
-                c0.bitwiseAND(65535).bitwiseOR(F.shiftleft(c1.bitwiseAND(65535), 16))
-                .bitwiseOR(F.shiftleft(c2.bitwiseAND(65535), 32)).bitwiseOR(F.shiftleft(c3.bitwiseAND(65535), 48)))))))
-
-    return let(limbs, product)
-
-
 # The constants of the splitmix64 finalizer, and the seed that sets minimizer hashes apart.
 MIX_1, MIX_2 = 0xBF58476D1CE4E5B9, 0x94D049BB133111EB
 MINIMIZER_SEED = 0x6A09E667F3BCC908
 
 
-def mix64(x: Column) -> Column:
-    """The splitmix64 finalizer, as a signed long."""
-    fold = lambda v, n: v.bitwiseXOR(F.shiftrightunsigned(v, n))
-    return let(x, lambda a: let(_times(fold(a, 30), MIX_1), lambda b: let(_times(fold(b, 27), MIX_2), lambda c: fold(c, 31))))
+def with_mix64(df: DataFrame, source: Column, out: str) -> DataFrame:
+    """Adds the splitmix64 finalizer of a long, as a signed long.
+
+    The products modulo 2^64 are made of 16-bit limbs, so that nothing overflows. Each step is a column of
+    its own: the planner keeps columns that are used several times apart, so the arithmetic stays compiled
+    and does not grow with each use.
+    """
+    names = []
+
+    def put(name: str, value: Column) -> Column:
+        nonlocal df
+        df = df.withColumn(name, value)
+        names.append(name)
+        return F.col(name)
+
+    x = put("__x0", source)
+    for turn, (shift, constant) in enumerate(((30, MIX_1), (27, MIX_2))):
+        x = put(f"__f{turn}", x.bitwiseXOR(F.shiftrightunsigned(x, shift)))
+        limb = [put(f"__l{turn}{i}", F.shiftrightunsigned(x, 16 * i).bitwiseAND(65535)) for i in range(4)]
+        k = [(constant >> 16 * i) & 65535 for i in range(4)]
+        carry, parts = None, []
+        for i in range(4):
+            total = limb[0] * F.lit(k[i])
+            for j in range(1, i + 1):
+                total = total + limb[j] * F.lit(k[i - j])
+            carry = put(f"__c{turn}{i}", total if carry is None else total + F.shiftrightunsigned(carry, 16))
+            parts.append(F.shiftleft(carry.bitwiseAND(65535), 16 * i))
+        x = put(f"__x{turn + 1}", parts[0].bitwiseOR(parts[1]).bitwiseOR(parts[2]).bitwiseOR(parts[3]))
+    return df.withColumn(out, x.bitwiseXOR(F.shiftrightunsigned(x, 31))).drop(*names)
 
 
 def unsigned(x: Column) -> Column:
@@ -75,18 +95,24 @@ def unsigned(x: Column) -> Column:
     return x.bitwiseXOR(F.lit(-(1 << 63)))
 
 
-def smer_hashes(kmer: Column, s: int, seed: int = 0) -> Column:
-    """Array of the hashes of the canonical s-mers of a k-mer, ordered as unsigned."""
-    return F.transform(kmers(kmer, s), lambda m: unsigned(mix64(encode(canonical(m)).bitwiseXOR(F.lit(seed)))))
-
+def with_smer_hash(df: DataFrame, smer: str, out: str, seed: int = 0) -> DataFrame:
+    """Adds the hash of an s-mer's canonical form, ordered as unsigned; null where a letter is no base."""
+    mixed = with_mix64(df, encode(canonical(F.col(smer))).bitwiseXOR(F.lit(seed)), out)
+    return mixed.withColumn(out, unsigned(F.col(out)))
 
-def closed_syncmer(kmer: Column, s: int) -> Column:
-    """True where the least s-mer hash stands first or last."""
-    return let(smer_hashes(kmer, s), lambda h: F.array_min(h).isin(F.element_at(h, 1), F.element_at(h, -1)))
 
+def with_window_hashes(rows: DataFrame, keys: list[str], text: str, k: int, s: int, seed: int = 0) -> DataFrame:
+    """(*keys, pos, first, last, low): for each k-mer of a text its first, last and least s-mer hash.
 
-def minimizer(kmer: Column, m: int) -> Column:
-    return F.array_min(smer_hashes(kmer, m, MINIMIZER_SEED))
+    Each s-mer is hashed once; a window of k - s + 1 positions gives the rest. K-mers with a letter that is
+    no base are left out.
+    """
+    parts = rows.select(*keys, F.posexplode(kmers(F.col(text), s)).alias("pos", "__s"))
+    hashed = with_smer_hash(parts, "__s", "first", seed)
+    order = W.partitionBy(*keys).orderBy("pos")
+    ahead = order.rowsBetween(0, k - s)
+    at = hashed.withColumn("low", F.min("first").over(ahead)).withColumn("__n", F.count("first").over(ahead)).withColumn("last", F.lead("first", k - s).over(order))
+    return at.where(F.col("__n") == k - s + 1).select(*keys, "pos", "first", "last", "low")
 
 
 def dust(kmer: Column) -> Column:

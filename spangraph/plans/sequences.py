@@ -21,8 +21,8 @@ def _known(spark: SparkSession, folder: str) -> DataFrame:
 
 def node_kmers(spark: SparkSession, folder: str, k: int) -> DataFrame:
     """(node_id, pos, kmer): the canonical k-mers of the nodes."""
-    rows = _known(spark, folder).select("node_id", F.posexplode(S.kmers(F.col("sequence"), k)).alias("pos", "word"))
-    return rows.select("node_id", "pos", S.canonical(F.col("word")).alias("kmer")).where("kmer is not null")
+    rows = _known(spark, folder).select("node_id", F.posexplode(S.canonical_kmers(F.col("sequence"), k)).alias("pos", "kmer"))
+    return rows.where("kmer is not null")
 
 
 def _hit_kmers(spark: SparkSession, folder: str) -> DataFrame:
@@ -45,26 +45,24 @@ def seq_kmer_codes(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def seq_mix64(spark: SparkSession, folder: str) -> DataFrame:
-    return _hit_kmers(spark, folder).select("kmer", S.mix64(S.encode(F.col("kmer"))).alias("hash"))
+    return S.with_mix64(_hit_kmers(spark, folder), S.encode(F.col("kmer")), "hash").select("kmer", "hash")
 
 
 def seq_syncmers(spark: SparkSession, folder: str) -> DataFrame:
-    return _hit_kmers(spark, folder).select("kmer", S.closed_syncmer(F.col("kmer"), 7).alias("syncmer"))
+    at = S.with_window_hashes(_hit_kmers(spark, folder), ["kmer"], "kmer", 21, 7)
+    return at.select("kmer", ((F.col("first") == F.col("low")) | (F.col("last") == F.col("low"))).alias("syncmer"))
 
 
 def seq_minimizers(spark: SparkSession, folder: str) -> DataFrame:
-    low = S.unsigned(S.minimizer(F.col("kmer"), 11))
-    return _hit_kmers(spark, folder).select("kmer", low.bitwiseAND(PARTITIONS - 1).alias("bucket"))
+    at = S.with_window_hashes(_hit_kmers(spark, folder), ["kmer"], "kmer", 21, 11, S.MINIMIZER_SEED)
+    return at.select("kmer", S.unsigned(F.col("low")).bitwiseAND(PARTITIONS - 1).alias("bucket"))
 
 
 def seq_super_kmers(spark: SparkSession, folder: str) -> DataFrame:
     """Maximal runs of consecutive 21-mers of a node that share a minimizer (11-mers), as spans."""
-    rows = _known(spark, folder).select("node_id", F.posexplode(S.kmers(F.col("sequence"), 11)).alias("pos", "word"))
-    hashed = rows.withColumn("h", S.unsigned(S.mix64(S.encode(S.canonical(F.col("word"))).bitwiseXOR(F.lit(S.MINIMIZER_SEED)))))
-    ahead = W.partitionBy("node_id").orderBy("pos").rowsBetween(0, 10)
-    at = hashed.withColumn("m", F.min("h").over(ahead)).withColumn("n", F.count("h").over(ahead)).where("n = 11")
+    at = S.with_window_hashes(_known(spark, folder), ["node_id"], "sequence", 21, 11, S.MINIMIZER_SEED)
     order = W.partitionBy("node_id").orderBy("pos")
-    new = F.coalesce(((F.lag("m").over(order) != F.col("m")) | (F.lag("pos").over(order) != F.col("pos") - 1)).cast("int"), F.lit(1))
+    new = F.coalesce(((F.lag("low").over(order) != F.col("low")) | (F.lag("pos").over(order) != F.col("pos") - 1)).cast("int"), F.lit(1))
     runs = at.withColumn("c", new).withColumn("run", F.sum("c").over(order.rowsBetween(W.unboundedPreceding, 0)))
     return runs.groupBy("node_id", "run").agg(F.min("pos").alias("start"), (F.max("pos") + 21).alias("end")).drop("run")
 
@@ -84,7 +82,7 @@ def path_richness(spark: SparkSession, folder: str) -> DataFrame:
     """Total and distinct canonical 21-mers of each spelled walk, and its rank by them."""
     walks = K.spelled(steps(spark, folder), nodes(spark, folder)).select("path_name", F.upper("sequence").alias("sequence"))
     walks = walks.repartition(spark.sparkContext.defaultParallelism, "path_name")  # spread before each base becomes a row
-    words = walks.select("path_name", F.explode(S.kmers(F.col("sequence"), 21)).alias("word")).select("path_name", S.canonical(F.col("word")).alias("kmer"))
+    words = walks.select("path_name", F.explode(S.canonical_kmers(F.col("sequence"), 21)).alias("kmer"))
     per = words.where("kmer is not null").groupBy("path_name", "kmer").agg(F.count(F.lit(1)).alias("n"))
     return per.groupBy("path_name").agg(F.count(F.lit(1)).alias("distinct_kmers"), F.sum("n").alias("kmers"))
 

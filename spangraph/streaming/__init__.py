@@ -1 +1 @@
-
+"""Structured Streaming forms of the store and of read classification."""
