@@ -80,6 +80,42 @@ def linear(stats: DataFrame) -> DataFrame:
     return out.withColumn("t", F.try_divide("beta", F.when(F.col("se") > 0, F.col("se"))))
 
 
+def linear_with_covariates(doses: DataFrame, pheno: DataFrame, covariates: list[str]) -> DataFrame:
+    """(feature, beta, se, t, df) of the least-squares fit of y on the dose, an intercept and the covariates.
+
+    The covariates are projected out through cross-products: those of the sample axis are a matrix of
+    (covariates + 2) squared numbers, the only thing that reaches the driver; those of a feature are sums
+    over its carriers. Samples with any null among y and the covariates take no part.
+    """
+    known = pheno.select("sample", "y", *covariates).dropna().withColumn("__1", F.lit(1.0))
+    axis = ["__1", *covariates]
+    sides = [*axis, "y"]
+    cross = known.agg(*[F.sum(F.col(a).cast("double") * F.col(b).cast("double")) for a in sides for b in sides], F.count(F.lit(1))).first()
+    q = len(sides)
+    whole = np.array([x or 0.0 for x in cross[:-1]], float).reshape(q, q)
+    n = cross[-1]
+    inverse = np.linalg.pinv(whole[:-1, :-1])
+    df = n - len(axis) - 1
+    per = doses.join(known, "sample").groupBy("feature").agg(
+        F.array(*[F.sum(F.col("dose") * F.col(a)).cast("double") for a in axis]).alias("gx"),
+        F.sum(F.col("dose") * F.col("dose")).cast("double").alias("gg"), F.sum(F.col("dose") * F.col("y")).cast("double").alias("gy"),
+    )
+
+    def fit(gx: pd.Series, gg: pd.Series, gy: pd.Series) -> pd.DataFrame:
+        x = np.stack(gx.to_numpy())
+        ss = gg.to_numpy() - np.einsum("ij,jk,ik->i", x, inverse, x)
+        sxy = gy.to_numpy() - x @ inverse @ whole[:-1, -1]
+        rss0 = whole[-1, -1] - whole[-1, :-1] @ inverse @ whole[:-1, -1]
+        live = (ss > 1e-9 * np.maximum(gg.to_numpy(), 1e-300)) & (df > 0)
+        beta = np.where(live, sxy / np.where(live, ss, 1), np.nan)
+        se = np.sqrt(np.maximum(rss0 - beta * sxy, 0) / max(df, 1) / np.where(live, ss, 1))
+        return pd.DataFrame({"beta": beta, "se": se}).astype(object).where(lambda d: d.notna(), None)
+
+    made = per.select("feature", F.pandas_udf(fit, "beta double, se double")("gx", "gg", "gy").alias("r"))
+    t = F.when(F.col("r.se") > 0, F.col("r.beta") / F.col("r.se"))
+    return made.select("feature", "r.beta", "r.se", t.alias("t"), F.lit(df).alias("df"))
+
+
 def score(stats: DataFrame) -> DataFrame:
     """Adds u, v and z of the score test of a 0/1 phenotype under the intercept-only null model."""
     share = F.col("y") / F.col("n")

@@ -5,7 +5,7 @@
 * consistency: of the rows that hold the candidate, the share whose piece count under this candidate
   alone equals the piece count under all candidates together (a row with two delimiters disagrees);
 * regularity: of the pieces that the candidate makes, the share whose shape (letter runs and digit
-  runs collapsed) is a usual shape of the source's values.
+  runs collapsed) is a usual shape of the source's values, one that at least ``usual_share`` of its rows hold.
 
 Scoring runs on distinct *layouts* (the packed text with letter and digit runs collapsed), so that one
 partial aggregation shrinks the data before any piece is looked at.
@@ -42,7 +42,7 @@ def layouts(df: DataFrame, source: str, packed: str, protected: Sequence[str]) -
     """(source, layout, n): the packed texts with quoted names, letter runs and digit runs collapsed."""
     text = F.col(packed)
     masked = F.when(F.col(source).isin(*protected), F.regexp_replace(text, QUOTED, "q")).otherwise(text) if protected else text
-    bare = F.translate(masked, WRAPPING, "")
+    bare = F.regexp_replace(F.translate(masked, WRAPPING, ""), r"(?<![A-Za-z0-9])NA(?![A-Za-z0-9])", "")
     shape = F.regexp_replace(F.regexp_replace(bare, "[A-Za-z]+", "a"), "[0-9]+", "9")
     return (
         df.where(text.isNotNull())
@@ -70,14 +70,14 @@ def delimiter_scores(
         "pieces", F.filter(F.split("layout", every), lambda p: ~p.isin(*MISSING))
     )
     shapes = (
-        found.select("source", "n", F.explode("pieces").alias("shape"))
+        found.select("source", "n", F.explode(F.array_distinct("pieces")).alias("shape"))
         .groupBy("source", "shape")
         .agg(F.sum("n").alias("n"))
     )
-    totals = shapes.groupBy("source").agg(F.sum("n").alias("all_pieces"))
+    totals = found.groupBy("source").agg(F.sum("n").alias("all_rows"))
     usual = (
         shapes.join(totals, "source")
-        .where(F.col("n") >= F.col("all_pieces") * F.lit(usual_share))
+        .where(F.col("n") >= F.col("all_rows") * F.lit(usual_share))
         .groupBy("source")
         .agg(F.collect_set("shape").alias("usual"))
     )
@@ -124,12 +124,12 @@ def unpack(
         delimiter_scores(df, source, packed, protected, candidates, min_regularity)
         .where("accepted")
         .groupBy("source")
-        .agg(F.concat_ws("", F.sort_array(F.collect_set("delimiter"))).alias("delims"))
+        .agg(F.concat_ws("", F.sort_array(F.collect_set("delimiter"))).alias("__delims"))
         .withColumnRenamed("source", "__source")
     )
     # one row per source, so the broadcast is bounded by the number of sources
-    joined = df.where(F.col(packed).isNotNull()).join(F.broadcast(accepted), F.col(source) == F.col("__source"), "left")
-    klass = _char_class(F.coalesce(F.col("delims"), F.lit("")))
+    joined = df.select(source, *keys, packed).where(F.col(packed).isNotNull()).join(F.broadcast(accepted), F.col(source) == F.col("__source"), "left")
+    klass = _char_class(F.coalesce(F.col("__delims"), F.lit("")))
     blank = WRAPPING[2:] + " \t\r\n"
     named = F.transform(
         F.regexp_extract_all(F.col(packed), F.concat(F.lit(QUOTED + "|[^\"'"), klass, F.lit("]+")), F.lit(0)),
