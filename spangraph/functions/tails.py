@@ -86,3 +86,83 @@ def chi2_tail(x: float, df: float) -> float:
 def chi2_of_p(p: float) -> float:
     """The one-df chi-square value whose upper tail is p."""
     return normal_quantile(p / 2) ** 2
+
+
+def mixture_tail(q: float, weights) -> float:
+    """Upper tail of a weighted sum of one-df chi-squares, by Imhof's inversion of the characteristic function."""
+    import numpy as np
+
+    lam = np.asarray([w for w in weights if w > 0], float)
+    if not len(lam) or q <= 0:
+        return 1.0 if q <= 0 else 0.0
+    scale = lam.max()
+    lam, q = lam / scale, q / scale
+    if len(lam) == 1:
+        return chi2_tail(q, 1)
+    # u runs far enough for the integrand to fall below 1e-9; steps are fine against the oscillation in q
+    top = 1.0
+    while np.log(top) + 0.25 * np.log1p((lam * top) ** 2).sum() < 20 and top < 1e7:
+        top *= 2
+    edges = np.concatenate([[1e-12], np.arange(1, int(min(top, 4000) * max(1.0, q / 8)) + 2) / max(1.0, q / 8)])
+    if edges[-1] < top:
+        edges = np.concatenate([edges, np.geomspace(edges[-1], top, 20000)[1:]])
+    nodes, gauss = np.polynomial.legendre.leggauss(8)
+    total = 0.0
+    for at in range(0, len(edges) - 1, 4096):
+        a, b = edges[at : at + 4096][:, None], edges[at + 1 : at + 4097][:, None]
+        a = a[: len(b)]
+        u = (b - a) / 2 * nodes + (a + b) / 2
+        lu = lam[:, None, None] * u
+        angle = 0.5 * np.arctan(lu).sum(axis=0) - 0.5 * q * u
+        size = u * np.exp(0.25 * np.log1p(lu**2).sum(axis=0))
+        total += float(((b - a) / 2 * gauss * np.sin(angle) / size).sum())
+    return min(1.0, max(0.0, 0.5 + total / math.pi))
+
+
+def exact_tail(doses, rates, observed: float, most: int = 16) -> float | None:
+    """P(|S| >= |observed|) for S the sum of dose x (outcome - rate) over independent 0/1 outcomes, by counting all of them; None past ``most`` carriers."""
+    import numpy as np
+
+    if len(doses) > most:
+        return None
+    value, chance = np.zeros(1), np.ones(1)
+    for g, r in zip(doses, rates):
+        value = np.concatenate([value - g * r, value + g * (1 - r)])
+        chance = np.concatenate([chance * (1 - r), chance * r])
+    return float(min(1.0, chance[np.abs(value) >= abs(observed) - 1e-9].sum()))
+
+
+def saddlepoint_tail(doses, rates, observed: float) -> float:
+    """The same two-sided tail by saddlepoint approximation; the normal tail where the observed value is near the mean."""
+    import numpy as np
+
+    g, r = np.asarray(doses, float), np.asarray(rates, float)
+    spread = float((g * g * r * (1 - r)).sum())
+    if spread <= 0:
+        return 1.0
+    if abs(observed) < 2 * math.sqrt(spread):
+        return normal_two_sided(observed / math.sqrt(spread))
+
+    def one(s: float) -> float:
+        """P(S >= s) for s > 0, P(S <= s) for s < 0."""
+        reach = float((g * (1 - r)).clip(min=0).sum() - (g * r).clip(max=0).sum()) if s > 0 else -float((g * r).clip(min=0).sum() - (g * (1 - r)).clip(max=0).sum())
+        if abs(s) >= abs(reach) - 1e-12:
+            return float(np.prod(np.where((g > 0) == (s > 0), r, 1 - r))) if abs(abs(s) - abs(reach)) < 1e-9 else 0.0
+        lo, hi = (0.0, 1.0) if s > 0 else (-1.0, 0.0)
+        slope = lambda t: float((g * (r / (r + (1 - r) * np.exp(-np.clip(g * t, -500, 500))) - r)).sum())
+        while s > 0 and slope(hi) < s and hi < 1e4:
+            hi *= 2
+        while s < 0 and slope(lo) > s and lo > -1e4:
+            lo *= 2
+        for _ in range(200):
+            mid = (lo + hi) / 2
+            lo, hi = (mid, hi) if slope(mid) < s else (lo, mid)
+        t = (lo + hi) / 2
+        p = r / (r + (1 - r) * np.exp(-np.clip(g * t, -500, 500)))
+        k = float((np.log1p(r * np.expm1(np.clip(g * t, -500, 500))) - g * r * t).sum())
+        curve = float((g * g * p * (1 - p)).sum())
+        w = math.copysign(math.sqrt(max(2 * (t * s - k), 1e-300)), t)
+        v = t * math.sqrt(max(curve, 1e-300))
+        return 0.5 * math.erfc(abs(w + math.log(v / w) / w) / math.sqrt(2))
+
+    return min(1.0, one(abs(observed)) + one(-abs(observed)))

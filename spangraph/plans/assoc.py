@@ -279,6 +279,42 @@ def locus_conditional(spark: SparkSession, folder: str) -> DataFrame:
     return _per_locus(spark, folder, run, "graph_name string, feature string, step long, beta double, p double")
 
 
+def locus_kernel(spark: SparkSession, folder: str) -> DataFrame:
+    """Kernel test of each locus: weighted squared scores (Beta(1, 25) of the carrier share) against a mixture of chi-squares."""
+
+    def run(g, f, m, y, c):
+        live = m[m.std(axis=1) > 0]
+        if not len(live) or y.std() == 0:
+            return []
+        share = np.minimum((live > 0).mean(axis=1), 1 - (live > 0).mean(axis=1)).clip(min=0)
+        weight = 25 * (1 - share) ** 24
+        z = weight[:, None] * (live - live.mean(axis=1, keepdims=True))
+        residual = y - y.mean()
+        q = float(((z @ residual) ** 2).sum() / residual.var(ddof=1))
+        gram = z @ z.T if len(z) <= z.shape[1] else z.T @ z
+        values = np.linalg.eigvalsh(gram)
+        return [(g, len(live), q, tails.mixture_tail(q, values[values > 1e-10 * values.max()]))]
+
+    return _per_locus(spark, folder, run, "graph_name string, n_features long, q double, p double")
+
+
+def locus_rare_tails(spark: SparkSession, folder: str) -> DataFrame:
+    """Two-sided tails of the score of each feature on the 0/1 phenotype: counted for up to 16 carriers, else by saddlepoint."""
+
+    def run(g, f, m, y, c):
+        out = []
+        for name, row in zip(f, m):
+            held = row != 0
+            rates = np.full(int(held.sum()), c.mean())
+            observed = float((row * (c - c.mean())).sum())
+            exact = tails.exact_tail(row[held], rates, observed)
+            p = exact if exact is not None else tails.saddlepoint_tail(row[held], rates, observed)
+            out.append((g, name, int(held.sum()), "counted" if exact is not None else "saddlepoint", p))
+        return out
+
+    return _per_locus(spark, folder, run, "graph_name string, feature string, carriers long, method string, p double")
+
+
 PHENO = f"""pheno AS (SELECT sample, round(c_acctbal * 100)::BIGINT AS y, (c_mktsegment IN {SEGMENTS})::BIGINT AS "case"
   FROM (SELECT DISTINCT sample_name AS sample, try_cast(sample_name[4:] AS BIGINT) AS k FROM paths) JOIN customer ON c_custkey = k),
 doses AS (SELECT graph_name, node_id AS feature, sample_name AS sample, count(*) AS dose FROM steps GROUP BY ALL)"""
@@ -334,5 +370,5 @@ SELECT graph_name, a, b, round(CASE WHEN va * vb <> 0 THEN cov * cov / (va * vb)
 QUERIES = {f.__name__: f for f in (
     sample_dosage, pooled_dosage, dosage_scaled, minor_frequency, haplotype_pairs, pheno_ranks, pheno_inverse_normal, assoc_linear, assoc_tested, assoc_score,
     assoc_genotypic, assoc_ranked, assoc_lambda, assoc_layers, burden, ld_pairs, ld_clumps, locus_meff, locus_permutation, locus_logistic, locus_mixed_model,
-    locus_fine_map, locus_conditional,
+    locus_fine_map, locus_conditional, locus_kernel, locus_rare_tails,
 )}

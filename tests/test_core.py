@@ -230,6 +230,26 @@ def test_tails():
         assert 0.5 * math.erfc(-tails.normal_quantile(p) / math.sqrt(2)) == pytest.approx(p, rel=1e-9)
 
 
+def test_mixture_and_rare_tails():
+    rng = np.random.default_rng(3)
+    for weights in ([1.0, 1.0], [3.0, 1.0, 0.2], [1.0] * 6):
+        for q in (0.5, 4.0, 20.0):
+            sample = (rng.normal(size=(400_000, len(weights))) ** 2) @ np.array(weights)
+            assert tails.mixture_tail(q, weights) == pytest.approx(float((sample >= q).mean()), abs=0.004)
+    assert tails.mixture_tail(9.0, [1.0, 1.0]) == pytest.approx(math.exp(-4.5), rel=1e-5)
+    doses, rates = [1, 2, 1, 1], [0.1, 0.3, 0.2, 0.5]
+    want = 0.0
+    for bits in range(16):
+        y = [bits >> i & 1 for i in range(4)]
+        s = sum(g * (v - r) for g, v, r in zip(doses, y, rates))
+        want += math.prod(r if v else 1 - r for v, r in zip(y, rates)) * (abs(s) >= 1.5 - 1e-9)
+    assert tails.exact_tail(doses, rates, 1.5) == pytest.approx(want)
+    assert tails.exact_tail([1] * 17, [0.1] * 17, 1) is None
+    many = [1] * 16
+    for observed in (5.4, 7.4):
+        assert tails.saddlepoint_tail(many, [0.1] * 16, observed - 0.5) == pytest.approx(tails.exact_tail(many, [0.1] * 16, observed), rel=0.6)
+
+
 def test_correction(spark):
     p = [0.01, 0.04, 0.03, 0.005, None]
     out = A.adjusted(spark.createDataFrame([(str(i), v) for i, v in enumerate(p)], "feature string, p double"), "feature", "p")
