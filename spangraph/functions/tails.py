@@ -132,24 +132,34 @@ def exact_tail(doses, rates, observed: float, most: int = 16) -> float | None:
     return float(min(1.0, chance[np.abs(value) >= abs(observed) - 1e-9].sum()))
 
 
-def saddlepoint_tail(doses, rates, observed: float) -> float:
-    """The same two-sided tail by saddlepoint approximation; the normal tail where the observed value is near the mean."""
+def saddlepoint_tail(doses, rates, observed: float, counts=None) -> float:
+    """The same two-sided tail by saddlepoint approximation; the normal tail where the observed value is near the mean.
+
+    With ``counts`` an entry stands for so many carriers of one dose and rate.
+    """
     import numpy as np
 
     g, r = np.asarray(doses, float), np.asarray(rates, float)
-    spread = float((g * g * r * (1 - r)).sum())
+    k = np.ones(len(g)) if counts is None else np.asarray(counts, float)
+    spread = float((k * g * g * r * (1 - r)).sum())
     if spread <= 0:
         return 1.0
     if abs(observed) < 2 * math.sqrt(spread):
         return normal_two_sided(observed / math.sqrt(spread))
+    low, high = float((k * np.minimum(g * (1 - r), -g * r)).sum()), float((k * np.maximum(g * (1 - r), -g * r)).sum())
+
+    def tilted(t: float):
+        return r / (r + (1 - r) * np.exp(-np.clip(g * t, -500, 500)))
+
+    def slope(t: float) -> float:
+        return float((k * g * (tilted(t) - r)).sum())
 
     def one(s: float) -> float:
         """P(S >= s) for s > 0, P(S <= s) for s < 0."""
-        reach = float((g * (1 - r)).clip(min=0).sum() - (g * r).clip(max=0).sum()) if s > 0 else -float((g * r).clip(min=0).sum() - (g * (1 - r)).clip(max=0).sum())
-        if abs(s) >= abs(reach) - 1e-12:
-            return float(np.prod(np.where((g > 0) == (s > 0), r, 1 - r))) if abs(abs(s) - abs(reach)) < 1e-9 else 0.0
+        edge = high if s > 0 else low
+        if abs(s) >= abs(edge) - 1e-12:
+            return float(np.prod(np.where((g > 0) == (s > 0), r, 1 - r) ** k)) if abs(s - edge) < 1e-9 else 0.0
         lo, hi = (0.0, 1.0) if s > 0 else (-1.0, 0.0)
-        slope = lambda t: float((g * (r / (r + (1 - r) * np.exp(-np.clip(g * t, -500, 500))) - r)).sum())
         while s > 0 and slope(hi) < s and hi < 1e4:
             hi *= 2
         while s < 0 and slope(lo) > s and lo > -1e4:
@@ -158,10 +168,10 @@ def saddlepoint_tail(doses, rates, observed: float) -> float:
             mid = (lo + hi) / 2
             lo, hi = (mid, hi) if slope(mid) < s else (lo, mid)
         t = (lo + hi) / 2
-        p = r / (r + (1 - r) * np.exp(-np.clip(g * t, -500, 500)))
-        k = float((np.log1p(r * np.expm1(np.clip(g * t, -500, 500))) - g * r * t).sum())
-        curve = float((g * g * p * (1 - p)).sum())
-        w = math.copysign(math.sqrt(max(2 * (t * s - k), 1e-300)), t)
+        p = tilted(t)
+        logs = float((k * (np.log1p(r * np.expm1(np.clip(g * t, -500, 500))) - g * r * t)).sum())
+        curve = float((k * g * g * p * (1 - p)).sum())
+        w = math.copysign(math.sqrt(max(2 * (t * s - logs), 1e-300)), t)
         v = t * math.sqrt(max(curve, 1e-300))
         return 0.5 * math.erfc(abs(w + math.log(v / w) / w) / math.sqrt(2))
 

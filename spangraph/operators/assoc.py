@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from spangraph.functions import tails
+from spangraph.session import cut_lineage
 
 
 def _elementwise(f, *cols: Column | str) -> Column:
@@ -125,15 +126,37 @@ def score(stats: DataFrame) -> DataFrame:
     return out.withColumn("z", F.when(F.col("v") > 0, F.col("u") / F.sqrt("v")))
 
 
+def running_counts(values: DataFrame, value: str, blocks: int = 256) -> DataFrame:
+    """(value, block, c, upto): how often each distinct value occurs, and how many rows have at most that value.
+
+    Distinct values are laid into at most ``blocks`` ranges by approximate quantiles, so that each range
+    is counted in a task of its own; only the totals of the ranges are added up in one place. Null values
+    are left out. ``values`` is read twice and should be materialised if it is costly or not repeatable.
+    """
+    counts = values.where(F.col(value).isNotNull()).groupBy(value).agg(F.count(F.lit(1)).alias("c"))
+    marks = F.array(*[F.lit(i / blocks) for i in range(1, blocks)])
+    bounds = sorted(set(counts.agg(F.percentile_approx(value, marks)).first()[0] or []))
+    block = F.size(F.filter(F.array(*[F.lit(x) for x in bounds]), lambda x: x < F.col(value))) if bounds else F.lit(0)
+    laid = counts.withColumn("block", block)
+    totals = laid.groupBy("block").agg(F.sum("c").alias("__all"))
+    before = totals.select("block", (F.sum("__all").over(W.orderBy("block")) - F.col("__all")).alias("__before"))  # at most ``blocks`` rows
+    inside = W.partitionBy("block").orderBy(value).rowsBetween(W.unboundedPreceding, 0)
+    return laid.join(F.broadcast(before), "block").select(value, "block", "c", (F.col("__before") + F.sum("c").over(inside)).alias("upto"))
+
+
 def adjusted(tested: DataFrame, feature: str, p: str) -> DataFrame:
-    """(feature, p, bonferroni, q): corrected for the number of tests. The windows hold one row per feature, never one per sample."""
-    known = tested.where(F.col(p).isNotNull()).select(feature, p)
-    all_rows = W.orderBy(F.asc(p), feature)
-    ranked = known.withColumn("k", F.row_number().over(all_rows)).withColumn("m", F.count(F.lit(1)).over(W.partitionBy()))
-    step = F.least(F.lit(1.0), F.col(p) * F.col("m") / F.col("k"))
-    back = W.orderBy(F.desc("k")).rowsBetween(W.unboundedPreceding, 0)
-    out = ranked.withColumn("q", F.min(step).over(back))
-    return out.select(feature, p, F.least(F.lit(1.0), F.col(p) * F.col("m")).alias("bonferroni"), "q")
+    """(feature, p, bonferroni, q): corrected for the number of tests; null and NaN p take no part.
+
+    Ties share the q of their last rank, so ranks are those of distinct p, counted range by range.
+    """
+    known = cut_lineage(tested.where(F.col(p).isNotNull() & ~F.isnan(p)).select(feature, p))
+    m = known.agg(F.count(F.lit(1))).scalar()
+    ranked = running_counts(known, p).withColumn("step", F.least(F.lit(1.0), F.col(p) * m / F.col("upto")))
+    lows = ranked.groupBy("block").agg(F.min("step").alias("low"))
+    later = lows.select("block", F.min("low").over(W.orderBy(F.desc("block")).rowsBetween(W.unboundedPreceding, -1)).alias("later"))  # one row per range
+    back = W.partitionBy("block").orderBy(F.desc(p)).rowsBetween(W.unboundedPreceding, 0)
+    q = ranked.join(F.broadcast(later), "block").select(p, F.least(F.min("step").over(back), "later").alias("q"))
+    return known.join(q, p).select(feature, p, F.least(F.lit(1.0), F.col(p) * m).alias("bonferroni"), "q")
 
 
 def pairs_r2(doses: DataFrame, n_samples: DataFrame, group: str) -> DataFrame:
@@ -186,14 +209,20 @@ def effective_tests(matrix: np.ndarray) -> float:
     return float(np.sum((values >= 1) + (values - np.floor(values))))
 
 
-def logistic(x: np.ndarray, y: np.ndarray, rounds: int = 50, tol: float = 1e-8, firth: bool = False) -> tuple[np.ndarray, np.ndarray]:
-    """Coefficients and standard errors by reweighted least squares, with Jeffreys' penalty where ``firth``."""
+def logistic(
+    x: np.ndarray, y: np.ndarray, rounds: int = 50, tol: float = 1e-8, firth: bool = False, counts: np.ndarray | None = None
+) -> tuple[np.ndarray, np.ndarray]:
+    """Coefficients and standard errors by reweighted least squares, with Jeffreys' penalty where ``firth``.
+
+    With ``counts`` a row stands for so many samples and ``y`` is their share of cases.
+    """
+    times = np.ones(len(y)) if counts is None else counts
     beta = np.zeros(x.shape[1])
     for _ in range(rounds):
         mu = 1 / (1 + np.exp(-np.clip(x @ beta, -30, 30)))
-        w = mu * (1 - mu)
+        w = times * mu * (1 - mu)
         cov = np.linalg.pinv(x.T @ (w[:, None] * x))
-        gap = y - mu
+        gap = times * (y - mu)
         if firth:
             hat = w * np.einsum("ij,jk,ik->i", x, cov, x)
             gap = gap + hat * (0.5 - mu)
@@ -205,6 +234,19 @@ def logistic(x: np.ndarray, y: np.ndarray, rounds: int = 50, tol: float = 1e-8,
     return beta, np.sqrt(np.diag(cov))
 
 
+def dose_classes(doses: DataFrame, group: str, cases: DataFrame) -> DataFrame:
+    """(group, feature, n, cases, classes): per feature the samples and cases of each non-zero dose.
+
+    ``cases`` is (group, sample, case). ``classes`` holds (dose, n, cases), one entry per distinct dose, so
+    a feature stays small however many samples carry it; ``n`` and ``cases`` are those of the whole group.
+    """
+    known = cases.where("case is not null")
+    whole = known.groupBy(group).agg(F.count(F.lit(1)).alias("n"), F.sum("case").cast("long").alias("cases"))
+    per = doses.where("dose <> 0").join(known, [group, "sample"]).groupBy(group, "feature", "dose").agg(F.count(F.lit(1)).alias("k"), F.sum("case").cast("long").alias("hit"))
+    held = per.groupBy(group, "feature").agg(F.sort_array(F.collect_list(F.struct(F.col("dose").cast("double").alias("dose"), "k", "hit"))).alias("classes"))
+    return held.join(whole, group)
+
+
 def mixed_null(y: np.ndarray, x: np.ndarray, kinship: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
     """Variance ratio delta by restricted likelihood over a log grid and a golden-section search; eigenvalues and vectors."""
     values, vectors = np.linalg.eigh(kinship)

@@ -82,11 +82,10 @@ def haplotype_pairs(spark: SparkSession, folder: str) -> DataFrame:
 def pheno_ranks(spark: SparkSession, folder: str) -> DataFrame:
     """(rank - 0.5) / n of each phenotype, ties sharing their mean rank."""
     y = phenotypes(spark, folder).where("y is not null")
-    counts = y.groupBy("y").agg(F.count(F.lit(1)).alias("c"))
-    below = counts.withColumn("upto", F.sum("c").over(W.orderBy("y").rowsBetween(W.unboundedPreceding, 0)))  # distinct values only
+    counts = A.running_counts(y, "y")
     rank = F.col("upto") - (F.col("c") - 1) / 2
     share = (rank - 0.5) / y.agg(F.count(F.lit(1))).scalar()
-    return y.join(below, "y").select("sample", F.round(share, 9).alias("share"))
+    return y.join(counts, "y").select("sample", F.round(share, 9).alias("share"))
 
 
 def pheno_inverse_normal(spark: SparkSession, folder: str) -> DataFrame:
@@ -172,10 +171,16 @@ def ld_clumps(spark: SparkSession, folder: str) -> DataFrame:
     return greedy_leaders(ranked, "graph_name", "feature", "rank", both, "other")
 
 
+def locus_samples(spark: SparkSession, folder: str) -> DataFrame:
+    """(graph_name, sample, y, case): the samples with a walk of each locus."""
+    walked = paths(spark, folder).select("graph_name", F.col("sample_name").alias("sample")).distinct()
+    return walked.join(phenotypes(spark, folder), "sample").select("graph_name", "sample", "y", "case")
+
+
 def _per_locus(spark: SparkSession, folder: str, run, schema: str) -> DataFrame:
     """``run(locus, features, matrix, y, case)`` per locus: the matrix of one locus is the unit of work."""
     cols = A.dose_columns(doses(spark, folder), "graph_name")
-    who = paths(spark, folder).select("graph_name", F.col("sample_name").alias("sample")).distinct().join(phenotypes(spark, folder), "sample")
+    who = locus_samples(spark, folder)
 
     def both(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         right = right.dropna(subset=["y"]).sort_values("sample")
@@ -194,35 +199,63 @@ def locus_meff(spark: SparkSession, folder: str) -> DataFrame:
     return _per_locus(spark, folder, lambda g, f, m, y, c: [(g, len(f), round(A.effective_tests(m), 6))], "graph_name string, n_features long, meff double")
 
 
-def locus_permutation(spark: SparkSession, folder: str) -> DataFrame:
-    """Least p of the locus against 199 shuffles of the phenotype, seeded by the locus name."""
+def locus_permutation(spark: SparkSession, folder: str, shuffles: int = 199, block_features: int = 512) -> DataFrame:
+    """Largest |r| of the locus against shuffles of the phenotype, seeded by the locus name.
 
-    def run(g, f, m, y, c):
-        live = m[m.std(axis=1) > 0]
-        if not len(live):
-            return []
-        z = (live - live.mean(axis=1, keepdims=True)) / live.std(axis=1, keepdims=True)
-        rng = np.random.default_rng(list(g.encode()))
-        ys = np.stack([y, *[rng.permutation(y) for _ in range(199)]])
+    A locus is worked in blocks of about ``block_features`` features, each with the same shuffles; only one
+    maximum per shuffle leaves a block.
+    """
+    cols = A.dose_columns(doses(spark, folder), "graph_name")
+    blocks = cols.groupBy("graph_name").agg(F.ceil(F.count(F.lit(1)) / block_features).alias("n_blocks"))
+    cols = cols.join(blocks, "graph_name").withColumn("block", F.pmod(F.xxhash64("feature"), F.col("n_blocks"))).drop("n_blocks")
+    who = locus_samples(spark, folder).where("y is not null").join(blocks, "graph_name")
+    who = who.select("graph_name", "sample", "y", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_blocks") - 1)).alias("block"))
+
+    def best(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        right = right.sort_values("sample")
+        m = A.dense(right["sample"].to_numpy(), left) if len(left) and len(right) >= 4 else np.zeros((0, 1))
+        m = m[m.std(axis=1) > 0]
+        y = right["y"].to_numpy(float)
+        if not len(m) or y.std() == 0:
+            return pd.DataFrame({"graph_name": [], "k": [], "r": []})
+        z = (m - m.mean(axis=1, keepdims=True)) / m.std(axis=1, keepdims=True)
+        locus = left["graph_name"].iloc[0]
+        rng = np.random.default_rng(list(locus.encode()))
+        ys = np.stack([y, *[rng.permutation(y) for _ in range(shuffles)]])
         ys = (ys - ys.mean(axis=1, keepdims=True)) / ys.std(axis=1, keepdims=True)
-        best = np.abs(z @ ys.T / len(y)).max(axis=0)
-        return [(g, float(best[0]), float((1 + (best[1:] >= best[0] - 1e-12).sum()) / 200))]
+        return pd.DataFrame({"graph_name": locus, "k": range(shuffles + 1), "r": np.abs(z @ ys.T / len(y)).max(axis=0)})
 
-    return _per_locus(spark, folder, run, "graph_name string, best_r double, p_perm double")
+    found = cols.groupBy("graph_name", "block").cogroup(who.groupBy("graph_name", "block")).applyInPandas(best, "graph_name string, k int, r double")
+    tops = found.groupBy("graph_name", "k").agg(F.max("r").alias("r"))
+    per = tops.groupBy("graph_name").agg(F.max(F.when(F.col("k") == 0, F.col("r"))).alias("best_r"), F.collect_list(F.when(F.col("k") > 0, F.col("r"))).alias("rs"))
+    reached = F.size(F.filter("rs", lambda r: r >= F.col("best_r") - 1e-12))
+    return per.select("graph_name", "best_r", ((1 + reached) / (shuffles + 1)).alias("p_perm"))
+
+
+def _case_classes(spark: SparkSession, folder: str) -> DataFrame:
+    cases = locus_samples(spark, folder).where("y is not null").select("graph_name", "sample", "case")
+    return A.dose_classes(doses(spark, folder), "graph_name", cases)
 
 
 def locus_logistic(spark: SparkSession, folder: str) -> DataFrame:
-    """Logistic fit of the 0/1 phenotype on each feature, with Jeffreys' penalty."""
+    """Logistic fit of the 0/1 phenotype on each feature, with Jeffreys' penalty; a feature comes as its dose classes."""
 
-    def run(g, f, m, y, c):
+    @F.pandas_udf("beta double, se double, p double")
+    def fit(classes: pd.Series, n: pd.Series, cases: pd.Series) -> pd.DataFrame:
         out = []
-        for name, row in zip(f, m):
-            if row.std() > 0:
-                beta, se = A.logistic(np.column_stack([np.ones(len(c)), row]), c, firth=True)
-                out.append((g, name, float(beta[1]), float(se[1]), tails.normal_two_sided(beta[1] / se[1]) if se[1] > 0 else math.nan))
-        return out
+        for held, total, hit in zip(classes, n, cases):
+            d = np.array([(c["dose"], c["k"], c["hit"]) for c in held], float)
+            rest = np.array([[0.0, total - d[:, 1].sum(), hit - d[:, 2].sum()]])
+            d = np.vstack([d, rest]) if rest[0, 1] > 0 else d
+            if total < 4 or len(d) < 2:
+                out.append((None, None, None))
+                continue
+            beta, se = A.logistic(np.column_stack([np.ones(len(d)), d[:, 0]]), d[:, 2] / d[:, 1], firth=True, counts=d[:, 1])
+            out.append((float(beta[1]), float(se[1]), tails.normal_two_sided(beta[1] / se[1]) if se[1] > 0 else None))
+        return pd.DataFrame(out, columns=["beta", "se", "p"])
 
-    return _per_locus(spark, folder, run, "graph_name string, feature string, beta double, se double, p double")
+    made = _case_classes(spark, folder).select("graph_name", "feature", fit("classes", "n", "cases").alias("r"))
+    return made.where("r.beta is not null").select("graph_name", "feature", "r.*")
 
 
 def locus_mixed_model(spark: SparkSession, folder: str) -> DataFrame:
@@ -301,18 +334,21 @@ def locus_kernel(spark: SparkSession, folder: str) -> DataFrame:
 def locus_rare_tails(spark: SparkSession, folder: str) -> DataFrame:
     """Two-sided tails of the score of each feature on the 0/1 phenotype: counted for up to 16 carriers, else by saddlepoint."""
 
-    def run(g, f, m, y, c):
+    @F.pandas_udf("carriers long, method string, p double")
+    def tail(classes: pd.Series, n: pd.Series, cases: pd.Series) -> pd.DataFrame:
         out = []
-        for name, row in zip(f, m):
-            held = row != 0
-            rates = np.full(int(held.sum()), c.mean())
-            observed = float((row * (c - c.mean())).sum())
-            exact = tails.exact_tail(row[held], rates, observed)
-            p = exact if exact is not None else tails.saddlepoint_tail(row[held], rates, observed)
-            out.append((g, name, int(held.sum()), "counted" if exact is not None else "saddlepoint", p))
-        return out
-
-    return _per_locus(spark, folder, run, "graph_name string, feature string, carriers long, method string, p double")
+        for held, total, hit in zip(classes, n, cases):
+            d = np.array([(c["dose"], c["k"], c["hit"]) for c in held], float)
+            rate, carriers = hit / total, int(d[:, 1].sum())
+            observed = float((d[:, 0] * (d[:, 2] - rate * d[:, 1])).sum())
+            if carriers <= 16:
+                out.append((carriers, "counted", tails.exact_tail(np.repeat(d[:, 0], d[:, 1].astype(int)), np.full(carriers, rate), observed)))
+            else:
+                out.append((carriers, "saddlepoint", tails.saddlepoint_tail(d[:, 0], np.full(len(d), rate), observed, d[:, 1])))
+        return pd.DataFrame(out, columns=["carriers", "method", "p"])
+
+    made = _case_classes(spark, folder).where("n >= 4").select("graph_name", "feature", tail("classes", "n", "cases").alias("r"))
+    return made.select("graph_name", "feature", "r.*")
 
 
 PHENO = f"""pheno AS (SELECT sample, round(c_acctbal * 100)::BIGINT AS y, (c_mktsegment IN {SEGMENTS})::BIGINT AS "case"

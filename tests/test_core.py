@@ -256,6 +256,41 @@ def test_correction(spark):
     assert {r.feature: (round(r.bonferroni, 9), round(r.q, 9)) for r in out.collect()} == {"3": (0.02, 0.02), "0": (0.04, 0.02), "2": (0.12, 0.04), "1": (0.16, 0.04)}
 
 
+def test_correction_of_ties_and_many_ranges(spark):
+    rng = np.random.default_rng(5)
+    p = np.round(rng.random(3000), 3).tolist() + [0.5] * 700 + [float("nan")]
+    out = A.adjusted(spark.createDataFrame(list(enumerate(p)), "feature long, p double"), "feature", "p").collect()
+    known = np.sort(np.array(p[:-1]))
+    step = np.minimum(1, known * len(known) / np.arange(1, len(known) + 1))
+    q = dict(zip(known.tolist(), np.minimum.accumulate(step[::-1])[::-1].tolist()))  # the first of a tie holds the least
+    first = {v: min(q[v], min(x for k, x in q.items() if k >= v)) for v in set(known.tolist())}
+    assert len(out) == len(known) and all(r.q == pytest.approx(first[r.p], abs=1e-12) for r in out)
+    assert A.adjusted(spark.createDataFrame([], "feature long, p double"), "feature", "p").count() == 0
+
+
+def test_running_counts(spark):
+    v = [3, 1, 1, 2, None, 3, 3]
+    out = A.running_counts(spark.createDataFrame([(x,) for x in v], "v long"), "v", blocks=2)
+    assert sorted((r.v, r.c, r.upto) for r in out.collect()) == [(1, 2, 2), (2, 1, 3), (3, 3, 6)]
+
+
+def test_dose_classes_give_the_results_of_single_samples(spark):
+    rng = np.random.default_rng(2)
+    g, y = rng.integers(0, 3, 200), rng.integers(0, 2, 200)
+    cases = spark.createDataFrame([("l", i, int(v)) for i, v in enumerate(y)] + [("l", 999, None)], "locus string, sample long, case long")
+    doses = spark.createDataFrame([("l", "f", i, int(v)) for i, v in enumerate(g)] + [("l", "f", 999, 1)], "locus string, feature string, sample long, dose long")
+    r = A.dose_classes(doses, "locus", cases).first()
+    d = np.array([(c.dose, c.k, c.hit) for c in r.classes])
+    assert (r.n, r.cases) == (200, y.sum()) and d[:, 0].tolist() == [1, 2] and d[:, 1].tolist() == [(g == 1).sum(), (g == 2).sum()]
+    d = np.vstack([d, [0, 200 - d[:, 1].sum(), y.sum() - d[:, 2].sum()]])
+    for firth in (False, True):
+        a = A.logistic(np.column_stack([np.ones(200), g]), y.astype(float), firth=firth)
+        b = A.logistic(np.column_stack([np.ones(3), d[:, 0]]), d[:, 2] / d[:, 1], firth=firth, counts=d[:, 1])
+        assert np.allclose(a, b, atol=1e-7)
+    one = tails.saddlepoint_tail([1] * 20 + [2] * 10, [0.1] * 30, 9.0)
+    assert tails.saddlepoint_tail([1, 2], [0.1, 0.1], 9.0, [20, 10]) == pytest.approx(one, rel=1e-9)
+
+
 def test_models():
     rng = np.random.default_rng(1)
     g = rng.integers(0, 3, (20, 300)).astype(float)
