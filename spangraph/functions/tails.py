@@ -119,6 +119,45 @@ def mixture_tail(q: float, weights) -> float:
     return min(1.0, max(0.0, 0.5 + total / math.pi))
 
 
+def chi2_quantile(p: float, df: float) -> float:
+    """The chi-square value whose upper tail is p, by bisection."""
+    lo, hi = 0.0, max(df, 1.0)
+    while chi2_tail(hi, df) > p and hi < 1e6:
+        hi *= 2
+    for _ in range(200):
+        mid = (lo + hi) / 2
+        lo, hi = (mid, hi) if chi2_tail(mid, df) > p else (lo, mid)
+    return (lo + hi) / 2
+
+
+def _matched(weights) -> tuple[float, float, float]:
+    """Mean, standard deviation and the degrees of freedom whose kurtosis is that of the weighted sum of chi-squares."""
+    return sum(weights), math.sqrt(2 * sum(w**2 for w in weights)), sum(w**2 for w in weights) ** 2 / sum(w**4 for w in weights)
+
+
+def moment_tail(q: float, weights) -> float:
+    """Upper tail of a weighted sum of one-df chi-squares, by matching moments; cruder and faster than ``mixture_tail``."""
+    mean, sd, df = _matched(weights)
+    return chi2_tail((q - mean) / sd * math.sqrt(2 * df) + df, df)
+
+
+def moment_quantile(p: float, weights) -> float:
+    """The value whose ``moment_tail`` is p."""
+    mean, sd, df = _matched(weights)
+    return (chi2_quantile(p, df) - df) / math.sqrt(2 * df) * sd + mean
+
+
+def cauchy(ps, weights=None) -> float:
+    """One p-value from several, by the weighted mean of their Cauchy quantiles; valid whatever their dependence."""
+    w = [1.0] * len(ps) if weights is None else list(weights)
+    whole = sum(w)
+    if not whole > 0:
+        return math.nan
+    # below 1e-15 the tangent is its first term
+    total = sum(v * (math.tan((0.5 - min(p, 1 - 1e-15)) * math.pi) if p > 1e-15 else 1 / (max(p, 1e-300) * math.pi)) for p, v in zip(ps, w)) / whole
+    return 0.5 - math.atan(total) / math.pi if total < 1e15 else 1 / (total * math.pi)
+
+
 def exact_tail(doses, rates, observed: float, most: int = 16) -> float | None:
     """P(|S| >= |observed|) for S the sum of dose x (outcome - rate) over independent 0/1 outcomes, by counting all of them; None past ``most`` carriers."""
     import numpy as np

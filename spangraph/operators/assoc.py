@@ -247,6 +247,64 @@ def dose_classes(doses: DataFrame, group: str, cases: DataFrame) -> DataFrame:
     return held.join(whole, group)
 
 
+# The grid of mixing shares between kernel and burden test.
+SHARES = (0.0, 0.01, 0.04, 0.09, 0.16, 0.25, 0.5, 1.0)
+
+
+def kernel_tests(z: np.ndarray, residual: np.ndarray) -> tuple[float, float, float]:
+    """(burden, kernel, optimal) p-values of a set of features against the residual of the null model.
+
+    ``z`` holds one weighted, centred feature per row. For each mixing share the statistic is a mixture of
+    chi-squares. The optimal test takes the least p of the grid and integrates over the part that all
+    shares have in common, a one-df chi-square; within the integral tails are matched by moments. Its
+    result is kept between the least p and that times the size of the grid.
+    """
+    scale = np.abs(z).max()
+    spread = float(residual.std(ddof=1))
+    if not scale > 0 or not spread > 0:
+        return math.nan, math.nan, math.nan
+    z = z / scale
+    p, n = z.shape
+    s = z @ residual / spread
+    summed = z.sum(axis=0)
+    gram = z @ z.T if p <= n else z.T @ z
+
+    def live(square: np.ndarray) -> np.ndarray:
+        values = np.linalg.eigvalsh(square)
+        return values[values > 1e-10 * max(values.max(), 1e-300)]
+
+    def mixture(share: float) -> np.ndarray:
+        if p > n:
+            return live((1 - share) * gram + share * np.outer(summed, summed))
+        root = math.sqrt(1 - share) * (np.eye(p) - 1 / p) + math.sqrt(1 - share + share * p) / p
+        return live(root @ gram @ root)
+
+    weights = [mixture(share) for share in SHARES]
+    stats = [(1 - share) * float(s @ s) + share * float(s.sum()) ** 2 for share in SHARES]
+    found = [tails.mixture_tail(q, w) if len(w) else 1.0 for q, w in zip(stats, weights)]
+    burden, kernel, least = found[-1], found[0], min(found)
+    mean = summed / p
+    size = float(mean @ mean)
+    if p == 1 or size <= 1e-12 or least <= 0:
+        return burden, kernel, min(1.0, least * (1 if p == 1 else len(SHARES)))
+    along = z @ mean / size
+    rest = z - np.outer(along, mean)
+    other = live(rest @ rest.T if p <= n else rest.T @ rest)
+    if not len(other):
+        return burden, kernel, least
+    own, cross = 2 * float((other**2).sum()), 4 * size * float(((rest.T @ along) ** 2).sum())
+    centre, shrink = float(other.sum()), math.sqrt(own / (own + cross))
+    shares = np.minimum(SHARES, 0.999)
+    limits = np.array([tails.moment_quantile(least, w) if len(w) else np.inf for w in weights])
+    common = size * (p * p * shares + (1 - shares) * float((along**2).sum()))
+    nodes, gauss = np.polynomial.legendre.leggauss(96)
+    at, step = 4.5 * (nodes + 1), 4.5 * gauss  # the common part is the square of a normal variable, from 0 to 9
+    bound = ((limits - np.outer(at**2, common)) / (1 - shares)).min(axis=1)
+    inner = np.array([tails.moment_tail((b - centre) * shrink + centre, other) for b in bound])
+    optimal = float((step * inner * 2 * np.exp(-at * at / 2) / math.sqrt(2 * math.pi)).sum())
+    return burden, kernel, min(1.0, max(least, min(optimal, len(SHARES) * least)))
+
+
 def mixed_null(y: np.ndarray, x: np.ndarray, kinship: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
     """Variance ratio delta by restricted likelihood over a log grid and a golden-section search; eigenvalues and vectors."""
     values, vectors = np.linalg.eigh(kinship)

@@ -331,6 +331,64 @@ def locus_kernel(spark: SparkSession, folder: str) -> DataFrame:
     return _per_locus(spark, folder, run, "graph_name string, n_features long, q double, p double")
 
 
+def locus_optimal(spark: SparkSession, folder: str) -> DataFrame:
+    """Burden, kernel, optimal and Cauchy-combined p-values of each locus; weights are Beta(1, 25) of the carrier share."""
+
+    def run(g, f, m, y, c):
+        live = m[m.std(axis=1) > 0]
+        if not len(live) or y.std() == 0:
+            return []
+        held = (live > 0).mean(axis=1)
+        share = np.minimum(held, 1 - held).clip(min=0)
+        weight = 25 * (1 - share) ** 24
+        centred = live - live.mean(axis=1, keepdims=True)
+        residual = y - y.mean()
+        burden, kernel, optimal = A.kernel_tests(weight[:, None] * centred, residual)
+        z = centred @ residual / np.sqrt((centred**2).sum(axis=1)) / residual.std(ddof=1)
+        single = tails.cauchy([tails.normal_two_sided(v) for v in z], weight**2 * np.maximum(share * (1 - share), 1e-12))
+        return [(g, len(live), burden, kernel, optimal, tails.cauchy([burden, kernel, single]))]
+
+    return _per_locus(spark, folder, run, "graph_name string, n_features long, p_burden double, p_kernel double, p_optimal double, p_cauchy double")
+
+
+# The distribution function of a Poisson variable of mean 1 at 0, 1, 2, ..., times 2^32.
+POISSON = tuple(round(sum(math.exp(-1) / math.factorial(j) for j in range(k + 1)) * 2**32) for k in range(9))
+
+
+def layer_bootstrap(spark: SparkSession, folder: str, resamples: int = 200) -> DataFrame:
+    """Out-of-bag r2 of the best feature of each locus: median and 95% interval over resamples of its samples.
+
+    A sample's weight in a resample is a Poisson count drawn from a digest of its name and the resample's
+    number, so resamples need no shared state: weights are made where the row lies and only eleven sums
+    per locus and resample are shuffled.
+    """
+    loc = doses(spark, folder).select("graph_name", "feature").distinct()
+    best = _linear(spark, folder).where("t is not null").join(loc, "feature").groupBy("graph_name").agg(
+        F.min_by("feature", F.struct(F.round(-F.abs("t"), 6).alias("a"), "feature")).alias("feature")
+    )
+    held = doses(spark, folder).join(best, ["graph_name", "feature"])
+    axis = locus_samples(spark, folder).where("y is not null").join(best, "graph_name").join(held, ["graph_name", "feature", "sample"], "left")
+    rows = axis.select("graph_name", "feature", "sample", (F.col("y") / 100).alias("y"), F.coalesce("dose", F.lit(0)).cast("double").alias("g"))
+    drawn = rows.withColumn("b", F.explode(F.sequence(F.lit(1), F.lit(resamples))))
+    digest = F.conv(F.substring(F.md5(F.concat_ws("|", "graph_name", "sample", "b")), 1, 8), 16, 10).cast("bigint")
+    count = F.size(F.filter(F.array(*[F.lit(x) for x in POISSON]), lambda x: x <= F.col("u")))
+    drawn = drawn.withColumn("u", digest).withColumn("w", count.cast("double")).withColumn("out", (F.col("w") == 0).cast("double"))
+    w, o, g, y = (F.col(x) for x in ("w", "out", "g", "y"))
+    per = drawn.groupBy("graph_name", "feature", "b").agg(
+        F.sum(w).alias("w"), F.sum(w * g).alias("wg"), F.sum(w * y).alias("wy"), F.sum(w * g * g).alias("wgg"), F.sum(w * g * y).alias("wgy"),
+        F.sum(o).alias("n"), F.sum(o * g).alias("g"), F.sum(o * y).alias("y"), F.sum(o * g * g).alias("gg"), F.sum(o * g * y).alias("gy"), F.sum(o * y * y).alias("yy"),
+    )
+    wide = F.col("w") * F.col("wgg") - F.col("wg") * F.col("wg")
+    fit = per.where("w > 0 and n > 0").withColumn("s", F.when(wide > 0, (F.col("w") * F.col("wgy") - F.col("wg") * F.col("wy")) / wide).otherwise(0.0))
+    fit = fit.withColumn("i", (F.col("wy") - F.col("s") * F.col("wg")) / F.col("w")).withColumn("m", F.col("wy") / F.col("w"))
+    rss = F.expr("yy - 2 * i * y - 2 * s * gy + n * i * i + 2 * i * s * g + s * s * gg")
+    tss = F.expr("yy - 2 * m * y + n * m * m")
+    scored = fit.withColumn("r2", F.when(tss > 1e-9, 1 - rss / tss)).groupBy("graph_name", "feature")
+    return scored.agg(
+        F.count("r2").alias("n_resamples"), F.round(F.percentile("r2", F.lit(0.025)), 5).alias("r2_low"), F.round(F.percentile("r2", F.lit(0.5)), 5).alias("r2_mid"), F.round(F.percentile("r2", F.lit(0.975)), 5).alias("r2_high")
+    )
+
+
 def locus_rare_tails(spark: SparkSession, folder: str) -> DataFrame:
     """Two-sided tails of the score of each feature on the 0/1 phenotype: counted for up to 16 carriers, else by saddlepoint."""
 
@@ -396,6 +454,17 @@ SELECT feature, classes, round(CASE WHEN classes > 1 AND wn > classes THEN (btw
     "assoc_lambda": FULL + " SELECT count(t) AS n_tests, round(quantile_cont(round(t * t, 6), 0.5) / 0.4549364, 4) AS lambda_gc FROM lin",
     "assoc_layers": FULL + """ SELECT graph_name, count(*) AS n_tests, first(feature ORDER BY a DESC, feature) AS best, max(a) AS best_t, count_if(a >= 2)::BIGINT AS past_2, count_if(a >= 3)::BIGINT AS past_3
 FROM (SELECT *, round(abs(t), 6) AS a FROM lin) JOIN loc USING (feature) WHERE a IS NOT NULL GROUP BY graph_name""",
+    "layer_bootstrap": FULL
+    + f""", best AS (SELECT graph_name, first(feature ORDER BY round(-abs(t), 6), feature) AS feature FROM lin JOIN loc USING (feature) WHERE t IS NOT NULL GROUP BY graph_name),
+ax AS (SELECT DISTINCT p.graph_name, b.feature, p.sample_name AS sample, o.y / 100 AS y, coalesce(d.dose, 0)::DOUBLE AS g
+  FROM paths p JOIN pheno o ON o.sample = p.sample_name JOIN best b USING (graph_name) LEFT JOIN doses d ON d.graph_name = p.graph_name AND d.feature = b.feature AND d.sample = p.sample_name WHERE o.y IS NOT NULL),
+dr AS (SELECT *, len(list_filter([{', '.join(map(str, POISSON))}], lambda x: x <= ('0x' || md5(graph_name || '|' || sample || '|' || b)[1:8])::BIGINT))::DOUBLE AS w FROM ax, (SELECT unnest(generate_series(1, 200)) AS b)),
+pb AS (SELECT graph_name, feature, b, sum(w) AS w, sum(w * g) AS wg, sum(w * y) AS wy, sum(w * g * g) AS wgg, sum(w * g * y) AS wgy, sum(o) AS n, sum(o * g) AS g, sum(o * y) AS y, sum(o * g * g) AS gg, sum(o * g * y) AS gy, sum(o * y * y) AS yy
+  FROM (SELECT *, (w = 0)::INT::DOUBLE AS o FROM dr) GROUP BY ALL),
+f1 AS (SELECT *, wy / w AS m, CASE WHEN w * wgg - wg * wg > 0 THEN (w * wgy - wg * wy) / (w * wgg - wg * wg) ELSE 0 END AS s FROM pb WHERE w > 0 AND n > 0),
+f2 AS (SELECT *, (wy - s * wg) / w AS i FROM f1),
+f3 AS (SELECT graph_name, feature, CASE WHEN yy - 2 * m * y + n * m * m > 1e-9 THEN 1 - (yy - 2 * i * y - 2 * s * gy + n * i * i + 2 * i * s * g + s * s * gg) / (yy - 2 * m * y + n * m * m) END AS r2 FROM f2)
+SELECT graph_name, feature, count(r2) AS n_resamples, round(quantile_cont(r2, 0.025), 5) AS r2_low, round(quantile_cont(r2, 0.5), 5) AS r2_mid, round(quantile_cont(r2, 0.975), 5) AS r2_high FROM f3 GROUP BY ALL""",
     "burden": f"""{BASE}, rare AS (SELECT feature FROM doses GROUP BY feature HAVING count(*) <= 10), bd AS (SELECT graph_name AS feature, sample, sum(dose)::BIGINT AS dose FROM doses JOIN rare USING (feature) GROUP BY ALL),
 {_sums('bd', 'y')}, {LIN} SELECT feature AS graph_name, carriers, round(beta, 6) AS beta, round(t, 6) AS t FROM lin""",
     "ld_pairs": f"""{BASE}, p AS (SELECT graph_name, feature, sum(dose)::DOUBLE AS g, sum(dose * dose)::DOUBLE AS gg FROM doses GROUP BY ALL), n AS (SELECT count(DISTINCT sample_name)::DOUBLE AS n FROM paths),
@@ -406,5 +475,5 @@ SELECT graph_name, a, b, round(CASE WHEN va * vb <> 0 THEN cov * cov / (va * vb)
 QUERIES = {f.__name__: f for f in (
     sample_dosage, pooled_dosage, dosage_scaled, minor_frequency, haplotype_pairs, pheno_ranks, pheno_inverse_normal, assoc_linear, assoc_tested, assoc_score,
     assoc_genotypic, assoc_ranked, assoc_lambda, assoc_layers, burden, ld_pairs, ld_clumps, locus_meff, locus_permutation, locus_logistic, locus_mixed_model,
-    locus_fine_map, locus_conditional, locus_kernel, locus_rare_tails,
+    locus_fine_map, locus_conditional, locus_kernel, locus_rare_tails, locus_optimal, layer_bootstrap,
 )}

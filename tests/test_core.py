@@ -291,6 +291,32 @@ def test_dose_classes_give_the_results_of_single_samples(spark):
     assert tails.saddlepoint_tail([1, 2], [0.1, 0.1], 9.0, [20, 10]) == pytest.approx(one, rel=1e-9)
 
 
+def test_kernel_tests_and_cauchy():
+    rng = np.random.default_rng(4)
+    m = rng.integers(0, 3, (6, 150)).astype(float)
+    z = m - m.mean(axis=1, keepdims=True)
+    found = []
+    for _ in range(400):
+        y = rng.normal(size=150)
+        found.append(A.kernel_tests(z, y - y.mean()))
+    for k in range(3):
+        share = np.mean([f[k] < 0.1 for f in found])
+        assert 0.055 < share < 0.15  # three standard errors of 400 draws at 0.1
+    y = 0.4 * z.sum(axis=0) + rng.normal(size=150)
+    burden, kernel, optimal = A.kernel_tests(z, y - y.mean())
+    assert burden < kernel and burden <= optimal <= 8 * burden
+    s = z.sum(axis=0)
+    assert burden == pytest.approx(tails.normal_two_sided(s @ (y - y.mean()) / math.sqrt(s @ s) / y.std(ddof=1)), rel=1e-6)
+    y = z.T @ np.array([0.5, -0.5, 0.5, -0.5, 0.5, -0.5]) + rng.normal(size=150)
+    burden, kernel, optimal = A.kernel_tests(z, y - y.mean())
+    assert kernel < burden and optimal < 1e-4
+    wide = np.vstack([z] * 40)  # more features than samples
+    assert A.kernel_tests(wide, y - y.mean())[1] == pytest.approx(kernel, rel=1e-4)
+    assert tails.cauchy([0.03]) == pytest.approx(0.03) and tails.cauchy([0.2] * 5) == pytest.approx(0.2)
+    assert tails.cauchy([1e-20, 0.5]) == pytest.approx(2e-20, rel=1e-6)
+    assert tails.moment_tail(tails.moment_quantile(0.01, [2, 1, 1]), [2, 1, 1]) == pytest.approx(0.01, rel=1e-6)
+
+
 def test_models():
     rng = np.random.default_rng(1)
     g = rng.integers(0, 3, (20, 300)).astype(float)
