@@ -94,6 +94,28 @@ def tolerated_runs(error: Column, callable_bases: Column) -> Column:
     return rate + 3.1 * F.sqrt(rate) + 2
 
 
+def with_errors(text: Column, seed: Column, error: float, indel_share: float) -> Column:
+    """The text with read errors: each base is changed, lost or doubled where a digest of ``seed`` and its place says so.
+
+    The result depends on nothing but the arguments, so a lost task gives the same reads again.
+    """
+    draw = lambda i: F.conv(F.substring(F.md5(F.concat(seed, F.lit("|"), i.cast("string"))), 1, 8), 16, 10).cast("bigint")
+    changed, lost, doubled = (int(error * share * 2**32) for share in (1 - indel_share, 1 - indel_share / 2, 1))
+    drawn = F.transform(F.sequence(F.lit(1), F.length(text)), lambda i: F.struct(F.substring(text, i, F.lit(1)).alias("b"), draw(i).alias("u")))
+    base = lambda x: F.when(x["u"] < changed, F.translate(x["b"], "ACGT", "CGTA")).when(x["u"] < lost, "").when(x["u"] < doubled, F.concat(x["b"], x["b"])).otherwise(x["b"])
+    return F.when(F.length(text) > 0, F.array_join(F.transform(drawn, base), "")).otherwise(text)
+
+
+def false_certain(rows: DataFrame, lowest: int = 2, highest: int = 8) -> DataFrame:
+    """(cut, false_certain, screened) from (sites_p, best, kmers, own): how many fragments of elsewhere a cut would call certain.
+
+    ``own`` tells whether the fragment comes from the locus; only the others count.
+    """
+    cuts = rows.where("not own").withColumn("cut", F.explode(F.sequence(F.lit(lowest), F.lit(highest))))
+    wrong = (F.col("sites_p") >= F.col("cut")) & (F.col("best") * 2 >= F.col("kmers"))
+    return cuts.groupBy("cut").agg(F.count_if(wrong).alias("false_certain"), F.count(F.lit(1)).alias("screened"))
+
+
 def calibrated_cut(counted: DataFrame, rate: float, lowest: int = 2, highest: int = 8) -> DataFrame:
     """(cut, met): the least cut whose false-certain count is within rate x screened, else ``highest`` and unmet.
 

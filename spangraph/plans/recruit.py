@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from spangraph.operators import recruit as R
 from spangraph.operators import walks as K
 from spangraph.plans.heavy_keys import COUNTED, counted_hits
-from spangraph.plans.walks import SPELLED, STEPS, nodes, steps
+from spangraph.plans.walks import SPELLED, STEPS, nodes, paths, steps
 from spangraph.streaming.streams import hit_stream, store_stream
 from spangraph.tables import load
 
@@ -42,21 +42,56 @@ def locus_index(spark: SparkSession, folder: str) -> DataFrame:
     return R.locus_index(_counts(spark, folder))
 
 
-def screened(spark: SparkSession, folder: str) -> DataFrame:
+def _screened(spark: SparkSession, folder: str, frags: DataFrame) -> DataFrame:
     """(path_name, win, locus): fragments that share a closed syncmer with a locus."""
     texts = _node_texts(spark, folder)
     at = R.syncmers(texts, ["locus", "node_id"], "sequence", KMER, SMER)
     known = R.words(texts, ["locus", "node_id"], "sequence", KMER).join(at, ["locus", "node_id", "pos"])
     screen = known.select("locus", "kmer").distinct()
-    frags = fragments(spark, folder)
     own = R.words(frags, ["path_name", "win"], "sequence", KMER).join(R.syncmers(frags, ["path_name", "win"], "sequence", KMER, SMER), ["path_name", "win", "pos"])
     return own.select("path_name", "win", "kmer").join(screen, "kmer").select("path_name", "win", "locus").distinct()
 
 
+# Read class, error rate per base, share of errors that are insertions or deletions.
+READS = (("short", 0.002, 0.05), ("hifi", 0.001, 0.5), ("ont", 0.03, 0.5))
+
+
+def _simulated(spark: SparkSession, folder: str, *classes: str) -> DataFrame:
+    """(path_name, win, sequence): the fragments as reads of each class, path_name led by the class."""
+    frags, out = fragments(spark, folder), None
+    for name, error, indels in READS:
+        if name in classes:
+            seed = F.concat_ws("|", F.lit(name), "path_name", "win")
+            reads = R.with_errors(F.col("sequence"), seed, error, indels)
+            # two steps: within one select the lambdas of the reads would see the new path_name
+            part = frags.withColumn("sequence", reads).select(F.concat(F.lit(name + "/"), "path_name").alias("path_name"), "win", "sequence")
+            out = part if out is None else out.unionByName(part)
+    return out
+
+
+def simulated_reads(spark: SparkSession, folder: str) -> DataFrame:
+    """Reads with the errors of each class, cut from the walks: length and digest."""
+    reads = _simulated(spark, folder, *[name for name, _, _ in READS])
+    return reads.select("path_name", "win", F.length("sequence").alias("bp"), F.md5("sequence").alias("digest"))
+
+
+def calibration(spark: SparkSession, folder: str) -> DataFrame:
+    """For each cut of independent private sites: simulated short reads of other loci that it would call certain, and which cut is chosen at one in 10 000."""
+    keys = ["path_name", "win"]
+    frags = _simulated(spark, folder, "short")
+    rows = R.words(frags, keys, "sequence", KMER)
+    found = R.evidence(R.labels(rows, keys, _screened(spark, folder, frags), locus_index(spark, folder)), keys, KMER)
+    home = paths(spark, folder).select(F.concat(F.lit("short/"), "path_name").alias("path_name"), "graph_name")
+    counted = R.false_certain(found.join(home, "path_name").withColumn("own", F.col("locus") == F.col("graph_name")))
+    chosen = R.calibrated_cut(counted, 0.0001).select(F.struct(F.col("cut").alias("c"), "met").alias("s")).scalar()
+    return counted.withColumn("__s", chosen).select("cut", "false_certain", "screened", (F.col("cut") == F.col("__s.c")).alias("chosen"), F.col("__s.met").alias("met"))
+
+
 def recruit_evidence(spark: SparkSession, folder: str) -> DataFrame:
     keys = ["path_name", "win"]
-    rows = R.words(fragments(spark, folder), keys, "sequence", KMER)
-    labelled = R.labels(rows, keys, screened(spark, folder), locus_index(spark, folder))
+    frags = fragments(spark, folder)
+    rows = R.words(frags, keys, "sequence", KMER)
+    labelled = R.labels(rows, keys, _screened(spark, folder, frags), locus_index(spark, folder))
     return R.verdict(R.evidence(labelled, keys, KMER))
 
 
@@ -120,9 +155,20 @@ nw AS ({_words('txt', 'locus, node_id')}), cnt AS (SELECT locus, kmer, count(*)
 tot AS (SELECT kmer, sum(mult)::BIGINT AS total FROM cnt GROUP BY kmer),
 tri AS (SELECT kmer, sum(c * (c - 1) / 2) / {KMER - 3} AS d FROM (SELECT kmer, substring(kmer, j, 3) AS t, count(*) AS c FROM (SELECT kmer, unnest(generate_series(1, {KMER - 2})) AS j FROM tot) GROUP BY ALL) GROUP BY kmer),
 idx AS (SELECT locus, kmer, mult, total - mult AS outside, CASE WHEN total = mult AND d < 2.5 THEN 'P' WHEN total - mult <= 2 THEN 'S' ELSE 'R' END AS cls FROM cnt JOIN tot USING (kmer) JOIN tri USING (kmer))"""
-EVIDENCE = f"""{INDEX},
-frag AS (SELECT path_name, w AS win, substring(upper(sequence), w * {EVERY} + 1, {WINDOW}) AS sequence FROM (SELECT *, unnest(generate_series(0, (length(sequence) - 1) // {EVERY})) AS w FROM spelled)
-  WHERE length(substring(sequence, w * {EVERY} + 1, {WINDOW})) >= {KMER}),
+FRAGMENTS = f"""frag AS (SELECT path_name, w AS win, substring(upper(sequence), w * {EVERY} + 1, {WINDOW}) AS sequence FROM (SELECT *, unnest(generate_series(0, (length(sequence) - 1) // {EVERY})) AS w FROM spelled)
+  WHERE length(substring(sequence, w * {EVERY} + 1, {WINDOW})) >= {KMER})"""
+
+
+def _read_errors(name: str, error: float, indels: float) -> str:
+    changed, lost, doubled = (int(error * share * 2**32) for share in (1 - indels, 1 - indels / 2, 1))
+    return f"""SELECT '{name}/' || pn AS path_name, win, array_to_string(list_transform(list_transform(generate_series(1, length(sequence)),
+    lambda i: {{'b': substring(sequence, i, 1), 'u': ('0x' || md5('{name}|' || pn || '|' || win || '|' || i)[1:8])::BIGINT}}),
+    lambda x: CASE WHEN x.u < {changed} THEN translate(x.b, 'ACGT', 'CGTA') WHEN x.u < {lost} THEN '' WHEN x.u < {doubled} THEN x.b || x.b ELSE x.b END), '') AS sequence FROM (SELECT path_name AS pn, win, sequence FROM frag)"""
+
+
+def _evidence(fragments: str) -> str:
+    return f"""{INDEX},
+{fragments},
 ns AS ({_syncs('txt', 'locus, node_id')}), fs AS ({_syncs('frag', 'path_name, win')}), fw AS ({_words('frag', 'path_name, win')}),
 scr AS (SELECT DISTINCT f.path_name, f.win, n.locus FROM (SELECT DISTINCT locus, kmer FROM nw JOIN ns USING (locus, node_id, pos)) n JOIN (SELECT path_name, win, kmer FROM fw JOIN fs USING (path_name, win, pos)) f USING (kmer)),
 lab AS (SELECT fw.path_name, fw.win, scr.locus, pos, coalesce(cls, 'N') AS cls FROM fw JOIN scr USING (path_name, win) LEFT JOIN idx ON idx.locus = scr.locus AND idx.kmer = fw.kmer),
@@ -137,15 +183,24 @@ ev2 AS (SELECT * EXCLUDE (p), CASE WHEN p IS NULL THEN 0 ELSE (list_reduce(list_
 fin AS (SELECT *, CASE WHEN sites_p >= 2 AND best * 2 >= kmers THEN 'certain' WHEN n_p + n_s > 0 THEN 'ambiguous' ELSE 'unrecruited' END AS fate FROM ev2),
 ver AS (SELECT *, CASE WHEN fate = 'certain' THEN 'private_sites' WHEN runs_n > 4 THEN 'divergent' WHEN n_p > 0 AND sites_p < 2 THEN 'single_site' WHEN n_p > 0 THEN 'sparse' WHEN n_s > 0 THEN 'shared_only' WHEN n_r > 0 THEN 'repeat_only' ELSE 'no_evidence' END AS reason FROM fin)"""
 
+
+EVIDENCE = _evidence(FRAGMENTS)
+
 _MERGED = f"""WITH {COUNTED}, mg AS (SELECT kmer, sum(n)::BIGINT AS n, count(*) AS segments FROM (SELECT segment_name, kmer, sum(hit_count) AS n FROM counted WHERE segment_name IS NOT NULL GROUP BY ALL) GROUP BY kmer)"""
 ORACLES = {
     "locus_index": f"{INDEX} SELECT * FROM idx",
     "recruit_evidence": f"{EVIDENCE} SELECT * FROM ver",
     "recruit_summary": f"{EVIDENCE} SELECT locus, fate, reason, count(*) AS n, grouping_id(locus, fate, reason)::INT AS level FROM ver GROUP BY ROLLUP (locus, fate, reason)",
+    "simulated_reads": f"""WITH {STEPS}, {SPELLED}, {FRAGMENTS} SELECT path_name, win::INT AS win, length(sequence)::INT AS bp, md5(sequence) AS digest FROM ({' UNION ALL '.join(_read_errors(*r) for r in READS)})""",
+    "calibration": _evidence(FRAGMENTS.replace("frag AS", "cutf AS", 1) + f", frag AS ({_read_errors(*READS[0]).replace('FROM frag', 'FROM cutf')})")
+    + """, ow AS (SELECT ev2.*, locus = p.graph_name AS own FROM ev2 JOIN paths p ON ev2.path_name = 'short/' || p.path_name),
+cc AS (SELECT cut, count_if(sites_p >= cut AND best * 2 >= kmers)::BIGINT AS false_certain, count(*) AS screened FROM (SELECT * FROM ow WHERE NOT own), (SELECT unnest(generate_series(2, 8)) AS cut) GROUP BY cut),
+ch AS (SELECT coalesce(min(cut), 8) AS c, min(cut) IS NOT NULL AS met FROM cc WHERE false_certain <= 0.0001::DOUBLE * screened)
+SELECT cut::INT AS cut, false_certain, screened, cut = c AS chosen, met FROM cc, ch""",
     "store_merged": _MERGED + " SELECT * FROM mg",
     "store_lookup": _MERGED + " SELECT kmer, coalesce(n, 0) AS n FROM (SELECT DISTINCT kmer FROM kmer_features WHERE kmer IS NOT NULL) LEFT JOIN mg USING (kmer)",
     "store_sealed_check": f"""WITH {COUNTED}, now AS (SELECT segment_name, sum(hit_count)::BIGINT AS o, count(DISTINCT kmer) AS d FROM counted WHERE segment_name IS NOT NULL GROUP BY ALL)
 SELECT coalesce(s.segment_name, now.segment_name) AS segment_name, s.occurrences, coalesce(o, 0) AS occurrences_now, s.distinct_kmers, coalesce(d, 0) AS distinct_now FROM store_segments s FULL OUTER JOIN now ON s.segment_name = now.segment_name""",
     "stream_store": f"WITH {COUNTED} SELECT kmer, sum(hit_count)::BIGINT AS n FROM counted GROUP BY kmer",
 }
-QUERIES = {f.__name__: f for f in (locus_index, recruit_evidence, recruit_summary, store_merged, store_lookup, store_sealed_check, stream_store)}
+QUERIES = {f.__name__: f for f in (locus_index, recruit_evidence, recruit_summary, simulated_reads, calibration, store_merged, store_lookup, store_sealed_check, stream_store)}

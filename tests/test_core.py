@@ -317,6 +317,27 @@ def test_kernel_tests_and_cauchy():
     assert tails.moment_tail(tails.moment_quantile(0.01, [2, 1, 1]), [2, 1, 1]) == pytest.approx(0.01, rel=1e-6)
 
 
+def test_read_errors_and_false_certain(spark):
+    import hashlib
+
+    def plain(text, seed, error, indels):
+        lost, doubled = error * (1 - indels / 2), error
+        out = []
+        for i, b in enumerate(text, 1):
+            u = int(hashlib.md5(f"{seed}|{i}".encode()).hexdigest()[:8], 16) / 2**32
+            out.append("CGTA"["ACGT".index(b)] if u < error * (1 - indels) else "" if u < lost else b * 2 if u < doubled else b)
+        return "".join(out)
+
+    texts = [("a", "ACGT" * 40), ("b", "T"), ("c", ""), ("d", None)]
+    rows_ = spark.createDataFrame(texts, "name string, text string")
+    made = {r.name: r.s for r in rows_.select("name", R.with_errors(F.col("text"), F.col("name"), 0.2, 0.5).alias("s")).collect()}
+    assert made == {n: plain(t, n, 0.2, 0.5) if t else t for n, t in texts} and made["a"] != texts[0][1]
+    seen = spark.createDataFrame([(3, 9, 10, False), (2, 9, 10, False), (8, 1, 10, False), (8, 9, 10, True)], "sites_p int, best int, kmers int, own boolean")
+    counted = R.false_certain(seen, 2, 4)
+    assert rows(counted, "cut", "false_certain", "screened") == [(2, 2, 3), (3, 1, 3), (4, 0, 3)]
+    assert R.calibrated_cut(counted, 0.1, 2, 4).first() == (4, True) and R.calibrated_cut(counted, 0.4).first()[0] == 3
+
+
 def test_models():
     rng = np.random.default_rng(1)
     g = rng.integers(0, 3, (20, 300)).astype(float)
