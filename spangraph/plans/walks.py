@@ -7,6 +7,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from spangraph.operators import walks as K
+from spangraph.operators.packed import unpack
+from spangraph.plans.packed import packed_fields
 from spangraph.tables import load
 
 
@@ -116,10 +118,8 @@ def site_recorded_check(spark: SparkSession, folder: str) -> DataFrame:
 
 def site_passes(spark: SparkSession, folder: str) -> DataFrame:
     """Runs of consecutive steps of a path that lie inside a site, and how many there are."""
-    inside = (
-        sites(spark, folder).where("inside_node_count is not null").select("bubble_id", F.explode(F.split("inside_nodes", ";")).alias("node_id"))
-        .withColumn("node_id", F.btrim("node_id")).where("node_id <> ''").distinct()
-    )
+    ids = unpack(packed_fields(spark, folder).where("field_name = 'inside_nodes'"), "field_name", ["row_no"], "packed").select("row_no", F.col("val").alias("node_id"))
+    inside = sites(spark, folder).select("row_no", "bubble_id").join(ids, "row_no").select("bubble_id", "node_id").distinct()
     order = W.partitionBy("bubble_id", "path_name").orderBy("idx")
     hits = steps(spark, folder).join(inside, "node_id").withColumn("__i", F.col("idx") - F.row_number().over(order))
     runs = hits.groupBy("bubble_id", "path_name", "__i").agg(F.count(F.lit(1)).alias("n"))
