@@ -124,30 +124,36 @@ def insertion_subtypes(spark: SparkSession, folder: str) -> DataFrame:
     return t.rollup("kind").agg(F.count_distinct("variant_id").alias("n_variants"), F.count(F.lit(1)).alias("n_rows"), F.sum("event_bp").alias("bp"), F.grouping("kind").cast("int").alias("is_total"))
 
 
-def _weights(spark: SparkSession, folder: str) -> DataFrame:
-    """(bubble_id, allele, node_id, occurrence, bp): the inside nodes of each allele as a multiset."""
+def _weights(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    """(bubble_id, allele, node_id, occurrence, bp), the inside nodes of each allele as a multiset, and (bubble_id, allele, size) of every allele.
+
+    A node without a known length weighs 1. An allele with nothing between the boundaries has the size 0.
+    """
     read = read_crossings(spark, folder).select("bubble_id", "signature", "inside").dropDuplicates(["bubble_id", "signature"])
-    read = read.join(site_alleles(spark, folder).select("bubble_id", "signature", "allele"), ["bubble_id", "signature"])
-    one = read.select("bubble_id", "allele", F.posexplode("inside").alias("i", "step")).withColumn("node_id", F.expr("substring(step, 2)"))
+    ranked = site_alleles(spark, folder).select("bubble_id", "signature", "allele")
+    one = read.join(ranked, ["bubble_id", "signature"]).select("bubble_id", "allele", F.posexplode("inside").alias("i", "step")).withColumn("node_id", F.expr("substring(step, 2)"))
     nth = F.row_number().over(W.partitionBy("bubble_id", "allele", "node_id").orderBy("i"))
-    return one.select("bubble_id", "allele", "node_id", nth.alias("occurrence")).join(nodes(spark, folder).select("node_id", "bp"), "node_id")
+    weight = F.greatest(F.coalesce("bp", F.lit(0)), F.lit(1)).alias("bp")
+    weights = one.withColumn("occurrence", nth).join(nodes(spark, folder).select("node_id", "bp"), "node_id", "left").select("bubble_id", "allele", "node_id", "occurrence", weight)
+    held = weights.groupBy("bubble_id", "allele").agg(F.sum("bp").alias("size"))
+    sizes = ranked.select("bubble_id", "allele").join(held, ["bubble_id", "allele"], "left").withColumn("size", F.coalesce("size", F.lit(0)))
+    return weights, sizes
 
 
 def allele_similarity(spark: SparkSession, folder: str) -> DataFrame:
-    """Weighted Jaccard of each allele with the most carried allele of its site."""
-    w = _weights(spark, folder).where("bp > 0")
+    """Weighted Jaccard of each allele with the most carried allele of its site; two empty alleles are equal."""
+    w, size = _weights(spark, folder)
     top = w.where("allele = 1").select("bubble_id", "node_id", "occurrence", F.lit(1).alias("shared"))
-    size = w.groupBy("bubble_id", "allele").agg(F.sum("bp").alias("size"))
     both = w.join(top, ["bubble_id", "node_id", "occurrence"]).groupBy("bubble_id", "allele").agg(F.sum("bp").alias("both"))
     first = size.where("allele = 1").select("bubble_id", F.col("size").alias("top"))
     out = size.where("allele > 1").join(first, "bubble_id").join(both, ["bubble_id", "allele"], "left").withColumn("both", F.coalesce("both", F.lit(0)))
-    return out.select("bubble_id", "allele", F.round(F.col("both") / (F.col("size") + F.col("top") - F.col("both")), 6).alias("jaccard"))
+    jaccard = F.coalesce(F.try_divide("both", F.col("size") + F.col("top") - F.col("both")), F.lit(1.0))
+    return out.select("bubble_id", "allele", F.round(jaccard, 6).alias("jaccard"))
 
 
 def allele_clusters(spark: SparkSession, folder: str) -> DataFrame:
-    """Leader clusters of the alleles of each site: most carried first, Dice of at least 0.8 joins."""
-    w = _weights(spark, folder).where("bp > 0")
-    size = w.groupBy("bubble_id", "allele").agg(F.sum("bp").alias("size"))
+    """Leader clusters of the alleles of each site: most carried first, Dice of at least 0.8 joins. An empty allele is like none of the others."""
+    w, size = _weights(spark, folder)
     a, b = w.withColumnRenamed("allele", "a"), w.select("bubble_id", F.col("allele").alias("b"), "node_id", "occurrence")
     both = a.join(b, ["bubble_id", "node_id", "occurrence"]).where("a <> b").groupBy("bubble_id", "a", "b").agg(F.sum("bp").alias("both"))
     sized = both.join(size.select("bubble_id", F.col("allele").alias("a"), F.col("size").alias("sa")), ["bubble_id", "a"]).join(

@@ -1,5 +1,6 @@
 """Queries over small tables written for the case at hand."""
 
+from spangraph.plans import calls as C
 from spangraph.plans import walks as P
 
 PACKED = {
@@ -28,3 +29,22 @@ def test_passes_through_every_packing_of_inside_nodes(spark, tmp_path):
     )
     got = rows(P.site_passes(spark, folder), "bubble_id", "path_name", "passes", "longest")
     assert got == [(i, "p", 2, 2) for i in range(len(packed))]
+
+
+SITE = "row_no long, bubble_id long, source_node string, source_orient string, sink_node string, sink_orient string"
+PATHS = "graph_name string, path_name string, steps string"
+NODES = "node_id string, sequence string, length_bp long"
+
+
+def test_alleles_without_nodes_or_lengths_stay(spark, tmp_path):
+    """Site 1: the most carried allele is empty; site 2: the empty one is rare; site 3: nodes of no known length weigh 1."""
+    walks = [">a>b", ">a>b", ">a>x>b", ">c>x>y>d", ">c>x>y>d", ">c>d", ">e>u>v>f", ">e>u>v>f", ">e>u>w>f"]
+    folder = tables(
+        spark, tmp_path,
+        bubble_sites=([(1, 1, "a", "+", "b", "+"), (2, 2, "c", "+", "d", "+"), (3, 3, "e", "+", "f", "+")], SITE),
+        graph_paths=([("g", f"p{i}", w) for i, w in enumerate(walks)], PATHS),
+        graph_nodes=([("x", "ACGT", None), ("y", None, 6), ("u", None, None), ("v", "*", None), ("a", "A", 1)], NODES),
+    )
+    assert rows(C.allele_similarity(spark, folder), "bubble_id", "allele", "jaccard") == [(1, 2, 0.0), (2, 2, 0.0), (3, 2, 0.333333)]
+    got = rows(C.allele_clusters(spark, folder), "bubble_id", "allele", "leader")
+    assert got == [(1, 1, 1), (1, 2, 2), (2, 1, 1), (2, 2, 2), (3, 1, 1), (3, 2, 2)]
