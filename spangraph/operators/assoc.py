@@ -305,6 +305,19 @@ def kernel_tests(z: np.ndarray, residual: np.ndarray) -> tuple[float, float, flo
     return burden, kernel, min(1.0, max(least, min(optimal, len(SHARES) * least)))
 
 
+def partial_t(m: np.ndarray, y: np.ndarray, base: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
+    """(t, beta, df) of each row of ``m`` in a linear fit of ``y`` beside the columns ``base``; t is NaN where the base explains the row."""
+    q, _ = np.linalg.qr(base)
+    ry = y - q @ (q.T @ y)
+    rg = m - (m @ q) @ q.T
+    ss = (rg**2).sum(axis=1)
+    ok = ss > 1e-8 * np.maximum((m**2).sum(axis=1), 1e-12)
+    df = len(y) - base.shape[1] - 1
+    beta = np.where(ok, (rg @ ry) / np.where(ok, ss, 1), 0)
+    rss = np.maximum((ry**2).sum() - beta**2 * ss, 1e-12)
+    return np.where(ok, beta / np.sqrt(rss / max(df, 1) / np.where(ok, ss, 1)), np.nan), beta, df
+
+
 def mixed_null(y: np.ndarray, x: np.ndarray, kinship: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
     """Variance ratio delta by restricted likelihood over a log grid and a golden-section search; eigenvalues and vectors."""
     values, vectors = np.linalg.eigh(kinship)

@@ -283,31 +283,39 @@ def locus_fine_map(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def locus_conditional(spark: SparkSession, folder: str) -> DataFrame:
-    """Forward selection: the strongest feature given those chosen, while p is below 0.05 over the tests."""
+    """Forward selection with backward drop: the strongest feature given those chosen, while p is below 0.05 over the tests.
+
+    After each entry a chosen feature no longer below that p given the others is dropped for good. Steps
+    number the features kept, in order of entry; beta and p are those at entry.
+    """
+
+    def given(m, y, chosen):
+        """(t, beta, df) of each row of m beside an intercept and the rows ``chosen``; t is NaN where nothing of the row is left."""
+        return A.partial_t(m, y, np.column_stack([np.ones((len(y), 1)), *chosen]))
 
     def run(g, f, m, y, c):
-        chosen, out = [], []
-        base = np.ones((len(y), 1))
-        while len(chosen) < 10:
-            q, _ = np.linalg.qr(base)
-            ry = y - q @ (q.T @ y)
-            rg = m - (m @ q) @ q.T
-            ss = (rg**2).sum(axis=1)
-            ok = ss > 1e-8 * np.maximum((m**2).sum(axis=1), 1e-12)
-            df = len(y) - base.shape[1] - 1
-            if not ok.any() or df < 1:
+        entry = 0.05 / len(f)
+        chosen, gone = [], np.zeros(len(f), bool)
+        while True:
+            t, beta, df = given(m, y, [m[k] for k, *_ in chosen])
+            t = np.where(gone, np.nan, np.abs(t))
+            if df < 1 or np.isnan(t).all():
                 break
-            beta = np.where(ok, (rg @ ry) / np.where(ok, ss, 1), 0)
-            rss = np.maximum((ry**2).sum() - beta**2 * ss, 1e-12)
-            t = np.where(ok, beta / np.sqrt(rss / df / np.where(ok, ss, 1)), 0)
-            k = int(np.argmax(np.round(np.abs(t), 9)))
+            k = int(np.nanargmax(np.round(t, 9)))
             p = tails.t_two_sided(float(t[k]), df)
-            if p >= 0.05 / len(f):
+            if p >= entry:
                 break
-            chosen.append(k)
-            out.append((g, f[k], len(chosen), float(beta[k]), p))
-            base = np.column_stack([base, m[k]])
-        return out
+            chosen.append((k, float(beta[k]), p))
+            gone[k] = True
+            while len(chosen) > 1:
+                ps = []
+                for i, (k, *_) in enumerate(chosen):
+                    t, _, df = given(m[k : k + 1], y, [m[o] for j, (o, *_) in enumerate(chosen) if j != i])
+                    ps.append(1.0 if df < 1 or np.isnan(t[0]) else tails.t_two_sided(float(abs(t[0])), df))
+                if max(ps) < entry:
+                    break
+                del chosen[int(np.argmax(ps))]
+        return [(g, f[k], step + 1, beta, p) for step, (k, beta, p) in enumerate(chosen)]
 
     return _per_locus(spark, folder, run, "graph_name string, feature string, step long, beta double, p double")
 

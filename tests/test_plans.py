@@ -1,5 +1,8 @@
 """Queries over small tables written for the case at hand."""
 
+import numpy as np
+
+from spangraph.plans import assoc as A
 from spangraph.plans import calls as C
 from spangraph.plans import walks as P
 
@@ -48,3 +51,24 @@ def test_alleles_without_nodes_or_lengths_stay(spark, tmp_path):
     assert rows(C.allele_similarity(spark, folder), "bubble_id", "allele", "jaccard") == [(1, 2, 0.0), (2, 2, 0.0), (3, 2, 0.333333)]
     got = rows(C.allele_clusters(spark, folder), "bubble_id", "allele", "leader")
     assert got == [(1, 1, 1), (1, 2, 2), (2, 1, 1), (2, 2, 2), (3, 1, 1), (3, 2, 2)]
+
+
+def conditional(monkeypatch, m, y):
+    monkeypatch.setattr(A, "_per_locus", lambda spark, folder, run, schema: run("g", np.arange(len(m)), m, y, None))
+    return A.locus_conditional(None, "")
+
+
+def test_selection_goes_on_while_features_clear_the_bar(monkeypatch):
+    rng = np.random.default_rng(5)
+    m = rng.integers(0, 3, (30, 400)).astype(float)
+    y = m[:14].sum(axis=0) + 0.2 * rng.normal(size=400)
+    got = conditional(monkeypatch, m, y)
+    assert {r[1] for r in got} == set(range(14)) and [r[2] for r in got] == list(range(1, 15))
+
+
+def test_selection_drops_what_later_features_explain(monkeypatch):
+    rng = np.random.default_rng(6)
+    a, b = rng.normal(size=(2, 300))
+    y = a + b + 0.3 * rng.normal(size=300)
+    got = conditional(monkeypatch, np.array([a, b, a + b + 0.5 * rng.normal(size=300)]), y)
+    assert {r[1] for r in got} == {0, 1} and [r[2] for r in got] == [1, 2]
