@@ -120,20 +120,22 @@ def signatures(found: DataFrame, arrays: DataFrame) -> DataFrame:
     return read.withColumn("signature", F.array_join("inside", ""))
 
 
-def tandem_runs(steps: DataFrame, max_period: int = 3) -> DataFrame:
-    """(path_name, period, first_idx, last_idx, copies): maximal repeats of a block of ``period`` steps, at least two copies."""
-    out = None
-    order = W.partitionBy("path_name").orderBy("idx")
-    for period in range(1, max_period + 1):
-        same = steps.withColumn("__same", F.coalesce(F.col("step") == F.lag("step", period).over(order), F.lit(False)))
-        island = same.where("__same").withColumn("__island", F.col("idx") - F.row_number().over(order))
-        runs = island.groupBy("path_name", "__island").agg(F.min("idx").alias("a"), F.max("idx").alias("b"), F.count(F.lit(1)).alias("n"))
-        found = runs.where(F.col("n") >= period).select(
-            "path_name", F.lit(period).alias("period"), (F.col("a") - period).alias("first_idx"), F.col("b").alias("last_idx"),
-            (F.floor(F.col("n") / period) + 1).cast("long").alias("copies"),
-        )
-        out = found if out is None else out.unionByName(found)
-    return out
+def tandem_runs(steps: DataFrame) -> DataFrame:
+    """(path_name, period, first_idx, last_idx, copies): maximal repeats of a block of ``period`` steps, at least two copies.
+
+    The periods tried are all distances between equal steps of a walk. A repeat is given with its primitive
+    period: one that also repeats with a divisor of the period is left to that one.
+    """
+    at = steps.select("path_name", "step", "idx")
+    pairs = at.join(at.withColumnRenamed("idx", "before"), ["path_name", "step"]).where("before < idx")
+    same = pairs.select("path_name", "idx", (F.col("idx") - F.col("before")).alias("period"))
+    island = same.withColumn("__island", F.col("idx") - F.row_number().over(W.partitionBy("path_name", "period").orderBy("idx")))
+    runs = island.groupBy("path_name", "period", "__island").agg(F.min("idx").alias("a"), F.max("idx").alias("b"), F.count(F.lit(1)).alias("n"))
+    found = runs.where("n >= period").select("path_name", "period", (F.col("a") - F.col("period")).alias("first_idx"), F.col("b").alias("last_idx"), "n")
+    shorter = found.select("path_name", F.col("period").alias("__p"), F.col("first_idx").alias("__a"), F.col("last_idx").alias("__b"))
+    held = F.expr("__p < period and period % __p = 0 and __a <= first_idx and __b >= last_idx")
+    whole = found.join(shorter, (found["path_name"] == shorter["path_name"]) & held, "left_anti")
+    return whole.select("path_name", "period", "first_idx", "last_idx", (F.floor(F.col("n") / F.col("period")) + 1).cast("long").alias("copies"))
 
 
 def spelled(steps: DataFrame, nodes: DataFrame) -> DataFrame:

@@ -1,7 +1,10 @@
 """Queries over small tables written for the case at hand."""
 
+import random
+
 import numpy as np
 
+from spangraph.operators import walks as K
 from spangraph.plans import assoc as A
 from spangraph.plans import calls as C
 from spangraph.plans import walks as P
@@ -72,3 +75,26 @@ def test_selection_drops_what_later_features_explain(monkeypatch):
     y = a + b + 0.3 * rng.normal(size=300)
     got = conditional(monkeypatch, np.array([a, b, a + b + 0.5 * rng.normal(size=300)]), y)
     assert {r[1] for r in got} == {0, 1} and [r[2] for r in got] == [1, 2]
+
+
+def brute_runs(word):
+    found = []
+    for p in range(1, len(word) // 2 + 1):
+        i = p
+        while i < len(word):
+            j = i
+            while j < len(word) and word[j] == word[j - p]:
+                j += 1
+            if j - i >= p and not any(p % d == 0 and a <= i - p and b >= j - 1 for d, a, b, _ in found):
+                found.append((p, i - p, j - 1, (j - i) // p + 1))
+            i = max(j, i + 1)
+    return found
+
+
+def test_repeats_of_any_period_equal_brute_force(spark):
+    rng = random.Random(3)
+    words = ["abcde" * 3, "x" + "abcdefgh" * 2, "aaaaaa", "ababab", "abcabd"] + ["".join(rng.choices("ab", k=rng.randint(1, 25))) for _ in range(40)]
+    walked = K.explode_steps(spark.createDataFrame([(f"p{i}", "".join(">" + c for c in w)) for i, w in enumerate(words)], "path_name string, walk string"))
+    want = sorted(((f"p{i}", *r) for i, w in enumerate(words) for r in brute_runs(w)), key=str)
+    assert ("p0", 5, 0, 14, 3) in want and ("p1", 8, 1, 16, 2) in want
+    assert rows(K.tandem_runs(walked), "path_name", "period", "first_idx", "last_idx", "copies") == want
