@@ -164,50 +164,105 @@ def allele_clusters(spark: SparkSession, folder: str) -> DataFrame:
     return greedy_leaders(ranked, "bubble_id", "allele", "rank", near, "other")
 
 
-def align_tokens(a: list[str], b: list[str], cap: int = 4_000_000) -> list[tuple[str, int, int, int, int]] | None:
-    """Global alignment of two step lists (match +2, gap -1, no mismatch): the blocks that differ, as (type, a from, a to, b from, b to).
+def _codes(a: list[str], b: list[str]):
+    import numpy as np
 
-    None where the table would have more than ``cap`` cells. An inversion is a block that is the other
-    one reversed with every strand flipped.
-    """
+    codes = {s: i for i, s in enumerate(dict.fromkeys([*a, *b]))}
+    return np.array([codes[s] for s in a], np.int64), np.array([codes[s] for s in b], np.int64)
+
+
+def _next_row(row, x, y):
+    """The row of the alignment table that follows ``row``, for the step ``x`` against all of ``y``."""
     import numpy as np
 
-    n, m = len(a), len(b)
-    if (n + 1) * (m + 1) > cap:
-        return None
+    drop = np.arange(len(y) + 1)
+    best = row - 1
+    if len(y):
+        best[1:] = np.maximum(best[1:], np.where(y == x, row[:-1] + 2, np.iinfo(np.int64).min // 2))
+    return np.maximum.accumulate(best + drop) - drop
+
+
+def _matches(x, y) -> list[tuple[int, int]]:
+    """The matched places of a global alignment, from its whole table."""
+    import numpy as np
+
+    n, m = len(x), len(y)
     score = np.zeros((n + 1, m + 1), np.int64)
-    score[:, 0], score[0, :] = -np.arange(n + 1), -np.arange(m + 1)
-    codes = {s: i for i, s in enumerate(dict.fromkeys([*a, *b]))}
-    x, y = np.array([codes[s] for s in a]), np.array([codes[s] for s in b])
-    drop = np.arange(m + 1)
+    score[0, :] = -np.arange(m + 1)
     for i in range(1, n + 1):
-        best = score[i - 1] - 1
-        if m:
-            best[1:] = np.maximum(best[1:], np.where(y == x[i - 1], score[i - 1, :-1] + 2, np.iinfo(np.int64).min // 2))
-        score[i] = np.maximum.accumulate(best + drop) - drop
+        score[i] = _next_row(score[i - 1], x[i - 1], y)
     i, j, out = n, m, []
-    end = (n, m)
     while i or j:
-        if i and j and a[i - 1] == b[j - 1] and score[i, j] == score[i - 1, j - 1] + 2:
-            if (i, j) != end:
-                out.append((i, end[0], j, end[1]))
+        if i and j and x[i - 1] == y[j - 1] and score[i, j] == score[i - 1, j - 1] + 2:
             i, j = i - 1, j - 1
-            end = (i, j)
+            out.append((i, j))
         elif i and score[i, j] == score[i - 1, j] - 1:
             i -= 1
         else:
             j -= 1
-    if (i, j) != end:
-        out.append((i, end[0], j, end[1]))
+    return out[::-1]
+
+
+def _long_matches(x, y, cells: int) -> list[tuple[int, int]]:
+    """As ``_matches``, in memory that grows with the lengths alone: equal ends are stripped, the rest is halved (Hirschberg)."""
+    import numpy as np
+
+    out, todo = [], [(0, len(x), 0, len(y))]
+    while todo:
+        i0, i1, j0, j1 = todo.pop()
+        while i0 < i1 and j0 < j1 and x[i0] == y[j0]:
+            out.append((i0, j0))
+            i0, j0 = i0 + 1, j0 + 1
+        while i0 < i1 and j0 < j1 and x[i1 - 1] == y[j1 - 1]:
+            i1, j1 = i1 - 1, j1 - 1
+            out.append((i1, j1))
+        n, m = i1 - i0, j1 - j0
+        if not n or not m:
+            continue
+        if n == 1 or (n + 1) * (m + 1) <= cells:
+            out.extend((i0 + i, j0 + j) for i, j in _matches(x[i0:i1], y[j0:j1]))
+            continue
+        mid, part = (i0 + i1) // 2, y[j0:j1]
+        head = tail = -np.arange(m + 1)
+        for i in range(i0, mid):
+            head = _next_row(head, x[i], part)
+        for i in range(i1 - 1, mid - 1, -1):
+            tail = _next_row(tail, x[i], part[::-1])
+        cut = j0 + int(np.argmax(head + tail[::-1]))
+        todo += [(i0, mid, j0, cut), (mid, i1, cut, j1)]
+    return sorted(out)
+
+
+def _typed(a: list[str], b: list[str], matches: list[tuple[int, int]]) -> list[tuple[str, int, int, int, int]]:
     turned = {">": "<", "<": ">"}
+    i0 = j0 = 0
     events = []
-    for i0, i1, j0, j1 in reversed(out):
-        inverse = [turned[s[0]] + s[1:] for s in reversed(b[j0:j1])]
-        kind = "ins" if i0 == i1 else "del" if j0 == j1 else "inv" if a[i0:i1] == inverse else "sub"
-        events.append((kind, i0, i1, j0, j1))
+    for i1, j1 in [*matches, (len(a), len(b))]:
+        if (i0, j0) != (i1, j1):
+            inverse = [turned[s[0]] + s[1:] for s in reversed(b[j0:j1])]
+            kind = "ins" if i0 == i1 else "del" if j0 == j1 else "inv" if a[i0:i1] == inverse else "sub"
+            events.append((kind, i0, i1, j0, j1))
+        i0, j0 = i1 + 1, j1 + 1
     return events
 
 
+def align_tokens(a: list[str], b: list[str], cap: int = 4_000_000) -> list[tuple[str, int, int, int, int]] | None:
+    """Global alignment of two step lists (match +2, gap -1, no mismatch): the blocks that differ, as (type, a from, a to, b from, b to).
+
+    None where the table would have more than ``cap`` cells. An inversion is a block that is the other
+    one reversed with every strand flipped.
+    """
+    if (len(a) + 1) * (len(b) + 1) > cap:
+        return None
+    return _typed(a, b, _matches(*_codes(a, b)))
+
+
+def align_any(a: list[str], b: list[str], cells: int = 4_000_000) -> list[tuple[str, int, int, int, int]]:
+    """As ``align_tokens`` for lists of any length; beyond ``cells`` the table is never held as a whole."""
+    short = align_tokens(a, b, cells)
+    return _typed(a, b, _long_matches(*_codes(a, b), cells)) if short is None else short
+
+
 def allele_events(spark: SparkSession, folder: str) -> DataFrame:
     """The typed differences of each distinct allele from the most carried one of its site, sized in bp."""
     read = read_crossings(spark, folder).select("bubble_id", "signature", "inside").dropDuplicates(["bubble_id", "signature"])
@@ -217,7 +272,7 @@ def allele_events(spark: SparkSession, folder: str) -> DataFrame:
 
     @F.pandas_udf("array<struct<kind: string, i0: int, i1: int, j0: int, j1: int>>")
     def differ(ref: pd.Series, alt: pd.Series) -> pd.Series:
-        return pd.Series([align_tokens(list(r), list(s)) for r, s in zip(ref, alt)])
+        return pd.Series([align_any(list(r), list(s)) for r, s in zip(ref, alt)])
 
     made = pairs.withColumn("e", differ("ref", "inside")).select("bubble_id", "allele", "ref", "inside", F.posexplode("e").alias("event", "e"))
     cut = made.select("bubble_id", "allele", "event", "e.kind", F.slice("ref", F.col("e.i0") + 1, F.col("e.i1") - F.col("e.i0")).alias("gone"), F.slice("inside", F.col("e.j0") + 1, F.col("e.j1") - F.col("e.j0")).alias("come"))

@@ -98,3 +98,28 @@ def test_repeats_of_any_period_equal_brute_force(spark):
     want = sorted(((f"p{i}", *r) for i, w in enumerate(words) for r in brute_runs(w)), key=str)
     assert ("p0", 5, 0, 14, 3) in want and ("p1", 8, 1, 16, 2) in want
     assert rows(K.tandem_runs(walked), "path_name", "period", "first_idx", "last_idx", "copies") == want
+
+
+def test_long_alleles_keep_their_events(spark, tmp_path):
+    mine = [">p", *(f">{i}" for i in range(2100)), ">q"]
+    other = [">r", *(f">{i}" for i in range(2100) if not 700 <= i < 710), ">s"]
+    folder = tables(
+        spark, tmp_path,
+        bubble_sites=([(1, 1, "a", "+", "b", "+")], SITE),
+        graph_paths=([("g", f"w{i}", ">a" + "".join(w) + ">b") for i, w in enumerate([mine, mine, other])], PATHS),
+        graph_nodes=([(str(i), None, 3) for i in range(2100)], NODES),
+    )
+    got = rows(C.allele_events(spark, folder), "allele", "event", "kind", "del_bp", "ins_bp")
+    assert got == [(2, 0, "sub", 0, 0), (2, 1, "del", 30, 0), (2, 2, "sub", 0, 0)]
+
+
+def test_alignment_by_halves_is_as_good():
+    rng = random.Random(4)
+    for _ in range(300):
+        a, b = ([rng.choice("<>") + rng.choice("123") for _ in range(rng.randint(0, 14))] for _ in range(2))
+        differ = [sum(i1 - i0 + j1 - j0 for _, i0, i1, j0, j1 in e) for e in (C.align_any(a, b, 5), C.align_tokens(a, b))]
+        assert differ[0] == differ[1]
+        i = j = 0
+        for _, i0, i1, j0, j1 in [*C.align_any(a, b, 5), ("end", len(a), 0, len(b), 0)]:
+            assert a[i:i0] == b[j:j0]
+            i, j = i1, j1
