@@ -11,7 +11,7 @@ an empty result; extra columns are ignored.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -51,14 +51,27 @@ def mark_heavy(totals: DataFrame, one_in: int, whole: DataFrame | None = None) -
     return totals.withColumn("heavy", F.coalesce(F.col("total") * F.lit(one_in) >= whole.scalar(), F.lit(False)))
 
 
-def heavy_keys(df: DataFrame, key: str, measure: str, one_in: int) -> DataFrame:
-    """(key_field, key_value): the heavy keys of one key column."""
-    marked = mark_heavy(key_totals(df, key, measure), one_in)
-    return marked.where("heavy").select(F.lit(key).alias("key_field"), F.col(key).cast("string").alias("key_value"))
+def totals_of_keys(df: DataFrame, keys: Sequence[str], measure: str) -> DataFrame:
+    """(key_field, key_value, total) of several key columns from one pass over the rows (grouping sets); null keys are left out."""
+    total = F.sum(F.coalesce(F.col(measure), F.lit(0)).cast("long")).alias("total")
+    sets = df.groupingSets([[k] for k in keys], *keys).agg(total, *[F.grouping(k).alias(f"__g_{k}") for k in keys])
+    field, value = F.lit(None).cast("string"), F.lit(None).cast("string")
+    for k in keys:
+        field = F.when(F.col(f"__g_{k}") == 0, F.lit(k)).otherwise(field)
+        value = F.when(F.col(f"__g_{k}") == 0, F.col(k).cast("string")).otherwise(value)
+    return sets.select(field.alias("key_field"), value.alias("key_value"), "total").where("key_value is not null")
+
 
+def heavy_of_keys(df: DataFrame, one_in: Mapping[str, int], measure: str) -> DataFrame:
+    """(key_field, key_value): the keys that hold at least 1/``one_in[key]`` of the measure of all rows that have the key."""
+    totals = totals_of_keys(df, list(one_in), measure)
+    heavy = F.lit(False)
+    for key, share in one_in.items():
+        whole = totals.where(F.col("key_field") == key).agg(F.sum("total")).scalar()
+        heavy = heavy | ((F.col("key_field") == key) & (F.col("total") * F.lit(share) >= whole))
+    return totals.where(F.coalesce(heavy, F.lit(False))).select("key_field", "key_value")
 
-def union_all(parts: Sequence[DataFrame]) -> DataFrame:
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out
+
+def heavy_keys(df: DataFrame, key: str, measure: str, one_in: int) -> DataFrame:
+    """(key_field, key_value): the heavy keys of one key column."""
+    return heavy_of_keys(df, {key: one_in}, measure)

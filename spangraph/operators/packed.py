@@ -7,6 +7,8 @@
 * regularity: of the pieces that the candidate makes, the share whose shape (letter runs and digit
   runs collapsed) is a usual shape of the source's values, one that at least ``usual_share`` of its rows hold.
 
+A candidate is a delimiter of the source where the product of the two is at least ``min_score``.
+
 Scoring runs on distinct *layouts* (the packed text with letter and digit runs collapsed), so that one
 partial aggregation shrinks the data before any piece is looked at.
 
@@ -58,7 +60,7 @@ def delimiter_scores(
     packed: str,
     protected: Sequence[str] = (),
     candidates: Sequence[str] = CANDIDATES,
-    min_regularity: float = 0.5,
+    min_score: float = 0.25,
     usual_share: float = 0.05,
 ) -> DataFrame:
     """(source, delimiter, n_rows, consistency, regularity, score, accepted), one row per source and candidate in use.
@@ -101,7 +103,7 @@ def delimiter_scores(
         F.coalesce(F.try_divide(F.sum(regular * F.col("n")), F.sum(F.size("own") * F.col("n"))), F.lit(0.0)).alias("regularity"),
     )
     return scored.withColumn("score", F.col("consistency") * F.col("regularity")).withColumn(
-        "accepted", F.col("regularity") >= F.lit(min_regularity)
+        "accepted", F.col("score") >= F.lit(min_score)
     )
 
 
@@ -112,7 +114,7 @@ def unpack(
     packed: str,
     protected: Sequence[str] = (),
     candidates: Sequence[str] = CANDIDATES,
-    min_regularity: float = 0.5,
+    min_score: float = 0.25,
 ) -> DataFrame:
     """(source, *keys, pos, val): one row per packed value, ``pos`` counting from 1.
 
@@ -121,7 +123,7 @@ def unpack(
     others quotes are dropped, since they may enclose several values.
     """
     accepted = (
-        delimiter_scores(df, source, packed, protected, candidates, min_regularity)
+        delimiter_scores(df, source, packed, protected, candidates, min_score)
         .where("accepted")
         .groupBy("source")
         .agg(F.concat_ws("", F.sort_array(F.collect_set("delimiter"))).alias("__delims"))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spangraph.functions.seq import canonical
-from spangraph.operators.heavy_keys import first_arrivals, heavy_keys, key_totals, mark_heavy, union_all
+from spangraph.operators.heavy_keys import first_arrivals, heavy_of_keys, key_totals, mark_heavy
 from spangraph.tables import load
 
 
@@ -21,7 +21,7 @@ def counted_hits(spark: SparkSession, folder: str, *columns: str) -> DataFrame:
 
 def p2_found(spark: SparkSession, folder: str) -> DataFrame:
     hits = counted_hits(spark, folder, "kmer", "segment_name", "hit_count")
-    return union_all([heavy_keys(hits, "kmer", "hit_count", 50), heavy_keys(hits, "segment_name", "hit_count", 20)])
+    return heavy_of_keys(hits, {"kmer": 50, "segment_name": 20}, "hit_count")
 
 
 def p2_kmers(spark: SparkSession, folder: str) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -23,15 +24,52 @@ def local_session(cores: int = 8, shuffle_partitions: int = 8, **conf: str) -> S
     return builder.getOrCreate()
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` with a reliable checkpoint.
+_LOCAL: dict[str, str] = {}
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of intermediate data, which every executor can reach: that of ``spark.checkpoint.dir``.
 
-    The folder is the one that the session names in ``spark.checkpoint.dir``, which every executor
-    shares. Only where that is unset (tests, one machine) a temporary folder is used.
+    Only a local master may do without the setting and gets a temporary folder; on a cluster a folder of one
+    machine would lose data, so that is refused.
     """
-    spark = df.sparkSession
-    context = spark.sparkContext
+    named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+    app = spark.sparkContext.applicationId
+    if app not in _LOCAL:
+        _LOCAL[app] = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    return _LOCAL[app]
+
+
+def fresh_folder(spark: SparkSession, what: str) -> str:
+    """A new folder name inside the shared one."""
+    return f"{shared_folder(spark)}/{what}-{spark.sparkContext.applicationId}-{uuid.uuid4().hex}"
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Materialise ``df`` with a reliable checkpoint in the shared folder."""
+    context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)
+
+
+def written(df: DataFrame, what: str = "rows") -> DataFrame:
+    """``df`` written as a table in the shared folder and read back: compressed, pruned by column, and safe from lost executors."""
+    folder = fresh_folder(df.sparkSession, what)
+    df.write.parquet(folder)
+    out = df.sparkSession.read.schema(df.schema).parquet(folder)
+    out._spangraph_folder = folder
+    return out
+
+
+def release(df: DataFrame) -> None:
+    """Deletes the table of a frame that ``written`` made and that is no longer read."""
+    folder = getattr(df, "_spangraph_folder", None)
+    if folder:
+        context = df.sparkSession.sparkContext
+        path = context._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
