@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from spangraph.llm.form import form_classes, forms, look_alike_pairs
 from spangraph.llm.leakage import leaked_items
-from spangraph.llm.spans import shared_spans
+from spangraph.llm.spans import Kind, shared_spans_of_kinds
 from spangraph.llm.terms import mark_terms, term_counts
 from spangraph.llm.tokenize import encode_corpus
 from spangraph.operators.walks import walk_text
@@ -15,7 +15,7 @@ from spangraph.plans.heavy_keys import COUNTED, counted_hits
 from spangraph.tables import load
 
 RARE_TOTAL, COMMON_SHARE, COMMON_IN_PATH = 3, 5, 60
-LEAST_BASES, LEAST_STEPS = 50, 16
+SPANS = {"sequence": Kind(50, 24), "steps": Kind(16, 8, by_step=True)}
 
 
 def kmer_terms(spark: SparkSession, folder: str) -> DataFrame:
@@ -42,11 +42,9 @@ def p4_found(spark: SparkSession, folder: str) -> DataFrame:
     nodes = _one_row(load(spark, folder, "graph_nodes"), "node_id", "sequence")
     walks = load(spark, folder, "graph_paths").select("path_name", walk_text(F.col("steps")).alias("steps"))
     paths = _one_row(walks, "path_name", "steps")
-    keys = ["field_name", "record_key"]
     a = nodes.select(F.lit("sequence").alias("field_name"), F.col("node_id").alias("record_key"), "units")
     b = paths.select(F.lit("steps").alias("field_name"), F.col("path_name").alias("record_key"), "units")
-    spans = shared_spans(a, keys, "units", LEAST_BASES, window=24)
-    return spans.unionByName(shared_spans(b, keys, "units", LEAST_STEPS, window=8, by_step=True))
+    return shared_spans_of_kinds(a.unionByName(b), ["field_name", "record_key"], "units", "field_name", SPANS)
 
 
 def p4_shares(spark: SparkSession, folder: str) -> DataFrame:

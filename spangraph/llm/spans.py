@@ -7,34 +7,45 @@ by ``least - 1`` units, depend on nothing outside themselves, and an insertion m
 it touches. Unlike cuts at masked hash values, these leave no stretch of ``least`` units without a chunk
 that holds it whole, which makes the result exact.
 
-Chunks are deduplicated by digest. A chunk that two records hold is shared as a whole. A chunk of one record
-whose cut window other records hold too lies at the border of something shared: only those chunks, and those
-they may agree with, are taken apart into their stretches, which are again deduplicated by digest. Every
-count is a minimum and a maximum of record keys per digest, so exact copies, however many, collapse before
-the shuffle and no pair of records is ever made.
-
-Defined results: records that are null, ``*`` or shorter than ``least`` share nothing; repeated rows of one
-key are one record (rows of one key with different content are taken as parts of one record's positions,
-the least content alone is read); a stretch that repeats only within one record is not shared; an empty
-table gives an empty result; extra columns are ignored.
+One pass over the texts turns them into digests, which are written once: the digest of the cut window (the
+anchor) and that of the chunk. Chunks whose anchor no other record holds share nothing and are let go
+first. The others are deduplicated by digest: a chunk that two records hold is shared as a whole; a chunk of
+one record, whose anchor others hold too, lies at the border of something shared. Only the texts of border
+chunks, and of those they may agree with, are fetched again, one for each distinct chunk, and taken apart into
+stretches, which are again deduplicated by digest. Every count is a minimum and a maximum of record
+digests per key, so exact copies, however many, collapse before the shuffle and no pair of records is ever made.
+
+Defined results: records that are null, ``*`` or shorter than ``least`` share nothing; keys are distinct,
+which the caller sees to; a stretch that repeats only within one record is not shared; an empty table gives
+an empty result; extra columns are ignored. A key of chunks is two 64-bit digests, a record one.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Mapping
+from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from spangraph.session import cut_lineage
+from spangraph.session import written
 
 BLOCK = 4_000_000  # units that are hashed at a time
+HASH_BITS = 24  # of the rolling hash, so that a value and a place fit into 64 bits
 GEAR = 0x9E3779B97F4A7C15
 SCATTER = 0xBF58476D1CE4E5B9
 
 
+class Kind(NamedTuple):
+    """How the records of one field are cut: least length, window of the hash, and whether units are steps."""
+
+    least: int
+    window: int
+    by_step: bool = False
+
+
 def _mixed(codes):
     """A pseudo-random 64-bit value of each unit code."""
     import numpy as np
@@ -45,8 +56,41 @@ def _mixed(codes):
     return x ^ (x >> np.uint64(32))
 
 
+def rolling(codes, window: int):
+    """The gear hash of each ``window`` units: hashes of 1, 2, 4, ... units are put together to that length."""
+    import numpy as np
+
+    power, size = _mixed(codes), 1  # hash of ``size`` units from each place on
+    out, done = None, 0
+    while True:
+        if window & size:
+            if out is None:
+                out = power
+            else:  # ``size`` units, followed by the ``done`` units that are hashed already
+                n = len(out) - size
+                out = (power[:n] << np.uint64(done)) + out[size:]
+            done += size
+        if done == window:
+            return out
+        n = len(power) - size
+        power = (power[:n] << np.uint64(size)) + power[size : size + n]
+        size *= 2
+
+
+def least_of(values, reach: int):
+    """The least of each ``reach`` neighbouring values, by windows that double in width."""
+    import numpy as np
+
+    size = 1
+    while size * 2 <= reach:
+        values = np.minimum(values[:-size], values[size:])
+        size *= 2
+    rest = reach - size
+    return np.minimum(values[: len(values) - rest], values[rest:]) if rest else values
+
+
 def cuts(codes, ends, least: int, window: int):
-    """For records laid end to end: (first stretch, last stretch, place of the cut), in units from the start.
+    """For records laid end to end: (first stretch, last stretch, place of the cut, hash there), in units from the start.
 
     ``ends`` holds where each record ends. Stretches that would cross an end are left out.
     """
@@ -54,16 +98,14 @@ def cuts(codes, ends, least: int, window: int):
 
     n, reach = len(codes), least - window + 1
     if n < least:
-        return (np.zeros(0, np.int64),) * 3
-    gear = _mixed(codes)
-    rolled = np.zeros(n - window + 1, np.uint64)
-    for i in range(window):  # the value of the gear hash after the last of ``window`` units, kept to ``window`` bits
-        rolled = (rolled << np.uint64(1)) + gear[i : i + len(rolled)]
-    rolled &= np.uint64((1 << window) - 1)
-    views = np.lib.stride_tricks.sliding_window_view(rolled[::-1], reach)
-    low = np.concatenate([views[at : at + BLOCK // 8].argmin(axis=1) for at in range(0, len(views), BLOCK // 8)])
-    first = np.arange(len(low))
-    cut = first + reach - 1 - low[::-1]
+        return (np.zeros(0, np.int64),) * 3 + (np.zeros(0, np.uint64),)
+    rolled = rolling(codes, window)
+    bits = min(window, HASH_BITS)
+    low = np.uint64((1 << (64 - bits)) - 1)
+    # the value above, its place counted from the end below, so that the least is also the rightmost
+    ranked = ((rolled & np.uint64((1 << bits) - 1)) << np.uint64(64 - bits)) | (low - np.arange(len(rolled), dtype=np.uint64))
+    cut = (low - (least_of(ranked, reach) & low)).astype(np.int64)
+    first = np.arange(len(cut))
     owner = np.searchsorted(ends, first, side="right")
     whole = ends[owner] >= first + least
     first, cut, owner = first[whole], cut[whole], owner[whole]
@@ -71,98 +113,118 @@ def cuts(codes, ends, least: int, window: int):
     new[1:] = (cut[1:] != cut[:-1]) | (owner[1:] != owner[:-1])
     begin = np.flatnonzero(new)
     last = np.append(begin[1:], len(first)) - 1
-    return first[begin], first[last], cut[begin]
+    return first[begin], first[last], cut[begin], rolled[cut[begin]]
+
+
+class _StepCodes(dict):
+    def __missing__(self, step: str) -> int:
+        import xxhash
+
+        if len(self) > BLOCK:
+            self.clear()
+        self[step] = code = xxhash.xxh3_64_intdigest(step)
+        return code
+
 
+def chunks(records: DataFrame, keys: list[str], units: str, kind: str, kinds: Mapping[str, Kind]) -> DataFrame:
+    """(*keys, start, n, at, bytes, anchor, chunk): the chunks of each record.
 
-def chunks(records: DataFrame, keys: list[str], units: str, least: int, window: int, by_step: bool) -> DataFrame:
-    """(*keys, start, n, anchor, chunk): the chunks of each record; anchor is the text of the cut window."""
+    ``start`` and ``n`` count units, ``at`` and ``bytes`` the same place in bytes of the text; ``anchor`` and
+    ``chunk`` are digests of the cut window and of the whole. ``kind`` is one of the keys.
+    """
     fields = ", ".join(f"{k} string" for k in keys)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import re
 
         import numpy as np
-
-        step, known = re.compile("[<>][^<>]*"), {}
-        for batch in batches:
-            texts = batch.column(len(keys)).to_pylist()
-            at = 0
-            while at < len(texts):
-                to, size = at, 0
-                while to < len(texts) and (to == at or size + len(texts[to]) <= BLOCK):
-                    size += len(texts[to])
-                    to += 1
-                if by_step:
-                    if len(known) > BLOCK:
-                        known.clear()
-                    parts = [step.findall(t) for t in texts[at:to]]
-                    codes = np.array([known.setdefault(s, int.from_bytes(s.encode()[-7:], "little")) for p in parts for s in p], np.int64)
-                else:
-                    parts = texts[at:to]
-                    codes = np.frombuffer("".join(parts).encode("utf-32-le", "surrogatepass"), np.uint32)
-                lengths = np.array([len(p) for p in parts], np.int64)
-                ends = np.cumsum(lengths)
-                first, last, cut = cuts(codes, ends, least, window)
-                owner = np.searchsorted(ends, first, side="right")
-                base = (ends - lengths)[owner]
-                glue = "".join if by_step else str
-                rows = list(zip(owner.tolist(), (first - base).tolist(), (last + least - base).tolist(), (cut - base).tolist()))
-                out = [batch.column(k).slice(at, to - at).take(pa.array(owner)) for k in range(len(keys))]
-                out.append(pa.array(first - base, pa.int64()))
-                out.append(pa.array(last - first + least, pa.int32()))
-                out.append(pa.array([glue(parts[o][c : c + window]) for o, _, _, c in rows], pa.string()))
-                out.append(pa.array([glue(parts[o][a:b]) for o, a, b, _ in rows], pa.string()))
-                yield pa.RecordBatch.from_arrays(out, [*keys, "start", "n", "anchor", "chunk"])
-                at = to
-
-    return records.select(*keys, units).mapInArrow(run, f"{fields}, start long, n int, anchor string, chunk string")
-
-
-def shared_spans(records: DataFrame, keys: list[str], units: str, least: int, window: int, by_step: bool = False) -> DataFrame:
+        import xxhash
+
+        digest, step, known = xxhash.xxh3_64_intdigest, re.compile("[<>][^<>]*"), _StepCodes()
+        for whole in batches:
+            names = whole.column(keys.index(kind))
+            for name in names.unique().to_pylist():
+                least, window, by_step = kinds[name]
+                batch = whole.filter(pa.compute.equal(names, name))
+                texts = batch.column(len(keys)).to_pylist()
+                at = 0
+                while at < len(texts):
+                    to, size = at, 0
+                    while to < len(texts) and (to == at or size + len(texts[to]) <= BLOCK):
+                        size += len(texts[to])
+                        to += 1
+                    text = "".join(texts[at:to])
+                    raw = text.encode("utf-8", "surrogatepass")
+                    if by_step:
+                        parts = [step.findall(t) for t in texts[at:to]]
+                        lengths = np.array([len(p) for p in parts], np.int64)
+                        codes = np.array([known[s] for p in parts for s in p], np.uint64)
+                        sizes = np.array([len(s.encode()) for p in parts for s in p], np.int64)
+                        begins = np.concatenate([[0], np.cumsum(sizes)])
+                    else:
+                        lengths = np.array([len(t) for t in texts[at:to]], np.int64)
+                        codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+                        begins = None if len(raw) == len(text) else np.concatenate([[0], np.cumsum(1 + (codes > 0x7F) + (codes > 0x7FF) + (codes > 0xFFFF))])
+                    ends = np.cumsum(lengths)
+                    first, last, cut, value = cuts(codes, ends, least, window)
+                    owner = np.searchsorted(ends, first, side="right")
+                    base = (ends - lengths)[owner]
+                    a, b = (first, last + least) if begins is None else (begins[first], begins[last + least])
+                    zero = base if begins is None else begins[base]
+                    own = np.array([digest(raw[x:y]) for x, y in zip(a.tolist(), b.tolist())], np.uint64)
+                    salt = np.uint64(digest(name))
+                    out = [batch.column(k).slice(at, to - at).take(pa.array(owner)) for k in range(len(keys))]
+                    out += [pa.array(first - base), pa.array((last - first + least).astype(np.int32)), pa.array(a - zero), pa.array((b - a).astype(np.int32))]
+                    out += [pa.array((value ^ salt).view(np.int64)), pa.array((own ^ salt).view(np.int64))]
+                    yield pa.RecordBatch.from_arrays(out, [*keys, "start", "n", "at", "bytes", "anchor", "chunk"])
+                    at = to
+
+    known = records.where(F.col(units).isNotNull() & (F.col(units) != "*")).select(*keys, units)
+    return known.mapInArrow(run, f"{fields}, start long, n int, at long, bytes int, anchor long, chunk long")
+
+
+def shared_spans_of_kinds(records: DataFrame, keys: list[str], units: str, kind: str, kinds: Mapping[str, Kind]) -> DataFrame:
     """(*keys, span_start, span_end): the maximal runs of shared positions of each record, end exclusive.
 
-    ``units`` is a text of characters, or of steps that each begin with ``>`` or ``<`` where ``by_step``.
+    ``kind``, one of the keys, names how a record is cut; records of different kinds share nothing.
+    ``units`` is a text of characters, or of steps that each begin with ``>`` or ``<``.
     """
-    record = F.xxhash64(*keys)
-    cut = chunks(records, keys, units, least, window, by_step).select(
-        *keys, "start", "n", "chunk",
-        F.xxhash64("anchor").alias("anchor"), F.xxhash64("chunk").alias("key_a"), F.xxhash64(F.lit("2nd"), "chunk").alias("key_b"), record.alias("record"),
-    )
-    places = cut.drop("chunk", "anchor", "record")
-    # chunk texts are at most 2 * least units; any_value is the same text for one digest
-    classes = cut_lineage(
-        cut.groupBy("anchor", "key_a", "key_b").agg(
-            F.min("record").alias("lo"), F.max("record").alias("hi"), F.max("n").alias("n"), F.any_value("chunk").alias("chunk")
-        )
-    )
-    borders = (
-        classes.groupBy("anchor")
-        .agg(F.min("lo").alias("a_lo"), F.max("hi").alias("a_hi"), F.bool_or(F.col("lo") == F.col("hi")).alias("single"))
-        .where("single and a_lo <> a_hi")
-        .select("anchor")
-    )
-    offsets = F.sequence(F.lit(0), F.col("n") - F.lit(least))
-    if by_step:
-        steps = F.regexp_extract_all("chunk", F.lit("[<>][^<>]*"), F.lit(0))
-        opened = F.posexplode(F.transform(offsets, lambda i: F.array_join(F.slice(F.col("steps"), i + 1, least), "")))
-        taken = classes.join(borders, "anchor", "left_semi").withColumn("steps", steps)
-    else:
-        opened = F.posexplode(F.transform(offsets, lambda i: F.substring(F.col("chunk"), i + 1, F.lit(least))))
-        taken = classes.join(borders, "anchor", "left_semi")
-    stretches = taken.select("key_a", "key_b", "lo", "hi", opened.alias("offset", "stretch")).select(
-        "key_a", "key_b", "lo", "hi", "offset",
-        F.xxhash64("stretch").alias("s_a"), F.xxhash64(F.lit("2nd"), "stretch").alias("s_b"),
+    rows = written(chunks(records, keys, units, kind, kinds).withColumn("record", F.xxhash64(*keys)), "chunks")
+    met = rows.groupBy("anchor").agg(F.min("record").alias("lo"), F.max("record").alias("hi")).where("lo <> hi").select("anchor")
+    live = written(rows.join(met, "anchor", "left_semi"), "live")
+    classes = live.groupBy("anchor", "chunk").agg(F.min("record").alias("lo"), F.max("record").alias("hi"))
+    marked = live.join(classes, ["anchor", "chunk"])
+    borders = classes.where("lo = hi").select("anchor").distinct()
+    # one record stands for all that hold the same chunk
+    taken = marked.where("record = lo").join(borders, "anchor", "left_semi").select(*keys, "start", "at", "bytes", "n", "anchor", "chunk", "lo", "hi")
+    text = F.col("__raw").substr(F.col("at").cast("int") + 1, F.col("bytes")).cast("string")
+    raw = records.select(*keys, F.encode(F.col(units), "UTF-8").alias("__raw"))
+    fetched = taken.join(raw, keys).select(*keys, "start", "n", "anchor", "lo", "hi", text.alias("text"))
+    steps = F.regexp_extract_all("text", F.lit("[<>][^<>]*"), F.lit(0))
+    parts = None
+    for name, (least, _, by_step) in kinds.items():
+        offsets = F.sequence(F.lit(0), F.col("n") - F.lit(least))
+        own = fetched.where(F.col(kind) == name)
+        if by_step:
+            own, opened = own.withColumn("steps", steps), F.transform(offsets, lambda i: F.array_join(F.slice("steps", i + 1, least), ""))  # noqa: B023
+        else:
+            opened = F.transform(offsets, lambda i: F.substring(F.col("text"), i + 1, F.lit(least)))  # noqa: B023
+        part = own.select(*keys, "start", "lo", "hi", F.lit(least).alias("least"), F.posexplode(opened).alias("offset", "stretch"))
+        parts = part if parts is None else parts.unionByName(part)
+    stretches = parts.select(
+        *keys, (F.col("start") + F.col("offset")).alias("a"), "least", "lo", "hi",
+        F.xxhash64(kind, "stretch").alias("s_a"), F.xxhash64(F.lit("2nd"), kind, "stretch").alias("s_b"),
     )
     twice = stretches.groupBy("s_a", "s_b").agg(F.min("lo").alias("s_lo"), F.max("hi").alias("s_hi")).where("s_lo <> s_hi").select("s_a", "s_b")
-    parts = (
-        stretches.where("lo = hi").join(twice, ["s_a", "s_b"], "left_semi")
-        .select("key_a", "key_b", F.col("offset").alias("from"), F.lit(least).alias("length"))
-    )
-    whole = classes.where("lo <> hi").select("key_a", "key_b", F.lit(0).alias("from"), F.col("n").alias("length"))
-    found = places.join(whole.unionByName(parts), ["key_a", "key_b"]).select(
-        *keys, (F.col("start") + F.col("from")).alias("a"), (F.col("start") + F.col("from") + F.col("length")).alias("b")
-    )
-    return merged(found, keys)
+    pieces = stretches.where("lo = hi").join(twice, ["s_a", "s_b"], "left_semi").select(*keys, "a", (F.col("a") + F.col("least")).alias("b"))
+    whole = marked.where("lo <> hi").select(*keys, F.col("start").alias("a"), (F.col("start") + F.col("n")).alias("b"))
+    return merged(whole.unionByName(pieces), keys)
+
+
+def shared_spans(records: DataFrame, keys: list[str], units: str, least: int, window: int, by_step: bool = False) -> DataFrame:
+    """As ``shared_spans_of_kinds`` for records that are all cut alike."""
+    named = records.select(*[F.col(k).cast("string").alias(k) for k in keys], units, F.lit("one").alias("__kind"))
+    return shared_spans_of_kinds(named, [*keys, "__kind"], units, "__kind", {"one": Kind(least, window, by_step)}).drop("__kind")
 
 
 def merged(found: DataFrame, keys: list[str]) -> DataFrame:
