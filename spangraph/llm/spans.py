@@ -30,7 +30,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from spangraph.session import written
+from spangraph.functions.seq import let
+from spangraph.session import release, written
 
 BLOCK = 4_000_000  # units that are hashed at a time
 HASH_BITS = 24  # of the rolling hash, so that a value and a place fit into 64 bits
@@ -189,28 +190,27 @@ def shared_spans_of_kinds(records: DataFrame, keys: list[str], units: str, kind:
     ``kind``, one of the keys, names how a record is cut; records of different kinds share nothing.
     ``units`` is a text of characters, or of steps that each begin with ``>`` or ``<``.
     """
+    records = written(records.select(*keys, units), "records")
     rows = written(chunks(records, keys, units, kind, kinds).withColumn("record", F.xxhash64(*keys)), "chunks")
     met = rows.groupBy("anchor").agg(F.min("record").alias("lo"), F.max("record").alias("hi")).where("lo <> hi").select("anchor")
     live = written(rows.join(met, "anchor", "left_semi"), "live")
     classes = live.groupBy("anchor", "chunk").agg(F.min("record").alias("lo"), F.max("record").alias("hi"))
-    marked = live.join(classes, ["anchor", "chunk"])
-    borders = classes.where("lo = hi").select("anchor").distinct()
+    marked = written(live.join(classes, ["anchor", "chunk"]), "marked")
+    borders = marked.where("lo = hi").select("anchor").distinct()
     # one record stands for all that hold the same chunk
-    taken = marked.where("record = lo").join(borders, "anchor", "left_semi").select(*keys, "start", "at", "bytes", "n", "anchor", "chunk", "lo", "hi")
-    text = F.col("__raw").substr(F.col("at").cast("int") + 1, F.col("bytes")).cast("string")
-    raw = records.select(*keys, F.encode(F.col(units), "UTF-8").alias("__raw"))
-    fetched = taken.join(raw, keys).select(*keys, "start", "n", "anchor", "lo", "hi", text.alias("text"))
+    taken = marked.where("record = lo").join(borders, "anchor", "left_semi").select(*keys, "start", "at", "bytes", "n", "lo", "hi")
+    text = F.encode(F.col(units), "UTF-8").substr(F.col("at").cast("int") + 1, F.col("bytes")).cast("string")
+    fetched = written(taken.join(records, keys).select(*keys, "start", "n", "lo", "hi", text.alias("text")), "borders")
     steps = F.regexp_extract_all("text", F.lit("[<>][^<>]*"), F.lit(0))
-    parts = None
-    for name, (least, _, by_step) in kinds.items():
-        offsets = F.sequence(F.lit(0), F.col("n") - F.lit(least))
-        own = fetched.where(F.col(kind) == name)
+    least, opened = F.lit(None).cast("int"), F.lit(None).cast("array<string>")
+    for name, (size, _, by_step) in kinds.items():
+        offsets = F.sequence(F.lit(0), F.col("n") - F.lit(size))
         if by_step:
-            own, opened = own.withColumn("steps", steps), F.transform(offsets, lambda i: F.array_join(F.slice("steps", i + 1, least), ""))  # noqa: B023
+            cut = let(steps, lambda s: F.transform(offsets, lambda i: F.array_join(F.slice(s, i + 1, size), "")))  # noqa: B023
         else:
-            opened = F.transform(offsets, lambda i: F.substring(F.col("text"), i + 1, F.lit(least)))  # noqa: B023
-        part = own.select(*keys, "start", "lo", "hi", F.lit(least).alias("least"), F.posexplode(opened).alias("offset", "stretch"))
-        parts = part if parts is None else parts.unionByName(part)
+            cut = F.transform(offsets, lambda i: F.substring(F.col("text"), i + 1, F.lit(size)))  # noqa: B023
+        least, opened = F.when(F.col(kind) == name, size).otherwise(least), F.when(F.col(kind) == name, cut).otherwise(opened)
+    parts = fetched.select(*keys, "start", "lo", "hi", least.alias("least"), F.posexplode(opened).alias("offset", "stretch"))
     stretches = parts.select(
         *keys, (F.col("start") + F.col("offset")).alias("a"), "least", "lo", "hi",
         F.xxhash64(kind, "stretch").alias("s_a"), F.xxhash64(F.lit("2nd"), kind, "stretch").alias("s_b"),
@@ -218,6 +218,8 @@ def shared_spans_of_kinds(records: DataFrame, keys: list[str], units: str, kind:
     twice = stretches.groupBy("s_a", "s_b").agg(F.min("lo").alias("s_lo"), F.max("hi").alias("s_hi")).where("s_lo <> s_hi").select("s_a", "s_b")
     pieces = stretches.where("lo = hi").join(twice, ["s_a", "s_b"], "left_semi").select(*keys, "a", (F.col("a") + F.col("least")).alias("b"))
     whole = marked.where("lo <> hi").select(*keys, F.col("start").alias("a"), (F.col("start") + F.col("n")).alias("b"))
+    for done in (rows, live):
+        release(done)
     return merged(whole.unionByName(pieces), keys)
 
 
