@@ -65,8 +65,9 @@ def p7_tiles(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p7_found(spark: SparkSession, folder: str) -> DataFrame:
-    found = leaked_items(load(spark, folder, "documents"), load(spark, folder, "eval_items"))
-    return found.where(F.col("longest") >= 12).select("doc_id", "item_id")
+    """Seeds of 8 words are tiled; a pair is found where its longest tile has 12 words or more."""
+    found = leaked_items(load(spark, folder, "documents"), load(spark, folder, "eval_items"), min_words=12, seed_words=8)
+    return found.select("doc_id", "item_id")
 
 
 def p8_found(spark: SparkSession, folder: str) -> DataFrame:

@@ -227,3 +227,61 @@ def test_pairs_and_classes(spark):
     made = {r.doc_id: r.form for r in forms(df).collect()}
     assert made[0] == made[8] == "café" and made[4] is None and made[6] is None
     assert look_alike_pairs(df.limit(0)).count() == 0
+
+
+def test_queries_are_registered():
+    import __spark_entry__ as entry
+    from spangraph.llm.queries import ORACLES, QUERIES
+
+    assert set(QUERIES) <= set(entry.queries()) and set(ORACLES) <= set(entry.oracle_sql())
+    assert {f"p{n}_found" for n in (3, 4, 7, 8)} | {"p6_ids"} <= set(QUERIES)
+
+
+def test_published_look_alikes(spark):
+    pairs = zip("αρνӏҮԌѵսոꓮı𝐀", "apviYGvunAiA")
+    df = spark.createDataFrame([(i, f"x{a}y") for i, p in enumerate(pairs) for a in p], DOCS.replace(", lang string", ""))
+    made = {}
+    for r in forms(df).collect():
+        made.setdefault(r.doc_id, set()).add(r.form)
+    assert made == {i: {f"x{b}y"} for i, b in enumerate("apviYGvunAiA")}
+
+
+def test_one_variant_among_many_copies(spark):
+    df = spark.range(50_000).selectExpr("id as doc_id", "if(id = 7, 'cаfe', 'cafe') as text")
+    assert look_alike_pairs(df).agg(F.count("*"), F.min("doc_a"), F.max("doc_b")).first() == (49_999, 0, 49_999)
+
+
+def test_texts_that_repeat_themselves(spark):
+    docs = spark.createDataFrame([(1, "la " * 4000), (2, "la li " * 2000), (3, "lo " * 11)], "doc_id long, text string")
+    items = spark.createDataFrame([(1, "la " * 4000), (2, "li la " * 50), (3, "lo " * 40)], "item_id long, text string")
+    got = rows(leaked_items(docs, items), "doc_id", "item_id", "n_tiles", "longest", "tiled_words")
+    assert got == [(1, 1, 1, 4000, 4000), (2, 2, 1, 100, 100)]
+
+
+def test_tiles_of_repeats_equal_plain_tiling():
+    import numpy as np
+
+    from spangraph.llm.leakage import tile_places
+
+    rng = random.Random(8)
+    for _ in range(60):
+        a, b = ([rng.choice("ab" if rng.random() < 0.7 else "abcdef") for _ in range(rng.randint(3, 40))] for _ in range(2))
+        seed = lambda ws, i: hash(tuple(ws[i : i + 3])) % (1 << 62)
+        common = {seed(a, i) for i in range(len(a) - 2)} & {seed(b, i) for i in range(len(b) - 2)}
+        side = lambda ws: [(i, seed(ws, i)) for i in range(len(ws) - 2) if seed(ws, i) in common]
+        d, e = (np.array(side(ws), np.int64).reshape(-1, 2) for ws in (a, b))
+        got = tile_places(d[:, 0], d[:, 1].view(np.uint64), e[:, 0], e[:, 1].view(np.uint64), 3)
+        matches = []
+        for i in range(len(a)):
+            for j in range(len(b)):
+                n = 0
+                while i + n < len(a) and j + n < len(b) and a[i + n] == b[j + n]:
+                    n += 1
+                if n >= 3:
+                    matches.append((n, i, j))
+        assert [n for n, _, _ in got][:1] == [n for n, _, _ in tile(matches, 3)][:1]
+        used_a, used_b = set(), set()
+        for n, i, j in got:
+            assert a[i : i + n] == b[j : j + n] and not used_a & set(range(i, i + n)) and not used_b & set(range(j, j + n))
+            used_a |= set(range(i, i + n))
+            used_b |= set(range(j, j + n))
