@@ -1,10 +1,13 @@
-"""Sequence functions as Column expressions: everything stays inside Spark's own operators."""
+"""Sequence functions: Column expressions that stay inside Spark's own operators, and rolling hashes as arrays in Arrow batches."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 BASES = "ACGT"
 
@@ -95,33 +98,115 @@ def unsigned(x: Column) -> Column:
     return x.bitwiseXOR(F.lit(-(1 << 63)))
 
 
-def with_smer_hash(df: DataFrame, smer: str, out: str, seed: int = 0) -> DataFrame:
-    """Adds the hash of an s-mer's canonical form, ordered as unsigned; null where a letter is no base."""
-    mixed = with_mix64(df, encode(canonical(F.col(smer))).bitwiseXOR(F.lit(seed)), out)
-    return mixed.withColumn(out, unsigned(F.col(out)))
+def _codes(text: str, s: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(code of each s-mer, of its reverse complement, whether all its letters are bases) of a text, two bits a base."""
+    codes = CODES[np.frombuffer(text.encode("ascii", "replace"), np.uint8)]
+    n = len(codes) - s + 1
+    if n < 1:
+        return np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, bool)
+    bad = np.concatenate([[0], np.cumsum(codes > 3)])
+    two = np.where(codes > 3, 0, codes).astype(np.uint64)
+    ahead, back = np.zeros(n, np.uint64), np.zeros(n, np.uint64)
+    for i in range(s):
+        ahead = (ahead << np.uint64(2)) | two[i : i + n]
+        back |= (np.uint64(3) - two[i : i + n]) << np.uint64(2 * i)
+    return ahead, back, bad[s:] == bad[:-s]
+
+
+def _smer_hashes(text: str, s: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """(hash of the canonical form of each s-mer, whether it is plain) of a text; the same hash as ``with_mix64`` of the code."""
+    ahead, back, plain = _codes(text, s)
+    x = np.minimum(ahead, back) ^ np.uint64(seed)
+    for shift, times in ((30, MIX_1), (27, MIX_2)):
+        x = (x ^ (x >> np.uint64(shift))) * np.uint64(times)
+    return x ^ (x >> np.uint64(31)), plain
+
+
+def kmer_codes(rows: DataFrame, keys: list[str], text: str, k: int, canonical_form: bool = True) -> DataFrame:
+    """(*keys, pos, kmer): the k-mers of a text as two-bit codes (k at most 31), pos counting from 0, whatever the case of the letters.
+
+    Codes order like the texts. Texts come in blocks, and a block's codes are rolled as arrays; k-mers with a letter that
+    is no base are left out. ``decode`` gives the text back.
+    """
+    cut = text_blocks(rows, keys, text, 20_000, k - 1)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            starts = batch.column(len(keys)).to_numpy(zero_copy_only=False)
+            codes, places, sizes = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], []
+            for start, one in zip(starts, batch.column(len(keys) + 1).to_pylist()):
+                ahead, back, plain = _codes(one.upper(), k)
+                at = np.flatnonzero(plain)
+                codes.append((np.minimum(ahead, back) if canonical_form else ahead)[at])
+                places.append(at + start)
+                sizes.append(len(at))
+            owner = pa.array(np.repeat(np.arange(len(sizes)), sizes), pa.int64())
+            out = [pa.array(np.concatenate(places), pa.int64()), pa.array(np.concatenate(codes).view(np.int64))]
+            yield pa.RecordBatch.from_arrays([*(batch.column(i).take(owner) for i in range(len(keys))), *out], [*keys, "pos", "kmer"])
+
+    kinds = dict(cut.dtypes)
+    return cut.mapInArrow(run, ", ".join(f"{c} {kinds[c]}" for c in keys) + ", pos long, kmer long")
+
+
+CODES = np.full(256, 4, np.uint8)
+CODES[[ord(c) for c in BASES]] = range(4)
+
+
+def _window_hashes(text: str, k: int, s: int, seed: int):
+    """(pos, first, last, least) of the s-mer hashes of each k-mer whose letters are all bases."""
+    hashes, plain = _smer_hashes(text, s, seed)
+    w = k - s + 1
+    if len(hashes) < w:
+        return np.zeros(0, np.int64), *(np.zeros(0, np.uint64) for _ in range(3))
+    low, size = hashes, 1
+    while size * 2 <= w:
+        low, size = np.minimum(low[:-size], low[size:]), size * 2
+    low = np.minimum(low[: len(low) - (w - size)], low[w - size :]) if w > size else low
+    wrong = np.concatenate([[0], np.cumsum(~plain)])
+    pos = np.flatnonzero(wrong[w:] == wrong[:-w])
+    return pos, hashes[pos], hashes[pos + w - 1], low[pos]
 
 
 def with_window_hashes(rows: DataFrame, keys: list[str], text: str, k: int, s: int, seed: int = 0) -> DataFrame:
-    """(*keys, pos, first, last, low): for each k-mer of a text its first, last and least s-mer hash.
+    """(*keys, pos, first, last, low): for each k-mer of a text its first, last and least s-mer hash, ordered as unsigned.
 
-    Each s-mer is hashed once; a window of k - s + 1 positions gives the rest. K-mers with a letter that is
-    no base are left out.
+    Texts come in blocks, hashed as arrays in Arrow batches. K-mers with a letter that is no base are left out.
     """
-    parts = rows.select(*keys, F.posexplode(kmers(F.col(text), s)).alias("pos", "__s"))
-    hashed = with_smer_hash(parts, "__s", "first", seed)
-    order = W.partitionBy(*keys).orderBy("pos")
-    ahead = order.rowsBetween(0, k - s)
-    at = hashed.withColumn("low", F.min("first").over(ahead)).withColumn("__n", F.count("first").over(ahead)).withColumn("last", F.lead("first", k - s).over(order))
-    return at.where(F.col("__n") == k - s + 1).select(*keys, "pos", "first", "last", "low")
+    cut = text_blocks(rows, keys, text, 10_000, k - 1)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [_window_hashes(t, k, s, seed) for t in batch.column(len(keys) + 1).to_pylist()]
+            owner = pa.array(np.repeat(np.arange(len(found)), [len(f[0]) for f in found]), pa.int64())
+            start = batch.column(len(keys)).to_numpy(zero_copy_only=False)[owner.to_numpy()]
+            signed = [pa.array((np.concatenate([f[i] for f in found] or [np.zeros(0, np.uint64)]) ^ np.uint64(1 << 63)).view(np.int64)) for i in (1, 2, 3)]
+            pos = pa.array(np.concatenate([f[0] for f in found] or [np.zeros(0, np.int64)]) + start, pa.int64())
+            yield pa.RecordBatch.from_arrays([*(batch.column(i).take(owner) for i in range(len(keys))), pos, *signed], [*keys, "pos", "first", "last", "low"])
+
+    kinds = dict(cut.dtypes)
+    return cut.mapInArrow(run, ", ".join(f"{c} {kinds[c]}" for c in keys) + ", pos long, first long, last long, low long")
 
 
 def dust(kmer: Column) -> Column:
-    """Low-complexity score: pairs of equal triplets over (length - 3)."""
-    pairs = let(kmers(kmer, 3), lambda t: F.aggregate(
-        F.transform(F.array_distinct(t), lambda x: F.size(F.filter(t, lambda y: y == x))), F.lit(0), lambda a, c: a + (c * (c - 1) / 2).cast("int")))
+    """Low-complexity score: pairs of equal triplets over (length - 3); equal triplets are counted in sorted order."""
+    start = F.struct(F.lit("").alias("last"), F.lit(0).alias("run"), F.lit(0).alias("pairs"))
+    same = lambda a, x: F.struct(x.alias("last"), (a["run"] + 1).alias("run"), (a["pairs"] + a["run"] + 1).alias("pairs"))
+    other = lambda a, x: F.struct(x.alias("last"), F.lit(0).alias("run"), a["pairs"].alias("pairs"))
+    pairs = F.aggregate(F.array_sort(kmers(kmer, 3)), start, lambda a, x: F.when(x == a["last"], same(a, x)).otherwise(other(a, x)), lambda a: a["pairs"])
     return F.when(F.length(kmer) < 4, 0.0).otherwise(pairs / (F.length(kmer) - 3))
 
 
+def text_blocks(rows: DataFrame, keys: list[str], text: str, size: int = 10_000, overlap: int = 0) -> DataFrame:
+    """(*keys, start, text): a text in blocks of ``size`` letters, each going on for ``overlap`` into the next, so that no row of words grows with the text."""
+    n = F.length(text)
+    last = F.floor((F.greatest(n - overlap, F.lit(1)) - 1) / size)
+    spread = rows.where(n > 0).select(*keys, text, F.explode(F.sequence(F.lit(0).cast("long"), last)).alias("__b"))
+    at, to = (F.col("__b") * size).cast("int"), F.lit(size + overlap)
+    # plain texts are cut as bytes, without counting letters up to the start
+    cut = F.when(F.octet_length(text) == F.length(text), F.encode(F.col(text), "UTF-8").substr(at + 1, to).cast("string")).otherwise(F.col(text).substr(at + 1, to))
+    return spread.select(*keys, at.cast("long").alias("start"), cut.alias("text"))
+
+
 def least_rotation(unit: Column) -> Column:
     """The least of all rotations of a text and of its reverse complement."""
     turns = lambda u: F.transform(F.sequence(F.lit(1), F.length(u)), lambda i: F.concat(F.substring(u, i, F.length(u)), F.substring(u, F.lit(1), i - 1)))

@@ -1,21 +1,33 @@
-"""Read classification per locus: index classes, k-mer labels, independent sites, unknown runs, best segment, verdict.
+"""Read classification per locus: index classes, labels, best segment, flanks, independent sites, unknown runs, mates, verdict.
 
-An index is (locus, kmer, outside, mult, cls); fragments are exploded to (fragment keys, pos, kmer). A
-fragment meets only the loci whose screen it hits, so the label join grows with the hits.
+An index is (locus, kmer, mult, outside, cls, screen). K-mers are two-bit codes. The k-mers of a fragment meet it in one join; the hits of
+a fragment and a locus are gathered into one row, whose size is bounded by the fragment, and everything
+after that is a projection of that row: a text of labels, one letter per k-mer.
+
+Labels: P private, S shared, R repeated, D of a decoy (a stretch elsewhere that resembles the locus), N unknown,
+- not callable (a letter that is no base).
+
+Defined results: null texts and texts shorter than k have no row; fragments that meet no screen of a locus
+have no row for it; repeated fragments of one key count as one; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 from spangraph.functions import seq as S
+from spangraph.operators import intervals as I
+
+# Scores and thresholds of the classification.
+DECOY_SCORE, DECOY_SHARE, DENSITY, FULL = -2.0, 0.05, 0.05, 0.9
+GAP_SHARE, FLANK_SHARE, NEW_ALLELES, DEVIATIONS, SPARE_RUNS = 0.5, 0.25, 0.001, 3.1, 2.0
+DUST_LIMIT = 2.5
 
 
 def words(rows: DataFrame, keys: list[str], text: str, k: int) -> DataFrame:
-    """(*keys, pos, kmer): the canonical k-mers of a text, pos counting from 0; places with other letters are left out."""
-    return rows.select(*keys, F.posexplode(S.canonical_kmers(F.col(text), k)).alias("pos", "kmer")).where("kmer is not null")
+    """(*keys, pos, kmer): the canonical k-mers of a text as two-bit codes; places with other letters are left out."""
+    return S.kmer_codes(rows, keys, text, k)
 
 
 def syncmers(rows: DataFrame, keys: list[str], text: str, k: int, s: int) -> DataFrame:
@@ -24,96 +36,247 @@ def syncmers(rows: DataFrame, keys: list[str], text: str, k: int, s: int) -> Dat
     return at.where("first = low or last = low").select(*keys, "pos")
 
 
-def locus_index(counts: DataFrame, informative_max: int = 2) -> DataFrame:
-    """(locus, kmer, mult, outside, cls) from (locus, kmer, mult): private, shared or repeated by the count outside the locus.
+def locus_index(counts: DataFrame, k: int, informative_max: int = 2) -> DataFrame:
+    """(locus, kmer, mult, outside, cls) from (locus, kmer, mult), k-mers as codes: private, shared or repeated by the count outside the locus.
 
-    Private k-mers of low complexity are demoted to shared.
+    Private k-mers of low complexity are demoted to shared; only k-mers with nothing outside are looked at for that.
     """
     total = counts.groupBy("kmer").agg(F.sum("mult").alias("total"))
     out = counts.join(total, "kmer").withColumn("outside", F.col("total") - F.col("mult")).drop("total")
-    low = S.dust(F.col("kmer")) >= 2.5
-    cls = F.when((F.col("outside") == 0) & ~low, "P").when(F.col("outside") <= informative_max, "S").otherwise("R")
-    return out.withColumn("cls", cls)
+    private = F.when(F.col("outside") == 0, S.dust(S.decode(F.col("kmer"), k)) < DUST_LIMIT).otherwise(False)
+    return out.withColumn("cls", F.when(private, "P").when(F.col("outside") <= informative_max, "S").otherwise("R"))
+
+
+def with_screen(index: DataFrame, texts: DataFrame, keys: list[str], text: str, k: int, s: int) -> DataFrame:
+    """Adds ``screen``: whether the k-mer is a closed syncmer, found along the texts that the index was made of.
+
+    Both strands agree on a closed syncmer, so the k-mer alone tells.
+    """
+    marks = words(texts, keys, text, k).join(syncmers(texts, keys, text, k, s), [*keys, "pos"]).select("kmer", F.lit(True).alias("screen")).distinct()
+    return index.join(marks, "kmer", "left").withColumn("screen", F.coalesce("screen", F.lit(False)))
+
 
+def decoy_kmers(index: DataFrame, placed: DataFrame, gap: int = 1500, least: int = 20, pad: int = 50) -> DataFrame:
+    """(locus, kmer): k-mers of stretches of other loci that resemble the locus, which the locus itself does not hold.
 
-def labels(fragment_kmers: DataFrame, keys: list[str], screened: DataFrame, index: DataFrame) -> DataFrame:
-    """(*keys, locus, pos, cls): each k-mer of a fragment labelled for each locus whose screen the fragment hits; N where unknown."""
-    pairs = fragment_kmers.join(screened, keys)
-    known = pairs.join(index.select("locus", "kmer", "cls"), ["locus", "kmer"], "left")
-    return known.select(*keys, "locus", "pos", F.coalesce("cls", F.lit("N")).alias("cls"))
+    ``placed`` is (path_name, home, pos, kmer), the k-mers of the walks with the locus they belong to. A stretch is
+    a cluster of at least ``least`` hits on the locus's shared k-mers, at most ``gap`` apart. Repeated k-mers open no
+    stretch, so a k-mer meets few loci.
+    """
+    shared = index.where("cls = 'S'").select("locus", "kmer")
+    hits = placed.join(shared, "kmer").where("locus <> home").select("path_name", "locus", "pos", (F.col("pos") + 1).alias("end"))
+    linked = I.islands(hits, ["path_name", "locus"], "pos", "end", gap).groupBy("path_name", "locus", "island")
+    spans = linked.agg(F.min("pos").alias("lo"), F.max("end").alias("hi"), F.count(F.lit(1)).alias("n")).where(F.col("n") >= least)
+    windows = spans.select(F.col("path_name").alias("path_name"), "locus", (F.col("lo") - pad).alias("lo"), (F.col("hi") + pad).alias("hi"))
+    points = placed.select("path_name", F.col("pos").cast("long").alias("a"), (F.col("pos") + 1).cast("long").alias("b"), "kmer")
+    inside = I.overlap_join(points, windows, "path_name", ("a", "b"), ("lo", "hi"), 4096).select("locus", "kmer").distinct()
+    return inside.join(index.select("locus", "kmer"), ["locus", "kmer"], "left_anti")
 
 
-def independent(spots: Column, apart: int) -> Column:
-    """Greedy count of positions at least ``apart`` from the last one taken."""
-    start = F.struct(F.lit(0).alias("n"), F.lit(-1_000_000).alias("last"))
-    take = lambda a, p: F.when(p - a["last"] >= apart, F.struct((a["n"] + 1).alias("n"), p.alias("last"))).otherwise(a)
-    return F.aggregate(F.array_sort(spots), start, take, lambda a: a["n"])
+def with_decoys(index: DataFrame, decoys: DataFrame) -> DataFrame:
+    """The index with its decoy k-mers as rows of class D, which screen nothing."""
+    more = decoys.select("locus", "kmer", F.lit(0).cast("long").alias("mult"), F.lit(0).cast("long").alias("outside"), F.lit("D").alias("cls"), F.lit(False).alias("screen"))
+    return index.select(*more.columns).unionByName(more)
 
 
-def evidence(labelled: DataFrame, keys: list[str], k: int, gap_cost: int = 1) -> DataFrame:
-    """(*keys, locus, kmers, n_p, n_s, n_r, n_n, sites_p, runs_n, best): counts, sites, unknown runs and the best segment score.
+def labelled(fragments: DataFrame, keys: list[str], text: str, index: DataFrame, k: int) -> DataFrame:
+    """(*keys, locus, windows, labels, hits): one row per fragment and screened locus, with its text of labels.
 
-    A known k-mer scores 1; an unknown one costs nothing for the first k of its run, then ``gap_cost``.
+    ``hits`` holds (pos, cls, kmer) of the known k-mers, ``windows`` counts all places of the fragment.
     """
-    unit = [*keys, "locus"]
-    order = W.partitionBy(*unit).orderBy("pos")
-    unknown = F.col("cls") == "N"
-    marked = labelled.withColumn("new", F.coalesce((unknown & ((F.lag("cls").over(order) != "N") | (F.lag("pos").over(order) != F.col("pos") - 1))).cast("int"), unknown.cast("int")))
-    # within a run of unknown k-mers the positions are consecutive, so the start of the run gives the place in it
-    begun = F.last(F.when(F.col("new") == 1, F.col("pos")), ignorenulls=True).over(order.rowsBetween(W.unboundedPreceding, 0))
-    scored = marked.withColumn("score", F.when(~unknown, 1).when(F.col("pos") - begun < k, 0).otherwise(-gap_cost))
-    total = scored.withColumn("s", F.sum("score").over(order.rowsBetween(W.unboundedPreceding, 0)))
-    low = F.min("s").over(order.rowsBetween(W.unboundedPreceding, -1))
-    best = total.withColumn("best", F.col("s") - F.least(F.lit(0), F.coalesce(low, F.lit(0))))
-    n = lambda c: F.count_if(F.col("cls") == c).alias("n_" + c.lower())
-    spots = F.collect_list(F.when(F.col("cls") == "P", F.col("pos")))  # bounded by one fragment
-    return best.groupBy(*unit).agg(
-        F.count(F.lit(1)).alias("kmers"), n("P"), n("S"), n("R"), n("N"), spots.alias("__p"), F.sum("new").alias("runs_n"), F.max("best").alias("best")
-    ).withColumn("sites_p", independent(F.col("__p"), k)).drop("__p")
-
-
-def verdict(rows: DataFrame, least_sites: int = 2) -> DataFrame:
-    """Adds fate and reason, by the first rule that holds."""
-    fate = F.when((F.col("sites_p") >= least_sites) & (F.col("best") * 2 >= F.col("kmers")), "certain").when(F.col("n_p") + F.col("n_s") > 0, "ambiguous").otherwise("unrecruited")
-    reason = (
-        F.when(fate == "certain", "private_sites").when(F.col("runs_n") > 4, "divergent").when((F.col("n_p") > 0) & (F.col("sites_p") < least_sites), "single_site")
-        .when(F.col("n_p") > 0, "sparse").when(F.col("n_s") > 0, "shared_only").when(F.col("n_r") > 0, "repeat_only").otherwise("no_evidence")
+    one = fragments.where(F.length(text) >= k).groupBy(*keys).agg(F.min(text).alias("__t"))
+    rows = words(one, keys, "__t", k)
+    met = rows.join(index.select("locus", "kmer", "cls", "screen"), "kmer").groupBy(*keys, "locus")
+    hits = met.agg(F.bool_or("screen").alias("screen"), F.sort_array(F.collect_list(F.struct(F.col("pos").cast("int").alias("pos"), "cls", "kmer"))).alias("hits")).where("screen")
+    odd = F.array_join(F.transform(S.canonical_kmers(F.col("__t"), k), lambda x: F.when(x.isNull(), "-").otherwise("N")), "")
+    mask = F.when(S.is_plain(F.upper("__t")), F.repeat(F.lit("N"), F.length("__t") - (k - 1))).otherwise(odd)
+    info = one.select(*keys, mask.alias("mask"), (F.length("__t") - (k - 1)).cast("long").alias("windows"))
+    both = hits.join(info, keys)
+    end = lambda i: F.when(i > 0, F.get("hits", i - 1)["pos"] + 1).otherwise(0)
+    parts = F.transform("hits", lambda h, i: F.concat(F.col("mask").substr(end(i) + 1, h["pos"] - end(i)), h["cls"]))
+    tail = F.col("mask").substr(F.element_at("hits", -1)["pos"] + 2, F.length("mask"))
+    return both.select(*keys, "locus", "windows", F.concat(F.array_join(parts, ""), tail).alias("labels"), "hits")
+
+
+def costs(error: Column | float, k: int = 31) -> tuple[Column, Column]:
+    """(gap cost, flank share) of a read's error rate."""
+    q = F.pow(F.greatest(F.lit(0.0), 1 - _column(error) - NEW_ALLELES), F.lit(k))
+    return F.when(q >= 1, 1e9).otherwise(GAP_SHARE * q / (1 - q)), FLANK_SHARE * q
+
+
+def tolerated_runs(error: Column | float, callable_bases: Column) -> Column:
+    """How many unknown runs a read of this error rate may have."""
+    rate = (_column(error) + NEW_ALLELES) * callable_bases
+    return rate + DEVIATIONS * F.sqrt(rate) + SPARE_RUNS
+
+
+def _column(x: Column | float) -> Column:
+    return x if isinstance(x, Column) else F.lit(float(x))
+
+
+def segment(labels: Column, k: int, gap_cost: Column | float) -> Column:
+    """struct(score, first, last, at, to) of the best stretch of a text of labels.
+
+    P, S and R score 1, D -2; the first k of a run of N nothing, the others the gap cost. Of equal scores the longest,
+    then the first. ``first`` and ``last`` count callable k-mers, ``at`` and ``to`` places in the text; ``last`` is
+    less than ``first`` where nothing scores. Runs of like labels are folded, not single ones.
+    """
+    gap = _column(gap_cost)
+    state = {"cur": 0.0, "first": 0, "at": 0, "score": 0.0, "bfirst": 1, "blast": 0, "bat": 1, "bto": 0, "i": 0, "j": 0}
+    start = F.struct(*[F.lit(v).alias(n) for n, v in state.items()])
+
+    def take(a: Column, run: Column) -> Column:
+        n, c = F.length(run), run.substr(1, 1)
+        known, skip = c.isin("P", "S", "R"), c == "-"
+        fresh = a["cur"] <= 0
+        first, at, cur = F.when(fresh, a["i"]).otherwise(a["first"]), F.when(fresh, a["j"]).otherwise(a["at"]), F.greatest(a["cur"], F.lit(0.0))
+        lost = F.when(c == "D", -DECOY_SCORE * n).otherwise(gap * F.greatest(n - k, F.lit(0)))
+        reach = F.when(known, n).otherwise(F.least(n, F.lit(k)))  # as far as the score has not begun to fall
+        top = F.when(known, cur + n).otherwise(cur)
+        longer = a["i"] + reach - 1 - first > a["blast"] - a["bfirst"]
+        better = (c != "D") & (top > 0) & ((top > a["score"]) | ((top == a["score"]) & longer))
+        new = {
+            "cur": F.when(known, top).otherwise(F.greatest(cur - lost, F.lit(0.0))), "first": first, "at": at, "score": F.when(better, top).otherwise(a["score"]),
+            "bfirst": F.when(better, first).otherwise(a["bfirst"]), "blast": F.when(better, a["i"] + reach - 1).otherwise(a["blast"]),
+            "bat": F.when(better, at).otherwise(a["bat"]), "bto": F.when(better, a["j"] + reach - 1).otherwise(a["bto"]), "i": a["i"] + n, "j": a["j"] + n,
+        }
+        past = {name: a[name] if name != "j" else a["j"] + n for name in state}
+        pack = lambda d: F.struct(*[d[name].alias(name) for name in state])
+        return F.when(skip, pack(past)).otherwise(pack(new))
+
+    done = lambda a: F.struct(a["score"].alias("score"), a["bfirst"].alias("first"), a["blast"].alias("last"), a["bat"].alias("at"), a["bto"].alias("to"))
+    return F.aggregate(F.regexp_extract_all(labels, F.lit("[PSR]+|D+|N+|-+"), F.lit(0)), start, take, done)
+
+
+def sites(labels: Column, letter: str, k: int) -> Column:
+    """Greedy count of the places of a label that lie at least k from the last one taken; runs are folded whole."""
+    start = F.struct(F.lit(0).alias("n"), F.lit(-k).alias("last"), F.lit(0).alias("at"))
+
+    def take(a: Column, run: Column) -> Column:
+        n = F.length(run)
+        begin = F.greatest(a["at"], a["last"] + k)
+        more = F.when(run.startswith(letter) & (begin < a["at"] + n), F.floor((a["at"] + n - 1 - begin) / k).cast("int") + 1).otherwise(0)
+        last = F.when(more > 0, begin + (more - 1) * k).otherwise(a["last"])
+        return F.struct((a["n"] + more).alias("n"), last.alias("last"), (a["at"] + n).alias("at"))
+
+    return F.aggregate(F.regexp_extract_all(labels, F.lit(f"{letter}+|[^{letter}]+"), F.lit(0)), start, take, lambda a: a["n"])
+
+
+def count_of(labels: Column, letters: str) -> Column:
+    """How many of the letters a text of labels holds."""
+    return F.length(F.regexp_replace(labels, f"[^{letters}]", ""))
+
+
+def evidence(rows: DataFrame, k: int, error: Column | float = 0.01) -> DataFrame:
+    """Adds to the rows of ``labelled`` the counts, the segment, whether it ends at flanks, sites and unknown runs in it, and its status.
+
+    A segment of fewer than k k-mers is none. The segment alone is judged where little of the locus lies beyond its
+    ends, below the flank share, and decoys beyond one end at most; otherwise the whole fragment is.
+    """
+    gap, flank = costs(error, k)
+    text = F.col("labels")
+    at = rows.withColumn("__s", segment(text, k, gap)).withColumn("__some", F.col("__s.last") - F.col("__s.first") + 1 >= k)
+    left, right = text.substr(F.lit(1), F.col("__s.at")), text.substr(F.col("__s.to") + 2, F.length(text))
+    share = lambda x: F.coalesce(F.try_divide(count_of(x, "PSR").cast("double"), count_of(x, "PSRDN").cast("double")), F.lit(0.0))
+    both_decoys = left.contains("D") & right.contains("D")
+    ends = at.withColumn("boundary", F.col("__some") & (share(left) < flank) & (share(right) < flank) & ~both_decoys)
+    own = F.when(~F.col("__some"), "").when(F.col("boundary"), text.substr(F.col("__s.at") + 1, F.col("__s.to") - F.col("__s.at") + 1)).otherwise(text)
+    # places outside the segment are kept as gaps, so that distances across it stay
+    rest = F.when(~F.col("__some"), text).when(F.col("boundary"), F.concat(left, F.repeat(F.lit("N"), F.length(own)), right)).otherwise("")
+    out = ends.withColumn("__own", own).withColumn("__rest", rest)
+    n = lambda c: count_of(text, c).cast("long").alias("n_" + c.lower())
+    out = out.select(
+        *[c for c in rows.columns if c not in ("labels", "hits")], count_of(text, "PSRDN").cast("long").alias("kmers"), n("P"), n("S"), n("R"), n("D"), n("N"),
+        F.when(F.col("__some"), F.col("__s.at")).alias("seg_from"), F.when(F.col("__some"), F.col("__s.to") + k).alias("seg_to"), "boundary",
+        count_of(F.col("__own"), "PSRDN").cast("long").alias("seg_kmers"), sites(F.col("__own"), "P", k).alias("sites_p"),
+        (sites(F.col("__own"), "D", k) + F.when(F.col("boundary"), 0).otherwise(sites(F.col("__rest"), "D", k))).alias("sites_d"),
+        F.when(F.col("boundary"), sites(F.col("__rest"), "D", k)).otherwise(0).alias("decoy_out"),
+        F.size(F.regexp_extract_all("__own", F.lit("N+"), F.lit(0))).alias("runs_n"),
     )
-    return rows.withColumn("fate", fate).withColumn("reason", reason)
+    status = F.when(F.col("seg_kmers") == 0, "out").when(F.col("seg_kmers") >= F.col("kmers") * FULL, "in").otherwise("part")
+    return out.withColumn("status", status)
 
 
-def costs(error: Column) -> tuple[Column, Column]:
-    """(gap cost, flank share) of a read's error rate, with 31-mers."""
-    q = F.pow(1 - error - 0.001, F.lit(31))
-    return 0.5 * q / (1 - q), 0.25 * q
+def certain(least_sites: int, k: int, error: Column | float = 0.01, prefix: str = "") -> Column:
+    """Whether the evidence of a row makes it certain: enough private sites, few decoys, dense enough, callable and not too divergent."""
+    c = lambda name: F.col(prefix + name)
+    return (
+        (c("seg_kmers") > 0) & (c("kmers") * 2 >= c("windows")) & (c("runs_n") <= tolerated_runs(error, c("seg_kmers"))) & (c("sites_p") >= least_sites)
+        & (c("sites_d") <= DECOY_SHARE * c("sites_p")) & (c("sites_p") >= DENSITY * c("seg_kmers") / k)
+    )
 
 
-def tolerated_runs(error: Column, callable_bases: Column) -> Column:
-    """How many unknown runs a read of this error rate may have."""
-    rate = (error + 0.001) * callable_bases
-    return rate + 3.1 * F.sqrt(rate) + 2
+def verdict(rows: DataFrame, k: int, least_sites: int = 2, error: Column | float = 0.01, sure: Column | None = None) -> DataFrame:
+    """Adds fate and reason, by the first rule that holds; ``sure`` replaces the rule of a single fragment."""
+    sure = certain(least_sites, k, error) if sure is None else sure
+    decoys = F.col("sites_d") + F.col("decoy_out")
+    some = F.col("sites_p") >= 1
+    reason = (
+        F.when(sure, F.when(F.col("status") == "part", "partial").otherwise("."))
+        .when((F.col("sites_p") == 0) & (decoys >= 2), "homolog").when(some & (decoys >= 1), "conflict").when(some & (F.col("kmers") * 2 < F.col("windows")), "uncallable")
+        .when(some & (F.col("runs_n") > tolerated_runs(error, F.col("seg_kmers"))), "divergent").when(F.col("sites_p") >= least_sites, "sparse")
+        .when(some, "single_site").when(F.col("n_s") >= 1, "shared_only").otherwise("no_evidence")
+    )
+    fate = F.when(sure, "certain").when(F.col("reason").isin("homolog", "no_evidence"), "unrecruited").otherwise("ambiguous")
+    return rows.withColumn("reason", reason).withColumn("fate", fate)
 
 
-def with_errors(text: Column, seed: Column, error: float, indel_share: float) -> Column:
-    """The text with read errors: each base is changed, lost or doubled where a digest of ``seed`` and its place says so.
+def pooled(rows: DataFrame, pair: list[str], mate: str, k: int, least_sites: int = 2, error: Column | float = 0.01) -> DataFrame:
+    """(*pair, locus, mates, pooled evidence, fate, reason): the two mates of a pair judged together.
 
-    The result depends on nothing but the arguments, so a lost task gives the same reads again.
+    ``rows`` is the evidence of single mates, ``mate`` 1 or 2. Counts add up; a mate without a row for the locus is
+    out. The pair is certain by its pooled evidence where a mate lies wholly in the locus, or by one mate alone
+    unless the other leans to a homolog away from an edge of the locus. Independent sites of the two mates are
+    added: mates are taken not to overlap.
+    """
+    sums = ["kmers", "windows", "n_p", "n_s", "n_r", "n_d", "n_n", "seg_kmers", "sites_p", "sites_d", "decoy_out", "runs_n"]
+    side = lambda m: F.max(F.when(F.col(mate) == m, F.struct("status", F.lit(True).alias("known"), *sums)))
+    both = rows.groupBy(*pair, "locus").agg(side(1).alias("a"), side(2).alias("b"), *[F.sum(c).alias(c) for c in sums])
+    for m in "ab":
+        both = both.select("*", F.coalesce(f"{m}.status", F.lit("out")).alias(f"{m}_status"), *[F.coalesce(f"{m}.{c}", F.lit(0)).alias(f"{m}_{c}") for c in sums])
+    carries = lambda x, y: certain(least_sites, k, error, f"{x}_") & ((F.col(f"{y}_sites_d") + F.col(f"{y}_decoy_out") <= F.col(f"{y}_sites_p")) | (F.col(f"{x}_status") == "part"))
+    whole = certain(least_sites, k, error) & ((F.col("a_status") == "in") | (F.col("b_status") == "in"))
+    out = both.withColumn("__whole", whole).withColumn("__sure", whole | carries("a", "b") | carries("b", "a"))
+    out = out.withColumn("status", F.when(F.col("a_status").isin("part") | F.col("b_status").isin("part"), "part").otherwise("in"))
+    judged = verdict(out, k, least_sites, error, F.col("__sure"))
+    away = ~F.col("__whole") | (F.col("a_status") == "out") | (F.col("b_status") == "out")
+    reason = F.when(F.col("__sure") & away, "rescued").otherwise(F.col("reason"))
+    return judged.select(*pair, "locus", F.concat_ws(",", "a_status", "b_status").alias("mates"), *sums, "fate", reason.alias("reason"))
+
+
+def ceilings(placed: DataFrame, index: DataFrame, lengths: DataFrame, k: int, length: int = 150, step: int = 25) -> DataFrame:
+    """(locus, path_name, windows, private_3, sites_2): the share of a walk's windows that hold at least three private k-mers, and at least two sites.
+
+    ``placed`` is (path_name, home, pos, kmer), ``lengths`` (path_name, home, n_bases). Windows of ``length`` bases start
+    every ``step``; a private k-mer is spread to the windows that hold it, so a window's row is bounded by its length. The
+    sites of a window are those of its runs of consecutive private k-mers, one for every k or part of k.
     """
-    draw = lambda i: F.conv(F.substring(F.md5(F.concat(seed, F.lit("|"), i.cast("string"))), 1, 8), 16, 10).cast("bigint")
-    changed, lost, doubled = (int(error * share * 2**32) for share in (1 - indel_share, 1 - indel_share / 2, 1))
-    drawn = F.transform(F.sequence(F.lit(1), F.length(text)), lambda i: F.struct(F.substring(text, i, F.lit(1)).alias("b"), draw(i).alias("u")))
-    base = lambda x: F.when(x["u"] < changed, F.translate(x["b"], "ACGT", "CGTA")).when(x["u"] < lost, "").when(x["u"] < doubled, F.concat(x["b"], x["b"])).otherwise(x["b"])
-    return F.when(F.length(text) > 0, F.array_join(F.transform(drawn, base), "")).otherwise(text)
+    private = index.where("cls = 'P'").select(F.col("locus").alias("home"), "kmer")
+    hits = placed.join(private, ["home", "kmer"]).select("home", "path_name", "pos")
+    first = F.greatest(F.ceil((F.col("pos") - (length - k)) / step), F.lit(0))
+    spread = hits.withColumn("w", F.explode(F.sequence(first, F.floor(F.col("pos") / step))))
+    fits = spread.join(lengths, ["path_name", "home"]).where(F.col("w") * step + length <= F.col("n_bases"))
+    held = fits.groupBy("home", "path_name", "w").agg(F.sort_array(F.collect_list("pos")).alias("p"))
+    start = F.struct(F.lit(0).alias("n"), F.lit(-2).alias("last"), F.lit(0).alias("run"))
+    # a run's site begins with its first k-mer and again after every k more
+    grown = lambda a, x: F.when(x == a["last"] + 1, a["run"] + 1).otherwise(0)
+    take = lambda a, x: F.struct((a["n"] + F.when(grown(a, x) % k == 0, 1).otherwise(0)).alias("n"), x.cast("int").alias("last"), grown(a, x).alias("run"))
+    counted = held.select("home", "path_name", (F.size("p") >= 3).alias("three"), (F.aggregate("p", start, take, lambda a: a["n"]) >= 2).alias("two"))
+    per = counted.groupBy("home", "path_name").agg(F.count_if("three").alias("three"), F.count_if("two").alias("two"))
+    windows = F.floor((F.col("n_bases") - length) / step) + 1
+    out = lengths.where(F.col("n_bases") >= length).join(per, ["home", "path_name"], "left").withColumn("windows", windows)
+    share = lambda c: F.coalesce(F.col(c), F.lit(0)) / F.col("windows")
+    return out.select(F.col("home").alias("locus"), "path_name", "windows", share("three").alias("private_3"), share("two").alias("sites_2"))
 
 
 def false_certain(rows: DataFrame, lowest: int = 2, highest: int = 8) -> DataFrame:
-    """(cut, false_certain, screened) from (sites_p, best, kmers, own): how many fragments of elsewhere a cut would call certain.
+    """(cut, false_certain, screened) from (sites_p, fit, own): how many fragments of elsewhere a cut would call certain.
 
-    ``own`` tells whether the fragment comes from the locus; only the others count.
+    ``own`` tells whether the fragment comes from the locus, only the others count; ``fit`` whether all rules of
+    certainty but the number of sites hold.
     """
     cuts = rows.where("not own").withColumn("cut", F.explode(F.sequence(F.lit(lowest), F.lit(highest))))
-    wrong = (F.col("sites_p") >= F.col("cut")) & (F.col("best") * 2 >= F.col("kmers"))
-    return cuts.groupBy("cut").agg(F.count_if(wrong).alias("false_certain"), F.count(F.lit(1)).alias("screened"))
+    return cuts.groupBy("cut").agg(F.count_if(F.col("fit") & (F.col("sites_p") >= F.col("cut"))).alias("false_certain"), F.count(F.lit(1)).alias("screened"))
 
 
 def calibrated_cut(counted: DataFrame, rate: float, lowest: int = 2, highest: int = 8) -> DataFrame:

@@ -43,6 +43,13 @@ def explode_steps(paths: DataFrame, *carry: str) -> DataFrame:
     )
 
 
+def explode_pairs(paths: DataFrame, *carry: str) -> DataFrame:
+    """(path_name, *carry, idx, step, nxt): each step with the one after it, paired inside the walk's row, so nothing is shuffled."""
+    arrays = step_arrays(paths)
+    both = F.zip_with("steps", F.slice("steps", 2, F.greatest(F.size("steps"), F.lit(1))), lambda a, b: F.struct(a.alias("step"), b.alias("nxt")))
+    return arrays.select("path_name", *carry, F.posexplode(both).alias("idx", "p")).where("p.nxt is not null").select("path_name", *carry, "idx", "p.step", "p.nxt")
+
+
 def distinct_nodes(nodes: DataFrame) -> DataFrame:
     """(node_id, sequence, bp) per node; a missing sequence is null, a missing length is that of the sequence."""
     known = F.when(F.col("sequence") != "*", F.col("sequence"))
@@ -57,20 +64,37 @@ def flip(step: Column) -> Column:
     return F.concat(F.when(step.startswith(">"), "<").otherwise(">"), step.substr(F.lit(2), F.length(step)))
 
 
+def running_sums(rows: DataFrame, keys: list[str], order: str, value: str, out: str, block: int = 65_536) -> DataFrame:
+    """Adds ``out``, the sum of ``value`` up to and with each row along ``order``.
+
+    Sums are taken in two levels, inside blocks of ``block`` places and over the blocks' totals, so that one
+    long sequence of rows is spread over many tasks.
+    """
+    laid = rows.withColumn("__b", F.floor(F.col(order) / block))
+    totals = laid.groupBy(*keys, "__b").agg(F.sum(value).alias("__t"))
+    earlier = W.partitionBy(*keys).orderBy("__b").rowsBetween(W.unboundedPreceding, -1)
+    before = totals.select(*keys, "__b", F.coalesce(F.sum("__t").over(earlier), F.lit(0)).alias("__before"))
+    inside = W.partitionBy(*keys, "__b").orderBy(order).rowsBetween(W.unboundedPreceding, 0)
+    summed = laid.withColumn("__s", F.sum(value).over(inside))
+    return summed.join(before, [*keys, "__b"]).withColumn(out, F.col("__s") + F.col("__before")).drop("__b", "__s", "__before")
+
+
 def coordinates(steps: DataFrame, nodes: DataFrame) -> DataFrame:
     """Adds start_bp and end_bp of each step along its path."""
-    along = W.partitionBy("path_name").orderBy("idx").rowsBetween(W.unboundedPreceding, 0)
     sized = steps.join(nodes.select("node_id", "bp"), "node_id", "left").withColumn("bp", F.coalesce("bp", F.lit(0)))
-    out = sized.withColumn("end_bp", F.sum("bp").over(along))
+    out = running_sums(sized, ["path_name"], "idx", "bp", "end_bp")
     return out.withColumn("start_bp", F.col("end_bp") - F.col("bp")).drop("bp")
 
 
 def edges(steps: DataFrame) -> DataFrame:
-    """(path_name, idx, edge): each pair of neighbouring steps, read in the lesser of its two directions."""
-    following = F.lead("step").over(W.partitionBy("path_name").orderBy("idx"))
-    pairs = steps.withColumn("__next", following).where("__next is not null")
-    edge = F.least(F.concat("step", "__next"), F.concat(flip(F.col("__next")), flip(F.col("step"))))
-    return pairs.select("path_name", "idx", edge.alias("edge"))
+    """(path_name, idx, edge): each pair of neighbouring steps, read in the lesser of its two directions.
+
+    Takes the pairs of ``explode_pairs``, or steps, whose neighbours are then found by a window.
+    """
+    if "nxt" not in steps.columns:
+        steps = steps.withColumn("nxt", F.lead("step").over(W.partitionBy("path_name").orderBy("idx"))).where("nxt is not null")
+    edge = F.least(F.concat("step", "nxt"), F.concat(flip(F.col("nxt")), flip(F.col("step"))))
+    return steps.select("path_name", "idx", edge.alias("edge"))
 
 
 def dosage(rows: DataFrame, feature: str, column: str = "path_name") -> DataFrame:
@@ -139,13 +163,66 @@ def tandem_runs(steps: DataFrame) -> DataFrame:
 
 
 def spelled(steps: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(path_name, sequence): node sequences in walk order, reversed steps as reverse complements; a missing sequence is N of its length."""
+    """(path_name, sequence): node sequences in walk order, reversed steps as reverse complements; a missing sequence is N of its length.
+
+    A whole walk in one row, for short walks; ``spelled_blocks`` is the form for any length.
+    """
     base = F.coalesce(F.col("sequence"), F.expr("repeat('N', cast(bp as int))"), F.lit(""))
     parts = steps.join(nodes, "node_id", "left").withColumn("part", F.when(F.col("reverse"), reverse_complement(base)).otherwise(base))
     ordered = F.array_sort(F.collect_list(F.struct("idx", "part")))
     return parts.groupBy("path_name").agg(F.array_join(F.transform(ordered, lambda p: p["part"]), "").alias("sequence"))
 
 
+def _cut(text: Column, start: Column, n: Column) -> Column:
+    """``n`` letters of a text from ``start`` (from 0); plain texts are cut as bytes, without counting letters up to the start."""
+    plain = F.octet_length(text) == F.length(text)
+    return F.when(plain, F.encode(text, "UTF-8").substr((start + 1).cast("int"), n.cast("int")).cast("string")).otherwise(text.substr((start + 1).cast("int"), n.cast("int")))
+
+
+def spelled_blocks(steps: DataFrame, nodes: DataFrame, size: int = 10_000, overlap: int = 0) -> DataFrame:
+    """(path_name, block, start_bp, text): the bases of each walk in blocks of ``size``, each going on for ``overlap`` bases into the next.
+
+    Blocks are put together straight from the pieces of the steps that they touch, so no row holds a walk,
+    however long. A missing sequence is N of its length.
+    """
+    at = coordinates(steps, nodes).where("end_bp > start_bp").join(nodes.select("node_id", "sequence"), "node_id", "left")
+    first = F.greatest(F.floor((F.col("start_bp") - overlap) / size), F.lit(0))
+    spread = at.withColumn("block", F.explode(F.sequence(first, F.floor((F.col("end_bp") - 1) / size))))
+    lo = F.greatest(F.col("start_bp"), F.col("block") * size)
+    hi = F.least(F.col("end_bp"), (F.col("block") + 1) * size + overlap)
+    seq, n = F.col("sequence"), hi - lo
+    forward = _cut(seq, lo - F.col("start_bp"), n)
+    backward = reverse_complement(_cut(seq, F.col("end_bp") - hi, n))
+    piece = F.when(seq.isNull(), F.expr("repeat('N', cast(n as int))")).when(F.col("reverse"), backward).otherwise(forward)
+    pieces = spread.withColumn("n", n).where("n > 0").select("path_name", "block", F.struct("idx", piece.alias("t")).alias("p"))
+    ordered = F.array_sort(F.collect_list("p"))
+    text = F.array_join(F.transform(ordered, lambda p: p["t"]), "")
+    return pieces.groupBy("path_name", "block").agg(text.alias("text")).select("path_name", "block", (F.col("block") * size).alias("start_bp"), "text")
+
+
+def border_texts(paths: DataFrame, nodes: DataFrame, k: int) -> DataFrame:
+    """(stretch, times, text): per distinct stretch of a step and the k - 1 next ones, how often it is walked and the bases around the step's end.
+
+    The text holds the last k - 1 bases of the step and the first k - 1 of what follows, so its k-mers are those that
+    begin in the step and end beyond it.
+    """
+    arrays = step_arrays(paths)
+    ahead = F.transform(F.sequence(F.lit(1), F.size("steps") - 1), lambda i: F.array_join(F.slice("steps", i, k), ""))
+    met = arrays.where(F.size("steps") > 1).select(F.explode(ahead).alias("stretch")).groupBy("stretch").agg(F.count(F.lit(1)).alias("times"))
+    each = met.select("stretch", "times", F.posexplode(F.regexp_extract_all("stretch", F.lit("[<>][^<>]+"), F.lit(0))).alias("i", "step"))
+    known = each.withColumn("node_id", F.expr("substring(step, 2)")).join(nodes, "node_id", "left")
+    # only the ends of a node are looked at; its letters are cut before they are turned
+    base, short = F.col("sequence"), F.expr(f"repeat('N', cast(least(bp, {k - 1}) as int))")
+    head, tail = F.left(base, F.lit(k - 1)), F.right(base, F.lit(k - 1))
+    first = F.when(F.col("step").startswith("<"), reverse_complement(head)).otherwise(tail)
+    after = F.when(F.col("step").startswith("<"), reverse_complement(tail)).otherwise(head)
+    piece = F.coalesce(F.when(F.col("i") == 0, first).otherwise(after), short, F.lit(""))
+    ordered = F.array_sort(F.collect_list(F.struct("i", piece.alias("t"))))
+    texts = known.groupBy("stretch", "times").agg(F.transform(ordered, lambda p: p["t"]).alias("t"))
+    rest = F.left(F.array_join(F.slice("t", 2, k), ""), F.lit(k - 1))
+    return texts.select("stretch", "times", F.concat(F.get("t", F.lit(0)), rest).alias("text"))
+
+
 def backbone(steps: DataFrame) -> DataFrame:
     """(graph_name, node_id, n_paths): nodes that every path of a graph walks exactly once; ``steps`` carries graph_name."""
     per_path = steps.groupBy("graph_name", "node_id", "path_name").agg(F.count(F.lit(1)).alias("n"))

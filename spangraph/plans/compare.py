@@ -6,12 +6,13 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from spangraph.functions import seq as S
 from spangraph.operators import intervals as I
 from spangraph.operators import walks as K
 from spangraph.plans.calls import REC, carriers, records
 from spangraph.plans.heavy_keys import COUNTED, counted_hits
-from spangraph.plans.sequences import _words, node_kmers
-from spangraph.plans.walks import SITES, STEPS, nodes, paths, read_crossings, sites, steps
+from spangraph.plans.sequences import node_kmers
+from spangraph.plans.walks import SITES, SPELLED, STEPS, nodes, paths, read_crossings, sites, steps
 from spangraph.tables import load
 
 
@@ -92,10 +93,19 @@ def site_disjoint(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def walked_kmers(spark: SparkSession, folder: str) -> DataFrame:
-    """21-mers inside nodes, each counted as often as the walks visit its node, without spelling a walk."""
+    """21-mers of the walks, each counted as often as it is walked, without spelling a walk.
+
+    Those inside a node count as often as the node is visited. Those that begin in a step and end beyond it depend
+    on the step and the next twenty alone, so they are made once for each distinct stretch of steps.
+    """
+    k = 21
     visits = steps(spark, folder).groupBy("node_id").agg(F.count(F.lit(1)).alias("visits"))
-    per = node_kmers(spark, folder, 21).groupBy("node_id", "kmer").agg(F.count(F.lit(1)).alias("n"))
-    return per.join(visits, "node_id").groupBy("kmer").agg(F.sum(F.col("n") * F.col("visits")).alias("n"))
+    per = node_kmers(spark, folder, k).groupBy("node_id", "kmer").agg(F.count(F.lit(1)).alias("n"))
+    inside = per.join(visits, "node_id").groupBy("kmer").agg(F.sum(F.col("n") * F.col("visits")).alias("n"))
+    over = K.border_texts(paths(spark, folder), nodes(spark, folder), k)
+    crossing = S.kmer_codes(over, ["stretch", "times"], "text", k).groupBy("kmer").agg(F.sum("times").alias("n"))
+    both = inside.unionByName(crossing).groupBy("kmer").agg(F.sum("n").alias("n"))
+    return both.withColumn("kmer", S.decode(F.col("kmer"), k))
 
 
 def run_summary(spark: SparkSession, folder: str) -> DataFrame:
@@ -128,7 +138,8 @@ SELECT *, round(tp / (tp + fp), 6) AS precision, round(tp / (tp + fn), 6) AS rec
     "site_merged": _SPANS
     + """ SELECT path_name, min(lo) AS lo, max(hi) AS hi, count(*) AS n FROM (SELECT *, sum(coalesce((lo > prev + 10)::INT, 0)) OVER (PARTITION BY path_name ORDER BY lo, hi ROWS UNBOUNDED PRECEDING) AS g FROM (
   SELECT *, max(hi) OVER (PARTITION BY path_name ORDER BY lo, hi ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS prev FROM sp WHERE hi > lo)) GROUP BY path_name, g""",
-    "walked_kmers": f"WITH {STEPS}, {_words(21)}, v AS (SELECT node_id, count(*) AS visits FROM steps GROUP BY node_id) SELECT kmer, sum(visits)::BIGINT AS n FROM plain JOIN v USING (node_id) GROUP BY kmer",
+    "walked_kmers": f"""WITH {STEPS}, {SPELLED}, w AS (SELECT substring(s, i, 21) AS word FROM (SELECT upper(sequence) AS s, unnest(generate_series(1, length(sequence) - 20)) AS i FROM spelled))
+SELECT least(word, reverse(translate(word, 'ACGT', 'TGCA'))) AS kmer, count(*) AS n FROM w WHERE regexp_full_match(word, '[ACGT]+') GROUP BY 1""",
     "run_summary": """SELECT unnest(['event_rows', 'variants', 'event_bp', 'without_carriers']) AS key, unnest([a, b, c, d]) AS value FROM (
   SELECT count(*) AS a, count(DISTINCT variant_id) AS b, sum(event_bp)::BIGINT AS c, count_if(haplotypes IS NULL)::BIGINT AS d FROM carrier_events)""",
     "hap_presence": f"WITH {STEPS} SELECT node_id, min(sample_name) AS sample_name, count(DISTINCT path_name) AS n_paths FROM steps GROUP BY node_id HAVING count(DISTINCT sample_name) = 1",

@@ -5,12 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from spangraph.functions import seq as S
 from spangraph.operators import assoc as A
 from spangraph.operators import rebuild as R
 from spangraph.operators import walks as K
 from spangraph.plans.assoc import FULL, _linear, doses, phenotypes
 from spangraph.plans.calls import REC, carriers, records
-from spangraph.plans.walks import SPELLED, STEPS, nodes, paths, read_crossings, steps
+from spangraph.plans.walks import SPELLED, STEPS, blocks, nodes, paths, read_crossings, steps
 
 WORD, GAP = 11, 2000
 
@@ -56,10 +57,8 @@ def anchor_chains(spark: SparkSession, folder: str) -> DataFrame:
 
 def tandem_approximate(spark: SparkSession, folder: str) -> DataFrame:
     """The most usual repeat period of each spelled walk, from the distances between equal words."""
-    texts = K.spelled(steps(spark, folder), nodes(spark, folder)).select("path_name", F.upper("sequence").alias("s"))
-    cut = F.regexp_extract_all("s", F.lit(f"(?s)(?=(.{{1,{WORD}}}))."), F.lit(1))
-    words = texts.repartition(spark.sparkContext.defaultParallelism, "path_name").select("path_name", F.posexplode(cut).alias("pos", "word"))
-    return R.tandem_periods(words.where(F.col("word").rlike(f"\\A[ACGT]{{{WORD}}}\\z")), "path_name")
+    words = S.kmer_codes(blocks(spark, folder, overlap=WORD - 1), ["path_name", "start_bp"], "text", WORD, canonical_form=False)
+    return R.tandem_periods(words.select("path_name", (F.col("start_bp") + F.col("pos")).alias("pos"), F.col("kmer").alias("word")), "path_name")
 
 
 def lead_conditioned(spark: SparkSession, folder: str) -> DataFrame:
@@ -113,7 +112,7 @@ SELECT haplotype, reference, n_applied, n_skipped, length(made)::INT AS bp, md5(
 wd AS (SELECT path_name, i - 1 AS pos, substring(s, i, {WORD}) AS word FROM (SELECT path_name, upper(sequence) AS s, unnest(generate_series(1, length(sequence) - {WORD - 1})) AS i FROM spelled)),
 lg AS (SELECT path_name, pos, lead(pos) OVER (PARTITION BY path_name, word ORDER BY pos) - pos AS period FROM wd WHERE regexp_full_match(word, '[ACGT]+')),
 pr AS (SELECT path_name, period, count(*) AS n_seeds, min(pos) AS first_pos, max(pos) AS last_pos FROM lg WHERE period IS NOT NULL GROUP BY ALL HAVING count(*) >= 3)
-SELECT path_name, period::INT AS period, n_seeds, first_pos::INT AS first_pos, last_pos::INT AS last_pos, floor((last_pos - first_pos) / period + 2)::BIGINT AS copies
+SELECT path_name, period, n_seeds, first_pos, last_pos, floor((last_pos - first_pos) / period + 2)::BIGINT AS copies
 FROM pr QUALIFY row_number() OVER (PARTITION BY path_name ORDER BY n_seeds DESC, period) = 1""",
     "lead_conditioned": FULL
     + """, rk AS (SELECT * FROM lin JOIN loc USING (feature) WHERE t IS NOT NULL),

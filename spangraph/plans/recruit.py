@@ -6,19 +6,20 @@ with the walks; k-mers have 21 bases.
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from spangraph.functions import seq as S
 from spangraph.operators import recruit as R
 from spangraph.operators import walks as K
 from spangraph.plans.heavy_keys import COUNTED, counted_hits
-from spangraph.plans.walks import SPELLED, STEPS, nodes, paths, steps
+from spangraph.plans.walks import SPELLED, STEPS, blocks, nodes, paths, steps
+from spangraph.session import fresh_folder, written
 from spangraph.streaming.streams import hit_stream, store_stream
 from spangraph.tables import load
 
-KMER, SMER, WINDOW, EVERY = 21, 7, 150, 150
+KMER, SMER, WINDOW, BLOCK = 21, 7, 150, 15_000
+ERROR = 0.01  # of a walk's window, which has no qualities
 
 
 def _node_texts(spark: SparkSession, folder: str) -> DataFrame:
@@ -33,66 +34,46 @@ def _counts(spark: SparkSession, folder: str) -> DataFrame:
 
 def fragments(spark: SparkSession, folder: str) -> DataFrame:
     """(path_name, win, sequence): the windows of each spelled walk; a last shorter one is kept from 21 bases on."""
-    walks = K.spelled(steps(spark, folder), nodes(spark, folder)).select("path_name", F.upper("sequence").alias("s")).repartition(spark.sparkContext.defaultParallelism, "path_name")
-    cut = F.regexp_extract_all("s", F.lit(f"(?s)(?=(.{{1,{WINDOW}}})).{{1,{EVERY}}}"), F.lit(1))
-    return walks.select("path_name", F.posexplode(cut).alias("win", "sequence")).where(F.length("sequence") >= KMER)
+    cut = F.regexp_extract_all(F.upper("text"), F.lit(f"(?s).{{1,{WINDOW}}}"), F.lit(0))
+    made = blocks(spark, folder, BLOCK).select("path_name", "block", F.posexplode(cut).alias("i", "sequence"))
+    win = (F.col("block") * (BLOCK // WINDOW) + F.col("i")).cast("int")
+    return made.select("path_name", win.alias("win"), "sequence").where(F.length("sequence") >= KMER)
 
 
-def locus_index(spark: SparkSession, folder: str) -> DataFrame:
-    return R.locus_index(_counts(spark, folder))
+def _placed(spark: SparkSession, folder: str) -> DataFrame:
+    """(path_name, home, pos, kmer): the k-mers of the walks, with the locus of each walk."""
+    made = S.kmer_codes(blocks(spark, folder, overlap=KMER - 1), ["path_name", "start_bp"], "text", KMER)
+    made = made.select("path_name", (F.col("start_bp") + F.col("pos")).alias("pos"), "kmer")
+    return made.join(paths(spark, folder).select("path_name", F.col("graph_name").alias("home")), "path_name").select("path_name", "home", "pos", "kmer")
 
 
-def _screened(spark: SparkSession, folder: str, frags: DataFrame) -> DataFrame:
-    """(path_name, win, locus): fragments that share a closed syncmer with a locus."""
-    texts = _node_texts(spark, folder)
-    at = R.syncmers(texts, ["locus", "node_id"], "sequence", KMER, SMER)
-    known = R.words(texts, ["locus", "node_id"], "sequence", KMER).join(at, ["locus", "node_id", "pos"])
-    screen = known.select("locus", "kmer").distinct()
-    own = R.words(frags, ["path_name", "win"], "sequence", KMER).join(R.syncmers(frags, ["path_name", "win"], "sequence", KMER, SMER), ["path_name", "win", "pos"])
-    return own.select("path_name", "win", "kmer").join(screen, "kmer").select("path_name", "win", "locus").distinct()
+def walk_windows(spark: SparkSession, folder: str) -> DataFrame:
+    """The windows of the walks that are classified: length and digest."""
+    return fragments(spark, folder).select("path_name", "win", F.length("sequence").alias("bp"), F.md5("sequence").alias("digest"))
 
 
-# Read class, error rate per base, share of errors that are insertions or deletions.
-READS = (("short", 0.002, 0.05), ("hifi", 0.001, 0.5), ("ont", 0.03, 0.5))
+def _index(spark: SparkSession, folder: str) -> DataFrame:
+    return R.with_screen(R.locus_index(_counts(spark, folder), KMER), _node_texts(spark, folder), ["locus", "node_id"], "sequence", KMER, SMER)
 
 
-def _simulated(spark: SparkSession, folder: str, *classes: str) -> DataFrame:
-    """(path_name, win, sequence): the fragments as reads of each class, path_name led by the class."""
-    frags, out = fragments(spark, folder), None
-    for name, error, indels in READS:
-        if name in classes:
-            seed = F.concat_ws("|", F.lit(name), "path_name", "win")
-            reads = R.with_errors(F.col("sequence"), seed, error, indels)
-            # two steps: within one select the lambdas of the reads would see the new path_name
-            part = frags.withColumn("sequence", reads).select(F.concat(F.lit(name + "/"), "path_name").alias("path_name"), "win", "sequence")
-            out = part if out is None else out.unionByName(part)
-    return out
+def locus_index(spark: SparkSession, folder: str) -> DataFrame:
+    return _index(spark, folder).withColumn("kmer", S.decode(F.col("kmer"), KMER))
 
 
-def simulated_reads(spark: SparkSession, folder: str) -> DataFrame:
-    """Reads with the errors of each class, cut from the walks: length and digest."""
-    reads = _simulated(spark, folder, *[name for name, _, _ in READS])
-    return reads.select("path_name", "win", F.length("sequence").alias("bp"), F.md5("sequence").alias("digest"))
+def locus_decoys(spark: SparkSession, folder: str) -> DataFrame:
+    """K-mers of stretches of other loci that resemble a locus, and that the locus does not hold."""
+    return R.decoy_kmers(_index(spark, folder), _placed(spark, folder)).withColumn("kmer", S.decode(F.col("kmer"), KMER))
 
 
-def calibration(spark: SparkSession, folder: str) -> DataFrame:
-    """For each cut of independent private sites: simulated short reads of other loci that it would call certain, and which cut is chosen at one in 10 000."""
-    keys = ["path_name", "win"]
-    frags = _simulated(spark, folder, "short")
-    rows = R.words(frags, keys, "sequence", KMER)
-    found = R.evidence(R.labels(rows, keys, _screened(spark, folder, frags), locus_index(spark, folder)), keys, KMER)
-    home = paths(spark, folder).select(F.concat(F.lit("short/"), "path_name").alias("path_name"), "graph_name")
-    counted = R.false_certain(found.join(home, "path_name").withColumn("own", F.col("locus") == F.col("graph_name")))
-    chosen = R.calibrated_cut(counted, 0.0001).select(F.struct(F.col("cut").alias("c"), "met").alias("s")).scalar()
-    return counted.withColumn("__s", chosen).select("cut", "false_certain", "screened", (F.col("cut") == F.col("__s.c")).alias("chosen"), F.col("__s.met").alias("met"))
+def _evidence(spark: SparkSession, folder: str) -> DataFrame:
+    index = written(_index(spark, folder), "index")
+    index = R.with_decoys(index, R.decoy_kmers(index, _placed(spark, folder)))
+    rows = R.labelled(fragments(spark, folder), ["path_name", "win"], "sequence", index, KMER)
+    return R.evidence(rows, KMER, ERROR)
 
 
 def recruit_evidence(spark: SparkSession, folder: str) -> DataFrame:
-    keys = ["path_name", "win"]
-    frags = fragments(spark, folder)
-    rows = R.words(frags, keys, "sequence", KMER)
-    labelled = R.labels(rows, keys, _screened(spark, folder, frags), locus_index(spark, folder))
-    return R.verdict(R.evidence(labelled, keys, KMER))
+    return R.verdict(_evidence(spark, folder), KMER, error=ERROR)
 
 
 def recruit_summary(spark: SparkSession, folder: str) -> DataFrame:
@@ -100,6 +81,29 @@ def recruit_summary(spark: SparkSession, folder: str) -> DataFrame:
     return recruit_evidence(spark, folder).rollup("locus", "fate", "reason").agg(F.count(F.lit(1)).alias("n"), F.grouping_id().cast("int").alias("level"))
 
 
+def recruit_pairs(spark: SparkSession, folder: str) -> DataFrame:
+    """Neighbouring windows of a walk judged as the mates of a pair."""
+    mates = _evidence(spark, folder).withColumn("pair", F.floor(F.col("win") / 2)).withColumn("mate", F.col("win") % 2 + 1)
+    return R.pooled(mates, ["path_name", "pair"], "mate", KMER, error=ERROR)
+
+
+def window_ceilings(spark: SparkSession, folder: str) -> DataFrame:
+    """Per walk, the share of windows of 150 bases that could be told apart by private k-mers of the walk's locus."""
+    ends = K.coordinates(steps(spark, folder), nodes(spark, folder)).groupBy("path_name").agg(F.max("end_bp").alias("n_bases"))
+    lengths = ends.join(paths(spark, folder).select("path_name", F.col("graph_name").alias("home")), "path_name")
+    out = R.ceilings(_placed(spark, folder), _index(spark, folder), lengths, KMER, WINDOW)
+    return out.select("locus", "path_name", "windows", F.round("private_3", 6).alias("private_3"), F.round("sites_2", 6).alias("sites_2"))
+
+
+def calibration(spark: SparkSession, folder: str) -> DataFrame:
+    """For each cut of independent private sites: windows of other loci that it would call certain, and which cut is chosen at one in 10 000."""
+    home = paths(spark, folder).select("path_name", "graph_name")
+    rows = _evidence(spark, folder).join(home, "path_name").select("sites_p", R.certain(0, KMER, ERROR).alias("fit"), (F.col("locus") == F.col("graph_name")).alias("own"))
+    counted = R.false_certain(rows)
+    chosen = R.calibrated_cut(counted, 0.0001).select(F.struct(F.col("cut").alias("c"), "met").alias("s")).scalar()
+    return counted.withColumn("__s", chosen).select("cut", "false_certain", "screened", (F.col("cut") == F.col("__s.c")).alias("chosen"), F.col("__s.met").alias("met"))
+
+
 def store_merged(spark: SparkSession, folder: str) -> DataFrame:
     """The store's segments merged: each k-mer's count over all segments and the number of segments that hold it."""
     hits = counted_hits(spark, folder, "kmer", "segment_name", "hit_count")
@@ -125,8 +129,7 @@ def store_sealed_check(spark: SparkSession, folder: str) -> DataFrame:
 
 def stream_store(spark: SparkSession, folder: str) -> DataFrame:
     """The hits streamed in micro-batches into a store, then read back: (kmer, n)."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    base = f"{base}/stream-{spark.sparkContext.applicationId}-{abs(hash(folder))}" if base else tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    base = fresh_folder(spark, "stream")
     store_stream(hit_stream(spark, f"{folder}/kmer_hits.parque[t]"), f"{base}/store", f"{base}/state")
     return spark.read.parquet(f"{base}/store/segment=*").groupBy("kmer").agg(F.sum("n").alias("n"))
 
@@ -155,46 +158,92 @@ nw AS ({_words('txt', 'locus, node_id')}), cnt AS (SELECT locus, kmer, count(*)
 tot AS (SELECT kmer, sum(mult)::BIGINT AS total FROM cnt GROUP BY kmer),
 tri AS (SELECT kmer, sum(c * (c - 1) / 2) / {KMER - 3} AS d FROM (SELECT kmer, substring(kmer, j, 3) AS t, count(*) AS c FROM (SELECT kmer, unnest(generate_series(1, {KMER - 2})) AS j FROM tot) GROUP BY ALL) GROUP BY kmer),
 idx AS (SELECT locus, kmer, mult, total - mult AS outside, CASE WHEN total = mult AND d < 2.5 THEN 'P' WHEN total - mult <= 2 THEN 'S' ELSE 'R' END AS cls FROM cnt JOIN tot USING (kmer) JOIN tri USING (kmer))"""
-FRAGMENTS = f"""frag AS (SELECT path_name, w AS win, substring(upper(sequence), w * {EVERY} + 1, {WINDOW}) AS sequence FROM (SELECT *, unnest(generate_series(0, (length(sequence) - 1) // {EVERY})) AS w FROM spelled)
-  WHERE length(substring(sequence, w * {EVERY} + 1, {WINDOW})) >= {KMER})"""
+FRAGMENTS = f"""frag AS (SELECT path_name, w AS win, substring(upper(sequence), w * {WINDOW} + 1, {WINDOW}) AS sequence FROM (SELECT *, unnest(generate_series(0, (length(sequence) - 1) // {WINDOW})) AS w FROM spelled)
+  WHERE length(substring(sequence, w * {WINDOW} + 1, {WINDOW})) >= {KMER})"""
+DECOYS = f"""wk AS (SELECT p.graph_name AS home, s.path_name, upper(sequence) AS sequence FROM spelled s JOIN paths p USING (path_name) WHERE length(sequence) >= {KMER}),
+pw AS ({_words('wk', 'path_name, home')}),
+dh AS (SELECT path_name, locus, pos FROM pw JOIN idx USING (kmer) WHERE cls = 'S' AND locus <> home),
+dg AS (SELECT *, sum(coalesce((pos > p + 1501)::INT, 0)) OVER (PARTITION BY path_name, locus ORDER BY pos) AS g FROM (SELECT *, lag(pos) OVER (PARTITION BY path_name, locus ORDER BY pos) AS p FROM dh)),
+dw AS (SELECT path_name, locus, min(pos) - 50 AS lo, max(pos) + 51 AS hi FROM dg GROUP BY path_name, locus, g HAVING count(*) >= 20),
+dk AS (SELECT DISTINCT locus, kmer FROM pw JOIN dw USING (path_name) WHERE pos >= lo AND pos < hi AND NOT EXISTS (SELECT 1 FROM idx i WHERE i.locus = dw.locus AND i.kmer = pw.kmer))"""
+_Q = (1 - ERROR - 0.001) ** KMER
+GAP, FLANK = 0.5 * _Q / (1 - _Q), 0.25 * _Q
 
 
-def _read_errors(name: str, error: float, indels: float) -> str:
-    changed, lost, doubled = (int(error * share * 2**32) for share in (1 - indels, 1 - indels / 2, 1))
-    return f"""SELECT '{name}/' || pn AS path_name, win, array_to_string(list_transform(list_transform(generate_series(1, length(sequence)),
-    lambda i: {{'b': substring(sequence, i, 1), 'u': ('0x' || md5('{name}|' || pn || '|' || win || '|' || i)[1:8])::BIGINT}}),
-    lambda x: CASE WHEN x.u < {changed} THEN translate(x.b, 'ACGT', 'CGTA') WHEN x.u < {lost} THEN '' WHEN x.u < {doubled} THEN x.b || x.b ELSE x.b END), '') AS sequence FROM (SELECT path_name AS pn, win, sequence FROM frag)"""
+def _greedy(positions: str) -> str:
+    """Places of a sorted list at least k from the last one taken."""
+    return f"""CASE WHEN {positions} IS NULL THEN 0 ELSE (list_reduce(list_transform({positions}, lambda x: {{'n': 1, 'last': x}}), lambda a, b: CASE WHEN b.last - a.last >= {KMER} THEN {{'n': a.n + 1, 'last': b.last}} ELSE a END)).n END"""
 
 
-def _evidence(fragments: str) -> str:
-    return f"""{INDEX},
-{fragments},
-ns AS ({_syncs('txt', 'locus, node_id')}), fs AS ({_syncs('frag', 'path_name, win')}), fw AS ({_words('frag', 'path_name, win')}),
-scr AS (SELECT DISTINCT f.path_name, f.win, n.locus FROM (SELECT DISTINCT locus, kmer FROM nw JOIN ns USING (locus, node_id, pos)) n JOIN (SELECT path_name, win, kmer FROM fw JOIN fs USING (path_name, win, pos)) f USING (kmer)),
-lab AS (SELECT fw.path_name, fw.win, scr.locus, pos, coalesce(cls, 'N') AS cls FROM fw JOIN scr USING (path_name, win) LEFT JOIN idx ON idx.locus = scr.locus AND idx.kmer = fw.kmer),
-r1 AS (SELECT *, coalesce((cls = 'N' AND (lag(cls) OVER w <> 'N' OR lag(pos) OVER w <> pos - 1))::INT, (cls = 'N')::INT) AS new FROM lab WINDOW w AS (PARTITION BY path_name, win, locus ORDER BY pos)),
-r2 AS (SELECT *, sum(new) OVER (PARTITION BY path_name, win, locus ORDER BY pos) AS run FROM r1),
-r3 AS (SELECT *, CASE WHEN cls <> 'N' THEN 1 WHEN row_number() OVER (PARTITION BY path_name, win, locus, run, cls ORDER BY pos) <= {KMER} THEN 0 ELSE -1 END AS score FROM r2),
-r4 AS (SELECT *, sum(score) OVER (PARTITION BY path_name, win, locus ORDER BY pos) AS s FROM r3),
-r5 AS (SELECT *, s - least(0, coalesce(min(s) OVER (PARTITION BY path_name, win, locus ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) AS b FROM r4),
-ev AS (SELECT path_name, win, locus, count(*) AS kmers, count_if(cls = 'P')::BIGINT AS n_p, count_if(cls = 'S')::BIGINT AS n_s, count_if(cls = 'R')::BIGINT AS n_r, count_if(cls = 'N')::BIGINT AS n_n,
-  sum(new)::BIGINT AS runs_n, max(b)::BIGINT AS best, list(pos ORDER BY pos) FILTER (cls = 'P') AS p FROM r5 GROUP BY ALL),
-ev2 AS (SELECT * EXCLUDE (p), CASE WHEN p IS NULL THEN 0 ELSE (list_reduce(list_transform(p, lambda x: {{'n': 1, 'last': x}}), lambda a, b: CASE WHEN b.last - a.last >= {KMER} THEN {{'n': a.n + 1, 'last': b.last}} ELSE a END)).n END AS sites_p FROM ev),
-fin AS (SELECT *, CASE WHEN sites_p >= 2 AND best * 2 >= kmers THEN 'certain' WHEN n_p + n_s > 0 THEN 'ambiguous' ELSE 'unrecruited' END AS fate FROM ev2),
-ver AS (SELECT *, CASE WHEN fate = 'certain' THEN 'private_sites' WHEN runs_n > 4 THEN 'divergent' WHEN n_p > 0 AND sites_p < 2 THEN 'single_site' WHEN n_p > 0 THEN 'sparse' WHEN n_s > 0 THEN 'shared_only' WHEN n_r > 0 THEN 'repeat_only' ELSE 'no_evidence' END AS reason FROM fin)"""
+def _certain(least: int, p: str = "") -> str:
+    lam = f"(({ERROR} + 0.001) * {p}seg_kmers)"
+    return f"({p}seg_kmers > 0 AND {p}kmers * 2 >= {p}windows AND {p}runs_n <= {lam} + 3.1 * sqrt({lam}) + 2.0 AND {p}sites_p >= {least} AND {p}sites_d <= 0.05 * {p}sites_p AND {p}sites_p >= 0.05 * {p}seg_kmers / {KMER})"
 
 
-EVIDENCE = _evidence(FRAGMENTS)
+def _reason(sure: str) -> str:
+    lam = f"(({ERROR} + 0.001) * seg_kmers)"
+    return f"""CASE WHEN {sure} THEN CASE WHEN status = 'part' THEN 'partial' ELSE '.' END WHEN sites_p = 0 AND sites_d + decoy_out >= 2 THEN 'homolog' WHEN sites_p >= 1 AND sites_d + decoy_out >= 1 THEN 'conflict'
+  WHEN sites_p >= 1 AND kmers * 2 < windows THEN 'uncallable' WHEN sites_p >= 1 AND runs_n > {lam} + 3.1 * sqrt({lam}) + 2.0 THEN 'divergent' WHEN sites_p >= 2 THEN 'sparse' WHEN sites_p >= 1 THEN 'single_site' WHEN n_s >= 1 THEN 'shared_only' ELSE 'no_evidence' END"""
 
+
+def _fate(sure: str) -> str:
+    return f"CASE WHEN {sure} THEN 'certain' WHEN reason IN ('homolog', 'no_evidence') THEN 'unrecruited' ELSE 'ambiguous' END"
+
+
+_U = "PARTITION BY path_name, win, locus"
+EVIDENCE = f"""{INDEX},
+{FRAGMENTS}, {DECOYS},
+allk AS (SELECT locus, kmer, cls FROM idx UNION ALL SELECT locus, kmer, 'D' FROM dk),
+ns AS ({_syncs('txt', 'locus, node_id')}), fs AS ({_syncs('frag', 'path_name, win')}), fw AS ({_words('frag', 'path_name, win')}),
+scr AS (SELECT DISTINCT f.path_name, f.win, n.locus FROM (SELECT DISTINCT locus, kmer FROM nw JOIN ns USING (locus, node_id, pos)) n JOIN (SELECT path_name, win, kmer FROM fw JOIN fs USING (path_name, win, pos)) f USING (kmer)),
+lab AS (SELECT fw.path_name, fw.win, scr.locus, pos, coalesce(cls, 'N') AS cls, row_number() OVER (PARTITION BY fw.path_name, fw.win, scr.locus ORDER BY pos) - 1 AS ci
+  FROM fw JOIN scr USING (path_name, win) LEFT JOIN allk i ON i.locus = scr.locus AND i.kmer = fw.kmer),
+r1 AS (SELECT *, coalesce((cls = 'N' AND (lag(cls) OVER w <> 'N' OR lag(pos) OVER w <> pos - 1))::INT, (cls = 'N')::INT) AS new FROM lab WINDOW w AS ({_U} ORDER BY pos)),
+r2 AS (SELECT *, sum(new) OVER ({_U} ORDER BY pos) AS run FROM r1),
+r3 AS (SELECT *, CASE WHEN cls = 'D' THEN -2.0::DOUBLE WHEN cls <> 'N' THEN 1.0 WHEN row_number() OVER (PARTITION BY path_name, win, locus, run, cls ORDER BY pos) <= {KMER} THEN 0.0 ELSE -{GAP}::DOUBLE END AS x FROM r2),
+r4 AS (SELECT *, round(sum(x) OVER ({_U} ORDER BY pos), 9) AS s FROM r3),
+r5 AS (SELECT *, min({{'s': s, 'm': -ci}}) OVER ({_U} ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS low FROM r4),
+r6 AS (SELECT *, CASE WHEN low IS NULL OR low.s > 0 THEN 0 ELSE 1 - low.m END AS f, s - CASE WHEN low IS NULL OR low.s > 0 THEN 0 ELSE low.s END AS b FROM r5),
+r7 AS (SELECT *, row_number() OVER ({_U} ORDER BY round(b, 6) DESC, ci - f DESC, ci) AS r FROM r6),
+sg AS (SELECT path_name, win, locus, f, ci AS l FROM r7 WHERE r = 1 AND b > 0 AND ci - f + 1 >= {KMER}),
+la AS (SELECT t.*, f, l, CASE WHEN f IS NULL THEN 'none' WHEN ci < f THEN 'left' WHEN ci > l THEN 'right' ELSE 'seg' END AS side FROM r1 t LEFT JOIN sg USING (path_name, win, locus)),
+sh AS (SELECT path_name, win, locus, max(f) IS NOT NULL AND coalesce(count_if(side = 'left' AND cls IN ('P', 'S', 'R')) / nullif(count_if(side = 'left'), 0), 0) < {FLANK}
+    AND coalesce(count_if(side = 'right' AND cls IN ('P', 'S', 'R')) / nullif(count_if(side = 'right'), 0), 0) < {FLANK}
+    AND NOT (count_if(side = 'left' AND cls = 'D') > 0 AND count_if(side = 'right' AND cls = 'D') > 0) AS boundary,
+  max(f) IS NOT NULL AS sm, min(pos) FILTER (side = 'seg') AS seg_from, max(pos) FILTER (side = 'seg') + {KMER} AS seg_to FROM la GROUP BY ALL),
+lb AS (SELECT la.*, boundary, sm, sm AND (NOT boundary OR side = 'seg') AS own FROM la JOIN sh USING (path_name, win, locus)),
+lc AS (SELECT *, own AND cls = 'N' AND coalesce(NOT (lag(own) OVER w AND lag(cls) OVER w = 'N' AND lag(pos) OVER w = pos - 1), true) AS nrun FROM lb WINDOW w AS ({_U} ORDER BY pos)),
+ev AS (SELECT path_name, win, locus, count(*) AS kmers, count_if(cls = 'P')::BIGINT AS n_p, count_if(cls = 'S')::BIGINT AS n_s, count_if(cls = 'R')::BIGINT AS n_r, count_if(cls = 'D')::BIGINT AS n_d, count_if(cls = 'N')::BIGINT AS n_n,
+  count_if(own)::BIGINT AS seg_kmers, count_if(nrun)::INT AS runs_n, list(pos ORDER BY pos) FILTER (own AND cls = 'P') AS lp, list(pos ORDER BY pos) FILTER (own AND cls = 'D') AS ld, list(pos ORDER BY pos) FILTER (NOT own AND cls = 'D') AS lo FROM lc GROUP BY ALL),
+e2 AS (SELECT ev.* EXCLUDE (lp, ld, lo), {_greedy('lp')} AS sites_p, {_greedy('ld')} + CASE WHEN boundary THEN 0 ELSE {_greedy('lo')} END AS sites_d, CASE WHEN boundary THEN {_greedy('lo')} ELSE 0 END AS decoy_out,
+  seg_from, seg_to, boundary, length(sequence) - {KMER - 1} AS windows, CASE WHEN seg_kmers = 0 THEN 'out' WHEN seg_kmers >= kmers * 0.9 THEN 'in' ELSE 'part' END AS status
+  FROM ev JOIN sh USING (path_name, win, locus) JOIN frag USING (path_name, win)),
+ver AS (SELECT *, {_fate(_certain(2))} AS fate FROM (SELECT *, {_reason(_certain(2))} AS reason FROM e2))"""
+_SUMS = ("kmers", "windows", "n_p", "n_s", "n_r", "n_d", "n_n", "seg_kmers", "sites_p", "sites_d", "decoy_out", "runs_n")
+_MATES = f"""pr AS (SELECT path_name, win // 2 AS pair, locus, {', '.join(f'sum({c})::BIGINT AS {c}' for c in _SUMS)}, {', '.join(f"coalesce(max(CASE WHEN win % 2 = {m} THEN {c} END), {d}) AS {x}_{c}" for m, x in ((0, 'a'), (1, 'b')) for c, d in (*((c, 0) for c in _SUMS), ('status', "'out'")))} FROM e2 GROUP BY ALL),
+ps AS (SELECT *, {_certain(2)} AND (a_status = 'in' OR b_status = 'in') AS whole, CASE WHEN a_status = 'part' OR b_status = 'part' THEN 'part' ELSE 'in' END AS status FROM pr),
+pt AS (SELECT *, whole OR ({_certain(2, 'a_')} AND (b_sites_d + b_decoy_out <= b_sites_p OR a_status = 'part')) OR ({_certain(2, 'b_')} AND (a_sites_d + a_decoy_out <= a_sites_p OR b_status = 'part')) AS sure FROM ps),
+pu AS (SELECT *, {_fate('sure')} AS fate FROM (SELECT *, {_reason('sure')} AS reason FROM pt))"""
+CEILINGS = f"""{INDEX}, wk AS (SELECT p.graph_name AS home, s.path_name, upper(sequence) AS sequence FROM spelled s JOIN paths p USING (path_name) WHERE length(sequence) >= {WINDOW}),
+pw AS ({_words('wk', 'path_name, home')}), pv AS (SELECT path_name, pos FROM pw JOIN idx ON idx.locus = pw.home AND idx.kmer = pw.kmer WHERE cls = 'P'),
+wi AS (SELECT path_name, home, unnest(generate_series(0, (length(sequence) - {WINDOW}) // 25)) AS w FROM wk),
+ws AS (SELECT wi.path_name, home, w, pos, row_number() OVER (PARTITION BY wi.path_name, w ORDER BY pos) AS r FROM wi LEFT JOIN pv ON pv.path_name = wi.path_name AND pos >= w * 25 AND pos <= w * 25 + {WINDOW - KMER}),
+wr AS (SELECT path_name, home, w, pos - r AS g, count(pos) AS n FROM ws GROUP BY ALL), wt AS (SELECT path_name, home, w, sum(n) AS p, sum(ceil(n / {KMER})) AS s FROM wr GROUP BY ALL)
+SELECT home AS locus, path_name, count(*) AS windows, round(count_if(p >= 3) / count(*), 6) AS private_3, round(count_if(s >= 2) / count(*), 6) AS sites_2 FROM wt GROUP BY ALL"""
 _MERGED = f"""WITH {COUNTED}, mg AS (SELECT kmer, sum(n)::BIGINT AS n, count(*) AS segments FROM (SELECT segment_name, kmer, sum(hit_count) AS n FROM counted WHERE segment_name IS NOT NULL GROUP BY ALL) GROUP BY kmer)"""
 ORACLES = {
-    "locus_index": f"{INDEX} SELECT * FROM idx",
+    "locus_index": f"""{INDEX}, ns AS ({_syncs('txt', 'locus, node_id')}), sk AS (SELECT DISTINCT kmer FROM nw JOIN ns USING (locus, node_id, pos))
+SELECT idx.*, kmer IN (SELECT kmer FROM sk) AS screen FROM idx""",
+    "locus_decoys": f"{INDEX}, {DECOYS} SELECT * FROM dk",
+    "walk_windows": f"WITH {STEPS}, {SPELLED}, {FRAGMENTS} SELECT path_name, win::INT AS win, length(sequence)::INT AS bp, md5(sequence) AS digest FROM frag",
     "recruit_evidence": f"{EVIDENCE} SELECT * FROM ver",
     "recruit_summary": f"{EVIDENCE} SELECT locus, fate, reason, count(*) AS n, grouping_id(locus, fate, reason)::INT AS level FROM ver GROUP BY ROLLUP (locus, fate, reason)",
-    "simulated_reads": f"""WITH {STEPS}, {SPELLED}, {FRAGMENTS} SELECT path_name, win::INT AS win, length(sequence)::INT AS bp, md5(sequence) AS digest FROM ({' UNION ALL '.join(_read_errors(*r) for r in READS)})""",
-    "calibration": _evidence(FRAGMENTS.replace("frag AS", "cutf AS", 1) + f", frag AS ({_read_errors(*READS[0]).replace('FROM frag', 'FROM cutf')})")
-    + """, ow AS (SELECT ev2.*, locus = p.graph_name AS own FROM ev2 JOIN paths p ON ev2.path_name = 'short/' || p.path_name),
-cc AS (SELECT cut, count_if(sites_p >= cut AND best * 2 >= kmers)::BIGINT AS false_certain, count(*) AS screened FROM (SELECT * FROM ow WHERE NOT own), (SELECT unnest(generate_series(2, 8)) AS cut) GROUP BY cut),
+    "recruit_pairs": f"""{EVIDENCE}, {_MATES} SELECT path_name, pair, locus, a_status || ',' || b_status AS mates, {', '.join(_SUMS)}, fate,
+  CASE WHEN sure AND (NOT whole OR a_status = 'out' OR b_status = 'out') THEN 'rescued' ELSE reason END AS reason FROM pu""",
+    "window_ceilings": CEILINGS,
+    "calibration": EVIDENCE
+    + f""", ow AS (SELECT e2.*, locus = p.graph_name AS own, {_certain(0)} AS fit FROM e2 JOIN paths p USING (path_name)),
+cc AS (SELECT cut, count_if(sites_p >= cut AND fit)::BIGINT AS false_certain, count(*) AS screened FROM (SELECT * FROM ow WHERE NOT own), (SELECT unnest(generate_series(2, 8)) AS cut) GROUP BY cut),
 ch AS (SELECT coalesce(min(cut), 8) AS c, min(cut) IS NOT NULL AS met FROM cc WHERE false_certain <= 0.0001::DOUBLE * screened)
 SELECT cut::INT AS cut, false_certain, screened, cut = c AS chosen, met FROM cc, ch""",
     "store_merged": _MERGED + " SELECT * FROM mg",
@@ -203,4 +252,4 @@ SELECT cut::INT AS cut, false_certain, screened, cut = c AS chosen, met FROM cc,
 SELECT coalesce(s.segment_name, now.segment_name) AS segment_name, s.occurrences, coalesce(o, 0) AS occurrences_now, s.distinct_kmers, coalesce(d, 0) AS distinct_now FROM store_segments s FULL OUTER JOIN now ON s.segment_name = now.segment_name""",
     "stream_store": f"WITH {COUNTED} SELECT kmer, sum(hit_count)::BIGINT AS n FROM counted GROUP BY kmer",
 }
-QUERIES = {f.__name__: f for f in (locus_index, recruit_evidence, recruit_summary, simulated_reads, calibration, store_merged, store_lookup, store_sealed_check, stream_store)}
+QUERIES = {f.__name__: f for f in (locus_index, locus_decoys, walk_windows, recruit_evidence, recruit_summary, recruit_pairs, window_ceilings, calibration, store_merged, store_lookup, store_sealed_check, stream_store)}

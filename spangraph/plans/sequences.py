@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from spangraph.functions import seq as S
-from spangraph.operators import walks as K
+from spangraph.operators.assoc import running_counts
 from spangraph.plans.heavy_keys import COUNTED, counted_hits
-from spangraph.plans.walks import SPELLED, STEPS, nodes, steps
+from spangraph.plans.walks import SPELLED, STEPS, blocks, nodes, steps
+from spangraph.session import written
 from spangraph.tables import load
 
 PARTITIONS = 4096
@@ -20,9 +21,12 @@ def _known(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def node_kmers(spark: SparkSession, folder: str, k: int) -> DataFrame:
-    """(node_id, pos, kmer): the canonical k-mers of the nodes."""
-    rows = _known(spark, folder).select("node_id", F.posexplode(S.canonical_kmers(F.col("sequence"), k)).alias("pos", "kmer"))
-    return rows.where("kmer is not null")
+    """(node_id, pos, kmer): the canonical k-mers of the nodes, as codes."""
+    return S.kmer_codes(_known(spark, folder), ["node_id"], "sequence", k)
+
+
+def _text(df: DataFrame, k: int) -> DataFrame:
+    return df.withColumn("kmer", S.decode(F.col("kmer"), k))
 
 
 def _hit_kmers(spark: SparkSession, folder: str) -> DataFrame:
@@ -36,7 +40,8 @@ def seq_reverse_complement(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def seq_kmer_counts(spark: SparkSession, folder: str) -> DataFrame:
-    return node_kmers(spark, folder, 11).groupBy("kmer").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("node_id").alias("n_nodes"))
+    per = node_kmers(spark, folder, 11).groupBy("kmer", "node_id").agg(F.count(F.lit(1)).alias("n"))
+    return _text(per.groupBy("kmer").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("n_nodes")), 11)
 
 
 def seq_kmer_codes(spark: SparkSession, folder: str) -> DataFrame:
@@ -75,16 +80,17 @@ def seq_dust(spark: SparkSession, folder: str) -> DataFrame:
 def seq_kmer_nodes(spark: SparkSession, folder: str) -> DataFrame:
     """Distinct nodes where each 21-mer starts, for k-mers of more than one node."""
     pairs = node_kmers(spark, folder, 21).select("kmer", "node_id").distinct()
-    return pairs.groupBy("kmer").agg(F.count(F.lit(1)).alias("n_nodes"), F.min("node_id").alias("first_node")).where("n_nodes > 1")
+    return _text(pairs.groupBy("kmer").agg(F.count(F.lit(1)).alias("n_nodes"), F.min("node_id").alias("first_node")).where("n_nodes > 1"), 21)
 
 
 def path_richness(spark: SparkSession, folder: str) -> DataFrame:
-    """Total and distinct canonical 21-mers of each spelled walk, and its rank by them."""
-    walks = K.spelled(steps(spark, folder), nodes(spark, folder)).select("path_name", F.upper("sequence").alias("sequence"))
-    walks = walks.repartition(spark.sparkContext.defaultParallelism, "path_name")  # spread before each base becomes a row
-    words = walks.select("path_name", F.explode(S.canonical_kmers(F.col("sequence"), 21)).alias("kmer"))
-    per = words.where("kmer is not null").groupBy("path_name", "kmer").agg(F.count(F.lit(1)).alias("n"))
-    return per.groupBy("path_name").agg(F.count(F.lit(1)).alias("distinct_kmers"), F.sum("n").alias("kmers"))
+    """Total and distinct canonical 21-mers of each walk, and its rank: one more than the walks with more distinct ones."""
+    words = S.kmer_codes(blocks(spark, folder, overlap=20), ["path_name", "block"], "text", 21)
+    per = words.groupBy("path_name", "kmer").agg(F.count(F.lit(1)).alias("n"))
+    rich = written(per.groupBy("path_name").agg(F.count(F.lit(1)).alias("distinct_kmers"), F.sum("n").alias("kmers")), "richness")
+    counts = running_counts(rich, "distinct_kmers").select("distinct_kmers", "upto")
+    rank = rich.agg(F.count(F.lit(1))).scalar() - F.col("upto") + 1
+    return rich.join(counts, "distinct_kmers").select("path_name", "distinct_kmers", "kmers", rank.alias("rank"))
 
 
 def pansn_names(spark: SparkSession, folder: str) -> DataFrame:
@@ -189,7 +195,8 @@ p AS (SELECT kmer, sum(c * (c - 1) / 2) AS p FROM (SELECT kmer, t, count(*) AS c
 SELECT kmer, round(p / (length(kmer) - 3), 6) AS score, round(p / (length(kmer) - 3), 6) >= 2.5 AS low_complexity FROM p""",
     "seq_kmer_nodes": f"WITH {STEPS}, {_words(21)} SELECT kmer, count(DISTINCT node_id) AS n_nodes, min(node_id) AS first_node FROM plain GROUP BY kmer HAVING count(DISTINCT node_id) > 1",
     "path_richness": f"""WITH {STEPS}, {SPELLED}, w AS (SELECT path_name, substring(s, i, 21) AS word FROM (SELECT path_name, upper(sequence) AS s, unnest(generate_series(1, length(sequence) - 20)) AS i FROM spelled))
-SELECT path_name, count(DISTINCT least(word, reverse(translate(word, 'ACGT', 'TGCA')))) AS distinct_kmers, count(*) AS kmers FROM w WHERE regexp_full_match(word, '[ACGT]+') GROUP BY path_name""",
+SELECT path_name, distinct_kmers, kmers, rank() OVER (ORDER BY distinct_kmers DESC) AS rank FROM (
+  SELECT path_name, count(DISTINCT least(word, reverse(translate(word, 'ACGT', 'TGCA')))) AS distinct_kmers, count(*) AS kmers FROM w WHERE regexp_full_match(word, '[ACGT]+') GROUP BY path_name)""",
     "pansn_names": r"""SELECT DISTINCT path_name, split_part(path_name, '#', 1) AS sample, try_cast(split_part(path_name, '#', 2) AS INT) AS hap,
   regexp_replace(split_part(path_name, '#', 3), ':(\d+)-(\d+)$', '') AS contig, try_cast(regexp_extract(path_name, ':(\d+)-(\d+)$', 1) AS BIGINT) AS first,
   try_cast(regexp_extract(path_name, ':(\d+)-(\d+)$', 2) AS BIGINT) AS last FROM graph_paths""",

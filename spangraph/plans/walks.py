@@ -7,7 +7,9 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from spangraph.operators import walks as K
+from spangraph.operators.intervals import merge
 from spangraph.operators.packed import unpack
+from spangraph.plans.packed import ORACLES as PACKED
 from spangraph.plans.packed import packed_fields
 from spangraph.tables import load
 
@@ -41,15 +43,24 @@ def walk_coordinates(spark: SparkSession, folder: str) -> DataFrame:
     return K.coordinates(steps(spark, folder), nodes(spark, folder)).select("path_name", "idx", "node_id", "start_bp", "end_bp")
 
 
+def pairs(spark: SparkSession, folder: str, *carry: str) -> DataFrame:
+    return K.explode_pairs(paths(spark, folder), *carry)
+
+
+def blocks(spark: SparkSession, folder: str, size: int = 10_000, overlap: int = 0) -> DataFrame:
+    """The spelled walks in blocks."""
+    return K.spelled_blocks(steps(spark, folder), nodes(spark, folder), size, overlap)
+
+
 def walk_edges(spark: SparkSession, folder: str) -> DataFrame:
-    return K.edges(steps(spark, folder))
+    return K.edges(pairs(spark, folder))
 
 
 def graph_features(spark: SparkSession, folder: str) -> DataFrame:
     walked = steps(spark, folder)
     n_paths = paths(spark, folder).agg(F.count(F.lit(1)))
     by_node = K.feature_stats(K.dosage(walked, "node_id"), n_paths).withColumn("layer", F.lit("node"))
-    by_edge = K.feature_stats(K.dosage(K.edges(walked), "edge"), n_paths).withColumn("layer", F.lit("edge"))
+    by_edge = K.feature_stats(K.dosage(K.edges(pairs(spark, folder)), "edge"), n_paths).withColumn("layer", F.lit("edge"))
     return by_node.unionByName(by_edge)
 
 
@@ -58,7 +69,7 @@ def node_dosage(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def edge_dosage(spark: SparkSession, folder: str) -> DataFrame:
-    return K.dosage(K.edges(steps(spark, folder)), "edge")
+    return K.dosage(K.edges(pairs(spark, folder)), "edge")
 
 
 def site_crossings(spark: SparkSession, folder: str) -> DataFrame:
@@ -131,15 +142,21 @@ def tandem_runs(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def walk_spelled(spark: SparkSession, folder: str) -> DataFrame:
-    out = K.spelled(steps(spark, folder), nodes(spark, folder))
-    return out.select("path_name", F.length("sequence").alias("bp"), F.md5("sequence").alias("digest"))
+    """The spelled walks, in blocks of 10 000 bases: length and digest of each."""
+    return blocks(spark, folder).select("path_name", "block", F.length("text").alias("bp"), F.md5("text").alias("digest"))
 
 
 def gap_runs(spark: SparkSession, folder: str) -> DataFrame:
-    """Assembly gaps: runs of at least ten N in the spelled walks."""
-    out = K.spelled(steps(spark, folder), nodes(spark, folder))
-    gaps = out.select("path_name", F.explode(F.regexp_extract_all("sequence", F.lit("[Nn]{10,}"), F.lit(0))).alias("gap"))
-    return gaps.groupBy("path_name").agg(F.count(F.lit(1)).alias("n_gaps"), F.sum(F.length("gap")).alias("gap_bp"))
+    """Assembly gaps: runs of at least ten N in the spelled walks.
+
+    Runs are found block by block, those at the border of a block whatever their length, and those that touch are one.
+    """
+    cut = blocks(spark, folder).where(F.col("text").rlike("[Nn]")).select("path_name", "block", "start_bp", F.posexplode(F.regexp_extract_all("text", F.lit("[Nn]+|[^Nn]+"), F.lit(0))).alias("i", "piece"))
+    before = W.partitionBy("path_name", "block").orderBy("i").rowsBetween(W.unboundedPreceding, 0)
+    hi = F.col("start_bp") + F.sum(F.length("piece")).over(before)
+    runs = cut.withColumn("hi", hi).withColumn("lo", F.col("hi") - F.length("piece")).where("upper(substring(piece, 1, 1)) = 'N'")
+    gaps = merge(runs, ["path_name"], "lo", "hi").where("hi - lo >= 10")
+    return gaps.groupBy("path_name").agg(F.count(F.lit(1)).alias("n_gaps"), F.sum(F.col("hi") - F.col("lo")).alias("gap_bp"))
 
 
 def graph_backbone(spark: SparkSession, folder: str) -> DataFrame:
@@ -157,9 +174,8 @@ def path_inversions(spark: SparkSession, folder: str) -> DataFrame:
 
 def node_degrees(spark: SparkSession, folder: str) -> DataFrame:
     """Distinct neighbours of each node on either side, self-loops apart; hubs have at least 8 on one side."""
-    following = F.lead("step").over(W.partitionBy("path_name").orderBy("idx"))
-    pairs = steps(spark, folder).withColumn("nxt", following).where("nxt is not null").select("step", "nxt").distinct()
-    both = pairs.unionByName(pairs.select(K.flip(F.col("nxt")).alias("step"), K.flip(F.col("step")).alias("nxt"))).distinct()
+    met = pairs(spark, folder).select("step", "nxt").distinct()
+    both = met.unionByName(met.select(K.flip(F.col("nxt")).alias("step"), K.flip(F.col("step")).alias("nxt"))).distinct()
     side = both.select(F.expr("substring(step, 2)").alias("node_id"), F.col("step").startswith(">").alias("right"), F.expr("substring(nxt, 2)").alias("to"))
     out = side.groupBy("node_id").agg(
         F.count_distinct(F.when(F.col("right") & (F.col("to") != F.col("node_id")), F.col("to"))).alias("right_degree"),
@@ -276,13 +292,6 @@ def _stats(table: str, feature: str, layer: str) -> str:
   FROM (SELECT {feature} AS feature, path_name, count(*) AS n FROM {table} GROUP BY ALL) GROUP BY feature)"""
 
 
-def _runs(period: int) -> str:
-    return f"""SELECT path_name, {period} AS period, min(idx) - {period} AS first_idx, max(idx) AS last_idx, count(*) // {period} + 1 AS copies
-  FROM (SELECT path_name, idx, idx - row_number() OVER (PARTITION BY path_name ORDER BY idx) AS island
-    FROM (SELECT *, lag(step, {period}) OVER (PARTITION BY path_name ORDER BY idx) AS l FROM steps) WHERE step = l)
-  GROUP BY path_name, island HAVING count(*) >= {period}"""
-
-
 SPELLED = """
 spelled AS (
   SELECT path_name, string_agg(CASE WHEN reverse THEN reverse(translate(part, 'ACGTRYKMBVDHacgtrykmbvdh', 'TGCAYRMKVBHDtgcayrmkvbhd')) ELSE part END, '' ORDER BY idx) AS sequence
@@ -306,13 +315,18 @@ WHERE path_support >= 3 AND alt_support_max >= 2 AND (max_inside_bp >= 50 OR inv
   CASE WHEN u.path_support IS NULL THEN 'not_crossed' WHEN s.path_support IS NULL THEN 'not_recorded'
     WHEN u.path_support = s.path_support THEN 'equal' ELSE 'differs' END AS status
 FROM sites s FULL OUTER JOIN support u ON s.bubble_id = u.bubble_id""",
-    "site_passes": f"""WITH {SITES},
-inside AS (SELECT DISTINCT bubble_id, trim(x, ' ') AS node_id FROM (SELECT bubble_id, unnest(string_split(inside_nodes, ';')) AS x FROM sites WHERE inside_node_count IS NOT NULL) WHERE trim(x, ' ') <> ''),
+    "site_passes": f"""WITH {SITES}, vals AS ({PACKED["p1_found"]}),
+inside AS (SELECT DISTINCT bubble_id, val AS node_id FROM vals v JOIN sites s USING (row_no) WHERE v.field_name = 'inside_nodes'),
 runs AS (SELECT bubble_id, path_name, i, count(*) AS n FROM (
   SELECT bubble_id, path_name, idx - row_number() OVER (PARTITION BY bubble_id, path_name ORDER BY idx) AS i FROM steps JOIN inside USING (node_id)) GROUP BY ALL)
 SELECT bubble_id, path_name, count(*) AS passes, max(n) AS longest FROM runs GROUP BY ALL""",
-    "tandem_runs": f"WITH {STEPS} {_runs(1)} UNION ALL {_runs(2)} UNION ALL {_runs(3)}",
-    "walk_spelled": f"WITH {STEPS}, {SPELLED} SELECT path_name, length(sequence) AS bp, md5(sequence) AS digest FROM spelled",
+    "tandem_runs": f"""WITH {STEPS},
+same AS (SELECT a.path_name, a.idx - b.idx AS period, a.idx, a.idx - row_number() OVER (PARTITION BY a.path_name, a.idx - b.idx ORDER BY a.idx) AS island
+  FROM steps a JOIN steps b ON a.path_name = b.path_name AND a.step = b.step AND b.idx < a.idx),
+runs AS (SELECT path_name, period, min(idx) - period AS first_idx, max(idx) AS last_idx, count(*) // period + 1 AS copies FROM same GROUP BY path_name, period, island HAVING count(*) >= period)
+SELECT * FROM runs r WHERE NOT EXISTS (SELECT 1 FROM runs s WHERE s.path_name = r.path_name AND s.period < r.period AND r.period % s.period = 0 AND s.first_idx <= r.first_idx AND s.last_idx >= r.last_idx)""",
+    "walk_spelled": f"""WITH {STEPS}, {SPELLED}, bl AS (SELECT path_name, b AS block, substring(sequence, b * 10000 + 1, 10000) AS t FROM (SELECT *, unnest(generate_series(0, (length(sequence) - 1) // 10000)) AS b FROM spelled WHERE sequence <> ''))
+SELECT path_name, block, length(t) AS bp, md5(t) AS digest FROM bl""",
     "gap_runs": f"""WITH {STEPS}, {SPELLED} SELECT path_name, count(*) AS n_gaps, sum(length(gap))::BIGINT AS gap_bp
 FROM (SELECT path_name, unnest(regexp_extract_all(sequence, '[Nn]{{10,}}')) AS gap FROM spelled) GROUP BY path_name""",
     "graph_backbone": f"""WITH {STEPS}, per AS (SELECT graph_name, node_id, path_name, count(*) AS n FROM steps GROUP BY ALL),
