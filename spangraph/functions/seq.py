@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -98,9 +99,17 @@ def unsigned(x: Column) -> Column:
     return x.bitwiseXOR(F.lit(-(1 << 63)))
 
 
-def _codes(text: str, s: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(code of each s-mer, of its reverse complement, whether all its letters are bases) of a text, two bits a base."""
-    codes = CODES[np.frombuffer(text.encode("ascii", "replace"), np.uint8)]
+def _laid(texts: list[str], k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(letters, owner of each place, place in its text) of texts laid end to end, each followed by a letter that is no base."""
+    raw = np.frombuffer("\n".join([*texts, ""]).encode("ascii", "replace"), np.uint8)
+    sizes = np.array([len(t) + 1 for t in texts], np.int64)
+    owner = np.repeat(np.arange(len(texts)), sizes)
+    return raw, owner, np.arange(len(raw)) - (np.cumsum(sizes) - sizes)[owner]
+
+
+def _codes(raw: np.ndarray, s: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(code of each s-mer, of its reverse complement, whether all its letters are bases), two bits a base."""
+    codes = CODES[raw]
     n = len(codes) - s + 1
     if n < 1:
         return np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, bool)
@@ -113,9 +122,9 @@ def _codes(text: str, s: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return ahead, back, bad[s:] == bad[:-s]
 
 
-def _smer_hashes(text: str, s: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
-    """(hash of the canonical form of each s-mer, whether it is plain) of a text; the same hash as ``with_mix64`` of the code."""
-    ahead, back, plain = _codes(text, s)
+def _smer_hashes(raw: np.ndarray, s: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """(hash of the canonical form of each s-mer, whether it is plain); the same hash as ``with_mix64`` of the code."""
+    ahead, back, plain = _codes(raw, s)
     x = np.minimum(ahead, back) ^ np.uint64(seed)
     for shift, times in ((30, MIX_1), (27, MIX_2)):
         x = (x ^ (x >> np.uint64(shift))) * np.uint64(times)
@@ -128,21 +137,17 @@ def kmer_codes(rows: DataFrame, keys: list[str], text: str, k: int, canonical_fo
     Codes order like the texts. Texts come in blocks, and a block's codes are rolled as arrays; k-mers with a letter that
     is no base are left out. ``decode`` gives the text back.
     """
-    cut = text_blocks(rows, keys, text, 20_000, k - 1)
+    cut = text_blocks(rows, keys, text, 20_000, k - 1).withColumn("text", F.upper("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            starts = batch.column(len(keys)).to_numpy(zero_copy_only=False)
-            codes, places, sizes = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], []
-            for start, one in zip(starts, batch.column(len(keys) + 1).to_pylist()):
-                ahead, back, plain = _codes(one.upper(), k)
-                at = np.flatnonzero(plain)
-                codes.append((np.minimum(ahead, back) if canonical_form else ahead)[at])
-                places.append(at + start)
-                sizes.append(len(at))
-            owner = pa.array(np.repeat(np.arange(len(sizes)), sizes), pa.int64())
-            out = [pa.array(np.concatenate(places), pa.int64()), pa.array(np.concatenate(codes).view(np.int64))]
-            yield pa.RecordBatch.from_arrays([*(batch.column(i).take(owner) for i in range(len(keys))), *out], [*keys, "pos", "kmer"])
+            raw, owner, place = _laid(batch.column(len(keys) + 1).to_pylist(), k)
+            ahead, back, plain = _codes(raw, k)
+            at = np.flatnonzero(plain)
+            rows_of = pa.array(owner[at])
+            start = batch.column(len(keys)).to_numpy(zero_copy_only=False)[owner[at]]
+            codes = (np.minimum(ahead, back) if canonical_form else ahead)[at].view(np.int64)
+            yield pa.RecordBatch.from_arrays([*(batch.column(i).take(rows_of) for i in range(len(keys))), pa.array(place[at] + start), pa.array(codes)], [*keys, "pos", "kmer"])
 
     kinds = dict(cut.dtypes)
     return cut.mapInArrow(run, ", ".join(f"{c} {kinds[c]}" for c in keys) + ", pos long, kmer long")
@@ -152,9 +157,9 @@ CODES = np.full(256, 4, np.uint8)
 CODES[[ord(c) for c in BASES]] = range(4)
 
 
-def _window_hashes(text: str, k: int, s: int, seed: int):
+def _window_hashes(raw: np.ndarray, k: int, s: int, seed: int):
     """(pos, first, last, least) of the s-mer hashes of each k-mer whose letters are all bases."""
-    hashes, plain = _smer_hashes(text, s, seed)
+    hashes, plain = _smer_hashes(raw, s, seed)
     w = k - s + 1
     if len(hashes) < w:
         return np.zeros(0, np.int64), *(np.zeros(0, np.uint64) for _ in range(3))
@@ -172,16 +177,16 @@ def with_window_hashes(rows: DataFrame, keys: list[str], text: str, k: int, s: i
 
     Texts come in blocks, hashed as arrays in Arrow batches. K-mers with a letter that is no base are left out.
     """
-    cut = text_blocks(rows, keys, text, 10_000, k - 1)
+    cut = text_blocks(rows, keys, text, 20_000, k - 1).withColumn("text", F.upper("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [_window_hashes(t, k, s, seed) for t in batch.column(len(keys) + 1).to_pylist()]
-            owner = pa.array(np.repeat(np.arange(len(found)), [len(f[0]) for f in found]), pa.int64())
-            start = batch.column(len(keys)).to_numpy(zero_copy_only=False)[owner.to_numpy()]
-            signed = [pa.array((np.concatenate([f[i] for f in found] or [np.zeros(0, np.uint64)]) ^ np.uint64(1 << 63)).view(np.int64)) for i in (1, 2, 3)]
-            pos = pa.array(np.concatenate([f[0] for f in found] or [np.zeros(0, np.int64)]) + start, pa.int64())
-            yield pa.RecordBatch.from_arrays([*(batch.column(i).take(owner) for i in range(len(keys))), pos, *signed], [*keys, "pos", "first", "last", "low"])
+            raw, owner, place = _laid(batch.column(len(keys) + 1).to_pylist(), k)
+            at, *found = _window_hashes(raw, k, s, seed)
+            rows_of = pa.array(owner[at])
+            start = batch.column(len(keys)).to_numpy(zero_copy_only=False)[owner[at]]
+            signed = [pa.array((x ^ np.uint64(1 << 63)).view(np.int64)) for x in found]
+            yield pa.RecordBatch.from_arrays([*(batch.column(i).take(rows_of) for i in range(len(keys))), pa.array(place[at] + start), *signed], [*keys, "pos", "first", "last", "low"])
 
     kinds = dict(cut.dtypes)
     return cut.mapInArrow(run, ", ".join(f"{c} {kinds[c]}" for c in keys) + ", pos long, first long, last long, low long")
@@ -196,6 +201,19 @@ def dust(kmer: Column) -> Column:
     return F.when(F.length(kmer) < 4, 0.0).otherwise(pairs / (F.length(kmer) - 3))
 
 
+def dust_of_codes(code: Column, k: int) -> Column:
+    """``dust`` of two-bit codes of k letters, as an Arrow function: equal triplets are counted lag by lag over whole columns."""
+
+    @F.pandas_udf("double")
+    def score(codes: pd.Series) -> pd.Series:
+        x = codes.to_numpy(np.int64, na_value=0)
+        triplets = np.stack([(x >> 2 * i) & 63 for i in range(k - 2)]) if k > 3 else np.zeros((1, len(x)), np.int64)
+        pairs = sum((triplets[lag:] == triplets[:-lag]).sum(axis=0) for lag in range(1, len(triplets)))
+        return pd.Series(pairs / max(k - 3, 1) * np.ones(len(x))).where(codes.notna())
+
+    return score(code)
+
+
 def text_blocks(rows: DataFrame, keys: list[str], text: str, size: int = 10_000, overlap: int = 0) -> DataFrame:
     """(*keys, start, text): a text in blocks of ``size`` letters, each going on for ``overlap`` into the next, so that no row of words grows with the text."""
     n = F.length(text)

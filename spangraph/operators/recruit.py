@@ -43,7 +43,7 @@ def locus_index(counts: DataFrame, k: int, informative_max: int = 2) -> DataFram
     """
     total = counts.groupBy("kmer").agg(F.sum("mult").alias("total"))
     out = counts.join(total, "kmer").withColumn("outside", F.col("total") - F.col("mult")).drop("total")
-    private = F.when(F.col("outside") == 0, S.dust(S.decode(F.col("kmer"), k)) < DUST_LIMIT).otherwise(False)
+    private = (F.col("outside") == 0) & (S.dust_of_codes(F.when(F.col("outside") == 0, F.col("kmer")), k) < DUST_LIMIT)
     return out.withColumn("cls", F.when(private, "P").when(F.col("outside") <= informative_max, "S").otherwise("R"))
 
 
