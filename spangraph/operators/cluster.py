@@ -1,58 +1,68 @@
-"""Connected components by label propagation, and greedy clusters in a given order."""
+"""Connected components by label propagation, and greedy clusters in a given order, both as rounds over DataFrames."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spangraph.session import cut_lineage
+from spangraph.session import release, written
 
 
-def connected_components(links: DataFrame, a: str, b: str, max_rounds: int = 60) -> DataFrame:
+def connected_components(links: DataFrame, a: str, b: str, max_rounds: int = 60, vertices: DataFrame | None = None) -> DataFrame:
     """(id, component): the least id that can be reached. Links are undirected; nulls and self-links take no part.
 
     Each round takes the least label of the neighbours and then follows that label's own label, so the
-    number of rounds grows with the logarithm of the longest chain. Labels are the only state; each round
-    is cut with a reliable checkpoint. Raises if the labels have not settled after ``max_rounds``.
+    number of rounds grows with the logarithm of the longest chain. Only ids whose label fell in the last round send it
+    on. Labels are the only state; each round is written to the shared folder and the round before deleted.
+    ``vertices`` (id) adds the ids without a link, each a component of its own. Raises if the labels have not settled after ``max_rounds``.
     """
     valid = links.where(F.col(a).isNotNull() & F.col(b).isNotNull() & (F.col(a) != F.col(b)))
     both = F.array(F.struct(F.col(a).alias("id"), F.col(b).alias("to")), F.struct(F.col(b).alias("id"), F.col(a).alias("to")))
-    edges = cut_lineage(valid.select(F.inline(both)).distinct())
-    labels = cut_lineage(edges.groupBy("id").agg(F.least(F.col("id"), F.min("to")).alias("component")))
+    edges = written(valid.select(F.inline(both)).distinct(), "links")
+    labels = written(edges.groupBy("id").agg(F.least(F.col("id"), F.min("to")).alias("component")).withColumn("moved", F.lit(True)), "labels")
     for _ in range(max_rounds):
-        near = edges.join(labels.withColumnRenamed("id", "to"), "to").groupBy("id").agg(F.min("component").alias("near"))
+        told = labels.where("moved").select(F.col("id").alias("to"), "component")
+        near = edges.join(told, "to").groupBy("id").agg(F.min("component").alias("near"))
         hop = labels.select(F.col("id").alias("component"), F.col("component").alias("beyond"))
-        moved = labels.join(hop, "component", "left").join(near, "id", "left")
-        new = cut_lineage(moved.select("id", F.least("component", F.coalesce("beyond", "component"), F.coalesce("near", "component")).alias("new"), "component"))
-        if new.where("new <> component").isEmpty():
-            return new.select("id", "component")
-        labels = new.select("id", F.col("new").alias("component"))
+        at = labels.join(hop, "component", "left").join(near, "id", "left")
+        least = F.least("component", F.coalesce("beyond", "component"), F.coalesce("near", "component"))
+        new = written(at.select("id", least.alias("new"), "component").select("id", F.col("new").alias("component"), (F.col("new") != F.col("component")).alias("moved")), "labels")
+        release(labels)
+        labels = new
+        if labels.where("moved").isEmpty():
+            out = labels.select("id", "component")
+            if vertices is None:
+                return out
+            alone = vertices.select(F.col(vertices.columns[0]).alias("id")).distinct().join(out, "id", "left_anti")
+            return out.unionByName(alone.withColumn("component", F.col("id")))
     raise RuntimeError(f"components not settled after {max_rounds} rounds")
 
 
-def greedy_leaders(scored: DataFrame, group: str, item: str, rank: str, links: DataFrame, other: str) -> DataFrame:
+def greedy_leaders(scored: DataFrame, group: str, item: str, rank: str, links: DataFrame, other: str, max_rounds: int = 1000) -> DataFrame:
     """(group, item, leader): in rank order, an item joins the first leader that it is linked to, or else leads.
 
-    ``links`` is (group, item, other), in both directions. Groups are the unit of work (a locus, a site).
+    ``links`` is (group, item, other), in both directions. All groups are worked at once, in rounds: an item decides
+    as soon as every item before it that it is linked to has decided. A round is a join and an aggregate over the links of
+    the undecided, so no group, whatever its size, is gathered in one place; the number of rounds is that of the longest
+    chain of links in falling rank.
     """
-    near = links.groupBy(group, item).agg(F.collect_list(other).alias("__near"))
-    rows = scored.select(group, item, rank).join(near, [group, item], "left")
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        leaders: set = set()
-        order: dict = {}
-        out = []
-        for _, key, near_keys in pdf.sort_values([rank, item])[[item, rank, "__near"]].assign(k=lambda d: d[item])[[rank, "k", "__near"]].itertuples(index=False):
-            known = [x for x in (near_keys if near_keys is not None else []) if x in leaders]
-            leader = min(known, key=order.__getitem__) if known else key
-            if leader == key:
-                leaders.add(key)
-                order[key] = len(order)
-            out.append((pdf[group].iloc[0], key, leader))
-        return pd.DataFrame(out, columns=[group, item, "leader"])
-
-    kind = dict(scored.dtypes)
-    return rows.groupBy(group).applyInPandas(run, f"{group} {kind[group]}, {item} {kind[item]}, leader {kind[item]}")
+    order = F.struct(F.col(rank).alias("r"), F.col(item).alias("i"))
+    rows = scored.select(group, F.col(item).alias("__item"), order.alias("__order"))
+    before = rows.select(group, F.col("__item").alias("__other"), F.col("__order").alias("__first"))
+    own = links.select(group, F.col(item).alias("__item"), F.col(other).alias("__other")).distinct()
+    earlier = written(own.join(rows, [group, "__item"]).join(before, [group, "__other"]).where("__first < __order").select(group, "__item", "__other", "__first"), "earlier")
+    held = earlier.select(group, "__item").distinct().withColumn("__waits", F.lit(True))
+    begun = rows.select(group, "__item").distinct().join(held, [group, "__item"], "left")
+    state = written(begun.select(group, "__item", F.when(F.col("__waits").isNull(), F.col("__item")).alias("__leader")), "leaders")
+    for _ in range(max_rounds):
+        todo = state.where("__leader is null").select(group, "__item")
+        if todo.isEmpty():
+            return state.select(group, F.col("__item").alias(item), F.col("__leader").alias("leader"))
+        asked = earlier.join(todo, [group, "__item"], "left_semi").join(state.select(group, F.col("__item").alias("__other"), "__leader"), [group, "__other"], "left")
+        leads = F.col("__leader") == F.col("__other")
+        per = asked.groupBy(group, "__item").agg(F.bool_and(F.col("__leader").isNotNull()).alias("ready"), F.min(F.when(leads, F.struct("__first", "__other"))).alias("best"))
+        ready = per.where("ready").select(group, "__item", F.coalesce("best.__other", "__item").alias("__found"))
+        new = written(state.join(ready, [group, "__item"], "left").select(group, "__item", F.coalesce("__leader", "__found").alias("__leader")), "leaders")
+        release(state)
+        state = new
+    raise RuntimeError(f"clusters not settled after {max_rounds} rounds")

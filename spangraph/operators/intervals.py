@@ -1,8 +1,8 @@
 """Half-open intervals [lo, hi) per key: overlap join, merge, subtraction, clusters and dense stretches.
 
 Null bounds and empty intervals (hi <= lo) take no part. An overlap join spreads each interval over the
-bins that it touches, joins on (key, bin) and keeps a pair only in the first bin that both touch, so no
-distinct is needed and no inequality join is planned.
+bins that it touches, short ones over fine bins and long ones over coarse bins, joins on (key, bin) and keeps a
+pair only in the first bin that both touch, so no distinct is needed and no inequality join is planned.
 """
 
 from __future__ import annotations
@@ -12,19 +12,38 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 
+SPAN, COARSE = 64, 4096  # bins that an interval may touch at its level, and how much wider the bins of the next level are
+
+
 def _binned(df: DataFrame, lo: str, hi: str, width: int) -> DataFrame:
+    """Adds the level of an interval and one row per bin, at its own level and at each coarser one.
+
+    Level 0 has bins of ``width``, level 1 bins ``COARSE`` times as wide, level 2 one bin for all; an interval lies
+    on the first level where it touches at most ``SPAN`` bins or so, so no interval, however long, becomes many rows.
+    """
     valid = df.where(F.col(lo).isNotNull() & F.col(hi).isNotNull() & (F.col(hi) > F.col(lo)))
-    bins = F.sequence(F.floor(F.col(lo) / width), F.floor((F.col(hi) - 1) / width))
-    return valid.withColumn("__bin", F.explode(bins))
+    size = F.coalesce(F.try_subtract(F.col(hi).cast("long"), F.col(lo).cast("long")), F.lit((1 << 63) - 1))
+    level = F.when(size <= width * SPAN, 0).when(size <= width * COARSE * SPAN, 1).otherwise(2)
+    bins = lambda at, w: F.when(F.col("__level") <= at, F.transform(F.sequence(F.floor(F.col(lo) / w), F.floor((F.col(hi) - 1) / w)), lambda b: F.struct(F.lit(at).alias("l"), b.alias("b"))))
+    none = F.array().cast("array<struct<l: int, b: bigint>>")
+    last = F.array(F.struct(F.lit(2).alias("l"), F.lit(0).cast("long").alias("b")))
+    laid = valid.withColumn("__level", level)
+    return laid.withColumn("__bin", F.explode(F.concat(F.coalesce(bins(0, width), none), F.coalesce(bins(1, width * COARSE), none), last)))
 
 
 def overlap_join(left: DataFrame, right: DataFrame, key: str, left_bounds: tuple[str, str], right_bounds: tuple[str, str], width: int) -> DataFrame:
-    """All pairs of overlapping intervals of one key. Other column names must differ between the sides."""
+    """All pairs of overlapping intervals of one key. Other column names must differ between the sides.
+
+    A pair is made at the coarser of the two levels, in the first bin there that both touch.
+    """
     (a, b), (c, d) = left_bounds, right_bounds
-    pairs = _binned(left, a, b, width).join(_binned(right, c, d, width), [key, "__bin"])
-    meet = (F.col(a) < F.col(d)) & (F.col(c) < F.col(b))
-    first = F.col("__bin") == F.floor(F.greatest(F.col(a), F.col(c)) / width)
-    return pairs.where(meet & first).drop("__bin")
+    one = _binned(left, a, b, width).withColumnRenamed("__level", "__a")
+    two = _binned(right, c, d, width).withColumnRenamed("__level", "__b")
+    pairs = one.join(two, [key, "__bin"])
+    meet = (F.col(a) < F.col(d)) & (F.col(c) < F.col(b)) & (F.greatest("__a", "__b") == F.col("__bin.l"))
+    begin = F.greatest(F.col(a), F.col(c))
+    first = F.when(F.col("__bin.l") == 0, F.floor(begin / width)).when(F.col("__bin.l") == 1, F.floor(begin / (width * COARSE))).otherwise(0)
+    return pairs.where(meet & (F.col("__bin.b") == first)).drop("__bin", "__a", "__b")
 
 
 def islands(df: DataFrame, keys: list[str], lo: str, hi: str, gap: Column | int = 0, tie: list[str] | None = None) -> DataFrame:

@@ -2,8 +2,8 @@
 
 ``delimiter_scores`` scores each candidate delimiter of a source on two things:
 
-* consistency: of the rows that hold the candidate, the share whose piece count under this candidate
-  alone equals the piece count under all candidates together (a row with two delimiters disagrees);
+* consistency: over the rows that hold the candidate, how much of the piece count under all candidates together
+  the candidate alone already gives (1 where the counts agree, less where a row mixes delimiters);
 * regularity: of the pieces that the candidate makes, the share whose shape (letter runs and digit
   runs collapsed) is a usual shape of the source's values, one that at least ``usual_share`` of its rows hold.
 
@@ -97,9 +97,11 @@ def delimiter_scores(
         .join(usual, "source")
     )
     regular = F.size(F.filter("own", lambda p: F.array_contains(F.col("usual"), p) | p.contains("q")))
+    # own pieces are never more than all pieces; a row of no values agrees
+    agree = F.coalesce(F.try_divide(F.size("own").cast("double"), F.size("pieces").cast("double")), F.lit(1.0))
     scored = tried.groupBy("source", "delimiter").agg(
         F.sum("n").alias("n_rows"),
-        (F.sum(F.when(F.size("own") == F.size("pieces"), F.col("n")).otherwise(0)) / F.sum("n")).alias("consistency"),
+        (F.sum(agree * F.col("n")) / F.sum("n")).alias("consistency"),
         F.coalesce(F.try_divide(F.sum(regular * F.col("n")), F.sum(F.size("own") * F.col("n"))), F.lit(0.0)).alias("regularity"),
     )
     return scored.withColumn("score", F.col("consistency") * F.col("regularity")).withColumn(

@@ -93,8 +93,8 @@ def event_links(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def event_components(spark: SparkSession, folder: str) -> DataFrame:
-    """Records merged through chains of links: component and its representative (most carriers, then larger, then least name)."""
-    comp = connected_components(event_links(spark, folder), "a", "b").withColumnRenamed("id", "variant_id")
+    """Records merged through chains of links, those without a link on their own: component and its representative (most carriers, then larger, then least name)."""
+    comp = connected_components(event_links(spark, folder), "a", "b", vertices=_events(spark, folder).select("variant_id")).withColumnRenamed("id", "variant_id")
     ac = carriers(spark, folder).groupBy("variant_id").agg(F.count(F.lit(1)).alias("ac"))
     size = _events(spark, folder).select("variant_id", "size")
     rows = comp.join(ac, "variant_id", "left").join(size, "variant_id")
@@ -307,8 +307,8 @@ lk AS (SELECT a.variant_id AS a, b.variant_id AS b FROM ev a JOIN ev b ON a.kind
 WEIGHTS = f"""WITH {SITES},
 al AS (SELECT bubble_id, signature, any_value(inside) AS inside, row_number() OVER (PARTITION BY bubble_id ORDER BY count(DISTINCT path_name) DESC, signature) AS allele FROM signed GROUP BY bubble_id, signature),
 one AS (SELECT bubble_id, allele, inside[i][2:] AS node_id, i FROM (SELECT *, unnest(generate_series(1, len(inside))) AS i FROM al)),
-wt AS (SELECT o.*, bp FROM (SELECT bubble_id, allele, node_id, row_number() OVER (PARTITION BY bubble_id, allele, node_id ORDER BY i) AS occurrence FROM one) o JOIN nodes USING (node_id) WHERE bp > 0),
-sz AS (SELECT bubble_id, allele, sum(bp) AS size FROM wt GROUP BY ALL)"""
+wt AS (SELECT o.*, greatest(coalesce(bp, 0), 1) AS bp FROM (SELECT bubble_id, allele, node_id, row_number() OVER (PARTITION BY bubble_id, allele, node_id ORDER BY i) AS occurrence FROM one) o LEFT JOIN nodes USING (node_id)),
+sz AS (SELECT al.bubble_id, al.allele, coalesce(sum(bp), 0) AS size FROM al LEFT JOIN wt USING (bubble_id, allele) GROUP BY ALL)"""
 
 ORACLES = {
     "record_frequencies": FREQ + " SELECT * FROM freq",
@@ -320,7 +320,7 @@ SELECT variant_id, sample, string_agg(slot, '|' ORDER BY slot) AS slots, count(*
     "event_links": EV + " SELECT a, b FROM lk",
     "event_components": EV
     + """, e2 AS (SELECT a AS x, b AS y FROM lk UNION SELECT b, a FROM lk),
-reach AS (SELECT DISTINCT x, x AS y FROM e2 UNION SELECT r.x, e2.y FROM reach r JOIN e2 ON r.y = e2.x),
+reach AS (SELECT variant_id AS x, variant_id AS y FROM ev UNION SELECT r.x, e2.y FROM reach r JOIN e2 ON r.y = e2.x),
 comp AS (SELECT x AS variant_id, min(y) AS component FROM reach GROUP BY x),
 ac AS (SELECT variant_id, count(*) AS ac FROM carriers GROUP BY variant_id)
 SELECT variant_id, component, first_value(variant_id) OVER (PARTITION BY component ORDER BY coalesce(ac, 0) DESC, size DESC, variant_id) AS representative
@@ -331,7 +331,7 @@ FROM (SELECT *, abs(greatest(ref_end - ref_start, coalesce(alt_bp, 0)) - event_b
     "insertion_subtypes": "SELECT kind, count(DISTINCT variant_id) AS n_variants, count(*) AS n_rows, sum(event_bp)::BIGINT AS bp, grouping(kind)::INT AS is_total FROM carrier_events GROUP BY ROLLUP (kind)",
     "allele_similarity": WEIGHTS
     + """, sh AS (SELECT w.bubble_id, w.allele, sum(w.bp) AS shared FROM wt w JOIN wt t ON t.allele = 1 AND t.bubble_id = w.bubble_id AND t.node_id = w.node_id AND t.occurrence = w.occurrence GROUP BY ALL)
-SELECT s.bubble_id, s.allele, round(coalesce(shared, 0) / (s.size + t.size - coalesce(shared, 0)), 6) AS jaccard
+SELECT s.bubble_id, s.allele, round(CASE WHEN s.size + t.size = 0 THEN 1 ELSE coalesce(shared, 0) / (s.size + t.size - coalesce(shared, 0)) END, 6) AS jaccard
 FROM sz s JOIN sz t ON t.allele = 1 AND t.bubble_id = s.bubble_id LEFT JOIN sh ON sh.bubble_id = s.bubble_id AND sh.allele = s.allele WHERE s.allele > 1""",
 }
 QUERIES = {f.__name__: f for f in (

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import bisect
+
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -80,12 +82,16 @@ def site_disjoint(spark: SparkSession, folder: str) -> DataFrame:
     rows = _site_spans(spark, folder).where("hi > lo").distinct()
 
     def pick(pdf: pd.DataFrame) -> pd.DataFrame:
+        """Kept intervals stay disjoint, so their sorted starts and ends tell by one search whether the next one fits."""
         pdf = pdf.assign(size=pdf["hi"] - pdf["lo"]).sort_values(["size", "lo", "bubble_id"])
-        kept: list[tuple[int, int]] = []
+        starts: list[int] = []
+        ends: list[int] = []
         out = []
         for name, bubble, lo, hi in pdf[["path_name", "bubble_id", "lo", "hi"]].itertuples(index=False):
-            if all(hi <= a or b <= lo for a, b in kept):
-                kept.append((lo, hi))
+            at = bisect.bisect_right(ends, lo)
+            if at == len(starts) or hi <= starts[at]:
+                starts.insert(at, lo)
+                ends.insert(at, hi)
                 out.append((name, bubble, lo, hi))
         return pd.DataFrame(out, columns=["path_name", "bubble_id", "lo", "hi"])
 

@@ -14,7 +14,7 @@ def _records(spark: SparkSession, folder: str) -> DataFrame:
     """(raw_id, contig, lo, hi): the good reference records as half-open intervals."""
     start = F.col("region_start_1based") - 1
     size = F.expr("try_cast(path_length_bp as bigint)")
-    return p5_good(spark, folder).select("raw_id", F.col("chrom").alias("contig"), start.alias("lo"), (start + size).alias("hi"))
+    return p5_good(spark, folder).select("raw_id", F.col("chrom").alias("contig"), start.alias("lo"), F.try_add(start, size).alias("hi"))
 
 
 def _walks(spark: SparkSession, folder: str) -> DataFrame:

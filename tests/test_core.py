@@ -1,6 +1,7 @@
 """Core operators on small fixtures: brute force, hand-derived numbers, round trips, and odd inputs."""
 
 import math
+import datetime
 import random
 
 import numpy as np
@@ -317,22 +318,8 @@ def test_kernel_tests_and_cauchy():
     assert tails.moment_tail(tails.moment_quantile(0.01, [2, 1, 1]), [2, 1, 1]) == pytest.approx(0.01, rel=1e-6)
 
 
-def test_read_errors_and_false_certain(spark):
-    import hashlib
-
-    def plain(text, seed, error, indels):
-        lost, doubled = error * (1 - indels / 2), error
-        out = []
-        for i, b in enumerate(text, 1):
-            u = int(hashlib.md5(f"{seed}|{i}".encode()).hexdigest()[:8], 16) / 2**32
-            out.append("CGTA"["ACGT".index(b)] if u < error * (1 - indels) else "" if u < lost else b * 2 if u < doubled else b)
-        return "".join(out)
-
-    texts = [("a", "ACGT" * 40), ("b", "T"), ("c", ""), ("d", None)]
-    rows_ = spark.createDataFrame(texts, "name string, text string")
-    made = {r.name: r.s for r in rows_.select("name", R.with_errors(F.col("text"), F.col("name"), 0.2, 0.5).alias("s")).collect()}
-    assert made == {n: plain(t, n, 0.2, 0.5) if t else t for n, t in texts} and made["a"] != texts[0][1]
-    seen = spark.createDataFrame([(3, 9, 10, False), (2, 9, 10, False), (8, 1, 10, False), (8, 9, 10, True)], "sites_p int, best int, kmers int, own boolean")
+def test_false_certain(spark):
+    seen = spark.createDataFrame([(3, True, False), (2, True, False), (8, False, False), (8, True, True)], "sites_p int, fit boolean, own boolean")
     counted = R.false_certain(seen, 2, 4)
     assert rows(counted, "cut", "false_certain", "screened") == [(2, 2, 3), (3, 1, 3), (4, 0, 3)]
     assert R.calibrated_cut(counted, 0.1, 2, 4).first() == (4, True) and R.calibrated_cut(counted, 0.4).first()[0] == 3
@@ -371,11 +358,13 @@ def test_store(spark, tmp_path):
 
 def test_streams(spark, tmp_path):
     spark.createDataFrame([("f1", "ACGTACGTT"), ("f2", "GGGGGGGG")], "fragment string, sequence string").write.parquet(str(tmp_path / "f"))
-    index = spark.createDataFrame([("L", "ACGTA", "P"), ("L", "CCCCC", "S")], "locus string, kmer string, cls string")
-    stream = spark.readStream.schema("fragment string, sequence string").parquet(str(tmp_path / "f"))
-    q = recruit_stream(stream, index, 5).writeStream.format("memory").queryName("labels").outputMode("complete").trigger(availableNow=True).start()
-    q.awaitTermination()
-    assert rows(spark.table("labels")) == [("f1", "L", 2, 0, 0), ("f2", "L", 0, 4, 0)]
+    code = lambda x: sum("ACGT".index(b) * 4 ** i for i, b in enumerate(reversed(x)))
+    known = [("L", code("ACGTA"), "P", True), ("L", code("CGTAC"), "P", False), ("L", code("CCCCC"), "S", True)]
+    index = spark.createDataFrame(known, "locus string, kmer long, cls string, screen boolean")
+    stream = spark.readStream.schema("fragment string, sequence string").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "f"))
+    recruit_stream(stream, index, 5, str(tmp_path / "verdicts"), str(tmp_path / "state"))
+    got = spark.read.parquet(str(tmp_path / "verdicts" / "batch=*"))
+    assert rows(got, "fragment", "locus", "n_p", "n_s", "n_n", "fate") == [("f1", "L", 4, 0, 1, "ambiguous"), ("f2", "L", 0, 4, 0, "ambiguous")]
     for name, data in (("a", [("r1", 10), ("r2", 20), ("r3", 400_000)]), ("b", [("r1", 60), ("r2", 300_000), ("r9", 500_000)])):
         spark.createDataFrame(data, "name string, pos long").write.parquet(str(tmp_path / name))
     sides = [spark.readStream.schema("name string, pos long").parquet(str(tmp_path / x)) for x in "ab"]
@@ -384,6 +373,58 @@ def test_streams(spark, tmp_path):
     assert ("r1", 10, 60) in rows(spark.table("mates")) and ("r2", 20, None) in rows(spark.table("mates"))
 
 
+def test_no_hit_is_lost_by_its_time(spark, tmp_path):
+    from spangraph.streaming.streams import store_stream
+
+    hit = "hit_id long, path_name string, kmer string, hit_count int, seen_at timestamp, loaded_at timestamp"
+    day = lambda d: datetime.datetime(2020, 1, d)
+    batches = [
+        [(1, "p", "ACG", 1, day(20), day(21)), (2, "p", "ACG", 2, None, day(21)), (7, None, "ACG", 5, None, None)],
+        [(3, "p", "ACG", 4, None, None), (1, "p", "ACG", 1, day(20), day(25)), (4, "p", "CGT", 8, day(1), day(2))],
+        [(2, "p", "ACG", 2, None, day(30)), (3, "p", "ACG", 4, None, None), (5, "p", "TTT", 16, None, day(3))],
+    ]
+    for i, data in enumerate(batches):
+        spark.createDataFrame(data, hit).coalesce(1).write.mode("append").parquet(str(tmp_path / "hits"))
+        stream = spark.readStream.schema(hit).parquet(str(tmp_path / "hits"))
+        store_stream(stream, str(tmp_path / "store"), str(tmp_path / "state"), "60 days" if i else None)
+    got = spark.read.parquet(str(tmp_path / "store" / "segment=*")).groupBy("kmer").agg(F.sum("n"))
+    assert rows(got) == [("AAA", 16), ("ACG", 15)]
+
+
+def test_mates_on_a_second_contig(spark, tmp_path):
+    schema, far = "name string, contig string, pos long", 200_000_000
+    sides = {"a": [("r1", "c1", far)], "b": [("r1", "c1", far + 50)]}, {"a": [("r2", "c2", 10)], "b": []}, {"a": [], "b": [("r2", "c2", 90), ("r2", "c1", 90)]}
+    for batch in sides:
+        for name, data in batch.items():
+            spark.createDataFrame(data, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / name))
+        streams = [spark.readStream.schema(schema).parquet(str(tmp_path / x)) for x in "ab"]
+        offsets = spark.createDataFrame([("c1", 0), ("c2", 250_000_000)], "contig string, offset long")
+        q = mates(*streams, offsets=offsets).writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "m")).trigger(availableNow=True).start()
+        q.awaitTermination()
+    assert {("r1", "c1", far, far + 50), ("r2", "c2", 10, 90)} <= set(rows(spark.read.parquet(str(tmp_path / "out"))))
+
+
+def test_intervals_of_any_length(spark):
+    left = spark.createDataFrame([("c", 0, 10**15, 1), ("c", 5, 9, 2), ("c", 10**9, 10**9 + 10**8, 3), ("c", -(2**62), 2**62, 4), ("c", 7, 7, 5), ("c", None, 3, 6)], "k string, a long, b long, i int")
+    right = spark.createDataFrame([("c", 8, 12, 1), ("c", 10**9 + 5, 10**9 + 6, 2), ("c", 10**14, 10**15 + 5, 3), ("d", 0, 9, 4)], "k string, c long, d long, j int")
+    assert rows(I.overlap_join(left, right, "k", ("a", "b"), ("c", "d"), 100), "i", "j") == [(1, 1), (1, 2), (1, 3), (2, 1), (3, 2), (4, 1), (4, 2), (4, 3)]
+
+
+def test_blocks_spell_the_walk(spark):
+    rng = random.Random(2)
+    texts = {str(i): "".join(rng.choice("ACGTN") for _ in range(rng.choice([1, 3, 40, 700]))) for i in range(30)}
+    walk = [(rng.choice("<>"), str(rng.randrange(32))) for _ in range(80)]
+    whole = "".join(revcomp(texts.get(n, "N" * 13)) if s == "<" else texts.get(n, "N" * 13) for s, n in walk)
+    walked = K.explode_steps(spark.createDataFrame([("p", "".join(s + n for s, n in walk))], "path_name string, walk string"))
+    nodes = K.distinct_nodes(spark.createDataFrame([*((k, v, None) for k, v in texts.items()), ("30", None, 13), ("31", "*", 13)], "node_id string, sequence string, length_bp long"))
+    for size, overlap in ((100, 0), (64, 20), (5000, 3)):
+        got = K.spelled_blocks(walked, nodes, size, overlap).orderBy("block").collect()
+        assert [r.text for r in got] == [whole[i : i + size + overlap] for i in range(0, len(whole), size)]
+    text = spark.createDataFrame([(1, whole.lower())], "i int, t string")
+    want = sorted((i, min(whole[i : i + 21], revcomp(whole[i : i + 21]))) for i in range(len(whole) - 20) if "N" not in whole[i : i + 21])
+    assert rows(S.kmer_codes(text, ["i"], "t", 21).select("pos", S.decode(F.col("kmer"), 21))) == want
+
+
 def test_graph_files(spark, tmp_path):
     text = "H\tVN:Z:1.0\nS\t1\tACGT\nS\t2\t*\tLN:i:7\nL\t1\t+\t2\t-\t*\nL\t1\t+\t2\t+\t3M\nP\tp\t1+,2-\t*\nW\ts\t1\tc\t0\t9\t>1<2\nW\ts\t2\tc\t*\t*\t>1>9\nS\t1\tA\nP\te\n"
     path = tmp_path / "g.gfa"
