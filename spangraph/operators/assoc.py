@@ -126,6 +126,64 @@ def score(stats: DataFrame) -> DataFrame:
     return out.withColumn("z", F.when(F.col("v") > 0, F.col("u") / F.sqrt("v")))
 
 
+def score_with_covariates(doses: DataFrame, pheno: DataFrame, covariates: list[str], rounds: int = 50) -> DataFrame:
+    """(feature, u, v, z) of the score test of a 0/1 phenotype beside an intercept and covariates.
+
+    The null model is fitted by reweighted least squares in rounds, each one aggregate over the samples that
+    brings (covariates + 1) squared sums to the driver. A feature then needs the sums of g(y - mu), g^2 w and g w x over its
+    carriers. Samples with any null take no part; raises if the null model has not settled.
+    """
+    axis = ["__1", *covariates]
+    known = pheno.select("sample", F.col("y").cast("double").alias("y"), *[F.col(c).cast("double").alias(c) for c in covariates]).dropna().withColumn("__1", F.lit(1.0))
+    beta = np.zeros(len(axis))
+
+    def with_mu(b: np.ndarray) -> DataFrame:
+        eta = sum((F.lit(float(v)) * F.col(a) for v, a in zip(b, axis)), F.lit(0.0))
+        mu = 1 / (1 + F.exp(-F.greatest(F.lit(-30.0), F.least(F.lit(30.0), eta))))
+        return known.withColumn("__mu", mu).withColumn("__w", F.col("__mu") * (1 - F.col("__mu")))
+
+    for _ in range(rounds):
+        at = with_mu(beta)
+        row = at.agg(*[F.sum(F.col("__w") * F.col(a) * F.col(b)) for a in axis for b in axis], *[F.sum((F.col("y") - F.col("__mu")) * F.col(a)) for a in axis]).first()
+        sums = np.array([x or 0.0 for x in row], float)
+        cov = np.linalg.pinv(sums[: len(axis) ** 2].reshape(len(axis), len(axis)))
+        step = cov @ sums[len(axis) ** 2 :]
+        beta = beta + step
+        if np.abs(step).max() < 1e-9:
+            break
+    else:
+        raise RuntimeError("the null model has not settled: a covariate may separate the cases")
+    g = F.col("dose").cast("double")
+    per = doses.join(with_mu(beta), "sample").groupBy("feature").agg(
+        F.sum(g * (F.col("y") - F.col("__mu"))).alias("u"), F.sum(g * g * F.col("__w")).alias("gg"), F.array(*[F.sum(g * F.col("__w") * F.col(a)) for a in axis]).alias("gx")
+    )
+    inner = sum((F.col("gx")[i] * F.col("gx")[j] * F.lit(float(cov[i, j])) for i in range(len(axis)) for j in range(len(axis))), F.lit(0.0))
+    out = per.withColumn("v", F.col("gg") - inner)
+    z = F.when(F.col("v") > 1e-9 * F.col("gg"), F.col("u") / F.sqrt("v"))
+    return out.select("feature", "u", "v", z.alias("z"))
+
+
+def genotypic(doses: DataFrame, pheno: DataFrame) -> DataFrame:
+    """(feature, classes, f, df1, df2): the means of the dose classes (no dose is class 0) against one mean."""
+    y = pheno.where("y is not null").select("sample", "y")
+    d = doses.where("dose <> 0").join(y, "sample").groupBy("feature", "dose").agg(F.count(F.lit(1)).alias("n"), F.sum("y").alias("s"))
+    whole = y.agg(F.struct(F.count("y").alias("n"), F.sum("y").alias("s"), F.sum(F.col("y") * F.col("y")).alias("ss")).alias("w"))
+    held = d.groupBy("feature").agg(F.sum("n").alias("n"), F.sum("s").alias("s"), F.count(F.lit(1)).alias("k"), F.sum(F.col("s") * F.col("s") / F.col("n")).alias("b"))
+    r = held.withColumn("w", whole.scalar()).withColumn("n0", F.col("w.n") - F.col("n")).withColumn("s0", F.col("w.s") - F.col("s"))
+    k = F.col("k") + F.when(F.col("n0") > 0, 1).otherwise(0)
+    between = F.col("b") + F.when(F.col("n0") > 0, F.col("s0") * F.col("s0") / F.col("n0")).otherwise(0.0) - F.col("w.s") * F.col("w.s") / F.col("w.n")
+    within = F.col("w.ss") - F.col("w.s") * F.col("w.s") / F.col("w.n") - between
+    f = F.when((k > 1) & (F.col("w.n") > k), (between / (k - 1)) / (within / (F.col("w.n") - k)))
+    return r.select("feature", k.alias("classes"), f.alias("f"), (k - 1).alias("df1"), (F.col("w.n") - k).alias("df2"))
+
+
+def burden(doses: DataFrame, pheno: DataFrame, group: str, most_carriers: int = 10) -> DataFrame:
+    """The linear test of the summed doses of the rare features of each group; ``feature`` holds the group."""
+    rare = doses.groupBy("feature").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") <= most_carriers).select("feature")
+    summed = doses.join(rare, "feature").groupBy(F.col(group).alias("feature"), "sample").agg(F.sum("dose").alias("dose"))
+    return linear(sums(summed, pheno))
+
+
 def running_counts(values: DataFrame, value: str, blocks: int = 256) -> DataFrame:
     """(value, block, c, upto): how often each distinct value occurs, and how many rows have at most that value.
 
@@ -195,18 +253,25 @@ def dense(samples: np.ndarray, rows: pd.DataFrame) -> np.ndarray:
 
 
 def effective_tests(matrix: np.ndarray) -> float:
-    """Li-Ji number of independent tests: for each eigenvalue of the correlation, [>= 1] plus its fraction."""
+    """Number of independent tests by Li and Ji (2005): over the eigenvalues x of the features' correlation, the sum of [x >= 1] + x - floor(x).
+
+    Eigenvalues are squared singular values of the standardised rows. Equal rows (or opposite ones) are kept once, with
+    their number as a weight, so that exact copies give exact whole numbers; a whole number is one reached within
+    the error bound of the decomposition. Rounded up, and never more than the features that vary.
+    """
     live = matrix[matrix.std(axis=1) > 0]
-    if len(live) < 2:
-        return float(len(live))
-    z = (live - live.mean(axis=1, keepdims=True)) / live.std(axis=1, keepdims=True)
-    gram = z @ z.T / z.shape[1] if len(z) <= z.shape[1] else z.T @ z / z.shape[1]
-    values = np.linalg.eigvalsh(gram)
-    top = values.max()
-    values = np.where(values < 1e-8 * top, 0.0, values)
-    near = np.rint(values)
-    values = np.where(np.abs(values - near) < 1e-6 * top, near, values)
-    return float(np.sum((values >= 1) + (values - np.floor(values))))
+    if not len(live):
+        return 0.0
+    z = live - live.mean(axis=1, keepdims=True)
+    z /= np.sqrt((z**2).sum(axis=1, keepdims=True))
+    lead = np.take_along_axis(z, np.argmax(np.abs(z) > 1e-12, axis=1)[:, None], axis=1)
+    kept, copies = np.unique(np.round(z * np.sign(lead), 12), axis=0, return_counts=True)
+    single = np.linalg.svd(kept * np.sqrt(copies)[:, None], compute_uv=False)
+    values = single**2
+    slack = 1e-9 + 4 * max(kept.shape) * np.finfo(float).eps * values[0]
+    whole = np.floor(values + slack)
+    total = float(np.minimum(whole, 1).sum() + np.maximum(values - whole, 0)[values > slack].sum())
+    return float(min(len(live), math.ceil(total - 1e-6)))
 
 
 def logistic(
@@ -214,7 +279,7 @@ def logistic(
 ) -> tuple[np.ndarray, np.ndarray]:
     """Coefficients and standard errors by reweighted least squares, with Jeffreys' penalty where ``firth``.
 
-    With ``counts`` a row stands for so many samples and ``y`` is their share of cases.
+    With ``counts`` a row stands for so many samples and ``y`` is their share of cases. NaN where the rounds do not settle.
     """
     times = np.ones(len(y)) if counts is None else counts
     beta = np.zeros(x.shape[1])
@@ -231,6 +296,8 @@ def logistic(
         beta += step
         if np.abs(step).max() < tol:
             break
+    else:  # not settled: no estimate is better than the last of a run that goes on
+        return np.full(len(beta), np.nan), np.full(len(beta), np.nan)
     return beta, np.sqrt(np.diag(cov))
 
 
@@ -318,36 +385,50 @@ def partial_t(m: np.ndarray, y: np.ndarray, base: np.ndarray) -> tuple[np.ndarra
     return np.where(ok, beta / np.sqrt(rss / max(df, 1) / np.where(ok, ss, 1)), np.nan), beta, df
 
 
+def variance_ratio(values: np.ndarray, ry: np.ndarray, rx: np.ndarray) -> float:
+    """The ratio of residual to kinship variance that maximises the restricted likelihood, on rotated data.
+
+    Roots of the likelihood's derivative in the ratio d: with weights 1 / (value + d), residuals r and their weighted sum
+    of squares q, it is df * sum(w^2 r^2) / q - sum(w) + tr((X'WX)^-1 X'W^2X). Signs are taken at powers of two over the
+    scale of the eigenvalues, each fall through zero is narrowed by bisection, and the likeliest of the
+    roots and of the two ends is the answer.
+    """
+    df = len(ry) - rx.shape[1]
+
+    def at(d: float) -> tuple[float, float]:
+        """(derivative, log-likelihood), both times two."""
+        w = 1 / (values + d)
+        inverse = np.linalg.pinv(rx.T @ (w[:, None] * rx))
+        r = ry - rx @ (inverse @ (rx.T @ (w * ry)))
+        q = max(float((w * r * r).sum()), 1e-300)
+        slope = df * float((w * w * r * r).sum()) / q - float(w.sum()) + float(np.trace(inverse @ (rx.T @ ((w * w)[:, None] * rx))))
+        return slope, -df * math.log(q / df) + float(np.log(w).sum()) + float(np.linalg.slogdet(inverse)[1])
+
+    scale = max(float(values.max()), 1e-12)
+    marks = [scale * 2.0**e for e in range(-24, 25)]
+    slopes = [at(d)[0] for d in marks]
+    found = [marks[0], marks[-1]]
+    for lo, hi, a, b in zip(marks, marks[1:], slopes, slopes[1:]):
+        if a > 0 >= b:
+            for _ in range(60):
+                mid = math.sqrt(lo * hi)
+                lo, hi = (mid, hi) if at(mid)[0] > 0 else (lo, mid)
+            found.append(math.sqrt(lo * hi))
+    return max(found, key=lambda d: at(d)[1])
+
+
 def mixed_null(y: np.ndarray, x: np.ndarray, kinship: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
-    """Variance ratio delta by restricted likelihood over a log grid and a golden-section search; eigenvalues and vectors."""
+    """Variance ratio of the null model, and eigenvalues and vectors of the kinship."""
     values, vectors = np.linalg.eigh(kinship)
     values = np.maximum(values, 0)
-    ry, rx = vectors.T @ y, vectors.T @ x
-
-    def minus(log_delta: float) -> float:
-        w = 1 / (values + 10**log_delta)
-        xtx = rx.T @ (w[:, None] * rx)
-        beta = np.linalg.solve(xtx, rx.T @ (w * ry))
-        rss = float(np.sum(w * (ry - rx @ beta) ** 2))
-        df = len(y) - x.shape[1]
-        return df * math.log(rss / df) - float(np.sum(np.log(w))) + float(np.linalg.slogdet(xtx)[1])
-
-    center = math.log10(max(values.mean(), 1e-12))
-    grid = [center - 5 + 0.1 * i for i in range(101)]
-    best = min(range(101), key=lambda i: minus(grid[i]))
-    lo, hi = grid[max(best - 1, 0)], grid[min(best + 1, 100)]
-    g = (math.sqrt(5) - 1) / 2
-    while hi - lo > 1e-8:
-        a, b = hi - g * (hi - lo), lo + g * (hi - lo)
-        lo, hi = (lo, b) if minus(a) < minus(b) else (a, hi)
-    return 10 ** ((lo + hi) / 2), values, vectors
-
-
-def mixed_test(g: np.ndarray, y: np.ndarray, x: np.ndarray, delta: float, values: np.ndarray, vectors: np.ndarray) -> tuple[float, float, float]:
-    """(beta, se, p) of one dosage under the mixed model with a fixed variance ratio."""
-    w = 1 / (values + delta)
+    return variance_ratio(values, vectors.T @ y, vectors.T @ x), values, vectors
+
+
+def mixed_test(g: np.ndarray, y: np.ndarray, x: np.ndarray, delta: float | None, values: np.ndarray, vectors: np.ndarray) -> tuple[float, float, float]:
+    """(beta, se, p) of one dosage under the mixed model; the variance ratio is fitted anew beside the dosage where ``delta`` is None."""
     z = vectors.T @ np.column_stack([x, g])
     ry = vectors.T @ y
+    w = 1 / (values + (variance_ratio(values, ry, z) if delta is None else delta))
     cov = np.linalg.pinv(z.T @ (w[:, None] * z))
     beta = cov @ (z.T @ (w * ry))
     df = len(y) - z.shape[1]

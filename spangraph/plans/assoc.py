@@ -114,16 +114,7 @@ def assoc_score(spark: SparkSession, folder: str) -> DataFrame:
 
 def assoc_genotypic(spark: SparkSession, folder: str) -> DataFrame:
     """F statistic of the means of the dose classes (no visit is class 0) against one mean."""
-    y = phenotypes(spark, folder).where("y is not null").select("sample", "y")
-    d = doses(spark, folder).join(y, "sample").groupBy("feature", "dose").agg(F.count(F.lit(1)).alias("n"), F.sum("y").alias("s"))
-    whole = y.agg(F.struct(F.count("y").alias("n"), F.sum("y").alias("s"), F.sum(F.col("y") * F.col("y")).alias("ss")).alias("w"))
-    held = d.groupBy("feature").agg(F.sum("n").alias("n"), F.sum("s").alias("s"), F.count(F.lit(1)).alias("k"), F.sum(F.col("s") * F.col("s") / F.col("n")).alias("b"))
-    r = held.withColumn("w", whole.scalar()).withColumn("n0", F.col("w.n") - F.col("n")).withColumn("s0", F.col("w.s") - F.col("s"))
-    k = F.col("k") + F.when(F.col("n0") > 0, 1).otherwise(0)
-    between = F.col("b") + F.when(F.col("n0") > 0, F.col("s0") * F.col("s0") / F.col("n0")).otherwise(0.0) - F.col("w.s") * F.col("w.s") / F.col("w.n")
-    within = F.col("w.ss") - F.col("w.s") * F.col("w.s") / F.col("w.n") - between
-    f = F.when((k > 1) & (F.col("w.n") > k), (between / (k - 1)) / (within / (F.col("w.n") - k)))
-    return r.select("feature", k.alias("classes"), F.round(f, 5).alias("f"))
+    return A.genotypic(doses(spark, folder), phenotypes(spark, folder)).select("feature", "classes", F.round("f", 5).alias("f"))
 
 
 def assoc_ranked(spark: SparkSession, folder: str) -> DataFrame:
@@ -149,13 +140,18 @@ def assoc_layers(spark: SparkSession, folder: str) -> DataFrame:
 
 def burden(spark: SparkSession, folder: str) -> DataFrame:
     """Linear test of the summed doses of the rare nodes of each locus (at most 10 carriers)."""
-    d = doses(spark, folder)
-    rare = d.groupBy("feature").agg(F.count(F.lit(1)).alias("c")).where("c <= 10").select("feature")
-    summed = d.join(rare, "feature").groupBy(F.col("graph_name").alias("feature"), "sample").agg(F.sum("dose").alias("dose"))
-    r = A.linear(A.sums(summed, phenotypes(spark, folder).select("sample", "y")))
+    r = A.burden(doses(spark, folder), phenotypes(spark, folder).select("sample", "y"), "graph_name")
     return r.select(F.col("feature").alias("graph_name"), "carriers", F.round("beta", 6).alias("beta"), F.round("t", 6).alias("t"))
 
 
+def assoc_meff(spark: SparkSession, folder: str) -> DataFrame:
+    """p of the linear test times the effective tests of the feature's locus, at most 1."""
+    p = _linear(spark, folder).where("t is not null").select("feature", A.t_p("t", (F.col("n") - 2).cast("double")).alias("p"))
+    loc = doses(spark, folder).select("graph_name", "feature").distinct()
+    held = p.join(loc, "feature").join(locus_meff(spark, folder).select("graph_name", "meff"), "graph_name")
+    return held.select("graph_name", "feature", "p", F.least(F.lit(1.0), F.col("p") * F.col("meff")).alias("p_meff"))
+
+
 def ld_pairs(spark: SparkSession, folder: str) -> DataFrame:
     n = paths(spark, folder).agg(F.count_distinct("sample_name"))
     out = A.pairs_r2(doses(spark, folder), n, "graph_name")
@@ -196,7 +192,7 @@ def _per_locus(spark: SparkSession, folder: str, run, schema: str) -> DataFrame:
 
 
 def locus_meff(spark: SparkSession, folder: str) -> DataFrame:
-    return _per_locus(spark, folder, lambda g, f, m, y, c: [(g, len(f), round(A.effective_tests(m), 6))], "graph_name string, n_features long, meff double")
+    return _per_locus(spark, folder, lambda g, f, m, y, c: [(g, len(f), A.effective_tests(m))], "graph_name string, n_features long, meff double")
 
 
 def locus_permutation(spark: SparkSession, folder: str, shuffles: int = 199, block_features: int = 512) -> DataFrame:
@@ -259,7 +255,7 @@ def locus_logistic(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def locus_mixed_model(spark: SparkSession, folder: str) -> DataFrame:
-    """Mixed-model test of each feature; the kinship is that of the locus's own dosages."""
+    """Mixed-model test of each feature; the kinship is that of the locus's own dosages, and the variance ratio is fitted with each feature."""
 
     def run(g, f, m, y, c):
         live = m[m.std(axis=1) > 0]
@@ -267,8 +263,8 @@ def locus_mixed_model(spark: SparkSession, folder: str) -> DataFrame:
             return []
         z = (live - live.mean(axis=1, keepdims=True)) / live.std(axis=1, keepdims=True)
         x = np.ones((len(y), 1))
-        delta, values, vectors = A.mixed_null(y, x, z.T @ z / len(z))
-        return [(g, name, *A.mixed_test(row, y, x, delta, values, vectors)) for name, row in zip(f, m) if row.std() > 0]
+        _, values, vectors = A.mixed_null(y, x, z.T @ z / len(z))
+        return [(g, name, *A.mixed_test(row, y, x, None, values, vectors)) for name, row in zip(f, m) if row.std() > 0]
 
     return _per_locus(spark, folder, run, "graph_name string, feature string, beta double, se double, p double")
 
@@ -398,25 +394,41 @@ def layer_bootstrap(spark: SparkSession, folder: str, resamples: int = 200) -> D
 
 
 def locus_rare_tails(spark: SparkSession, folder: str) -> DataFrame:
-    """Two-sided tails of the score of each feature on the 0/1 phenotype: counted for up to 16 carriers, else by saddlepoint."""
+    """Two-sided tails of the score of each feature on the 0/1 phenotype: counted by dose classes, and by saddlepoint."""
 
-    @F.pandas_udf("carriers long, method string, p double")
+    @F.pandas_udf("carriers long, p double, p_saddle double")
     def tail(classes: pd.Series, n: pd.Series, cases: pd.Series) -> pd.DataFrame:
         out = []
         for held, total, hit in zip(classes, n, cases):
             d = np.array([(c["dose"], c["k"], c["hit"]) for c in held], float)
             rate, carriers = hit / total, int(d[:, 1].sum())
             observed = float((d[:, 0] * (d[:, 2] - rate * d[:, 1])).sum())
-            if carriers <= 16:
-                out.append((carriers, "counted", tails.exact_tail(np.repeat(d[:, 0], d[:, 1].astype(int)), np.full(carriers, rate), observed)))
-            else:
-                out.append((carriers, "saddlepoint", tails.saddlepoint_tail(d[:, 0], np.full(len(d), rate), observed, d[:, 1])))
-        return pd.DataFrame(out, columns=["carriers", "method", "p"])
+            rates = np.full(len(d), rate)
+            out.append((carriers, tails.classes_tail(d[:, 0], d[:, 1], rates, observed), tails.saddlepoint_tail(d[:, 0], rates, observed, d[:, 1])))
+        return pd.DataFrame(out, columns=["carriers", "p", "p_saddle"])
 
     made = _case_classes(spark, folder).where("n >= 4").select("graph_name", "feature", tail("classes", "n", "cases").alias("r"))
     return made.select("graph_name", "feature", "r.*")
 
 
+def covariates(spark: SparkSession, folder: str) -> DataFrame:
+    """(sample, y, case, nation): the phenotypes with the customer's nation number as a covariate."""
+    who = phenotypes(spark, folder).withColumn("c_custkey", F.expr("try_cast(substring(sample, 4) as bigint)"))
+    return who.join(load(spark, folder, "customer").select("c_custkey", F.col("c_nationkey").cast("bigint").alias("nation")), "c_custkey").drop("c_custkey")
+
+
+def assoc_adjusted(spark: SparkSession, folder: str) -> DataFrame:
+    """The linear test of each feature beside the covariate."""
+    r = A.linear_with_covariates(doses(spark, folder), covariates(spark, folder), ["nation"])
+    return r.where("beta is not null").select("feature", F.round("beta", 4).alias("beta"), F.round("t", 5).alias("t"), F.col("df").cast("long").alias("df"))
+
+
+def assoc_score_adjusted(spark: SparkSession, folder: str) -> DataFrame:
+    """The score test of each feature beside the covariate."""
+    r = A.score_with_covariates(doses(spark, folder), covariates(spark, folder).select("sample", F.col("case").alias("y"), "nation"), ["nation"])
+    return r.select("feature", F.round("u", 6).alias("u"), F.round("v", 6).alias("v"), F.round("z", 6).alias("z"))
+
+
 PHENO = f"""pheno AS (SELECT sample, round(c_acctbal * 100)::BIGINT AS y, (c_mktsegment IN {SEGMENTS})::BIGINT AS "case"
   FROM (SELECT DISTINCT sample_name AS sample, try_cast(sample_name[4:] AS BIGINT) AS k FROM paths) JOIN customer ON c_custkey = k),
 doses AS (SELECT graph_name, node_id AS feature, sample_name AS sample, count(*) AS dose FROM steps GROUP BY ALL)"""
@@ -475,6 +487,12 @@ f3 AS (SELECT graph_name, feature, CASE WHEN yy - 2 * m * y + n * m * m > 1e-9 T
 SELECT graph_name, feature, count(r2) AS n_resamples, round(quantile_cont(r2, 0.025), 5) AS r2_low, round(quantile_cont(r2, 0.5), 5) AS r2_mid, round(quantile_cont(r2, 0.975), 5) AS r2_high FROM f3 GROUP BY ALL""",
     "burden": f"""{BASE}, rare AS (SELECT feature FROM doses GROUP BY feature HAVING count(*) <= 10), bd AS (SELECT graph_name AS feature, sample, sum(dose)::BIGINT AS dose FROM doses JOIN rare USING (feature) GROUP BY ALL),
 {_sums('bd', 'y')}, {LIN} SELECT feature AS graph_name, carriers, round(beta, 6) AS beta, round(t, 6) AS t FROM lin""",
+    "assoc_adjusted": f"""{BASE}, ph AS (SELECT sample, y::DOUBLE AS y, c_nationkey::DOUBLE AS c FROM pheno JOIN customer ON c_custkey = try_cast(sample[4:] AS BIGINT) WHERE y IS NOT NULL AND c_nationkey IS NOT NULL),
+w AS (SELECT count(*)::DOUBLE AS n, sum(c) AS c, sum(c * c) AS cc, sum(y) AS y, sum(y * y) AS yy, sum(c * y) AS cy FROM ph),
+f AS (SELECT feature, sum(dose)::DOUBLE AS g, sum(dose * dose)::DOUBLE AS gg, sum(dose * c) AS gc, sum(dose * ph.y) AS gy FROM doses JOIN ph USING (sample) GROUP BY feature),
+r AS (SELECT feature, n, gg - g * g / n AS sgg, gc - g * c / n AS sgc, gy - g * y / n AS sgy, cc - c * c / n AS scc, cy - c * y / n AS scy, yy - y * y / n AS syy FROM f, w),
+q AS (SELECT *, sgg - sgc * sgc / scc AS a, sgy - sgc * scy / scc AS b, syy - scy * scy / scc AS e FROM r)
+SELECT feature, round(b / a, 4) AS beta, round(b / a / sqrt(greatest(e - b * b / a, 0) / (n - 3) / a), 5) AS t, (n - 3)::BIGINT AS df FROM q WHERE a > 1e-9 * (sgg + 1e-300) AND a > 1e-6""",
     "ld_pairs": f"""{BASE}, p AS (SELECT graph_name, feature, sum(dose)::DOUBLE AS g, sum(dose * dose)::DOUBLE AS gg FROM doses GROUP BY ALL), n AS (SELECT count(DISTINCT sample_name)::DOUBLE AS n FROM paths),
 x AS (SELECT l.graph_name, l.feature AS a, r.feature AS b, sum(l.dose * r.dose)::DOUBLE AS gh FROM doses l JOIN doses r ON l.graph_name = r.graph_name AND l.sample = r.sample AND l.feature < r.feature GROUP BY ALL),
 y AS (SELECT x.*, n, n * gh - pa.g * pb.g AS cov, n * pa.gg - pa.g * pa.g AS va, n * pb.gg - pb.g * pb.g AS vb FROM x, n, p pa, p pb WHERE pa.graph_name = x.graph_name AND pa.feature = x.a AND pb.graph_name = x.graph_name AND pb.feature = x.b)
@@ -483,5 +501,5 @@ SELECT graph_name, a, b, round(CASE WHEN va * vb <> 0 THEN cov * cov / (va * vb)
 QUERIES = {f.__name__: f for f in (
     sample_dosage, pooled_dosage, dosage_scaled, minor_frequency, haplotype_pairs, pheno_ranks, pheno_inverse_normal, assoc_linear, assoc_tested, assoc_score,
     assoc_genotypic, assoc_ranked, assoc_lambda, assoc_layers, burden, ld_pairs, ld_clumps, locus_meff, locus_permutation, locus_logistic, locus_mixed_model,
-    locus_fine_map, locus_conditional, locus_kernel, locus_rare_tails, locus_optimal, layer_bootstrap,
+    locus_fine_map, locus_conditional, locus_kernel, locus_rare_tails, locus_optimal, layer_bootstrap, assoc_adjusted, assoc_score_adjusted, assoc_meff,
 )}

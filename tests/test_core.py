@@ -251,6 +251,53 @@ def test_mixture_and_rare_tails():
         assert tails.saddlepoint_tail(many, [0.1] * 16, observed - 0.5) == pytest.approx(tails.exact_tail(many, [0.1] * 16, observed), rel=0.6)
 
 
+def test_tails_by_dose_classes():
+    doses, rates = [1] * 5 + [2] * 4, [0.1] * 5 + [0.1] * 4
+    for observed in (0.0, 0.4, 2.3, 5.1, 11.7, 30.0):
+        assert tails.classes_tail([1, 2], [5, 4], [0.1, 0.1], observed) == pytest.approx(tails.exact_tail(doses, rates, observed), rel=1e-9, abs=1e-300)
+    assert tails.classes_tail([1, -2], [3, 2], [0.3, 0.6], 2.0) == pytest.approx(tails.exact_tail([1] * 3 + [-2] * 2, [0.3] * 3 + [0.6] * 2, 2.0), rel=1e-9)
+    # 400 carriers, hand-summed in logarithms
+    n, r, k = 400, 0.01, 30
+    want = sum(math.exp(math.lgamma(n + 1) - math.lgamma(i + 1) - math.lgamma(n - i + 1) + i * math.log(r) + (n - i) * math.log1p(-r)) for i in range(k, n + 1))
+    assert tails.classes_tail([1], [n], [r], k - n * r) == pytest.approx(want, rel=1e-7)
+    assert tails.saddlepoint_tail([1], [r], k - n * r - 0.5, [n]) == pytest.approx(want, rel=0.2)
+
+
+def test_score_test_beside_a_covariate(spark):
+    rng = np.random.default_rng(7)
+    g, c = rng.integers(0, 3, 300), rng.normal(size=300)
+    y = (rng.random(300) < 1 / (1 + np.exp(-(c + 0.5 * g - 1)))).astype(int)
+    pheno = spark.createDataFrame([(i, int(y[i]), float(c[i])) for i in range(300)] + [(999, None, 0.0)], "sample long, y long, c double")
+    doses = spark.createDataFrame([("f", i, int(v)) for i, v in enumerate(g) if v], "feature string, sample long, dose long")
+    got = A.score_with_covariates(doses, pheno, ["c"]).first()
+    x = np.column_stack([np.ones(300), c])
+    beta, _ = A.logistic(x, y.astype(float))
+    mu = 1 / (1 + np.exp(-x @ beta))
+    w = mu * (1 - mu)
+    v = (w * g * g).sum() - (w * g) @ x @ np.linalg.inv(x.T @ (w[:, None] * x)) @ x.T @ (w * g)
+    assert (got.u, got.v) == pytest.approx(((g * (y - mu)).sum(), v), rel=1e-6) and got.z == pytest.approx(got.u / math.sqrt(v), rel=1e-6)
+
+
+def test_effective_tests_and_variance_ratio():
+    rng = np.random.default_rng(9)
+    a, b = rng.normal(size=(2, 500))
+    assert A.effective_tests(np.array([a, a, -a, 3 * a + 1])) == 1.0 and A.effective_tests(np.array([a, a, np.ones(500)])) == 1.0
+    assert A.effective_tests(np.array([a, b])) == 2.0 and A.effective_tests(np.ones((3, 9))) == 0.0
+    half = rng.normal(size=(120, 60))
+    kinship = half @ half.T / 60
+    y = np.linalg.cholesky(kinship + 1e-6 * np.eye(120)) @ rng.normal(size=120) + 0.7 * rng.normal(size=120)
+    x = np.ones((120, 1))
+    delta, values, vectors = A.mixed_null(y, x, kinship)
+
+    def likelihood(d):
+        v = kinship + d * np.eye(120)
+        inv = np.linalg.inv(v)
+        r = y - x @ np.linalg.solve(x.T @ inv @ x, x.T @ inv @ y)
+        return -0.5 * (119 * math.log(r @ inv @ r) + np.linalg.slogdet(v)[1] + np.linalg.slogdet(x.T @ inv @ x)[1])
+
+    assert all(likelihood(delta) >= likelihood(delta * f) - 1e-9 for f in (0.5, 0.9, 0.99, 1.01, 1.1, 2.0))
+
+
 def test_correction(spark):
     p = [0.01, 0.04, 0.03, 0.005, None]
     out = A.adjusted(spark.createDataFrame([(str(i), v) for i, v in enumerate(p)], "feature string, p double"), "feature", "p")
@@ -421,7 +468,7 @@ def test_blocks_spell_the_walk(spark):
         got = K.spelled_blocks(walked, nodes, size, overlap).orderBy("block").collect()
         assert [r.text for r in got] == [whole[i : i + size + overlap] for i in range(0, len(whole), size)]
     text = spark.createDataFrame([(1, whole.lower())], "i int, t string")
-    want = sorted((i, min(whole[i : i + 21], revcomp(whole[i : i + 21]))) for i in range(len(whole) - 20) if "N" not in whole[i : i + 21])
+    want = sorted(((i, min(whole[i : i + 21], revcomp(whole[i : i + 21]))) for i in range(len(whole) - 20) if "N" not in whole[i : i + 21]), key=str)
     assert rows(S.kmer_codes(text, ["i"], "t", 21).select("pos", S.decode(F.col("kmer"), 21))) == want
 
 
