@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from spangraph.operators import sites as T
 from spangraph.operators import walks as K
 from spangraph.operators.intervals import merge
 from spangraph.operators.packed import unpack
@@ -85,28 +86,7 @@ def site_alleles(spark: SparkSession, folder: str) -> DataFrame:
 
 def site_support(spark: SparkSession, folder: str) -> DataFrame:
     """Support, alleles and size range of each site; the reference is the least path of the site's crossings."""
-    read = read_crossings(spark, folder)
-    sized = (
-        read.select("bubble_id", "path_name", "crossing", "signature", F.explode_outer("inside").alias("step"))
-        .withColumn("node_id", F.expr("substring(step, 2)"))
-        .join(nodes(spark, folder), "node_id", "left")
-        .groupBy("bubble_id", "path_name", "crossing", "signature")
-        .agg(F.sum(F.coalesce("bp", F.lit(0))).alias("bp"), F.coalesce(F.bool_or(F.col("step").startswith("<")), F.lit(False)).alias("inverted"))
-    )
-    first = F.min(F.struct("path_name", "crossing", "signature")).over(W.partitionBy("bubble_id"))["signature"]
-    marked = sized.withColumn("is_ref", F.col("signature") == first)
-    alleles = marked.groupBy("bubble_id", "signature").agg(
-        F.count_distinct("path_name").alias("n"), F.bool_or("is_ref").alias("is_ref"), F.min("bp").alias("bp"), F.bool_or("inverted").alias("inverted")
-    )
-    support = read.groupBy("bubble_id").agg(F.count_distinct("path_name").alias("path_support"))
-    out = alleles.groupBy("bubble_id").agg(
-        F.count(F.lit(1)).alias("distinct_alleles"),
-        F.max(F.when(F.col("is_ref"), F.col("n"))).alias("ref_support"),
-        F.coalesce(F.max(F.when(~F.col("is_ref"), F.col("n"))), F.lit(0)).alias("alt_support_max"),
-        F.coalesce(F.min(F.when(~F.col("is_ref"), F.col("n"))), F.lit(0)).alias("alt_support_min"),
-        F.min("bp").alias("min_inside_bp"), F.max("bp").alias("max_inside_bp"), F.bool_or("inverted").alias("inversion_signal"),
-    )
-    return out.join(support, "bubble_id")
+    return T.support(read_crossings(spark, folder), nodes(spark, folder))
 
 
 def site_filtered(spark: SparkSession, folder: str) -> DataFrame:
