@@ -56,6 +56,30 @@ def interior(read: DataFrame) -> DataFrame:
     return inside.groupBy("bubble_id", F.expr("substring(step, 2)").alias("node_id")).agg(F.count_distinct("path_name").alias("n_paths"))
 
 
+def backbone_sites(steps: DataFrame, least_share: float = 1.0) -> DataFrame:
+    """(bubble_id, graph_name, source_node, source_orient, sink_node, sink_orient): the stretches between neighbouring backbone nodes.
+
+    A backbone node is one that at least ``least_share`` of its graph's walks take, and none twice. Sites follow the reference; a stretch that the
+    reference crosses without a step counts when some other walk has steps in it. ``bubble_id`` numbers the sites of a
+    graph, after a digest of its name. These are the outermost sites; where walks are partial there is no backbone and so no site.
+    """
+    per = steps.groupBy("graph_name", "node_id", "path_name").agg(F.count(F.lit(1)).alias("n"))
+    held = per.groupBy("graph_name", "node_id").agg(F.count(F.lit(1)).alias("paths"), F.max("n").alias("most"))
+    whole = steps.groupBy("graph_name").agg(F.count_distinct("path_name").alias("all"))
+    firm = held.join(whole, "graph_name").where((F.col("most") == 1) & (F.col("paths") >= F.lit(least_share) * F.col("all"))).select("graph_name", "node_id")
+    order = W.partitionBy("graph_name", "path_name").orderBy("idx")
+    ends = steps.join(firm, ["graph_name", "node_id"]).withColumn("sink", F.lead(F.struct("node_id", "reverse", "idx")).over(order)).where("sink is not null")
+    wide = ends.groupBy("graph_name", F.least("node_id", "sink.node_id").alias("lo"), F.greatest("node_id", "sink.node_id").alias("hi")).agg(F.max(F.col("sink.idx") - F.col("idx")).alias("gap")).where("gap > 1")
+    ref = ends.join(reference_of(steps), ["graph_name", "path_name"]).withColumn("lo", F.least("node_id", "sink.node_id")).withColumn("hi", F.greatest("node_id", "sink.node_id"))
+    kept = ref.join(wide.select("graph_name", "lo", "hi"), ["graph_name", "lo", "hi"])
+    sign = lambda c: F.when(F.col(c), "-").otherwise("+")
+    number = F.row_number().over(W.partitionBy("graph_name").orderBy("idx"))
+    return kept.select(
+        (F.shiftleft(F.conv(F.substring(F.md5("graph_name"), 1, 10), 16, 10).cast("bigint"), 20) + number).alias("bubble_id"), "graph_name",
+        F.col("node_id").alias("source_node"), sign("reverse").alias("source_orient"), F.col("sink.node_id").alias("sink_node"), sign("sink.reverse").alias("sink_orient"),
+    )
+
+
 def reference_of(steps: DataFrame) -> DataFrame:
     """(graph_name, path_name): the reference of each graph."""
     return steps.groupBy("graph_name").agg(F.min("path_name").alias("path_name"))
@@ -110,15 +134,11 @@ def allele_texts(read: DataFrame, nodes: DataFrame) -> DataFrame:
     return steps.join(nodes, "node_id", "left").groupBy("bubble_id", "signature").agg(F.upper(F.array_join(F.transform(ordered, lambda p: p["t"]), "")).alias("text"))
 
 
-def with_common_prefix(df: DataFrame, a: Column, b: Column, out: str, bits: int = 31) -> DataFrame:
-    """Adds how many letters two texts have in common from their start, a power of two at a time; linear in the texts."""
-    df = df.withColumn("__p", a).withColumn("__q", b).withColumn(out, F.lit(0))
-    most = F.least(F.length("__p"), F.length("__q"))
-    for bit in range(bits - 1, -1, -1):
-        size = F.lit(1 << bit)
-        same = (F.col(out) + size <= most) & (F.col("__p").substr(F.col(out) + 1, size) == F.col("__q").substr(F.col(out) + 1, size))
-        df = df.withColumn(out, F.when(F.coalesce(same, F.lit(False)), F.col(out) + size).otherwise(F.col(out)))
-    return df.drop("__p", "__q")
+def common_prefix(a: Column, b: Column, bits: int = 31) -> Column:
+    """How many letters two texts have in common from their start, a power of two at a time; linear in the texts."""
+    fits = lambda n, size: (n + size <= F.least(F.length(a), F.length(b))) & (a.substr(n + 1, size) == b.substr(n + 1, size))
+    sizes = F.array(*[F.lit(1 << bit) for bit in range(bits - 1, -1, -1)])
+    return F.aggregate(sizes, F.lit(0), lambda n, size: F.when(F.coalesce(fits(n, size), F.lit(False)), n + size).otherwise(n))
 
 
 def normalised(pairs: DataFrame, ref: str, alt: str, longest_bits: int = 20) -> DataFrame:
@@ -127,10 +147,9 @@ def normalised(pairs: DataFrame, ref: str, alt: str, longest_bits: int = 20) ->
     The common end is cut off before the common start, so a pure insertion or deletion comes out left-aligned within the
     texts; ``homlen`` is how far it could slide to the right again. Texts have fewer than 2^``longest_bits`` letters.
     """
-    rows = with_common_prefix(pairs, F.reverse(F.col(ref)), F.reverse(F.col(alt)), "__tail", longest_bits)
-    r0, a0 = F.left(F.col(ref), F.length(ref) - F.col("__tail")), F.left(F.col(alt), F.length(alt) - F.col("__tail"))
-    rows = with_common_prefix(rows.withColumn("__r", r0).withColumn("__a", a0), F.col("__r"), F.col("__a"), "pos", longest_bits)
-    rows = with_common_prefix(rows, F.col(ref), F.col(alt), "__head", longest_bits)
+    rows = pairs.withColumn("__x", F.reverse(F.col(ref))).withColumn("__y", F.reverse(F.col(alt))).withColumn("__tail", common_prefix(F.col("__x"), F.col("__y"), longest_bits))
+    rows = rows.withColumn("__r", F.left(F.col(ref), F.length(ref) - F.col("__tail"))).withColumn("__a", F.left(F.col(alt), F.length(alt) - F.col("__tail"))).drop("__x", "__y")
+    rows = rows.withColumn("pos", common_prefix(F.col("__r"), F.col("__a"), longest_bits)).withColumn("__head", common_prefix(F.col(ref), F.col(alt), longest_bits))
     part = lambda x: F.substring(F.col(x), F.col("pos") + 1, F.length(x))
     rows = rows.withColumn("ref_part", part("__r")).withColumn("alt_part", part("__a"))
     pure = (F.col("ref_part") == "") != (F.col("alt_part") == "")

@@ -12,13 +12,15 @@ from pyspark.sql import functions as F
 
 
 class KmerStore:
-    def __init__(self, spark: SparkSession, folder: str, files: int = 8) -> None:
+    def __init__(self, spark: SparkSession, folder: str, files: int | None = None) -> None:
+        """``files`` fixes how many files a segment has; without it Spark sizes them by the data."""
         self.spark, self.folder, self.files = spark, folder, files
 
     def add(self, segment: str, rows: DataFrame) -> None:
         """``rows`` is (kmer, n); equal k-mers add up, null k-mers are left out."""
         counts = rows.where("kmer is not null").groupBy("kmer").agg(F.sum("n").cast("bigint").alias("n"))
-        sorted_rows = counts.repartition(self.files, "kmer").sortWithinPartitions("kmer")
+        laid = counts.hint("rebalance", "kmer") if self.files is None else counts.repartition(self.files, "kmer")
+        sorted_rows = laid.sortWithinPartitions("kmer")
         sorted_rows.write.mode("overwrite").parquet(f"{self.folder}/segment={segment}")
 
     def segments(self) -> DataFrame:
@@ -30,7 +32,9 @@ class KmerStore:
 
     def lookup(self, wanted: DataFrame) -> DataFrame:
         """``wanted`` (kmer, ...) with ``n``, 0 where the store has none."""
-        return wanted.join(self.dump(), "kmer", "left").withColumn("n", F.coalesce("n", F.lit(0)))
+        asked = wanted.select("kmer").where("kmer is not null").distinct()
+        held = self.segments().join(asked, "kmer", "left_semi").groupBy("kmer").agg(F.sum("n").alias("n"))
+        return wanted.join(held, "kmer", "left").withColumn("n", F.coalesce("n", F.lit(0)))
 
     def compact(self, into: str) -> None:
         """All segments as one, in a new store folder."""

@@ -26,6 +26,11 @@ def site_interior(spark: SparkSession, folder: str) -> DataFrame:
     return T.interior(read_crossings(spark, folder))
 
 
+def sites_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Sites found from the walks alone, between nodes that at least half of the graph's walks take, and none twice."""
+    return T.backbone_sites(steps(spark, folder, "graph_name"), 0.5)
+
+
 def site_widened(spark: SparkSession, folder: str) -> DataFrame:
     located = K.coordinates(steps(spark, folder, "graph_name"), nodes(spark, folder))
     return T.widened(sites(spark, folder), located)
@@ -110,6 +115,13 @@ ORACLES = {
     "site_status": f"""WITH {SUPPORT} SELECT bubble_id, CASE WHEN path_support < 3 THEN 'few_paths' WHEN distinct_alleles < 2 THEN 'one_allele' WHEN alt_support_max < 2 THEN 'rare_alternative'
   WHEN max_inside_bp > 100000 THEN 'too_long' WHEN max_inside_bp < 50 AND NOT inversion_signal THEN 'too_short' ELSE 'kept' END AS status FROM support""",
     "site_interior": f"WITH {SITES} SELECT bubble_id, x[2:] AS node_id, count(DISTINCT path_name) AS n_paths FROM (SELECT bubble_id, path_name, unnest(inside) AS x FROM signed) GROUP BY ALL",
+    "sites_found": f"""WITH {STEPS}, {_REF}, pc AS (SELECT graph_name, node_id, path_name, count(*) AS n FROM steps GROUP BY ALL),
+fm AS (SELECT graph_name, node_id FROM pc JOIN (SELECT graph_name, count(DISTINCT path_name) AS a FROM steps GROUP BY graph_name) USING (graph_name) GROUP BY graph_name, node_id HAVING max(n) = 1 AND count(*) >= 0.5 * any_value(a)),
+en AS (SELECT graph_name, path_name, idx, node_id, reverse, lead(node_id) OVER w AS tn, lead(reverse) OVER w AS tr, lead(idx) OVER w AS ti FROM steps JOIN fm USING (graph_name, node_id) WINDOW w AS (PARTITION BY graph_name, path_name ORDER BY idx)),
+wd AS (SELECT graph_name, least(node_id, tn) AS lo, greatest(node_id, tn) AS hi FROM en WHERE tn IS NOT NULL GROUP BY ALL HAVING max(ti - idx) > 1),
+kp AS (SELECT en.* FROM en JOIN rp USING (graph_name, path_name) JOIN wd ON wd.graph_name = en.graph_name AND wd.lo = least(node_id, tn) AND wd.hi = greatest(node_id, tn))
+SELECT ('0x' || md5(graph_name)[1:10])::BIGINT * 1048576 + row_number() OVER (PARTITION BY graph_name ORDER BY idx) AS bubble_id, graph_name, node_id AS source_node,
+  CASE WHEN reverse THEN '-' ELSE '+' END AS source_orient, tn AS sink_node, CASE WHEN tr THEN '-' ELSE '+' END AS sink_orient FROM kp""",
     "site_widened": f"""WITH {SITES}, {_COORD}, {_REF},
 vi AS (SELECT node_id, max(n) AS most FROM (SELECT node_id, path_name, count(*) AS n FROM steps GROUP BY ALL) GROUP BY node_id),
 rf AS (SELECT co.*, most, count(*) OVER (PARTITION BY graph_name, node_id) AS n FROM co JOIN rp USING (graph_name, path_name) JOIN vi USING (node_id)),
@@ -163,6 +175,6 @@ SELECT graph_name, node_id, bucket, flipped, row_number() OVER (PARTITION BY gra
     "step_tokens": f"WITH {STEPS} SELECT DISTINCT step, ('0x' || md5(step)[1:15])::BIGINT AS token FROM steps",
 }
 QUERIES = {f.__name__: f for f in (
-    site_status, site_interior, site_widened, site_rescued, allele_normalised, insertion_novelty, private_dosage, private_runs, copy_split, walk_inversions,
+    sites_found, site_status, site_interior, site_widened, site_rescued, allele_normalised, insertion_novelty, private_dosage, private_runs, copy_split, walk_inversions,
     tandem_units, node_order, step_tokens,
 )}

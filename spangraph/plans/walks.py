@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from spangraph.operators import sites as T
 from spangraph.operators import walks as K
+from spangraph.operators.alleles import alleles
 from spangraph.operators.intervals import merge
 from spangraph.operators.packed import unpack
 from spangraph.plans.packed import ORACLES as PACKED
@@ -78,10 +79,7 @@ def site_crossings(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def site_alleles(spark: SparkSession, folder: str) -> DataFrame:
-    grouped = read_crossings(spark, folder).groupBy("bubble_id", "signature").agg(
-        F.count_distinct("path_name").alias("n_paths"), F.count(F.lit(1)).alias("n_crossings")
-    )
-    return grouped.withColumn("allele", F.row_number().over(W.partitionBy("bubble_id").orderBy(F.desc("n_paths"), "signature")))
+    return alleles(read_crossings(spark, folder))
 
 
 def site_support(spark: SparkSession, folder: str) -> DataFrame:

@@ -28,13 +28,14 @@ def write_sites(rows: DataFrame, path: str) -> None:
 def read_vcf(spark: SparkSession, path: str) -> DataFrame:
     """(chrom, pos, id, ref, alt, info map, sample, values map), one row per record and sample column; ``.`` is null."""
     rows = spark.read.text(path)
-    header = rows.where(F.col("value").startswith("#CHROM")).select(F.expr("slice(split(value, '\t'), 10, 1000000)").alias("samples"))
+    header = rows.where(F.col("value").startswith("#CHROM")).select(F.expr("slice(split(value, '\t'), 10, greatest(size(split(value, '\t')) - 9, 0))").alias("samples"), F.input_file_name().alias("file"))
     f = F.split("value", "\t")
     body = rows.where(~F.col("value").startswith("#") & (F.col("value") != "")).withColumn("f", f)
     null = lambda c: F.when(c != ".", c)
-    named = body.withColumn("samples", header.scalar()).select(
-        F.col("f")[0].alias("chrom"), F.col("f")[1].cast("bigint").alias("pos"), null(F.col("f")[2]).alias("id"), F.col("f")[3].alias("ref"), null(F.col("f")[4]).alias("alt"),
-        F.str_to_map(F.col("f")[7], F.lit(";"), F.lit("=")).alias("info"), F.split(F.get("f", F.lit(8)), ":").alias("keys"), F.expr("slice(f, 10, 1000000)").alias("cells"), "samples",
+    # every file has its own header, one row each
+    named = body.withColumn("file", F.input_file_name()).join(F.broadcast(header.groupBy("file").agg(F.first("samples").alias("samples"))), "file").select(
+        F.col("f")[0].alias("chrom"), F.col("f")[1].try_cast("bigint").alias("pos"), null(F.col("f")[2]).alias("id"), F.col("f")[3].alias("ref"), null(F.col("f")[4]).alias("alt"),
+        F.str_to_map(F.col("f")[7], F.lit(";"), F.lit("=")).alias("info"), F.split(F.get("f", F.lit(8)), ":").alias("keys"), F.expr("slice(f, 10, greatest(size(f) - 9, 0))").alias("cells"), "samples",
     )
     each = named.withColumn("z", F.explode(F.arrays_zip("samples", "cells"))).drop("samples", "cells")
     values = F.map_from_arrays(F.slice("keys", 1, F.size(F.split("z.cells", ":"))), F.transform(F.split("z.cells", ":"), null))
@@ -68,7 +69,7 @@ def read_dosages(spark: SparkSession, path: str, samples: list[str]) -> DataFram
     rows = spark.read.text(path).where("value <> ''").select(f.alias("f"))
     names = F.array(*[F.lit(s) for s in samples])
     each = rows.select(F.col("f")[0].alias("feature"), F.explode(F.arrays_zip(names.alias("s"), F.slice("f", 4, len(samples)).alias("d"))).alias("z"))
-    return each.select("feature", F.col("z.s").alias("sample"), F.when(~F.col("z.d").isin(*MISSING), F.col("z.d").cast("double")).alias("dose"))
+    return each.select("feature", F.col("z.s").alias("sample"), F.when(~F.col("z.d").isin(*MISSING), F.col("z.d").try_cast("double")).alias("dose"))
 
 
 def write_dosages(doses: DataFrame, samples: list[str], path: str) -> None:
@@ -91,7 +92,7 @@ def read_phenotypes(spark: SparkSession, path: str) -> DataFrame:
 def read_sample_slots(spark: SparkSession, path: str) -> DataFrame:
     """(sample, slot, contig): a row per contig of each haplotype slot; slots are tab-separated, contigs comma-separated."""
     f = F.split("value", "\t")
-    slots = spark.read.text(path).where("value <> '' and not startswith(value, '#')").select(f[0].alias("sample"), F.posexplode(F.expr("slice(split(value, '\t'), 2, 1000)")).alias("slot", "contigs"))
+    slots = spark.read.text(path).where("value <> '' and not startswith(value, '#')").select(f[0].alias("sample"), F.posexplode(F.expr("slice(split(value, '\t'), 2, greatest(size(split(value, '\t')) - 1, 0))")).alias("slot", "contigs"))
     return slots.select("sample", "slot", F.explode(F.split("contigs", ",")).alias("contig")).where("contig not in ('', '.')")
 
 
@@ -163,3 +164,101 @@ def write_counts(counts: DataFrame, path: str) -> None:
     """(path_name, feature, n) as one JSON line per path with its sparse counts."""
     rows = counts.groupBy("path_name").agg(F.sort_array(F.collect_list(F.struct("feature", "n"))).alias("counts"))
     rows.select(F.to_json(F.struct("path_name", "counts")).alias("value")).write.mode("overwrite").text(path)
+
+
+def read_kinship(spark: SparkSession, path: str, samples: list[str]) -> DataFrame:
+    """(a, b, value) of a square matrix of text, one row per cell, blanks or commas between; rows in the order of ``samples``.
+
+    Cells that are no number are null. ``kinship_problems`` tells what is wrong with the matrix.
+    """
+    cells = F.filter(F.split(F.trim("value"), r"[\s,]+"), lambda c: c != "")
+    names = F.array(*[F.lit(s) for s in samples])
+    rows = numbered_lines(spark, path).where(F.trim("value") != "").select(F.get(names, F.col("line_no").cast("int")).alias("a"), F.posexplode(cells).alias("j", "c"))
+    return rows.select("a", F.get(names, F.col("j")).alias("b"), F.col("c").try_cast("double").alias("value"))
+
+
+def kinship_problems(matrix: DataFrame, n: int, tolerance: float = 1e-6) -> DataFrame:
+    """(reason, a, b): cells outside the samples, without a number, without a partner, or that differ from their mirror image."""
+    other = matrix.select(F.col("b").alias("a"), F.col("a").alias("b"), F.col("value").alias("mirror"), F.lit(True).alias("met"))
+    both = matrix.join(other, ["a", "b"], "left")
+    why = (
+        F.when(F.col("a").isNull() | F.col("b").isNull(), f"not {n} by {n}").when(F.col("value").isNull(), "no number")
+        .when(F.col("met").isNull(), "no mirror").when(F.abs(F.col("value") - F.col("mirror")) > tolerance, "not symmetric")
+    )
+    return both.select(why.alias("reason"), "a", "b").where("reason is not null")
+
+
+def census(spark: SparkSession, path: str) -> DataFrame:
+    """(kind, n): how many records of each kind a text file of tab-separated records holds, by its first field."""
+    rows = spark.read.text(path).where("value <> ''")
+    return rows.groupBy(F.split_part("value", F.lit("\t"), F.lit(1)).alias("kind")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def write_matrix(doses: DataFrame, path: str, most: int = 250_000) -> None:
+    """Path by feature counts as one wide table; refused, not cut, beyond ``most`` features."""
+    names = [r[0] for r in doses.select("feature").distinct().orderBy("feature").limit(most + 1).collect()]
+    if len(names) > most:
+        raise ValueError(f"more than {most} features: write the sparse counts instead")
+    wide = doses.groupBy("path_name").pivot("feature", names).agg(F.sum("n"))
+    wide.na.fill(0).write.mode("overwrite").csv(path, header=True, sep="\t")
+
+
+def write_tsv(rows: DataFrame, path: str, lists: str = ",") -> None:
+    """A table with a header, lists joined, nulls as ``.``: unit graphs, copies, events, nodes of variants."""
+    out = [F.array_join(c, lists).alias(c) if kind.startswith("array") else F.col(f"`{c}`").cast("string").alias(c) for c, kind in rows.dtypes]
+    rows.select(*out).write.mode("overwrite").csv(path, header=True, sep="\t", nullValue=".", emptyValue="", quote="")
+
+
+def read_tsv(spark: SparkSession, path: str, schema: str, lists: dict[str, str] | None = None) -> DataFrame:
+    """The same table back, by header names; columns of ``lists`` are split at the given text, cells that do not parse are null."""
+    rows = spark.read.csv(path, header=True, sep="\t", quote="", nullValue=".")
+    want = spark.createDataFrame([], schema).schema
+    cell = lambda f: F.split(f.name, (lists or {})[f.name]) if f.name in (lists or {}) else F.col(f.name).try_cast(f.dataType)
+    return rows.select(*[(cell(f) if f.name in rows.columns else F.lit(None).cast(f.dataType)).alias(f.name) for f in want])
+
+
+def write_reads(reads: DataFrame, path: str, *by: str) -> None:
+    """(name, sequence, quality) as read records of four lines, in one folder per value of the columns ``by``."""
+    quality = F.coalesce("quality", F.repeat(F.lit("I"), F.length("sequence")))
+    reads.select(*by, F.concat(F.lit("@"), "name", F.lit("\n"), "sequence", F.lit("\n+\n"), quality).alias("value")).write.mode("overwrite").partitionBy(*by).text(path)
+
+
+def split_sequences(records: DataFrame, key: str, columns: list[str], most_bp: int) -> tuple[DataFrame, DataFrame]:
+    """(records, sequences): texts longer than ``most_bp`` moved to a table (name, sequence), the record keeping ``<name>`` in their place."""
+    name = lambda c: F.concat(F.lit("<"), F.col(key), F.lit("." + c + ">"))
+    long = lambda c: F.length(c) > most_bp
+    each = F.filter(F.array(*[F.struct(F.concat(F.col(key), F.lit("." + c)).alias("name"), F.when(long(c), F.col(c)).alias("sequence")) for c in columns]), lambda x: x["sequence"].isNotNull())
+    return records.withColumns({c: F.when(long(c), name(c)).otherwise(F.col(c)) for c in columns}), records.select(F.inline(each))
+
+
+def join_sequences(records: DataFrame, sequences: DataFrame, columns: list[str]) -> DataFrame:
+    """The records of ``split_sequences`` with their texts back in place."""
+    for c in columns:
+        held = sequences.select(F.concat(F.lit("<"), "name", F.lit(">")).alias(c), F.col("sequence").alias("__t"))
+        records = records.join(held, c, "left").withColumn(c, F.coalesce("__t", c)).drop("__t")
+    return records
+
+
+def write_fasta(sequences: DataFrame, path: str) -> None:
+    """(name, sequence), a record in two lines."""
+    sequences.select(F.concat(F.lit(">"), "name", F.lit("\n"), "sequence").alias("value")).write.mode("overwrite").text(path)
+
+
+def staged(spark: SparkSession, outputs: dict, path: str) -> None:
+    """Several writers, all or nothing: ``outputs`` maps a name to a function of a folder; a failure leaves ``path`` as it was.
+
+    Everything is written to a folder beside the target, which then takes its name in one rename; an existing target is refused.
+    """
+    context = spark.sparkContext
+    fs_path = context._jvm.org.apache.hadoop.fs.Path
+    target, stage = fs_path(path), fs_path(f"{path}.{context.applicationId}.stage")
+    fs = target.getFileSystem(context._jsc.hadoopConfiguration())
+    if fs.exists(target):
+        raise FileExistsError(path)
+    try:
+        for name, write in outputs.items():
+            write(f"{stage.toString()}/{name}")
+        if not fs.rename(stage, target):
+            raise OSError(f"could not rename to {path}")
+    finally:
+        fs.delete(stage, True)

@@ -21,7 +21,7 @@ def test_flagship(spark):
     assert entry.entry(spark).count() > 0
 
 
-@pytest.mark.parametrize("name", ["p1_found", "p2_found", "p5_found", "p5_good", "walk_edges", "site_support", "copy_numbers", "interval_left", "event_components", "stream_store"])
+@pytest.mark.parametrize("name", ["p1_found", "p2_found", "p5_found", "p5_good", "walk_edges", "site_support", "copy_numbers", "interval_left", "event_components", "stream_store", "site_passes", "recruit_evidence", "recruit_pairs", "walked_kmers", "allele_normalised", "site_widened", "node_order"])
 def test_query_equals_sql(spark, name):
     con = duckdb.connect()
     for path in glob.glob(f"{FOLDER}/*.parquet"):
