@@ -17,6 +17,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from spangraph.session import written
+
 
 def first_arrivals(df: DataFrame, key: str, arrived: str) -> DataFrame:
     """One row per ``key``, the one that arrived first (null times last, then ties by row content).
@@ -64,7 +66,7 @@ def totals_of_keys(df: DataFrame, keys: Sequence[str], measure: str) -> DataFram
 
 def heavy_of_keys(df: DataFrame, one_in: Mapping[str, int], measure: str) -> DataFrame:
     """(key_field, key_value): the keys that hold at least 1/``one_in[key]`` of the measure of all rows that have the key."""
-    totals = totals_of_keys(df, list(one_in), measure)
+    totals = written(totals_of_keys(df, list(one_in), measure), "totals")  # one row per key, read again for the sums
     heavy = F.lit(False)
     for key, share in one_in.items():
         whole = totals.where(F.col("key_field") == key).agg(F.sum("total")).scalar()
