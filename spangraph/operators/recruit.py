@@ -67,9 +67,11 @@ def decoy_kmers(index: DataFrame, placed: DataFrame, gap: int = 1500, least: int
     hits = placed.join(shared, "kmer").where("locus <> home").select("path_name", "locus", "pos", (F.col("pos") + 1).alias("end"))
     linked = I.islands(hits, ["path_name", "locus"], "pos", "end", gap).groupBy("path_name", "locus", "island")
     spans = linked.agg(F.min("pos").alias("lo"), F.max("end").alias("hi"), F.count(F.lit(1)).alias("n")).where(F.col("n") >= least)
-    windows = spans.select(F.col("path_name").alias("path_name"), "locus", (F.col("lo") - pad).alias("lo"), (F.col("hi") + pad).alias("hi"))
-    points = placed.select("path_name", F.col("pos").cast("long").alias("a"), (F.col("pos") + 1).cast("long").alias("b"), "kmer")
-    inside = I.overlap_join(points, windows, "path_name", ("a", "b"), ("lo", "hi"), 4096).select("locus", "kmer").distinct()
+    # a k-mer lies in one bin, a window in those that it touches
+    lo, hi, bin_ = F.col("lo") - pad, F.col("hi") + pad, lambda c: F.floor(c / 4096)
+    windows = spans.select("path_name", "locus", lo.alias("lo"), hi.alias("hi"), F.explode(F.sequence(bin_(lo), bin_(hi))).alias("__bin"))
+    points = placed.select("path_name", "pos", "kmer", bin_(F.col("pos")).alias("__bin"))
+    inside = points.join(windows, ["path_name", "__bin"]).where("pos >= lo and pos < hi").select("locus", "kmer").distinct()
     return inside.join(index.select("locus", "kmer"), ["locus", "kmer"], "left_anti")
 
 

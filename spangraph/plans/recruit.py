@@ -62,13 +62,13 @@ def locus_index(spark: SparkSession, folder: str) -> DataFrame:
 
 def locus_decoys(spark: SparkSession, folder: str) -> DataFrame:
     """K-mers of stretches of other loci that resemble a locus, and that the locus does not hold."""
-    return R.decoy_kmers(_index(spark, folder), _placed(spark, folder)).withColumn("kmer", S.decode(F.col("kmer"), KMER))
+    return R.decoy_kmers(written(_index(spark, folder), "index"), written(_placed(spark, folder), "placed")).withColumn("kmer", S.decode(F.col("kmer"), KMER))
 
 
 def _evidence(spark: SparkSession, folder: str) -> DataFrame:
     index = written(_index(spark, folder), "index")
-    index = R.with_decoys(index, R.decoy_kmers(index, _placed(spark, folder)))
-    rows = R.labelled(fragments(spark, folder), ["path_name", "win"], "sequence", index, KMER)
+    index = R.with_decoys(index, R.decoy_kmers(index, written(_placed(spark, folder), "placed")))
+    rows = R.labelled(written(fragments(spark, folder), "fragments"), ["path_name", "win"], "sequence", index, KMER)
     return R.evidence(rows, KMER, ERROR)
 
 
