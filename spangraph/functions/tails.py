@@ -147,15 +147,22 @@ def moment_quantile(p: float, weights) -> float:
     return (chi2_quantile(p, df) - df) / math.sqrt(2 * df) * sd + mean
 
 
+def cauchy_quantile(p: float) -> float:
+    """The Cauchy quantile of 1 - p; below 1e-15 the tangent is its first term."""
+    return math.tan((0.5 - min(p, 1 - 1e-15)) * math.pi) if p > 1e-15 else 1 / (max(p, 1e-300) * math.pi)
+
+
+def cauchy_tail(value: float) -> float:
+    return 0.5 - math.atan(value) / math.pi if value < 1e15 else 1 / (value * math.pi)
+
+
 def cauchy(ps, weights=None) -> float:
     """One p-value from several, by the weighted mean of their Cauchy quantiles; valid whatever their dependence."""
     w = [1.0] * len(ps) if weights is None else list(weights)
     whole = sum(w)
     if not whole > 0:
         return math.nan
-    # below 1e-15 the tangent is its first term
-    total = sum(v * (math.tan((0.5 - min(p, 1 - 1e-15)) * math.pi) if p > 1e-15 else 1 / (max(p, 1e-300) * math.pi)) for p, v in zip(ps, w)) / whole
-    return 0.5 - math.atan(total) / math.pi if total < 1e15 else 1 / (total * math.pi)
+    return cauchy_tail(sum(v * cauchy_quantile(p) for p, v in zip(ps, w)) / whole)
 
 
 def exact_tail(doses, rates, observed: float, most: int = 16) -> float | None:

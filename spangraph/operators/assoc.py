@@ -266,12 +266,17 @@ def effective_tests(matrix: np.ndarray) -> float:
     z /= np.sqrt((z**2).sum(axis=1, keepdims=True))
     lead = np.take_along_axis(z, np.argmax(np.abs(z) > 1e-12, axis=1)[:, None], axis=1)
     kept, copies = np.unique(np.round(z * np.sign(lead), 12), axis=0, return_counts=True)
-    single = np.linalg.svd(kept * np.sqrt(copies)[:, None], compute_uv=False)
-    values = single**2
-    slack = 1e-9 + 4 * max(kept.shape) * np.finfo(float).eps * values[0]
+    return effective_of(np.linalg.svd(kept * np.sqrt(copies)[:, None], compute_uv=False) ** 2, len(live))
+
+
+def effective_of(values: np.ndarray, n_varying: int) -> float:
+    """The same from the eigenvalues of the correlation, given as those of the features' or of the samples' products."""
+    if not n_varying:
+        return 0.0
+    slack = 1e-9 + 4 * max(len(values), n_varying) * np.finfo(float).eps * values.max()
     whole = np.floor(values + slack)
-    total = float(np.minimum(whole, 1).sum() + np.maximum(values - whole, 0)[values > slack].sum())
-    return float(min(len(live), math.ceil(total - 1e-6)))
+    total = float(np.clip(whole, 0, 1).sum() + np.maximum(values - whole, 0)[values > slack].sum())
+    return float(min(n_varying, math.ceil(total - 1e-6)))
 
 
 def logistic(
@@ -319,51 +324,53 @@ SHARES = (0.0, 0.01, 0.04, 0.09, 0.16, 0.25, 0.5, 1.0)
 
 
 def kernel_tests(z: np.ndarray, residual: np.ndarray) -> tuple[float, float, float]:
-    """(burden, kernel, optimal) p-values of a set of features against the residual of the null model.
+    """(burden, kernel, optimal) p-values of a set of features, one weighted, centred feature per row of ``z``."""
+    _, single, vectors = np.linalg.svd(z, full_matrices=False)
+    return kernel_tests_of(single**2, vectors.T, z.sum(axis=0), len(z), residual)
 
-    ``z`` holds one weighted, centred feature per row. For each mixing share the statistic is a mixture of
+
+def kernel_tests_of(values: np.ndarray, vectors: np.ndarray, summed: np.ndarray, p: int, residual: np.ndarray) -> tuple[float, float, float]:
+    """(burden, kernel, optimal) p-values of ``p`` features against the residual of the null model.
+
+    The features come as eigenvalues and vectors of the samples' products and as their sum per sample; all is worked
+    in the space of those vectors. For each mixing share the statistic is a mixture of
     chi-squares. The optimal test takes the least p of the grid and integrates over the part that all
     shares have in common, a one-df chi-square; within the integral tails are matched by moments. Its
     result is kept between the least p and that times the size of the grid.
     """
-    scale = np.abs(z).max()
     spread = float(residual.std(ddof=1))
-    if not scale > 0 or not spread > 0:
+    keep = values > 1e-10 * max(values.max(initial=0.0), 1e-300)
+    if not keep.any() or not spread > 0:
         return math.nan, math.nan, math.nan
-    z = z / scale
-    p, n = z.shape
-    s = z @ residual / spread
-    summed = z.sum(axis=0)
-    gram = z @ z.T if p <= n else z.T @ z
+    size_all = float(values[keep].sum())
+    lengths, basis = values[keep] / size_all, vectors[:, keep]
+    total = basis.T @ summed / math.sqrt(size_all)
+    r = basis.T @ residual / spread
+    squares, burden_score = float(lengths @ r**2), float(total @ r)
 
     def live(square: np.ndarray) -> np.ndarray:
-        values = np.linalg.eigvalsh(square)
-        return values[values > 1e-10 * max(values.max(), 1e-300)]
-
-    def mixture(share: float) -> np.ndarray:
-        if p > n:
-            return live((1 - share) * gram + share * np.outer(summed, summed))
-        root = math.sqrt(1 - share) * (np.eye(p) - 1 / p) + math.sqrt(1 - share + share * p) / p
-        return live(root @ gram @ root)
+        found = np.linalg.eigvalsh(square)
+        return found[found > 1e-10 * max(found.max(), 1e-300)]
 
-    weights = [mixture(share) for share in SHARES]
-    stats = [(1 - share) * float(s @ s) + share * float(s.sum()) ** 2 for share in SHARES]
+    weights = [live((1 - share) * np.diag(lengths) + share * np.outer(total, total)) for share in SHARES]
+    stats = [(1 - share) * squares + share * burden_score**2 for share in SHARES]
     found = [tails.mixture_tail(q, w) if len(w) else 1.0 for q, w in zip(stats, weights)]
     burden, kernel, least = found[-1], found[0], min(found)
-    mean = summed / p
+    mean = total / p
     size = float(mean @ mean)
-    if p == 1 or size <= 1e-12 or least <= 0:
+    if p == 1 or size * p <= 1e-12 or least <= 0:
         return burden, kernel, min(1.0, least * (1 if p == 1 else len(SHARES)))
-    along = z @ mean / size
-    rest = z - np.outer(along, mean)
-    other = live(rest @ rest.T if p <= n else rest.T @ rest)
+    along = float(lengths @ mean**2) / size**2  # squared length of the features' parts along the mean feature
+    cross_part = lengths * mean / size - mean * along
+    both = np.outer(lengths * mean / size, mean)
+    other = live(np.diag(lengths) - both - both.T + along * np.outer(mean, mean))
     if not len(other):
         return burden, kernel, least
-    own, cross = 2 * float((other**2).sum()), 4 * size * float(((rest.T @ along) ** 2).sum())
+    own, cross = 2 * float((other**2).sum()), 4 * size * float((cross_part**2).sum())
     centre, shrink = float(other.sum()), math.sqrt(own / (own + cross))
     shares = np.minimum(SHARES, 0.999)
     limits = np.array([tails.moment_quantile(least, w) if len(w) else np.inf for w in weights])
-    common = size * (p * p * shares + (1 - shares) * float((along**2).sum()))
+    common = size * (p * p * shares + (1 - shares) * along)
     nodes, gauss = np.polynomial.legendre.leggauss(96)
     at, step = 4.5 * (nodes + 1), 4.5 * gauss  # the common part is the square of a normal variable, from 0 to 9
     bound = ((limits - np.outer(at**2, common)) / (1 - shares)).min(axis=1)
@@ -390,31 +397,33 @@ def variance_ratio(values: np.ndarray, ry: np.ndarray, rx: np.ndarray) -> float:
 
     Roots of the likelihood's derivative in the ratio d: with weights 1 / (value + d), residuals r and their weighted sum
     of squares q, it is df * sum(w^2 r^2) / q - sum(w) + tr((X'WX)^-1 X'W^2X). Signs are taken at powers of two over the
-    scale of the eigenvalues, each fall through zero is narrowed by bisection, and the likeliest of the
+    scale of the eigenvalues, each fall through zero is narrowed 64-fold at a time, and the likeliest of the
     roots and of the two ends is the answer.
     """
     df = len(ry) - rx.shape[1]
 
-    def at(d: float) -> tuple[float, float]:
-        """(derivative, log-likelihood), both times two."""
-        w = 1 / (values + d)
-        inverse = np.linalg.pinv(rx.T @ (w[:, None] * rx))
-        r = ry - rx @ (inverse @ (rx.T @ (w * ry)))
-        q = max(float((w * r * r).sum()), 1e-300)
-        slope = df * float((w * w * r * r).sum()) / q - float(w.sum()) + float(np.trace(inverse @ (rx.T @ ((w * w)[:, None] * rx))))
-        return slope, -df * math.log(q / df) + float(np.log(w).sum()) + float(np.linalg.slogdet(inverse)[1])
-
-    scale = max(float(values.max()), 1e-12)
-    marks = [scale * 2.0**e for e in range(-24, 25)]
-    slopes = [at(d)[0] for d in marks]
+    def at(ratios: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(derivative, log-likelihood), both times two, of each ratio."""
+        w = 1 / (values + ratios[:, None])
+        inverse = np.linalg.pinv(np.einsum("dn,ni,nj->dij", w, rx, rx, optimize=True))
+        r = ry - np.einsum("dij,dj->di", inverse, (w * ry) @ rx) @ rx.T
+        q = np.maximum((w * r * r).sum(axis=1), 1e-300)
+        trace = np.einsum("dij,dji->d", inverse, np.einsum("dn,ni,nj->dij", w * w, rx, rx, optimize=True))
+        slope = df * (w * w * r * r).sum(axis=1) / q - w.sum(axis=1) + trace
+        return slope, -df * np.log(q / df) + np.log(w).sum(axis=1) + np.linalg.slogdet(inverse)[1]
+
+    def falls(marks: np.ndarray) -> list[tuple[float, float]]:
+        slopes = at(marks)[0]
+        return [(marks[i], marks[i + 1]) for i in np.flatnonzero((slopes[:-1] > 0) & (slopes[1:] <= 0))]
+
+    marks = max(float(values.max()), 1e-12) * 2.0 ** np.arange(-24, 25)
     found = [marks[0], marks[-1]]
-    for lo, hi, a, b in zip(marks, marks[1:], slopes, slopes[1:]):
-        if a > 0 >= b:
-            for _ in range(60):
-                mid = math.sqrt(lo * hi)
-                lo, hi = (mid, hi) if at(mid)[0] > 0 else (lo, mid)
-            found.append(math.sqrt(lo * hi))
-    return max(found, key=lambda d: at(d)[1])
+    for lo, hi in falls(marks):
+        for _ in range(7):
+            lo, hi = next(iter(falls(np.geomspace(lo, hi, 65))), (lo, hi))
+        found.append(math.sqrt(lo * hi))
+    found = np.array(found)
+    return float(found[np.argmax(at(found)[1])])
 
 
 def mixed_null(y: np.ndarray, x: np.ndarray, kinship: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:

@@ -17,6 +17,7 @@ from pyspark.sql import Window as W
 
 from spangraph.functions import tails
 from spangraph.operators import assoc as A
+from spangraph.operators import locus as L
 from spangraph.operators.cluster import greedy_leaders
 from spangraph.plans.walks import SITES, STEPS, paths, read_crossings, sites, steps
 from spangraph.tables import load
@@ -173,26 +174,13 @@ def locus_samples(spark: SparkSession, folder: str) -> DataFrame:
     return walked.join(phenotypes(spark, folder), "sample").select("graph_name", "sample", "y", "case")
 
 
-def _per_locus(spark: SparkSession, folder: str, run, schema: str) -> DataFrame:
-    """``run(locus, features, matrix, y, case)`` per locus: the matrix of one locus is the unit of work."""
-    cols = A.dose_columns(doses(spark, folder), "graph_name")
-    who = locus_samples(spark, folder)
-
-    def both(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        right = right.dropna(subset=["y"]).sort_values("sample")
-        left = left.sort_values("feature")
-        names = [c.split()[0] for c in schema.split(", ")]
-        if len(right) < 4 or not len(left):
-            return pd.DataFrame({n: [] for n in names})
-        m = A.dense(right["sample"].to_numpy(), left)
-        out = run(left["graph_name"].iloc[0], left["feature"].to_numpy(), m, right["y"].to_numpy(float) / 100, right["case"].to_numpy(float))
-        return pd.DataFrame(out, columns=names)
-
-    return cols.groupBy("graph_name").cogroup(who.groupBy("graph_name")).applyInPandas(both, schema)
+def _measured(spark: SparkSession, folder: str) -> DataFrame:
+    """(graph_name, sample, y): y in units of the account."""
+    return locus_samples(spark, folder).select("graph_name", "sample", (F.col("y") / 100).alias("y"))
 
 
 def locus_meff(spark: SparkSession, folder: str) -> DataFrame:
-    return _per_locus(spark, folder, lambda g, f, m, y, c: [(g, len(f), A.effective_tests(m))], "graph_name string, n_features long, meff double")
+    return L.effective(doses(spark, folder), _measured(spark, folder), "graph_name")
 
 
 def locus_permutation(spark: SparkSession, folder: str, shuffles: int = 199, block_features: int = 512) -> DataFrame:
@@ -256,103 +244,39 @@ def locus_logistic(spark: SparkSession, folder: str) -> DataFrame:
 
 def locus_mixed_model(spark: SparkSession, folder: str) -> DataFrame:
     """Mixed-model test of each feature; the kinship is that of the locus's own dosages, and the variance ratio is fitted with each feature."""
-
-    def run(g, f, m, y, c):
-        live = m[m.std(axis=1) > 0]
-        if not len(live):
-            return []
-        z = (live - live.mean(axis=1, keepdims=True)) / live.std(axis=1, keepdims=True)
-        x = np.ones((len(y), 1))
-        _, values, vectors = A.mixed_null(y, x, z.T @ z / len(z))
-        return [(g, name, *A.mixed_test(row, y, x, None, values, vectors)) for name, row in zip(f, m) if row.std() > 0]
-
-    return _per_locus(spark, folder, run, "graph_name string, feature string, beta double, se double, p double")
+    return L.mixed_model(doses(spark, folder), _measured(spark, folder), "graph_name")
 
 
 def locus_fine_map(spark: SparkSession, folder: str) -> DataFrame:
-    def run(g, f, m, y, c):
-        pip, sets = A.fine_map(m, y)
+    """Inclusion probabilities and credible sets; every step of an effect reads all features of the locus, so a locus is one task's matrix."""
+    cols = A.dose_columns(doses(spark, folder), "graph_name")
+
+    def both(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        right = right.sort_values("sample")
+        if len(right) < 4 or not len(left):
+            return pd.DataFrame({"graph_name": [], "feature": [], "pip": [], "credible_set": []})
+        left = left.sort_values("feature")
+        pip, sets = A.fine_map(A.dense(right["sample"].to_numpy(), left), right["y"].to_numpy(float))
         inside = {i: k for k, s in enumerate(sets) for i in s}
-        return [(g, name, float(p), inside.get(i, -1)) for i, (name, p) in enumerate(zip(f, pip))]
+        return pd.DataFrame({"graph_name": left["graph_name"], "feature": left["feature"], "pip": pip, "credible_set": [inside.get(i, -1) for i in range(len(left))]})
 
-    return _per_locus(spark, folder, run, "graph_name string, feature string, pip double, credible_set long")
+    who = _measured(spark, folder).where("y is not null")
+    return cols.groupBy("graph_name").cogroup(who.groupBy("graph_name")).applyInPandas(both, "graph_name string, feature string, pip double, credible_set long")
 
 
 def locus_conditional(spark: SparkSession, folder: str) -> DataFrame:
-    """Forward selection with backward drop: the strongest feature given those chosen, while p is below 0.05 over the tests.
-
-    After each entry a chosen feature no longer below that p given the others is dropped for good. Steps
-    number the features kept, in order of entry; beta and p are those at entry.
-    """
-
-    def given(m, y, chosen):
-        """(t, beta, df) of each row of m beside an intercept and the rows ``chosen``; t is NaN where nothing of the row is left."""
-        return A.partial_t(m, y, np.column_stack([np.ones((len(y), 1)), *chosen]))
-
-    def run(g, f, m, y, c):
-        entry = 0.05 / len(f)
-        chosen, gone = [], np.zeros(len(f), bool)
-        while True:
-            t, beta, df = given(m, y, [m[k] for k, *_ in chosen])
-            t = np.where(gone, np.nan, np.abs(t))
-            if df < 1 or np.isnan(t).all():
-                break
-            k = int(np.nanargmax(np.round(t, 9)))
-            p = tails.t_two_sided(float(t[k]), df)
-            if p >= entry:
-                break
-            chosen.append((k, float(beta[k]), p))
-            gone[k] = True
-            while len(chosen) > 1:
-                ps = []
-                for i, (k, *_) in enumerate(chosen):
-                    t, _, df = given(m[k : k + 1], y, [m[o] for j, (o, *_) in enumerate(chosen) if j != i])
-                    ps.append(1.0 if df < 1 or np.isnan(t[0]) else tails.t_two_sided(float(abs(t[0])), df))
-                if max(ps) < entry:
-                    break
-                del chosen[int(np.argmax(ps))]
-        return [(g, f[k], step + 1, beta, p) for step, (k, beta, p) in enumerate(chosen)]
-
-    return _per_locus(spark, folder, run, "graph_name string, feature string, step long, beta double, p double")
+    """Forward selection with backward drop: the strongest feature given those chosen, while p is below 0.05 over the tests."""
+    return L.conditional(doses(spark, folder), _measured(spark, folder), "graph_name")
 
 
 def locus_kernel(spark: SparkSession, folder: str) -> DataFrame:
     """Kernel test of each locus: weighted squared scores (Beta(1, 25) of the carrier share) against a mixture of chi-squares."""
-
-    def run(g, f, m, y, c):
-        live = m[m.std(axis=1) > 0]
-        if not len(live) or y.std() == 0:
-            return []
-        share = np.minimum((live > 0).mean(axis=1), 1 - (live > 0).mean(axis=1)).clip(min=0)
-        weight = 25 * (1 - share) ** 24
-        z = weight[:, None] * (live - live.mean(axis=1, keepdims=True))
-        residual = y - y.mean()
-        q = float(((z @ residual) ** 2).sum() / residual.var(ddof=1))
-        gram = z @ z.T if len(z) <= z.shape[1] else z.T @ z
-        values = np.linalg.eigvalsh(gram)
-        return [(g, len(live), q, tails.mixture_tail(q, values[values > 1e-10 * values.max()]))]
-
-    return _per_locus(spark, folder, run, "graph_name string, n_features long, q double, p double")
+    return L.kernel(doses(spark, folder), _measured(spark, folder), "graph_name").select("graph_name", "n_features", "q", F.col("p_kernel").alias("p"))
 
 
 def locus_optimal(spark: SparkSession, folder: str) -> DataFrame:
     """Burden, kernel, optimal and Cauchy-combined p-values of each locus; weights are Beta(1, 25) of the carrier share."""
-
-    def run(g, f, m, y, c):
-        live = m[m.std(axis=1) > 0]
-        if not len(live) or y.std() == 0:
-            return []
-        held = (live > 0).mean(axis=1)
-        share = np.minimum(held, 1 - held).clip(min=0)
-        weight = 25 * (1 - share) ** 24
-        centred = live - live.mean(axis=1, keepdims=True)
-        residual = y - y.mean()
-        burden, kernel, optimal = A.kernel_tests(weight[:, None] * centred, residual)
-        z = centred @ residual / np.sqrt((centred**2).sum(axis=1)) / residual.std(ddof=1)
-        single = tails.cauchy([tails.normal_two_sided(v) for v in z], weight**2 * np.maximum(share * (1 - share), 1e-12))
-        return [(g, len(live), burden, kernel, optimal, tails.cauchy([burden, kernel, single]))]
-
-    return _per_locus(spark, folder, run, "graph_name string, n_features long, p_burden double, p_kernel double, p_optimal double, p_cauchy double")
+    return L.kernel(doses(spark, folder), _measured(spark, folder), "graph_name").drop("q")
 
 
 # The distribution function of a Poisson variable of mean 1 at 0, 1, 2, ..., times 2^32.

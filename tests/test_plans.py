@@ -3,9 +3,13 @@
 import random
 
 import numpy as np
+import pandas as pd
+import pytest
 
+from spangraph.functions import tails
+from spangraph.operators import assoc as Assoc
+from spangraph.operators import locus as L
 from spangraph.operators import walks as K
-from spangraph.plans import assoc as A
 from spangraph.plans import calls as C
 from spangraph.plans import walks as P
 
@@ -56,27 +60,73 @@ def test_alleles_without_nodes_or_lengths_stay(spark, tmp_path):
     assert got == [(1, 1, 1), (1, 2, 2), (2, 1, 1), (2, 2, 2), (3, 1, 1), (3, 2, 2)]
 
 
-def conditional(monkeypatch, m, y):
-    monkeypatch.setattr(A, "_per_locus", lambda spark, folder, run, schema: run("g", np.arange(len(m)), m, y, None))
-    return A.locus_conditional(None, "")
+def conditional(spark, m, y):
+    doses, who = dose_frames(spark, m, y)
+    return [tuple(r) for r in L.conditional(doses, who, "g", cells=2000).orderBy("step").collect()]
 
 
-def test_selection_goes_on_while_features_clear_the_bar(monkeypatch):
+def dose_frames(spark, m, y, g="g"):
+    doses = pd.DataFrame([(g, i, f"s{j:04d}", v) for i, row in enumerate(m) for j, v in enumerate(row) if v], columns=["g", "feature", "sample", "dose"])
+    who = pd.DataFrame({"g": g, "sample": [f"s{j:04d}" for j in range(len(y))], "y": y})
+    return spark.createDataFrame(doses, "g string, feature long, sample string, dose double"), spark.createDataFrame(who, "g string, sample string, y double")
+
+
+def test_selection_goes_on_while_features_clear_the_bar(spark):
     rng = np.random.default_rng(5)
     m = rng.integers(0, 3, (30, 400)).astype(float)
     y = m[:14].sum(axis=0) + 0.2 * rng.normal(size=400)
-    got = conditional(monkeypatch, m, y)
+    got = conditional(spark, m, y)
     assert {r[1] for r in got} == set(range(14)) and [r[2] for r in got] == list(range(1, 15))
 
 
-def test_selection_drops_what_later_features_explain(monkeypatch):
+def test_selection_drops_what_later_features_explain(spark):
     rng = np.random.default_rng(6)
     a, b = rng.normal(size=(2, 300))
     y = a + b + 0.3 * rng.normal(size=300)
-    got = conditional(monkeypatch, np.array([a, b, a + b + 0.5 * rng.normal(size=300)]), y)
+    got = conditional(spark, np.array([a, b, a + b + 0.5 * rng.normal(size=300)]), y)
     assert {r[1] for r in got} == {0, 1} and [r[2] for r in got] == [1, 2]
 
 
+def test_locus_models_in_blocks_equal_the_dense_ones(spark):
+    rng = np.random.default_rng(11)
+    m = rng.binomial(2, rng.uniform(0.02, 0.5, (90, 1)), (90, 40)).astype(float)
+    m[7], m[8], m[9] = m[6], 1, 2 * m[6]  # copies and a feature that does not vary
+    y = m[3] + rng.normal(size=40)
+    doses, who = dose_frames(spark, m, y)
+    live = m[m.std(axis=1) > 0]
+    for cells in (60, 4_000_000):  # dozens of blocks, and one
+        (e,) = L.effective(doses, who, "g", cells=cells).collect()
+        assert (e.n_features, e.meff) == ((m.sum(axis=1) > 0).sum(), Assoc.effective_tests(m))
+        (k,) = L.kernel(doses, who, "g", cells=cells).collect()
+        share, weight = L.rarity(live)
+        z, r = L.rare_rows(live), y - y.mean()
+        assert k.n_features == len(live) and k.q == pytest.approx(((z @ r) ** 2).sum() / r.var(ddof=1))
+        assert (k.p_burden, k.p_kernel, k.p_optimal) == pytest.approx(Assoc.kernel_tests(z, r), rel=1e-4)
+        single = [tails.normal_two_sided(v) for v in L.unit_rows(live) @ r / r.std(ddof=1)]
+        assert k.p_cauchy == pytest.approx(tails.cauchy([k.p_burden, k.p_kernel, tails.cauchy(single, weight**2 * np.maximum(share * (1 - share), 1e-12))]))
+        u, x = L.unit_rows(live) * np.sqrt(40), np.ones((40, 1))
+        _, values, vectors = Assoc.mixed_null(y, x, u.T @ u / len(u))
+        found = {f.feature: (f.beta, f.se, f.p) for f in L.mixed_model(doses, who, "g", cells=cells).collect()}
+        assert len(found) == len(live) and all(found[i] == pytest.approx(Assoc.mixed_test(m[i], y, x, None, values, vectors), rel=1e-4) for i in found)
+
+
+def test_locus_models_on_nulls_small_groups_and_nothing(spark):
+    rng = np.random.default_rng(12)
+    m, y = rng.integers(0, 3, (5, 12)).astype(float), rng.normal(size=12)
+    doses, who = dose_frames(spark, m, y)
+    few, trio = dose_frames(spark, m[:, :3], y[:3], "few")
+    same, flat = dose_frames(spark, m, np.ones(12), "same")
+    odd = spark.createDataFrame([("g", 1, None, 1.0), ("g", 2, "s9999", 2.0), ("g", 4, "s0000x", None), ("lost", 1, "s0001", 1.0)], doses.schema)
+    blank = spark.createDataFrame([("g", "s0000x", None)], who.schema)
+    more = doses.unionByName(few).unionByName(same).unionByName(odd).selectExpr("*", "1 as block", "'x' as held")
+    axis = who.unionByName(trio).unionByName(flat).unionByName(blank).selectExpr("*", "1 as block", "2 as vector")
+    for model in (L.effective, L.kernel, L.mixed_model, L.conditional):
+        plain = rows(model(doses, who, "g"))
+        got = [r for r in rows(model(more, axis.drop("vector") if model is L.mixed_model else axis, "g")) if r[0] != "same"]
+        assert [r[:2] for r in got] == [r[:2] for r in plain] and {r[0] for r in got} <= {"g"}
+        assert rows(model(doses.limit(0), who, "g")) == [] and rows(model(doses, who.limit(0), "g")) == []
+
+
 def brute_runs(word):
     found = []
     for p in range(1, len(word) // 2 + 1):
