@@ -16,6 +16,7 @@ from spangraph.functions import seq as S
 from spangraph.operators import alleles as L
 from spangraph.operators import assoc as A
 from spangraph.operators import intervals as I
+from spangraph.operators import locus as M
 from spangraph.operators import recruit as R
 from spangraph.operators import sites as T
 from spangraph.operators import walks as K
@@ -129,6 +130,18 @@ def associate(doses: DataFrame, pheno: DataFrame, covariates: Sequence[str] = ()
     return made.drop("p").join(A.adjusted(made, "feature", "p"), "feature")
 
 
+def associate_locus(doses: DataFrame, pheno: DataFrame, group: str, model: str = "kernel") -> DataFrame:
+    """Models of whole loci: ``kernel`` (with burden, optimal and combined p), ``mixed`` (a test per feature), ``conditional``, ``effective``.
+
+    ``doses`` is (group, feature, sample, dose), zeros left out; ``pheno`` (group, sample, y) or (sample, y), which then holds for all groups.
+    """
+    models = {"kernel": M.kernel, "mixed": M.mixed_model, "conditional": M.conditional, "effective": M.effective}
+    if model not in models:
+        raise ValueError(f"no such model: {model}")
+    who = pheno if group in pheno.columns else doses.select(group, "sample").distinct().join(pheno, "sample")
+    return models[model](doses.select(group, "feature", "sample", "dose"), who.select(group, "sample", "y"), group)
+
+
 def crossing_table(paths: DataFrame, sites: DataFrame) -> DataFrame:
     """Every crossing of a site by a walk with its steps inside and its allele."""
     read = _read(paths, sites)

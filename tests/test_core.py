@@ -486,6 +486,18 @@ def test_graph_files(spark, tmp_path):
     assert rows(gfa.paths(spark, str(tmp_path / "out")), "steps") == rows(gfa.paths(spark, str(path)), "steps")
 
 
+def test_graph_file_comes_back_line_by_line(spark, tmp_path):
+    lines = ["H\tVN:Z:1.1", "S\t2\tACGT\tRC:i:5\tXX:Z:a b", "P\tp\t1+,2-\t*", "S\t1\t*\tLN:i:7", "L\t1\t+\t2\t-\t3M\tNM:i:0", "W\ts\t1\tc#x\t0\t9\t>1<2\tID:Z:q", "W\ts\t2\tc\t*\t*\t>1", "H\tXX:i:1"]
+    path, out = tmp_path / "g.gfa", tmp_path / "out"
+    path.write_text("\n".join(lines) + "\n")
+    read = [f(spark, str(path), extras=True) for f in (gfa.segments, gfa.links, gfa.paths)]
+    gfa.write(*read, str(out), gfa.headers(spark, str(path)))
+    assert [x for f in sorted(out.glob("part-*")) for x in f.read_text().splitlines()] == lines
+    plain = [d.drop("tags", "place") for d in read]
+    gfa.write(*plain, str(out))
+    assert sorted(r.value for r in spark.read.text(str(out)).collect()) == sorted(["S\t2\tACGT", "S\t1\t*\tLN:i:7", "L\t1\t+\t2\t-\t3M", "P\tp\t1+,2-\t*", "W\ts\t1\tc#x\t0\t9\t>1<2", "W\ts\t2\tc\t*\t*\t>1"])
+
+
 def test_table_files(spark, tmp_path):
     vcf = tmp_path / "v.vcf"
     vcf.write_text(
