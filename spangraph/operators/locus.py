@@ -31,7 +31,7 @@ def in_blocks(doses: DataFrame, who: DataFrame, group: str, run: Callable, schem
     ``axis`` is the group's rows of ``who`` in order of sample; ``chunks`` gives (features, matrix) of up to ``chunk`` features each,
     in order of feature, so that only that many rows are dense at a time.
     """
-    known = who.where("y is not null")
+    known = who.where("y is not null").select(*[F.col(c).alias(c) for c in who.columns])  # columns of its own, as it may stem from the doses
     cols = A.dose_columns(doses.where("dose is not null"), group)
     sized = cols.groupBy(group).agg(F.ceil(F.sum(F.size("samples")) / cells).alias("__n"))
     left = cols.join(sized, group).withColumn("__block", F.pmod(F.xxhash64("feature"), F.col("__n"))).drop("__n")

@@ -12,8 +12,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from spangraph.functions.seq import reverse_complement
+from spangraph.functions.seq import kmer_codes, reverse_complement
 from spangraph.operators import intervals as I
+from spangraph.session import written
 
 
 def support(read: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -198,3 +199,32 @@ def node_order(steps: DataFrame) -> DataFrame:
     rows = at.withColumn("__b", own).groupBy("graph_name", "node_id").agg(F.min("__b").alias("bucket"), F.max(F.col("r.idx").isNotNull()).alias("__known"), F.bool_or(F.coalesce("r.reverse", F.lit(False))).alias("flipped"))
     order = W.partitionBy("graph_name").orderBy("bucket", F.desc("__known"), "node_id")
     return rows.withColumn("rank", F.row_number().over(order)).drop("__known")
+
+
+def paralog_split(pairs: DataFrame, words: DataFrame, totals: DataFrame, k: int = 11) -> DataFrame:
+    """(pair, hap, total, usable, share, cn_a, cn_b): the copies of a haplotype split between two near-identical sequences.
+
+    ``pairs`` is (pair, a, b) of texts, ``words`` (pair, hap, kmer, n) the canonical k-mers of each haplotype as codes with
+    their number, ``totals`` (pair, hap, total). A discriminating site is a stretch between the same two shared k-mers (or
+    ends) of a and b where both hold k-mers that the other lacks. At each site the hits of a haplotype over the site's k-mers of a
+    and of b give the fraction of a; sites with less than half a copy of both together are not usable, and the median of the
+    others is the share. Only pairs with such a site and haplotypes with a usable one have a row. A null total has null copies;
+    a null text has no site.
+    """
+    sides = pairs.select("pair", F.explode(F.array(*[F.struct(F.lit(x == "a").alias("is_a"), F.col(x).alias("text")) for x in "ab"])).alias("s")).select("pair", "s.*")
+    placed = written(kmer_codes(sides.where("text is not null"), ["pair", "is_a"], "text", k), "pairs")
+    both = placed.groupBy("pair", "kmer").agg((F.bool_or("is_a") & F.bool_or(~F.col("is_a"))).alias("shared"))
+    known = placed.join(both, ["pair", "kmer"])
+    met = F.last(F.when(F.col("shared"), F.col("kmer")), ignorenulls=True)
+    order = W.partitionBy("pair", "is_a")
+    before, after = (order.orderBy(o).rowsBetween(W.unboundedPreceding, -1) for o in ("pos", F.desc("pos")))
+    ranged = known.withColumn("lo", F.coalesce(met.over(before), F.lit(-1))).withColumn("hi", F.coalesce(met.over(after), F.lit(-1)))
+    own = ranged.where(~F.col("shared")).select("pair", "lo", "hi", "is_a", "kmer").distinct()
+    sizes = own.groupBy("pair", "lo", "hi").agg(F.count_if("is_a").alias("size_a"), F.count_if(~F.col("is_a")).alias("size_b")).where("size_a > 0 and size_b > 0")
+    hits = own.join(words, ["pair", "kmer"]).groupBy("pair", "hap", "lo", "hi").agg(*[F.sum(F.when(F.col("is_a") == F.lit(x == "a"), F.col("n")).otherwise(0)).alias(f"hits_{x}") for x in "ab"])
+    part = hits.join(sizes, ["pair", "lo", "hi"]).select("pair", "hap", (F.col("hits_a") / F.col("size_a")).alias("a"), (F.col("hits_b") / F.col("size_b")).alias("b"))
+    voted = part.where("a + b >= 0.5").groupBy("pair", "hap").agg(F.count(F.lit(1)).alias("usable"), F.percentile(F.col("a") / (F.col("a") + F.col("b")), F.lit(0.5)).alias("share"))
+    cn_a = F.least("total", F.floor(F.round(F.col("share") * F.col("total"), 9) + 0.5).cast("long"))
+    out = voted.join(totals.select("pair", "hap", F.col("total").cast("long").alias("total")), ["pair", "hap"])
+    cn_a = F.when(F.col("total").isNotNull(), cn_a)
+    return out.select("pair", "hap", "total", "usable", F.round("share", 6).alias("share"), cn_a.alias("cn_a"), (F.col("total") - cn_a).alias("cn_b"))

@@ -14,6 +14,7 @@ from spangraph.plans.compare import _SPANS, _site_spans
 from spangraph.plans.recruit import INDEX, KMER, _index, _placed, _words
 from spangraph.plans.walks import ORACLES as WALKS
 from spangraph.plans.walks import SITES, STEPS, SUPPORT, nodes, path_inversions, paths, read_crossings, site_alleles, site_support, sites, steps, tandem_runs
+from spangraph.session import written
 
 SEED = 11
 
@@ -86,6 +87,19 @@ def copy_split(spark: SparkSession, folder: str) -> DataFrame:
     return copy_numbers(spark, folder).select("input_bubble_id", "path_name", kind.alias("kind"), "cnbp", "cnresid")
 
 
+def allele_split(spark: SparkSession, folder: str) -> DataFrame:
+    """A walk's crossings of a site split between the two most carried alleles, by the median over their discriminating positions."""
+    read = read_crossings(spark, folder)
+    texts = written(T.allele_texts(read, nodes(spark, folder)), "texts")  # read three times below
+    named = texts.join(site_alleles(spark, folder).where("allele <= 2").select("bubble_id", "signature", "allele"), ["bubble_id", "signature"])
+    side = lambda n: named.where(F.col("allele") == n).select(F.col("bubble_id").alias("pair"), F.col("text").alias("ab"[n - 1]))
+    counted = S.kmer_codes(texts, ["bubble_id", "signature"], "text", SEED).groupBy("bubble_id", "signature", "kmer").agg(F.count(F.lit(1)).alias("c"))
+    crossed = read.groupBy("bubble_id", "path_name", "signature").agg(F.count(F.lit(1)).alias("times"))
+    words = crossed.join(counted, ["bubble_id", "signature"]).groupBy(F.col("bubble_id").alias("pair"), F.col("path_name").alias("hap"), "kmer").agg(F.sum(F.col("times") * F.col("c")).alias("n"))
+    totals = crossed.groupBy(F.col("bubble_id").alias("pair"), F.col("path_name").alias("hap")).agg(F.sum("times").alias("total"))
+    return T.paralog_split(side(1).join(side(2), "pair"), words, totals, SEED).withColumnsRenamed({"pair": "bubble_id", "hap": "path_name"})
+
+
 def walk_inversions(spark: SparkSession, folder: str) -> DataFrame:
     runs = path_inversions(spark, folder).join(paths(spark, folder).select("path_name", "graph_name"), "path_name")
     return T.inversions(runs)
@@ -111,6 +125,10 @@ _REF = "rp AS (SELECT graph_name, min(path_name) AS path_name FROM steps GROUP B
 _PRIV = f"""{INDEX}, wk AS (SELECT path_name, upper(sequence) AS sequence FROM spelled WHERE length(sequence) >= {KMER}),
 pw AS ({_words('wk', 'path_name')}), ph AS (SELECT path_name, locus, pos FROM pw JOIN idx USING (kmer) WHERE outside = 0)"""
 _CANON = "least(w, reverse(translate(w, 'ACGT', 'TGCA')))"
+_TEXTS = """al AS (SELECT bubble_id, signature, any_value(inside) AS inside, row_number() OVER (PARTITION BY bubble_id ORDER BY count(DISTINCT path_name) DESC, signature) AS allele FROM signed GROUP BY bubble_id, signature),
+pc AS (SELECT bubble_id, allele, i, CASE WHEN x LIKE '<%' THEN reverse(translate(t, 'ACGTRYKMBVDHacgtrykmbvdh', 'TGCAYRMKVBHDtgcayrmkvbhd')) ELSE t END AS t FROM (
+  SELECT bubble_id, allele, i, x, coalesce(sequence, repeat('N', bp::INT), '') AS t FROM (SELECT bubble_id, allele, inside[i] AS x, i FROM (SELECT *, unnest(generate_series(1, len(inside))) AS i FROM al)) LEFT JOIN nodes n ON n.node_id = x[2:])),
+tx AS (SELECT al.bubble_id, al.allele, upper(coalesce(string_agg(t, '' ORDER BY i), '')) AS t FROM al LEFT JOIN pc USING (bubble_id, allele) GROUP BY ALL)"""
 ORACLES = {
     "site_status": f"""WITH {SUPPORT} SELECT bubble_id, CASE WHEN path_support < 3 THEN 'few_paths' WHEN distinct_alleles < 2 THEN 'one_allele' WHEN alt_support_max < 2 THEN 'rare_alternative'
   WHEN max_inside_bp > 100000 THEN 'too_long' WHEN max_inside_bp < 50 AND NOT inversion_signal THEN 'too_short' ELSE 'kept' END AS status FROM support""",
@@ -134,11 +152,7 @@ SELECT bubble_id, CASE WHEN fw THEN ln ELSE hn END AS source_node, CASE WHEN fw
 gp AS (SELECT *, sum(coalesce((lo > p + 1000)::INT, 0)) OVER (PARTITION BY path_name, fence ORDER BY lo, hi, bubble_id ROWS UNBOUNDED PRECEDING) AS g FROM (
   SELECT *, max(hi) OVER (PARTITION BY path_name, fence ORDER BY lo, hi, bubble_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS p FROM rw WHERE bp < 50))
 SELECT path_name, min(lo) AS lo, max(hi) AS hi, count(*) AS n_sites, sum(bp)::BIGINT AS bp FROM gp GROUP BY path_name, fence, g HAVING count(*) > 1 AND sum(bp) >= 50""",
-    "allele_normalised": f"""WITH {SITES},
-al AS (SELECT bubble_id, signature, any_value(inside) AS inside, row_number() OVER (PARTITION BY bubble_id ORDER BY count(DISTINCT path_name) DESC, signature) AS allele FROM signed GROUP BY bubble_id, signature),
-pc AS (SELECT bubble_id, allele, i, CASE WHEN x LIKE '<%' THEN reverse(translate(t, 'ACGTRYKMBVDHacgtrykmbvdh', 'TGCAYRMKVBHDtgcayrmkvbhd')) ELSE t END AS t FROM (
-  SELECT bubble_id, allele, i, x, coalesce(sequence, repeat('N', bp::INT), '') AS t FROM (SELECT bubble_id, allele, inside[i] AS x, i FROM (SELECT *, unnest(generate_series(1, len(inside))) AS i FROM al)) LEFT JOIN nodes n ON n.node_id = x[2:])),
-tx AS (SELECT al.bubble_id, al.allele, upper(coalesce(string_agg(t, '' ORDER BY i), '')) AS t FROM al LEFT JOIN pc USING (bubble_id, allele) GROUP BY ALL),
+    "allele_normalised": f"""WITH {SITES}, {_TEXTS},
 pp AS (SELECT a.bubble_id, a.allele, r.t AS r, a.t AS a, least(length(r.t), length(a.t)) AS m FROM tx a JOIN tx r ON r.bubble_id = a.bubble_id AND r.allele = 1 WHERE a.allele > 1),
 tl AS (SELECT *, len(list_filter(generate_series(1, m), lambda n: right(r, n) = right(a, n))) AS tail, len(list_filter(generate_series(1, m), lambda n: left(r, n) = left(a, n))) AS head FROM pp),
 ct AS (SELECT *, left(r, (length(r) - tail)::BIGINT) AS r2, left(a, (length(a) - tail)::BIGINT) AS a2 FROM tl),
@@ -168,6 +182,20 @@ sp AS (SELECT path_name, period, copies, u, array_to_string(list_concat(v[i:], v
 un AS (SELECT path_name, period, copies, u, min(t) AS unit FROM sp GROUP BY ALL),
 pe AS (SELECT unit, period, path_name, max(copies) AS copies FROM un GROUP BY ALL)
 SELECT unit, period, count(*) AS n_paths, min(copies) AS min_copies, max(copies) AS max_copies, count(*) >= 0.5 * (SELECT count(*) FROM paths) AS prevalent FROM pe GROUP BY unit, period""",
+    "allele_split": f"""WITH {SITES}, {_TEXTS},
+sg AS (SELECT bubble_id, signature, row_number() OVER (PARTITION BY bubble_id ORDER BY count(DISTINCT path_name) DESC, signature) AS allele FROM signed GROUP BY bubble_id, signature),
+km AS (SELECT bubble_id, allele, i, {_CANON} AS k FROM (SELECT bubble_id, allele, i, substring(t, i, {SEED}) AS w FROM (SELECT *, unnest(generate_series(1, length(t) - {SEED - 1})) AS i FROM tx)) WHERE regexp_full_match(w, '[ACGT]+')),
+sd AS (SELECT *, count(DISTINCT allele) OVER (PARTITION BY bubble_id, k) = 2 AS shared FROM km WHERE allele <= 2),
+rg AS (SELECT *, coalesce(last_value(CASE WHEN shared THEN k END IGNORE NULLS) OVER (PARTITION BY bubble_id, allele ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS lo,
+  coalesce(first_value(CASE WHEN shared THEN k END IGNORE NULLS) OVER (PARTITION BY bubble_id, allele ORDER BY i ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS hi FROM sd),
+ow AS (SELECT DISTINCT bubble_id, lo, hi, allele, k FROM rg WHERE NOT shared),
+sz AS (SELECT bubble_id, lo, hi, count_if(allele = 1) AS na, count_if(allele = 2) AS nb FROM ow GROUP BY ALL HAVING count_if(allele = 1) > 0 AND count_if(allele = 2) > 0),
+wd AS (SELECT s.bubble_id, path_name, k, count(*) AS n FROM signed s JOIN sg USING (bubble_id, signature) JOIN km ON km.bubble_id = s.bubble_id AND km.allele = sg.allele GROUP BY ALL),
+ht AS (SELECT bubble_id, path_name, lo, hi, sum(CASE WHEN allele = 1 THEN n ELSE 0 END) / any_value(na) AS a, sum(CASE WHEN allele = 2 THEN n ELSE 0 END) / any_value(nb) AS b FROM ow JOIN sz USING (bubble_id, lo, hi) JOIN wd USING (bubble_id, k) GROUP BY ALL),
+sh AS (SELECT bubble_id, path_name, count(*) AS usable, quantile_cont(a / (a + b), 0.5) AS share FROM ht WHERE a + b >= 0.5 GROUP BY ALL),
+tt AS (SELECT bubble_id, path_name, count(*) AS total FROM signed GROUP BY ALL),
+cn AS (SELECT *, least(total, floor(round(share * total, 9) + 0.5)::BIGINT) AS cn_a FROM sh JOIN tt USING (bubble_id, path_name))
+SELECT bubble_id, path_name, total, usable, round(share, 6) AS share, cn_a, total - cn_a AS cn_b FROM cn""",
     "node_order": f"""WITH {STEPS}, {_REF}, rf AS (SELECT graph_name, node_id, min(idx) AS ri, arg_min(reverse, idx) AS rr FROM steps JOIN rp USING (graph_name, path_name) GROUP BY ALL),
 bk AS (SELECT s.graph_name, s.node_id, ri, rr, coalesce(ri, last_value(ri IGNORE NULLS) OVER (PARTITION BY s.graph_name, path_name ORDER BY idx ROWS UNBOUNDED PRECEDING), -1) AS b FROM steps s LEFT JOIN rf ON rf.graph_name = s.graph_name AND rf.node_id = s.node_id),
 nd AS (SELECT graph_name, node_id, min(b) AS bucket, coalesce(bool_or(rr), false) AS flipped, max(ri) IS NOT NULL AS known FROM bk GROUP BY ALL)
@@ -175,6 +203,6 @@ SELECT graph_name, node_id, bucket, flipped, row_number() OVER (PARTITION BY gra
     "step_tokens": f"WITH {STEPS} SELECT DISTINCT step, ('0x' || md5(step)[1:15])::BIGINT AS token FROM steps",
 }
 QUERIES = {f.__name__: f for f in (
-    sites_found, site_status, site_interior, site_widened, site_rescued, allele_normalised, insertion_novelty, private_dosage, private_runs, copy_split, walk_inversions,
+    sites_found, site_status, site_interior, site_widened, site_rescued, allele_normalised, insertion_novelty, private_dosage, private_runs, copy_split, allele_split, walk_inversions,
     tandem_units, node_order, step_tokens,
 )}

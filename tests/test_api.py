@@ -140,3 +140,12 @@ def test_files(spark, tmp_path):
     assert not (tmp_path / "none").exists() and not list(tmp_path.glob("*.stage"))
     with pytest.raises(FileExistsError):
         tables.staged(spark, {}, at("both"))
+
+
+def test_models_of_loci(spark):
+    doses = spark.createDataFrame([("g", f, f"s{i}", 1.0, 0) for f, m in (("x", 3), ("y", 3), ("z", 2)) for i in range(12) if i % m == 0] + [("g", "w", f"s{i}", 1.0, 0) for i in range(12)], "g string, feature string, sample string, dose double, y int")
+    pheno = spark.createDataFrame([(f"s{i}", float(i % 3 == 0) + 0.01 * i, 1) for i in range(12)], "sample string, y double, feature int")
+    assert [(r.n_features, r.meff) for r in api.associate_locus(doses, pheno, "g", "effective").collect()] == [(4, 2.0)]
+    assert [(r.feature, r.step) for r in api.associate_locus(doses, pheno, "g", "conditional").collect()] == [("x", 1)]
+    with pytest.raises(ValueError):
+        api.associate_locus(doses, pheno, "g", "other")

@@ -6,9 +6,11 @@ import numpy as np
 import pandas as pd
 import pytest
 
+from spangraph.functions import seq as S
 from spangraph.functions import tails
 from spangraph.operators import assoc as Assoc
 from spangraph.operators import locus as L
+from spangraph.operators import sites as T
 from spangraph.operators import walks as K
 from spangraph.plans import calls as C
 from spangraph.plans import walks as P
@@ -173,3 +175,18 @@ def test_alignment_by_halves_is_as_good():
         for _, i0, i1, j0, j1 in [*C.align_any(a, b, 5), ("end", len(a), 0, len(b), 0)]:
             assert a[i:i0] == b[j:j0]
             i, j = i1, j1
+
+
+def test_copies_split_between_near_identical_sequences(spark):
+    rng = random.Random(8)
+    a = "".join(rng.choices("ACGT", k=240))
+    other = {"A": "C", "C": "G", "G": "T", "T": "A"}
+    b = "".join(other[c] if i in (60, 130, 200) else c for i, c in enumerate(a))
+    texts = {"aab": [a, a, b], "b": [b], "mixed": [a[:100] + b[100:]], "nothing": ["ACGT"], "unknown": [a]}
+    haps = spark.createDataFrame([("p", h, f"{h}{i}", t) for h, ts in texts.items() for i, t in enumerate(ts)], "pair string, hap string, piece string, text string")
+    words = S.kmer_codes(haps, ["pair", "hap", "piece"], "text", 11).groupBy("pair", "hap", "kmer").count().selectExpr("pair", "hap", "kmer", "count as n", "1 as total")
+    totals = spark.createDataFrame([("p", h, None if h == "unknown" else len(t), "x") for h, t in texts.items()], "pair string, hap string, total long, share string")
+    pairs = spark.createDataFrame([("p", a, b, 1), ("null", a, None, 1), ("same", a, a, 1), ("blank", "", "", 1)], "pair string, a string, b string, kmer int")
+    got = rows(T.paralog_split(pairs, words, totals))
+    assert got == [("p", "aab", 3, 3, 0.666667, 2, 1), ("p", "b", 1, 3, 0.0, 0, 1), ("p", "mixed", 1, 3, 0.0, 0, 1), ("p", "unknown", None, 3, 1.0, None, None)]
+    assert rows(T.paralog_split(pairs.limit(0), words, totals)) == [] and rows(T.paralog_split(pairs, words.limit(0), totals)) == []
