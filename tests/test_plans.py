@@ -2,10 +2,12 @@
 
 import random
 
+import duckdb
 import numpy as np
 import pandas as pd
 import pytest
 
+import __spark_entry__ as entry
 from spangraph.functions import seq as S
 from spangraph.functions import tails
 from spangraph.operators import assoc as Assoc
@@ -190,3 +192,37 @@ def test_copies_split_between_near_identical_sequences(spark):
     got = rows(T.paralog_split(pairs, words, totals))
     assert got == [("p", "aab", 3, 3, 0.666667, 2, 1), ("p", "b", 1, 3, 0.0, 0, 1), ("p", "mixed", 1, 3, 0.0, 0, 1), ("p", "unknown", None, 3, 1.0, None, None)]
     assert rows(T.paralog_split(pairs.limit(0), words, totals)) == [] and rows(T.paralog_split(pairs, words.limit(0), totals)) == []
+
+
+@pytest.fixture(scope="module")
+def many_samples(spark, tmp_path_factory):
+    """5 000 samples with balances near 9 000: products of their sums in cents leave the range of a long."""
+    n, rng = 5000, random.Random(5)
+    walks = [("g", f"smp{i:07d}#1#c", f"smp{i:07d}", 1, "c", ">1" + (">2" if rng.random() < 0.4 else "") + (">3>3" if rng.random() < 0.3 else "") + (">4" if i % 700 == 0 else "")) for i in range(1, n + 1)]
+    who = [(i, round(9000 + 900 * rng.random() + (60 if ">2" in walks[i - 1][5] else 0), 2), rng.choice(["BUILDING", "MACHINERY"]), i % 25) for i in range(1, n + 1)]
+    return tables(
+        spark, tmp_path_factory.mktemp("many"),
+        graph_paths=(walks, "graph_name string, path_name string, sample_name string, haplotype int, contig string, steps string"),
+        customer=(who, "c_custkey long, c_acctbal double, c_mktsegment string, c_nationkey int"),
+    )
+
+
+def equals_sql(spark, folder, name):
+    """The rows of a query; compared with its SQL where it has one."""
+    con, query = duckdb.connect(), entry.queries()[name](spark, folder)
+    for table in ("graph_paths", "customer"):
+        con.execute(f"create view {table} as select * from read_parquet('{folder}/{table}.parquet/*.parquet')")
+    got = query.collect()
+    if name in entry.oracle_sql():
+        want = con.execute(entry.oracle_sql()[name])
+        columns = [c[0] for c in want.description]
+        assert sorted(str(tuple(r[c] for c in columns)) for r in got) == sorted(map(str, want.fetchall()))
+    return got
+
+
+@pytest.mark.parametrize("name, n_rows", [
+    ("assoc_lambda", 1),
+])
+def test_association_of_many_samples(spark, many_samples, name, n_rows):
+    got = equals_sql(spark, many_samples, name)
+    assert len(got) == n_rows and None not in [x for r in got for c, x in r.asDict().items() if c in ("p", "q", "p_meff", "lambda_gc", "best_t")]
