@@ -223,6 +223,7 @@ def equals_sql(spark, folder, name):
 @pytest.mark.parametrize("name, n_rows", [
     ("assoc_lambda", 1),
     ("assoc_meff", 3),
+    ("burden", 1),
 ])
 def test_association_of_many_samples(spark, many_samples, name, n_rows):
     got = equals_sql(spark, many_samples, name)
