@@ -225,6 +225,7 @@ def equals_sql(spark, folder, name):
     ("assoc_meff", 3),
     ("burden", 1),
     ("assoc_genotypic", 4),
+    ("assoc_linear", 4),
 ])
 def test_association_of_many_samples(spark, many_samples, name, n_rows):
     got = equals_sql(spark, many_samples, name)
