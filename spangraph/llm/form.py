@@ -4,7 +4,7 @@ The form is a confusables skeleton: decompose the text, replace every character
 decompose again. Prototypes come from rules over the character database (full-width and half-width forms,
 mathematical letters and digits, ligatures, blanks, characters of no width) and, for letters, from the
 published table of confusable characters, as the ICU library that comes with Spark holds it
-(``confusables``); a short table of the commonest stands in where there is none. Only letters whose
+(``confusables``); those of a short table of the commonest go before it. Only letters whose
 prototype is one plain Latin letter are replaced: the published table also joins 0 and O, or 1, l and I,
 which TESTDATA keeps apart, as it does accents, case, digits, punctuation and line breaks.
 
@@ -81,14 +81,17 @@ def confusables(spark: SparkSession) -> dict[str, str]:
 
     Read from ICU's confusables data in one call. The table has a few thousand entries, whatever the texts,
     and travels with the tasks. Where the published prototype stands for I and l alike, a capital or
-    caseless letter is taken for I and a small one for l. Empty where the session has no ICU.
+    caseless letter is taken for I and a small one for l. Raises where the session has no ICU or ICU fails, since
+    without the table look-alike texts would be missed unseen.
     """
     letters = [c for c in map(chr, range(0x80, sys.maxunicode + 1)) if unicodedata.category(c)[0] == "L" and unicodedata.normalize("NFD", c) == c]
     try:
         checker = getattr(spark._jvm, "com.ibm.icu.text.SpoofChecker$Builder")().build()
         shown = checker.getSkeleton("\n".join(letters)).split("\n")
-    except Exception:  # no JVM at hand, or one without ICU
-        return {}
+    except Exception as e:
+        raise RuntimeError("the session has no JVM with ICU, which holds the published look-alike letters") from e
+    if len(shown) != len(letters):
+        raise RuntimeError(f"ICU gave {len(shown)} prototypes for {len(letters)} letters")
     out = {c: p for c, p in zip(letters, shown) if len(p) == 1 and p.isascii() and p.isalpha() and p != c}
     return {c: "I" if p == "l" and not c.islower() else p for c, p in out.items()}
 

@@ -9,7 +9,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from spangraph.llm.form import form_classes, forms, look_alike_pairs, skeleton
+from spangraph.llm.form import confusables, form_classes, forms, look_alike_pairs, skeleton
 from spangraph.llm.leakage import leaked_items, tile, words_of
 from spangraph.llm.spans import shared_spans
 from spangraph.llm.terms import mark_terms, term_counts
@@ -285,3 +285,22 @@ def test_tiles_of_repeats_equal_plain_tiling():
             assert a[i : i + n] == b[j : j + n] and not used_a & set(range(i, i + n)) and not used_b & set(range(j, j + n))
             used_a |= set(range(i, i + n))
             used_b |= set(range(j, j + n))
+
+
+def test_missing_confusables_are_no_result(spark):
+    """A session without ICU, and an ICU that fails or gives too little, raise instead of going on with a short table."""
+
+    class Checker:
+        def build(self):
+            return self
+
+        def getSkeleton(self, text):
+            return "a\nb"
+
+    def session(builder):
+        return type("Session", (), {"_jvm": type("Jvm", (), {"com.ibm.icu.text.SpoofChecker$Builder": builder})()})()
+
+    for broken in (type("Connect", (), {})(), session(None), session(Checker)):
+        with pytest.raises(RuntimeError):
+            confusables(broken)
+    assert len(confusables(spark)) > 1000
