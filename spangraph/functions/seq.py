@@ -7,6 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -107,6 +108,20 @@ def _laid(texts: list[str], k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]
     return raw, owner, np.arange(len(raw)) - (np.cumsum(sizes) - sizes)[owner]
 
 
+LETTERS = 1 << 20  # that are worked at once
+
+
+def bounded(batches: Iterator[pa.RecordBatch], text: int, letters: int = LETTERS) -> Iterator[pa.RecordBatch]:
+    """The batches cut so that a part's texts have at most about ``letters`` letters: a batch goes by rows, and its arrays by letters."""
+    for batch in batches:
+        sizes = np.cumsum(pc.binary_length(batch.column(text)).fill_null(0).to_numpy(zero_copy_only=False)) if batch.num_rows else []
+        part = np.floor_divide(sizes, letters)
+        cuts = [0, *(np.flatnonzero(np.diff(part)) + 1), batch.num_rows]
+        for lo, hi in zip(cuts[:-1], cuts[1:]):
+            if hi > lo:
+                yield batch.slice(lo, hi - lo)
+
+
 def _codes(raw: np.ndarray, s: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(code of each s-mer, of its reverse complement, whether all its letters are bases), two bits a base."""
     codes = CODES[raw]
@@ -140,7 +155,7 @@ def kmer_codes(rows: DataFrame, keys: list[str], text: str, k: int, canonical_fo
     cut = text_blocks(rows, keys, text, 20_000, k - 1).withColumn("text", F.upper("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in bounded(batches, len(keys) + 1):
             raw, owner, place = _laid(batch.column(len(keys) + 1).to_pylist(), k)
             ahead, back, plain = _codes(raw, k)
             at = np.flatnonzero(plain)
@@ -180,7 +195,7 @@ def with_window_hashes(rows: DataFrame, keys: list[str], text: str, k: int, s: i
     cut = text_blocks(rows, keys, text, 20_000, k - 1).withColumn("text", F.upper("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in bounded(batches, len(keys) + 1):
             raw, owner, place = _laid(batch.column(len(keys) + 1).to_pylist(), k)
             at, *found = _window_hashes(raw, k, s, seed)
             rows_of = pa.array(owner[at])

@@ -5,6 +5,7 @@ import datetime
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -135,6 +136,15 @@ def test_kmer_functions(spark):
                 assert (i, j) not in spots
 
 
+def test_texts_are_worked_a_bounded_number_of_letters_at_a_time():
+    """A batch of long texts is cut by letters, so the arrays of its k-mers, about 58 bytes a letter, do not grow with the batch."""
+    texts = ["ACGT" * (i % 9 * 10) for i in range(500)] + ["", None, "A" * 3000, "C"]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts)], ["id", "text"])
+    parts = list(S.bounded(iter([batch, batch.slice(0, 0)]), 1, 1000))
+    assert pa.Table.from_batches(parts).equals(pa.Table.from_batches([batch]))
+    assert all(sum(len(t or "") for t in p.column(1).to_pylist()[1:]) <= 1000 for p in parts) and len(parts) > 50
+
+
 def test_small_functions(spark):
     df = spark.createDataFrame([("ACACAC", "A;b=c,%\t", "II#")], "s string, t string, q string")
     r = df.select(
