@@ -229,6 +229,7 @@ def equals_sql(spark, folder, name):
     ("assoc_tested", 3),
     ("ld_clumps", 3),
     ("assoc_layers", 1),
+    ("assoc_ranked", 3),
 ])
 def test_association_of_many_samples(spark, many_samples, name, n_rows):
     got = equals_sql(spark, many_samples, name)
