@@ -230,6 +230,7 @@ def equals_sql(spark, folder, name):
     ("ld_clumps", 3),
     ("assoc_layers", 1),
     ("assoc_ranked", 3),
+    ("layer_bootstrap", 1),
 ])
 def test_association_of_many_samples(spark, many_samples, name, n_rows):
     got = equals_sql(spark, many_samples, name)
