@@ -232,6 +232,7 @@ def equals_sql(spark, folder, name):
     ("assoc_ranked", 3),
     ("layer_bootstrap", 1),
     ("lead_conditioned", 2),
+    ("lead_tested", 2),
 ])
 def test_association_of_many_samples(spark, many_samples, name, n_rows):
     got = equals_sql(spark, many_samples, name)
