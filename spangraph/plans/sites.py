@@ -59,15 +59,20 @@ def insertion_novelty(spark: SparkSession, folder: str) -> DataFrame:
     return per.select("variant_id", "kmers", "shared", F.when(F.col("shared") >= 0.9 * F.col("kmers"), "DUP").otherwise("NOVEL").alias("subtype"))
 
 
-def _private_hits(spark: SparkSession, folder: str) -> DataFrame:
-    private = _index(spark, folder).where("outside = 0").select("locus", "kmer")
-    return _placed(spark, folder).join(private, "kmer").select("path_name", "locus", "pos")
+def _private(spark: SparkSession, folder: str) -> DataFrame:
+    """(locus, kmer, mult) of the k-mers that one locus alone holds, written once, so that the plans that read it stay small."""
+    return written(_index(spark, folder).where("outside = 0").select("locus", "kmer", "mult"), "private")
+
+
+def _private_hits(spark: SparkSession, folder: str, private: DataFrame) -> DataFrame:
+    return _placed(spark, folder).join(private.select("locus", "kmer"), "kmer").select("path_name", "locus", "pos")
 
 
 def private_dosage(spark: SparkSession, folder: str) -> DataFrame:
     """Copies of each locus in each walk: hits on the k-mers that only the locus holds, over their occurrences in it."""
-    size = _index(spark, folder).where("outside = 0").groupBy("locus").agg(F.sum("mult").alias("private_kmers"))
-    hits = _private_hits(spark, folder).groupBy("path_name", "locus").agg(F.count(F.lit(1)).alias("hits"))
+    private = _private(spark, folder)
+    size = private.groupBy("locus").agg(F.sum("mult").alias("private_kmers"))
+    hits = _private_hits(spark, folder, private).groupBy("path_name", "locus").agg(F.count(F.lit(1)).alias("hits"))
     share = F.col("hits") / F.col("private_kmers")
     return hits.join(size, "locus").select("path_name", "locus", "hits", "private_kmers", F.round(share, 6).alias("dosage"), F.floor(share + 0.5).cast("long").alias("cn"))
 
@@ -75,7 +80,7 @@ def private_dosage(spark: SparkSession, folder: str) -> DataFrame:
 def private_runs(spark: SparkSession, folder: str) -> DataFrame:
     """Runs of private hits along a walk; hits further apart than 200 bases and a hundredth of the locus begin a new one."""
     bases = _index(spark, folder).groupBy("locus").agg((F.sum("mult") / 100).cast("long").alias("near"))
-    rows = _private_hits(spark, folder).join(bases, "locus").withColumn("gap", F.greatest(F.col("near"), F.lit(200).cast("long"))).withColumn("end", F.col("pos") + KMER)
+    rows = _private_hits(spark, folder, _private(spark, folder)).join(bases, "locus").withColumn("gap", F.greatest(F.col("near"), F.lit(200).cast("long"))).withColumn("end", F.col("pos") + KMER)
     linked = I.islands(rows, ["path_name", "locus"], "pos", "end", F.col("gap"))
     return linked.groupBy("path_name", "locus", "island").agg(F.min("pos").alias("lo"), F.max("end").alias("hi"), F.count(F.lit(1)).alias("hits")).drop("island")
 

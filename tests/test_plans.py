@@ -237,3 +237,18 @@ def equals_sql(spark, folder, name):
 def test_association_of_many_samples(spark, many_samples, name, n_rows):
     got = equals_sql(spark, many_samples, name)
     assert len(got) == n_rows and None not in [x for r in got for c, x in r.asDict().items() if c in ("p", "q", "p_meff", "lambda_gc", "best_t")]
+
+
+@pytest.mark.parametrize("name", [
+    "private_dosage",
+])
+def test_index_is_worked_out_once(spark, name):
+    """The k-mers of the index are a written table in the plan, not worked out again wherever they are read; results are those of the SQL."""
+    folder, con = "/root/testdata/sf0.001", duckdb.connect()
+    made = entry.queries()[name](spark, folder)
+    assert made._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
+    for table in ("graph_paths", "graph_nodes"):
+        con.execute(f"create view {table} as select * from read_parquet('{folder}/{table}.parquet')")
+    want = con.execute(entry.oracle_sql()[name])
+    columns = [c[0] for c in want.description]
+    assert sorted(str(tuple(r)) for r in made.select(*columns).collect()) == sorted(map(str, want.fetchall()))
