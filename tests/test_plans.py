@@ -241,6 +241,7 @@ def test_association_of_many_samples(spark, many_samples, name, n_rows):
 
 @pytest.mark.parametrize("name", [
     "private_dosage",
+    "window_ceilings",
 ])
 def test_index_is_worked_out_once(spark, name):
     """The k-mers of the index are a written table in the plan, not worked out again wherever they are read; results are those of the SQL."""
