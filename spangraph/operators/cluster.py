@@ -1,4 +1,4 @@
-"""Connected components by label propagation, and greedy clusters in a given order, both as rounds over DataFrames."""
+"""Connected components by contraction, and greedy clusters in a given order, both as rounds over DataFrames."""
 
 from __future__ import annotations
 
@@ -11,33 +11,46 @@ from spangraph.session import release, written
 def connected_components(links: DataFrame, a: str, b: str, max_rounds: int = 60, vertices: DataFrame | None = None) -> DataFrame:
     """(id, component): the least id that can be reached. Links are undirected; nulls and self-links take no part.
 
-    Each round takes the least label of the neighbours and then follows that label's own label, so the
-    number of rounds grows with the logarithm of the longest chain. Only ids whose label fell in the last round send it
-    on. Labels are the only state; each round is written to the shared folder and the round before deleted.
-    ``vertices`` (id) adds the ids without a link, each a component of its own. Raises if the labels have not settled after ``max_rounds``.
+    Each round joins every id to the least of itself and its neighbours, follows those steps to their ends (twice as far each
+    time, so a chain of any length takes its logarithm), and goes on with the links between the ends. Ids with a link are at
+    least halved in a round, so both loops are bounded by the logarithm of the ids, whatever the form of a component. Rounds
+    are written to the shared folder and what is no longer read is deleted.
+    ``vertices`` (id) adds the ids without a link, each a component of its own. Raises if links are left after ``max_rounds``.
     """
     valid = links.where(F.col(a).isNotNull() & F.col(b).isNotNull() & (F.col(a) != F.col(b)))
     both = F.array(F.struct(F.col(a).alias("id"), F.col(b).alias("to")), F.struct(F.col(b).alias("id"), F.col(a).alias("to")))
     edges = written(valid.select(F.inline(both)).distinct(), "links")
-    labels = written(edges.groupBy("id").agg(F.least(F.col("id"), F.min("to")).alias("component")).withColumn("moved", F.lit(True)), "labels")
+    labels = written(edges.select("id").distinct().withColumn("component", F.col("id")), "labels")
     for _ in range(max_rounds):
-        told = labels.where("moved").select(F.col("id").alias("to"), "component")
-        near = edges.join(told, "to").groupBy("id").agg(F.min("component").alias("near"))
-        hop = labels.select(F.col("id").alias("component"), F.col("component").alias("beyond"))
-        at = labels.join(hop, "component", "left").join(near, "id", "left")
-        least = F.least("component", F.coalesce("beyond", "component"), F.coalesce("near", "component"))
-        new = written(at.select("id", least.alias("new"), "component").select("id", F.col("new").alias("component"), (F.col("new") != F.col("component")).alias("moved")), "labels")
-        release(labels)
-        labels = new
-        if labels.where("moved").isEmpty():
-            out = labels.select("id", "component")
+        if edges.isEmpty():
+            release(edges)
+            out = labels
             if vertices is None:
                 return out
             alone = vertices.select(F.col(vertices.columns[0]).alias("id")).distinct().join(out, "id", "left_anti")
             return out.unionByName(alone.withColumn("component", F.col("id")))
+        ends = _ends(edges.groupBy("id").agg(F.least(F.col("id"), F.min("to")).alias("end")))
+        end = lambda x: ends.select(F.col("id").alias(x), F.col("end").alias(f"__{x}"))
+        left = edges.join(end("id"), "id").join(end("to"), "to").where("__id <> __to").select(F.col("__id").alias("id"), F.col("__to").alias("to")).distinct()
+        told = labels.join(end("component"), "component", "left").select("id", F.coalesce("__component", "component").alias("component"))
+        new = written(left, "links"), written(told, "labels")
+        for old in (edges, labels, ends):
+            release(old)
+        edges, labels = new
     raise RuntimeError(f"components not settled after {max_rounds} rounds")
 
 
+def _ends(steps: DataFrame) -> DataFrame:
+    """(id, end): where steps from id to a lesser or equal end come to rest; each turn takes the step of the step's end."""
+    ends = written(steps.withColumn("moved", F.col("end") != F.col("id")), "ends")
+    while not ends.where("moved").isEmpty():
+        ahead = ends.select(F.col("id").alias("end"), F.col("end").alias("beyond"))
+        new = written(ends.join(ahead, "end").select("id", F.col("beyond").alias("end"), (F.col("beyond") != F.col("end")).alias("moved")), "ends")
+        release(ends)
+        ends = new
+    return ends
+
+
 def greedy_leaders(scored: DataFrame, group: str, item: str, rank: str, links: DataFrame, other: str, max_rounds: int = 1000) -> DataFrame:
     """(group, item, leader): in rank order, an item joins the first leader that it is linked to, or else leads.
 

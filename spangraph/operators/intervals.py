@@ -34,16 +34,19 @@ def _binned(df: DataFrame, lo: str, hi: str, width: int) -> DataFrame:
 def overlap_join(left: DataFrame, right: DataFrame, key: str, left_bounds: tuple[str, str], right_bounds: tuple[str, str], width: int) -> DataFrame:
     """All pairs of overlapping intervals of one key. Other column names must differ between the sides.
 
-    A pair is made at the coarser of the two levels, in the first bin there that both touch.
+    A pair is made at the coarser of the two levels, in the first bin there that both touch. ``__side`` keeps rows that both stand
+    at a coarser level than their own apart: 0 is the left's own level, 1 its coarser ones, and the right's rows go to
+    the sides that they may meet, so short intervals meet long ones in a coarse bin, but not one another.
     """
     (a, b), (c, d) = left_bounds, right_bounds
-    one = _binned(left, a, b, width).withColumnRenamed("__level", "__a")
-    two = _binned(right, c, d, width).withColumnRenamed("__level", "__b")
-    pairs = one.join(two, [key, "__bin"])
-    meet = (F.col(a) < F.col(d)) & (F.col(c) < F.col(b)) & (F.greatest("__a", "__b") == F.col("__bin.l"))
+    own = F.col("__bin.l") == F.col("__level")
+    one = _binned(left, a, b, width).withColumn("__side", F.when(own, 0).otherwise(1)).withColumnRenamed("__level", "__a")
+    two = _binned(right, c, d, width).withColumn("__side", F.explode(F.when(own, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0))))).withColumnRenamed("__level", "__b")
+    pairs = one.join(two, [key, "__bin", "__side"])
+    meet = (F.col(a) < F.col(d)) & (F.col(c) < F.col(b))
     begin = F.greatest(F.col(a), F.col(c))
     first = F.when(F.col("__bin.l") == 0, F.floor(begin / width)).when(F.col("__bin.l") == 1, F.floor(begin / (width * COARSE))).otherwise(0)
-    return pairs.where(meet & (F.col("__bin.b") == first)).drop("__bin", "__a", "__b")
+    return pairs.where(meet & (F.col("__bin.b") == first)).drop("__bin", "__a", "__b", "__side")
 
 
 def islands(df: DataFrame, keys: list[str], lo: str, hi: str, gap: Column | int = 0, tie: list[str] | None = None) -> DataFrame:

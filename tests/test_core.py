@@ -552,3 +552,27 @@ def test_alignment_rebuilds_the_other_side(a, b):
         out += a[at:i0] + b[j0:j1]
         at = i1
     assert out + a[at:] == b
+
+
+def test_components_of_a_long_band(spark):
+    """A long band of shuffled names: labels handed on from neighbour to neighbour need more than 60 rounds."""
+    rng = random.Random(7)
+    n = 6000
+    names = [f"v{i:05d}" for i in range(n)]
+    rng.shuffle(names)
+    pairs = [(names[i], names[j]) for i in range(n) for j in (i + 1, i + 2) if j < n and rng.random() < 0.9]
+    near = {x: [] for x in names}
+    for a, b in pairs:
+        near[a].append(b)
+        near[b].append(a)
+    want, seen = {}, set()
+    for x in sorted(names):
+        todo = [x] if x not in seen and near[x] else []
+        seen.update(todo)
+        while todo:
+            y = todo.pop()
+            want[y] = x
+            fresh = [z for z in near[y] if z not in seen]
+            seen.update(fresh)
+            todo += fresh
+    assert dict(rows(connected_components(spark.createDataFrame(pairs, "a string, b string"), "a", "b"))) == want
