@@ -253,3 +253,20 @@ def test_index_is_worked_out_once(spark, name):
     want = con.execute(entry.oracle_sql()[name])
     columns = [c[0] for c in want.description]
     assert sorted(str(tuple(r)) for r in made.select(*columns).collect()) == sorted(map(str, want.fetchall()))
+
+
+@pytest.fixture(scope="module")
+def odd_loci(spark, tmp_path_factory):
+    """Beside a locus of 8 samples: one of 2, one whose features do not vary, and one of samples without a phenotype."""
+    walk = lambda g, i, steps: (g, f"smp{i}#1#{g}", f"smp{i}", 1, g, steps)
+    walks = [walk("g", i, ">1>2" if i % 2 else ">1>3>3") for i in range(1, 9)] + [walk("h", i, ">4" + ">5" * i) for i in (1, 2)]
+    walks += [walk("k", i, ">6>7") for i in range(1, 9)] + [walk("z", i, ">8" + ">9" * (i % 2)) for i in range(91, 99)]
+    return tables(
+        spark, tmp_path_factory.mktemp("odd"),
+        graph_paths=(walks, "graph_name string, path_name string, sample_name string, haplotype int, contig string, steps string"),
+        customer=([(i, 10.0 * i * i, "BUILDING") for i in range(1, 9)], "c_custkey long, c_acctbal double, c_mktsegment string"),
+    )
+
+
+def test_permutation_leaves_out_loci_without_a_result(spark, odd_loci):
+    assert [r["graph_name"] for r in entry.queries()["locus_permutation"](spark, odd_loci).collect()] == ["g"]
