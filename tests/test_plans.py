@@ -270,3 +270,7 @@ def odd_loci(spark, tmp_path_factory):
 
 def test_permutation_leaves_out_loci_without_a_result(spark, odd_loci):
     assert [r["graph_name"] for r in entry.queries()["locus_permutation"](spark, odd_loci).collect()] == ["g"]
+
+
+def test_fine_map_leaves_out_loci_without_a_result(spark, odd_loci):
+    assert {r["graph_name"] for r in entry.queries()["locus_fine_map"](spark, odd_loci).collect()} == {"g", "k"}
