@@ -146,11 +146,18 @@ def _smer_hashes(raw: np.ndarray, s: int, seed: int) -> tuple[np.ndarray, np.nda
     return x ^ (x >> np.uint64(31)), plain
 
 
-def kmer_codes(rows: DataFrame, keys: list[str], text: str, k: int, canonical_form: bool = True) -> DataFrame:
+def rolled(texts: list[str], k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(canonical code, owner, place in its text, whether all letters are bases) of the k-mers of upper-case texts laid end to end."""
+    raw, owner, place = _laid(texts, k)
+    ahead, back, plain = _codes(raw, k)
+    return np.minimum(ahead, back).view(np.int64), owner, place, plain
+
+
+def kmer_codes(rows: DataFrame, keys: list[str], text: str, k: int, canonical_form: bool = True, smer: int = 0) -> DataFrame:
     """(*keys, pos, kmer): the k-mers of a text as two-bit codes (k at most 31), pos counting from 0, whatever the case of the letters.
 
     Codes order like the texts. Texts come in blocks, and a block's codes are rolled as arrays; k-mers with a letter that
-    is no base are left out. ``decode`` gives the text back.
+    is no base are left out. ``decode`` gives the text back. With ``smer`` also ``screen``, whether the k-mer is a closed syncmer.
     """
     cut = text_blocks(rows, keys, text, 20_000, k - 1).withColumn("text", F.upper("text"))
 
@@ -162,10 +169,14 @@ def kmer_codes(rows: DataFrame, keys: list[str], text: str, k: int, canonical_fo
             rows_of = pa.array(owner[at])
             start = batch.column(len(keys)).to_numpy(zero_copy_only=False)[owner[at]]
             codes = (np.minimum(ahead, back) if canonical_form else ahead)[at].view(np.int64)
-            yield pa.RecordBatch.from_arrays([*(batch.column(i).take(rows_of) for i in range(len(keys))), pa.array(place[at] + start), pa.array(codes)], [*keys, "pos", "kmer"])
+            made = [*(batch.column(i).take(rows_of) for i in range(len(keys))), pa.array(place[at] + start), pa.array(codes)]
+            if smer:
+                _, first, last, low = _window_hashes(raw, k, smer, 0)  # of the same places
+                made.append(pa.array((first == low) | (last == low)))
+            yield pa.RecordBatch.from_arrays(made, [*keys, "pos", "kmer", *(["screen"] if smer else [])])
 
     kinds = dict(cut.dtypes)
-    return cut.mapInArrow(run, ", ".join(f"{c} {kinds[c]}" for c in keys) + ", pos long, kmer long")
+    return cut.mapInArrow(run, ", ".join(f"{c} {kinds[c]}" for c in keys) + ", pos long, kmer long" + (", screen boolean" if smer else ""))
 
 
 CODES = np.full(256, 4, np.uint8)

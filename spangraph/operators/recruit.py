@@ -13,8 +13,13 @@ have no row for it; repeated fragments of one key count as one; an empty table g
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from spangraph.functions import seq as S
 from spangraph.operators import intervals as I
@@ -36,13 +41,21 @@ def syncmers(rows: DataFrame, keys: list[str], text: str, k: int, s: int) -> Dat
     return at.where("first = low or last = low").select(*keys, "pos")
 
 
+def counted_words(texts: DataFrame, keys: list[str], text: str, k: int, s: int) -> DataFrame:
+    """(locus, kmer, mult, screen): how often each locus holds each k-mer, and whether the k-mer is a closed syncmer.
+
+    Both strands agree on a closed syncmer, so the k-mer alone tells, and one pass over the texts gives both.
+    """
+    made = S.kmer_codes(texts, keys, text, k, smer=s)
+    return made.groupBy("locus", "kmer").agg(F.count(F.lit(1)).alias("mult"), F.bool_or("screen").alias("screen"))
+
+
 def locus_index(counts: DataFrame, k: int, informative_max: int = 2) -> DataFrame:
-    """(locus, kmer, mult, outside, cls) from (locus, kmer, mult), k-mers as codes: private, shared or repeated by the count outside the locus.
+    """Adds ``outside`` and ``cls`` to (locus, kmer, mult, ...), k-mers as codes: private, shared or repeated by the count outside the locus.
 
     Private k-mers of low complexity are demoted to shared; only k-mers with nothing outside are looked at for that.
     """
-    total = counts.groupBy("kmer").agg(F.sum("mult").alias("total"))
-    out = counts.join(total, "kmer").withColumn("outside", F.col("total") - F.col("mult")).drop("total")
+    out = counts.withColumn("outside", F.sum("mult").over(W.partitionBy("kmer")) - F.col("mult"))  # a k-mer has a row per locus
     private = (F.col("outside") == 0) & (S.dust_of_codes(F.when(F.col("outside") == 0, F.col("kmer")), k) < DUST_LIMIT)
     return out.withColumn("cls", F.when(private, "P").when(F.col("outside") <= informative_max, "S").otherwise("R"))
 
@@ -56,25 +69,65 @@ def with_screen(index: DataFrame, texts: DataFrame, keys: list[str], text: str,
     return index.join(marks, "kmer", "left").withColumn("screen", F.coalesce("screen", F.lit(False)))
 
 
-def decoy_kmers(index: DataFrame, placed: DataFrame, gap: int = 1500, least: int = 20, pad: int = 50) -> DataFrame:
+def decoy_kmers(index: DataFrame, placed: DataFrame, blocks: DataFrame, k: int, size: int, gap: int = 1500, least: int = 20, pad: int = 50) -> DataFrame:
     """(locus, kmer): k-mers of stretches of other loci that resemble the locus, which the locus itself does not hold.
 
-    ``placed`` is (path_name, home, pos, kmer), the k-mers of the walks with the locus they belong to. A stretch is
-    a cluster of at least ``least`` hits on the locus's shared k-mers, at most ``gap`` apart. Repeated k-mers open no
-    stretch, so a k-mer meets few loci.
+    ``placed`` is (path_name, locus, pos): where the walks of other loci hold a shared k-mer of a
+    locus. ``blocks`` is (path_name, start_bp, text), the walks in blocks of ``size`` bases, each going on for k - 1 bases into the next. A
+    stretch is a cluster of at least ``least`` places, at most ``gap`` apart. Repeated k-mers open no stretch, so a k-mer meets few
+    loci. Only the texts of stretches are cut into k-mers, each text once for its locus.
     """
-    shared = index.where("cls = 'S'").select("locus", "kmer")
-    hits = placed.join(shared, "kmer").where("locus <> home").select("path_name", "locus", "pos", (F.col("pos") + 1).alias("end"))
+    hits = placed.select("path_name", "locus", "pos", (F.col("pos") + 1).alias("end"))
     linked = I.islands(hits, ["path_name", "locus"], "pos", "end", gap).groupBy("path_name", "locus", "island")
     spans = linked.agg(F.min("pos").alias("lo"), F.max("end").alias("hi"), F.count(F.lit(1)).alias("n")).where(F.col("n") >= least)
-    # a k-mer lies in one bin, a window in those that it touches
-    lo, hi, bin_ = F.col("lo") - pad, F.col("hi") + pad, lambda c: F.floor(c / 4096)
-    windows = spans.select("path_name", "locus", lo.alias("lo"), hi.alias("hi"), F.explode(F.sequence(bin_(lo), bin_(hi))).alias("__bin"))
-    points = placed.select("path_name", "pos", "kmer", bin_(F.col("pos")).alias("__bin"))
-    inside = points.join(windows, ["path_name", "__bin"]).where("pos >= lo and pos < hi").select("locus", "kmer").distinct()
+    lo, hi = F.greatest(F.col("lo") - pad, F.lit(0)), F.col("hi") + pad
+    windows = spans.select("path_name", "locus", lo.alias("lo"), hi.alias("hi"), F.explode(F.sequence(F.floor(lo / size), F.floor((hi - 1) / size))).alias("__bin"))
+    begin = F.greatest(F.col("lo"), F.col("start_bp"))
+    end = F.least(F.col("hi"), F.col("start_bp") + size)
+    texts = blocks.withColumn("__bin", F.floor(F.col("start_bp") / size)).join(windows, ["path_name", "__bin"])
+    cut = F.col("text").substr((begin - F.col("start_bp") + 1).cast("int"), (end - begin + k - 1).cast("int"))
+    inside = words(texts.select("locus", cut.alias("text")).distinct(), ["locus"], "text", k).select("locus", "kmer").distinct()
     return inside.join(index.select("locus", "kmer"), ["locus", "kmer"], "left_anti")
 
 
+def shared_places(index: DataFrame, node_words: DataFrame, steps: DataFrame, borders: DataFrame, homes: DataFrame, k: int) -> DataFrame:
+    """(path_name, locus, pos): where walks hold a shared k-mer of another locus than their own.
+
+    K-mers inside a node are looked up once per node and then placed along the ``steps`` (path_name, node_id, reverse, start_bp,
+    end_bp); those over the ends of steps are ``borders`` (path_name, pos, kmer). ``homes`` is (path_name, home), ``node_words``
+    (node_id, pos, kmer).
+    """
+    shared = index.where("cls = 'S'").select("locus", "kmer")
+    inside = node_words.join(shared, "kmer").select("node_id", F.col("pos").alias("at"), "locus").join(steps, "node_id")
+    pos = F.when(F.col("reverse"), F.col("end_bp") - F.col("at") - k).otherwise(F.col("start_bp") + F.col("at"))
+    both = inside.select("path_name", "locus", pos.alias("pos")).unionByName(borders.join(shared, "kmer").select("path_name", "locus", "pos"))
+    return both.join(homes, "path_name").where("locus <> home").select("path_name", "locus", "pos")
+
+
+def border_kmers(blocks: DataFrame, k: int) -> DataFrame:
+    """(path_name, pos, kmer): the k-mers of walks that no single step holds.
+
+    ``blocks`` is (path_name, start_bp, text, sizes), texts that go on for k - 1 bases into the next block, with the
+    lengths of the pieces of steps that they are made of.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in S.bounded(batches, 2):
+            codes, owner, place, plain = S.rolled(batch.column(2).to_pylist(), k)
+            first = np.flatnonzero(place == 0)
+            change = np.zeros(len(place) + 1, np.int64)
+            for begin, sizes in zip(first, batch.column(3).to_pylist()):
+                ends = begin + np.cumsum(sizes[:-1], dtype=np.int64)
+                np.add.at(change, np.maximum(ends - (k - 1), 0), 1)
+                np.add.at(change, ends, -1)
+            at = np.flatnonzero(plain & (np.cumsum(change)[: len(plain)] > 0))
+            start = batch.column(1).to_numpy(zero_copy_only=False)[owner[at]]
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(owner[at])), pa.array(place[at] + start), pa.array(codes[at])], ["path_name", "pos", "kmer"])
+
+    cut = blocks.select("path_name", "start_bp", F.upper("text").alias("text"), "sizes")
+    return cut.mapInArrow(run, "path_name string, pos long, kmer long")
+
+
 def with_decoys(index: DataFrame, decoys: DataFrame) -> DataFrame:
     """The index with its decoy k-mers as rows of class D, which screen nothing."""
     more = decoys.select("locus", "kmer", F.lit(0).cast("long").alias("mult"), F.lit(0).cast("long").alias("outside"), F.lit("D").alias("cls"), F.lit(False).alias("screen"))
@@ -90,14 +143,60 @@ def labelled(fragments: DataFrame, keys: list[str], text: str, index: DataFrame,
     rows = words(one, keys, "__t", k)
     met = rows.join(index.select("locus", "kmer", "cls", "screen"), "kmer").groupBy(*keys, "locus")
     hits = met.agg(F.bool_or("screen").alias("screen"), F.sort_array(F.collect_list(F.struct(F.col("pos").cast("int").alias("pos"), "cls", "kmer"))).alias("hits")).where("screen")
-    odd = F.array_join(F.transform(S.canonical_kmers(F.col("__t"), k), lambda x: F.when(x.isNull(), "-").otherwise("N")), "")
-    mask = F.when(S.is_plain(F.upper("__t")), F.repeat(F.lit("N"), F.length("__t") - (k - 1))).otherwise(odd)
-    info = one.select(*keys, mask.alias("mask"), (F.length("__t") - (k - 1)).cast("long").alias("windows"))
-    both = hits.join(info, keys)
-    end = lambda i: F.when(i > 0, F.get("hits", i - 1)["pos"] + 1).otherwise(0)
-    parts = F.transform("hits", lambda h, i: F.concat(F.col("mask").substr(end(i) + 1, h["pos"] - end(i)), h["cls"]))
-    tail = F.col("mask").substr(F.element_at("hits", -1)["pos"] + 2, F.length("mask"))
-    return both.select(*keys, "locus", "windows", F.concat(F.array_join(parts, ""), tail).alias("labels"), "hits")
+    info = one.select(*keys, blank_labels(F.col("__t"), k).alias("mask"), (F.length("__t") - (k - 1)).cast("long").alias("windows"))
+    return hits.join(info, keys).select(*keys, "locus", "windows", _filled("hits", "cls").alias("labels"), "hits")
+
+
+def blank_labels(text: Column, k: int) -> Column:
+    """The labels of a text whose k-mers are all unknown."""
+    odd = F.array_join(F.transform(S.canonical_kmers(text, k), lambda x: F.when(x.isNull(), "-").otherwise("N")), "")
+    return F.when(S.is_plain(F.upper(text)), F.repeat(F.lit("N"), F.length(text) - (k - 1))).otherwise(odd)
+
+
+def _filled(parts: str, text: str) -> Column:
+    """``mask`` with the sorted ``parts`` laid over it: arrays of structs with ``pos`` and a text."""
+    end = lambda i: F.when(i > 0, F.get(parts, i - 1)["pos"] + F.length(F.get(parts, i - 1)[text])).otherwise(0)
+    laid = F.transform(parts, lambda h, i: F.concat(F.col("mask").substr(end(i) + 1, h["pos"] - end(i)), h[text]))
+    last = F.element_at(parts, -1)
+    return F.concat(F.array_join(laid, ""), F.col("mask").substr(last["pos"] + F.length(last[text]) + 1, F.length("mask")))
+
+
+def _letter() -> Column:
+    """The label of an index row; lower case where the k-mer is in the screen."""
+    return F.when(F.col("screen"), F.lower("cls")).otherwise(F.col("cls"))
+
+
+def labelled_windows(steps: DataFrame, nodes: DataFrame, node_words: DataFrame, borders: DataFrame, windows: DataFrame, index: DataFrame, k: int, length: int, size: int = 10_000) -> DataFrame:
+    """(path_name, win, locus, windows, labels): what ``labelled`` gives for the windows of ``length`` bases of walks.
+
+    The k-mers inside nodes are labelled once per node, in blocks of ``size`` places, and their texts of labels are laid along the
+    ``steps`` (path_name, node_id, reverse, start_bp, end_bp) and cut at the windows. K-mers over the ends of steps
+    are ``borders`` (path_name, pos, kmer). ``nodes`` is (node_id, sequence), ``windows`` (path_name, win, sequence).
+    """
+    known = index.select("kmer", "locus", _letter().alias("letter"))
+    at = F.col("pos") - F.col("start") * size
+    hits = node_words.join(known, "kmer").withColumn("start", F.floor(F.col("pos") / size)).groupBy("node_id", "start", "locus")
+    parts = hits.agg(F.sort_array(F.collect_list(F.struct(at.cast("int").alias("pos"), "letter"))).alias("parts"))
+    blank = S.text_blocks(nodes, ["node_id"], "sequence", size, k - 1).select("node_id", (F.col("start") / size).cast("long").alias("start"), blank_labels(F.col("text"), k).alias("mask"))
+    texts = parts.join(blank, ["node_id", "start"]).select("node_id", (F.col("start") * size).alias("from"), "locus", _filled("parts", "letter").alias("text"))
+
+    n = F.length("text")
+    lo = F.when(F.col("reverse"), F.col("end_bp") - F.col("from") - n - (k - 1)).otherwise(F.col("start_bp") + F.col("from"))
+    along = texts.join(steps, "node_id").select("path_name", "locus", lo.alias("lo"), n.alias("n"), F.when(F.col("reverse"), F.reverse("text")).otherwise(F.col("text")).alias("text"))
+    spread = along.withColumn("win", F.explode(F.sequence(F.floor(F.col("lo") / length), F.floor((F.col("lo") + F.col("n") - 1) / length))))
+    begin = F.greatest(F.col("lo"), F.col("win") * length)
+    end = F.least(F.col("lo") + F.col("n"), F.col("win") * length + (length - k + 1))
+    cut = F.col("text").substr((begin - F.col("lo") + 1).cast("int"), (end - begin).cast("int"))
+    inside = spread.where(end > begin).select("path_name", "win", "locus", (begin - F.col("win") * length).cast("int").alias("pos"), cut.alias("text")).where("text rlike '[^N-]'")
+
+    over = borders.withColumn("win", F.floor(F.col("pos") / length)).withColumn("pos", (F.col("pos") % length).cast("int")).where(F.col("pos") <= length - k)
+    over = over.join(known, "kmer").select("path_name", "win", "locus", "pos", F.col("letter").alias("text"))
+    met = inside.unionByName(over).groupBy("path_name", "win", "locus")
+    held = met.agg(F.bool_or(F.col("text").rlike("[psr]")).alias("screen"), F.sort_array(F.collect_list(F.struct("pos", "text"))).alias("parts")).where("screen")
+    one = windows.where(F.length("sequence") >= k)
+    info = one.select("path_name", F.col("win").cast("long").alias("win"), blank_labels(F.col("sequence"), k).alias("mask"), (F.length("sequence") - (k - 1)).cast("long").alias("windows"))
+    both = held.join(info, ["path_name", "win"])
+    return both.select("path_name", F.col("win").cast("int").alias("win"), "locus", "windows", F.upper(_filled("parts", "text")).alias("labels"))
 
 
 def costs(error: Column | float, k: int = 31) -> tuple[Column, Column]:

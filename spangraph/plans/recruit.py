@@ -28,14 +28,18 @@ def _node_texts(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _counts(spark: SparkSession, folder: str) -> DataFrame:
-    rows = R.words(_node_texts(spark, folder), ["locus", "node_id"], "sequence", KMER)
-    return rows.groupBy("locus", "kmer").agg(F.count(F.lit(1)).alias("mult"))
+    return R.counted_words(_node_texts(spark, folder), ["locus", "node_id"], "sequence", KMER, SMER)
 
 
 def fragments(spark: SparkSession, folder: str) -> DataFrame:
     """(path_name, win, sequence): the windows of each spelled walk; a last shorter one is kept from 21 bases on."""
-    cut = F.regexp_extract_all(F.upper("text"), F.lit(f"(?s).{{1,{WINDOW}}}"), F.lit(0))
-    made = blocks(spark, folder, BLOCK).select("path_name", "block", F.posexplode(cut).alias("i", "sequence"))
+    return _windows(blocks(spark, folder, BLOCK))
+
+
+def _windows(texts: DataFrame) -> DataFrame:
+    """The windows of walks in blocks of ``BLOCK`` bases."""
+    cut = F.regexp_extract_all(F.upper(F.left("text", F.lit(BLOCK))), F.lit(f"(?s).{{1,{WINDOW}}}"), F.lit(0))
+    made = texts.select("path_name", "block", F.posexplode(cut).alias("i", "sequence"))
     win = (F.col("block") * (BLOCK // WINDOW) + F.col("i")).cast("int")
     return made.select("path_name", win.alias("win"), "sequence").where(F.length("sequence") >= KMER)
 
@@ -53,23 +57,38 @@ def walk_windows(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _index(spark: SparkSession, folder: str) -> DataFrame:
-    return R.with_screen(R.locus_index(_counts(spark, folder), KMER), _node_texts(spark, folder), ["locus", "node_id"], "sequence", KMER, SMER)
+    return R.locus_index(_counts(spark, folder), KMER).select("kmer", "locus", "mult", "outside", "cls", "screen")
 
 
 def locus_index(spark: SparkSession, folder: str) -> DataFrame:
     return _index(spark, folder).withColumn("kmer", S.decode(F.col("kmer"), KMER))
 
 
+class _Parts:
+    """What decoys and evidence are made of, each written once: the index, the walks in blocks, their steps, and the k-mers inside nodes and over the ends of steps."""
+
+    def __init__(self, spark: SparkSession, folder: str):
+        self.index = written(_index(spark, folder), "index")
+        self.blocks = written(blocks(spark, folder, BLOCK, KMER - 1), "blocks")
+        self.borders = written(R.border_kmers(self.blocks, KMER), "borders")
+        self.steps = written(K.coordinates(steps(spark, folder), nodes(spark, folder)).where("end_bp > start_bp").select("path_name", "node_id", "reverse", "start_bp", "end_bp"), "steps")
+        self.nodes = nodes(spark, folder).where("sequence is not null").select("node_id", F.upper("sequence").alias("sequence"))
+        self.words = written(R.words(self.nodes, ["node_id"], "sequence", KMER), "words")
+        homes = paths(spark, folder).select("path_name", F.col("graph_name").alias("home"))
+        places = written(R.shared_places(self.index, self.words, self.steps, self.borders, homes, KMER), "places")
+        self.decoys = R.decoy_kmers(self.index, places, self.blocks, KMER, BLOCK)
+
+
 def locus_decoys(spark: SparkSession, folder: str) -> DataFrame:
     """K-mers of stretches of other loci that resemble a locus, and that the locus does not hold."""
-    return R.decoy_kmers(written(_index(spark, folder), "index"), written(_placed(spark, folder), "placed")).withColumn("kmer", S.decode(F.col("kmer"), KMER))
+    return _Parts(spark, folder).decoys.withColumn("kmer", S.decode(F.col("kmer"), KMER))
 
 
 def _evidence(spark: SparkSession, folder: str) -> DataFrame:
-    index = written(_index(spark, folder), "index")
-    index = R.with_decoys(index, R.decoy_kmers(index, written(_placed(spark, folder), "placed")))
-    rows = R.labelled(written(fragments(spark, folder), "fragments"), ["path_name", "win"], "sequence", index, KMER)
-    return R.evidence(rows, KMER, ERROR)
+    made = _Parts(spark, folder)
+    index = R.with_decoys(made.index, written(made.decoys, "decoys"))
+    rows = R.labelled_windows(made.steps, made.nodes, made.words, made.borders, _windows(made.blocks), index, KMER, WINDOW)
+    return R.evidence(written(rows, "labels"), KMER, ERROR)
 
 
 def recruit_evidence(spark: SparkSession, folder: str) -> DataFrame:
