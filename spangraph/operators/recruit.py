@@ -128,6 +128,23 @@ def border_kmers(blocks: DataFrame, k: int) -> DataFrame:
     return cut.mapInArrow(run, "path_name string, pos long, kmer long")
 
 
+def node_hits(wanted: DataFrame, node_words: DataFrame) -> DataFrame:
+    """(node_id, locus, n): how many k-mers inside a node are among ``wanted`` (locus, kmer); ``node_words`` is (node_id, pos, kmer)."""
+    return node_words.join(wanted.hint("merge"), "kmer").groupBy("node_id", "locus").agg(F.count(F.lit(1)).alias("n"))
+
+
+def walk_hits(wanted: DataFrame, per_node: DataFrame, steps: DataFrame, borders: DataFrame) -> DataFrame:
+    """(path_name, locus, hits): how many k-mers of a walk are among ``wanted`` (locus, kmer), a place counting each time.
+
+    ``per_node`` is that of ``node_hits`` and counts once for each visit of a node; ``steps`` is (path_name, node_id), ``borders`` (path_name,
+    kmer), the k-mers that no single step holds. The planner takes what comes out of Python for as small as what goes in, so a broadcast is ruled out there.
+    """
+    visits = steps.groupBy("path_name", "node_id").agg(F.count(F.lit(1)).alias("times"))
+    inside = visits.join(per_node, "node_id").groupBy("path_name", "locus").agg(F.sum(F.col("times") * F.col("n")).alias("hits"))
+    over = borders.join(wanted.hint("merge"), "kmer").groupBy("path_name", "locus").agg(F.count(F.lit(1)).alias("hits"))
+    return inside.unionByName(over).groupBy("path_name", "locus").agg(F.sum("hits").alias("hits"))
+
+
 def with_decoys(index: DataFrame, decoys: DataFrame) -> DataFrame:
     """The index with its decoy k-mers as rows of class D, which screen nothing."""
     more = decoys.select("locus", "kmer", F.lit(0).cast("long").alias("mult"), F.lit(0).cast("long").alias("outside"), F.lit("D").alias("cls"), F.lit(False).alias("screen"))

@@ -51,6 +51,16 @@ def _placed(spark: SparkSession, folder: str) -> DataFrame:
     return made.join(paths(spark, folder).select("path_name", F.col("graph_name").alias("home")), "path_name").select("path_name", "home", "pos", "kmer")
 
 
+def _node_words(spark: SparkSession, folder: str) -> DataFrame:
+    """(node_id, pos, kmer): the k-mers inside nodes."""
+    return R.words(nodes(spark, folder).where("sequence is not null"), ["node_id"], "sequence", KMER)
+
+
+def _borders(spark: SparkSession, folder: str) -> DataFrame:
+    """(path_name, pos, kmer): the k-mers over the ends of steps."""
+    return R.border_kmers(blocks(spark, folder, BLOCK, KMER - 1), KMER)
+
+
 def walk_windows(spark: SparkSession, folder: str) -> DataFrame:
     """The windows of the walks that are classified: length and digest."""
     return fragments(spark, folder).select("path_name", "win", F.length("sequence").alias("bp"), F.md5("sequence").alias("digest"))

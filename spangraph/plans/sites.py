@@ -7,11 +7,12 @@ from pyspark.sql import functions as F
 
 from spangraph.functions import seq as S
 from spangraph.operators import intervals as I
+from spangraph.operators import recruit as R
 from spangraph.operators import sites as T
 from spangraph.operators import walks as K
 from spangraph.plans.calls import COPIES, copy_numbers, records
 from spangraph.plans.compare import _SPANS, _site_spans
-from spangraph.plans.recruit import INDEX, KMER, _index, _placed, _words
+from spangraph.plans.recruit import INDEX, KMER, _borders, _index, _node_words, _placed, _words
 from spangraph.plans.walks import ORACLES as WALKS
 from spangraph.plans.walks import SITES, STEPS, SUPPORT, nodes, path_inversions, paths, read_crossings, site_alleles, site_support, sites, steps, tandem_runs
 from spangraph.session import written
@@ -72,7 +73,8 @@ def private_dosage(spark: SparkSession, folder: str) -> DataFrame:
     """Copies of each locus in each walk: hits on the k-mers that only the locus holds, over their occurrences in it."""
     private = _private(spark, folder)
     size = private.groupBy("locus").agg(F.sum("mult").alias("private_kmers"))
-    hits = _private_hits(spark, folder, private).groupBy("path_name", "locus").agg(F.count(F.lit(1)).alias("hits"))
+    per_node = written(R.node_hits(private.select("locus", "kmer"), _node_words(spark, folder)), "node_hits")
+    hits = R.walk_hits(private.select("locus", "kmer"), per_node, steps(spark, folder), _borders(spark, folder))
     share = F.col("hits") / F.col("private_kmers")
     return hits.join(size, "locus").select("path_name", "locus", "hits", "private_kmers", F.round(share, 6).alias("dosage"), F.floor(share + 0.5).cast("long").alias("cn"))
 

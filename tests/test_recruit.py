@@ -2,8 +2,10 @@
 
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
+import __spark_entry__ as entry
 from spangraph.functions import seq as S
 from spangraph.operators import intervals as I
 from spangraph.operators import recruit as R
@@ -95,3 +97,27 @@ def test_decoys_equal_those_of_all_places(spark):
         want = inside.join(index.select("locus", "kmer"), ["locus", "kmer"], "left_anti")
         got = R.decoy_kmers(index, places, blocks, KMER, size, gap=3, least=2, pad=4)
         assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) and want.count() > 5
+
+
+def test_hits_of_walks_are_counted_by_node_and_border(spark):
+    nodes, paths, spelled, at, blocks, with_text, index = _inputs(spark, 20)
+    for cls in ("P", "S"):
+        wanted = index.where(F.col("cls") == cls).select("locus", "kmer")
+        held = {(r.kmer, r.locus) for r in wanted.withColumn("kmer", S.decode(F.col("kmer"), KMER)).collect()}
+        want = {}
+        for w, text in spelled.items():
+            for i in range(len(text) - KMER + 1):
+                if set(word := text[i : i + KMER]) <= set("ACGT"):
+                    for locus in (x for k, x in held if k == _canonical(word)):
+                        want[w, locus] = want.get((w, locus), 0) + 1
+        got = R.walk_hits(wanted, R.node_hits(wanted, R.words(with_text, ["node_id"], "sequence", KMER)), at, R.border_kmers(blocks, KMER))
+        assert {(r.path_name, r.locus): r.hits for r in got.collect()} == want and want
+
+
+@pytest.mark.parametrize("name", [
+    "private_dosage",
+])
+def test_kmers_of_walks_are_never_broadcast(spark, name):
+    """The planner knows no size of what comes out of Python, and sent all k-mers of the walks to the driver for a table that it took for small."""
+    plan = entry.queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin [kmer" not in plan and "SortMergeJoin [kmer" in plan
