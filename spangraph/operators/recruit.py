@@ -16,6 +16,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -362,25 +363,62 @@ def pooled(rows: DataFrame, pair: list[str], mate: str, k: int, least_sites: int
     return judged.select(*pair, "locus", F.concat_ws(",", "a_status", "b_status").alias("mates"), *sums, "fate", reason.alias("reason"))
 
 
-def ceilings(placed: DataFrame, index: DataFrame, lengths: DataFrame, k: int, length: int = 150, step: int = 25) -> DataFrame:
+def private_runs(index: DataFrame, node_words: DataFrame) -> DataFrame:
+    """(node_id, locus, at, n): runs of neighbouring private k-mers inside a node; ``node_words`` is (node_id, pos, kmer)."""
+    private = index.where("cls = 'P'").select("locus", "kmer")
+    held = node_words.join(private.hint("merge"), "kmer").select("node_id", "locus", "pos")
+    order = W.partitionBy("node_id", "locus").orderBy("pos")
+    return held.withColumn("__g", F.col("pos") - F.row_number().over(order)).groupBy("node_id", "locus", "__g").agg(F.min("pos").alias("at"), F.count(F.lit(1)).alias("n")).drop("__g")
+
+
+def private_spans(index: DataFrame, runs: DataFrame, steps: DataFrame, borders: DataFrame, lengths: DataFrame, k: int) -> DataFrame:
+    """(home, path_name, n_bases, lo, n): runs of places where a walk holds private k-mers of its own locus.
+
+    ``runs`` is that of ``private_runs``, laid along the ``steps`` (path_name, node_id, reverse, start_bp, end_bp); ``borders`` (path_name, pos, kmer) are the
+    k-mers over the ends of steps, ``lengths`` (path_name, home, n_bases). What comes out of Python is of unknown size, so it is not broadcast.
+    """
+    private = index.where("cls = 'P'").select("locus", "kmer")
+    lo = F.when(F.col("reverse"), F.col("end_bp") - F.col("at") - F.col("n") - (k - 1)).otherwise(F.col("start_bp") + F.col("at"))
+    inside = steps.join(runs, "node_id").select("path_name", "locus", lo.alias("lo"), "n")
+    over = borders.join(private.hint("merge"), "kmer").select("path_name", "locus", F.col("pos").alias("lo"), F.lit(1).cast("long").alias("n"))
+    return inside.unionByName(over).join(lengths, "path_name").where("locus = home").select("home", "path_name", "n_bases", "lo", "n")
+
+
+def ceilings(spans: DataFrame, lengths: DataFrame, k: int, length: int = 150, step: int = 25, size: int = 10_000) -> DataFrame:
     """(locus, path_name, windows, private_3, sites_2): the share of a walk's windows that hold at least three private k-mers, and at least two sites.
 
-    ``placed`` is (path_name, home, pos, kmer), ``lengths`` (path_name, home, n_bases). Windows of ``length`` bases start
-    every ``step``; a private k-mer is spread to the windows that hold it, so a window's row is bounded by its length. The
-    sites of a window are those of its runs of consecutive private k-mers, one for every k or part of k.
+    ``spans`` is that of ``private_spans``, ``lengths`` (path_name, home, n_bases). Windows of ``length`` bases start every ``step``. Spans are gathered by
+    blocks of ``size`` bases (a multiple of ``step``) where windows start, so a row is bounded by its block, and a block's windows are counted as
+    arrays. The sites of a window are those of its runs of consecutive private k-mers, one for every k or part of k.
     """
-    private = index.where("cls = 'P'").select(F.col("locus").alias("home"), "kmer")
-    hits = placed.join(private, ["home", "kmer"]).select("home", "path_name", "pos")
-    first = F.greatest(F.ceil((F.col("pos") - (length - k)) / step), F.lit(0))
-    spread = hits.withColumn("w", F.explode(F.sequence(first, F.floor(F.col("pos") / step))))
-    fits = spread.join(lengths, ["path_name", "home"]).where(F.col("w") * step + length <= F.col("n_bases"))
-    held = fits.groupBy("home", "path_name", "w").agg(F.sort_array(F.collect_list("pos")).alias("p"))
-    start = F.struct(F.lit(0).alias("n"), F.lit(-2).alias("last"), F.lit(0).alias("run"))
-    # a run's site begins with its first k-mer and again after every k more
-    grown = lambda a, x: F.when(x == a["last"] + 1, a["run"] + 1).otherwise(0)
-    take = lambda a, x: F.struct((a["n"] + F.when(grown(a, x) % k == 0, 1).otherwise(0)).alias("n"), x.cast("int").alias("last"), grown(a, x).alias("run"))
-    counted = held.select("home", "path_name", (F.size("p") >= 3).alias("three"), (F.aggregate("p", start, take, lambda a: a["n"]) >= 2).alias("two"))
-    per = counted.groupBy("home", "path_name").agg(F.count_if("three").alias("three"), F.count_if("two").alias("two"))
+    wide = length - k + 1  # places of a window
+
+    @F.pandas_udf("three int, two int")
+    def counted(starts: pd.Series, los: pd.Series, sizes: pd.Series, most: pd.Series) -> pd.DataFrame:
+        out = np.zeros((len(starts), 2), np.int32)
+        for i, (start, lo, n, last) in enumerate(zip(starts, los, sizes, most)):
+            first = np.arange(0, min(size - 1, last - length - start) + 1, step)
+            if not len(first):
+                continue
+            lo = np.asarray(lo, np.int64) - start
+            end = np.clip(lo + np.asarray(n, np.int64), 0, first[-1] + wide)
+            change = np.zeros(first[-1] + wide + 1, np.int32)
+            np.add.at(change, np.clip(lo, 0, first[-1] + wide), 1)
+            np.add.at(change, end, -1)
+            held = np.cumsum(change)[:-1] > 0
+            place = np.arange(len(held))
+            run = place - np.maximum.accumulate(np.where(held, -1, place))  # 1 for the first of a run
+            window = first[:, None] + np.arange(wide)
+            of = held[window]
+            opens = of & (np.minimum(run[window] - 1, np.arange(wide)) % k == 0)  # a site begins with a run, or with the window, and again after every k
+            out[i] = (of.sum(axis=1) >= 3).sum(), (opens.sum(axis=1) >= 2).sum()
+        return pd.DataFrame({"three": out[:, 0], "two": out[:, 1]})
+
+    first = F.greatest(F.floor((F.col("lo") - (length - k)) / size), F.lit(0))
+    spread = spans.withColumn("b", F.explode(F.sequence(first, F.floor((F.col("lo") + F.col("n") - 1) / size))))
+    held = spread.groupBy("home", "path_name", "n_bases", "b").agg(F.collect_list("lo").alias("lo"), F.collect_list("n").alias("n"))
+    done = held.select("home", "path_name", counted(F.col("b") * size, "lo", "n", "n_bases").alias("c"))
+    per = done.groupBy("home", "path_name").agg(F.sum("c.three").alias("three"), F.sum("c.two").alias("two"))
     windows = F.floor((F.col("n_bases") - length) / step) + 1
     out = lengths.where(F.col("n_bases") >= length).join(per, ["home", "path_name"], "left").withColumn("windows", windows)
     share = lambda c: F.coalesce(F.col(c), F.lit(0)) / F.col("windows")

@@ -118,11 +118,14 @@ def recruit_pairs(spark: SparkSession, folder: str) -> DataFrame:
 
 def window_ceilings(spark: SparkSession, folder: str) -> DataFrame:
     """Per walk, the share of windows of 150 bases that could be told apart by private k-mers of the walk's locus."""
-    ends = K.coordinates(steps(spark, folder), nodes(spark, folder)).groupBy("path_name").agg(F.max("end_bp").alias("n_bases"))
+    # written, so that the plan of the windows does not hold that of the index and of the steps
+    at = written(K.coordinates(steps(spark, folder), nodes(spark, folder)).select("path_name", "node_id", "reverse", "start_bp", "end_bp"), "steps")
+    ends = at.groupBy("path_name").agg(F.max("end_bp").alias("n_bases"))
     lengths = ends.join(paths(spark, folder).select("path_name", F.col("graph_name").alias("home")), "path_name")
-    # written, so that the plan of the windows does not hold that of the index
     private = written(_index(spark, folder).where("cls = 'P'").select("locus", "kmer", "cls"), "private")
-    out = R.ceilings(_placed(spark, folder), private, lengths, KMER, WINDOW)
+    runs = written(R.private_runs(private, _node_words(spark, folder)), "runs")
+    spans = R.private_spans(private, runs, at.where("end_bp > start_bp"), _borders(spark, folder), lengths, KMER)
+    out = R.ceilings(spans, lengths, KMER, WINDOW)
     return out.select("locus", "path_name", "windows", F.round("private_3", 6).alias("private_3"), F.round("sites_2", 6).alias("sites_2"))
 
 

@@ -116,8 +116,33 @@ def test_hits_of_walks_are_counted_by_node_and_border(spark):
 
 @pytest.mark.parametrize("name", [
     "private_dosage",
+    "window_ceilings",
 ])
 def test_kmers_of_walks_are_never_broadcast(spark, name):
     """The planner knows no size of what comes out of Python, and sent all k-mers of the walks to the driver for a table that it took for small."""
     plan = entry.queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert "BroadcastHashJoin [kmer" not in plan and "SortMergeJoin [kmer" in plan
+
+
+def test_ceilings_count_every_window(spark):
+    for size in (20, 1000):
+        nodes, paths, spelled, at, blocks, with_text, index = _inputs(spark, size)
+        private = {(r.kmer, r.locus) for r in index.where("cls = 'P'").withColumn("kmer", S.decode(F.col("kmer"), KMER)).collect()}
+        home = {r.path_name: r.graph_name for r in paths.collect()}
+        length, step, want = 17, 4, []
+        for w, text in spelled.items():
+            mark = [(_canonical(text[i : i + KMER]), home[w]) in private for i in range(len(text) - KMER + 1)]
+            three = two = windows = 0
+            for at_ in range(0, len(text) - length + 1, step):
+                inside = "".join("p" if m else " " for m in mark[at_ : at_ + length - KMER + 1])
+                windows += 1
+                three += inside.count("p") >= 3
+                two += sum(-(-len(run) // KMER) for run in inside.split()) >= 2
+            if windows:
+                want.append((home[w], w, windows, round(three / windows, 9), round(two / windows, 9)))
+        lengths = spark.createDataFrame([(w, home[w], len(t)) for w, t in spelled.items()], "path_name string, home string, n_bases long")
+        runs = R.private_runs(index, R.words(with_text, ["node_id"], "sequence", KMER))
+        spans = R.private_spans(index, runs, at, R.border_kmers(blocks, KMER), lengths, KMER)
+        got = R.ceilings(spans, lengths, KMER, length, step, size)
+        assert sorted((r.locus, r.path_name, r.windows, round(r.private_3, 9), round(r.sites_2, 9)) for r in got.collect()) == sorted(want)
+        assert any(r[3] for r in want) and any(r[4] for r in want)
