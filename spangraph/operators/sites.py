@@ -8,11 +8,15 @@ bases; an empty table gives an empty result; extra columns are ignored.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from spangraph.functions.seq import kmer_codes, reverse_complement
+from spangraph.functions.seq import bounded, kmer_codes, reverse_complement, rolled
 from spangraph.operators import intervals as I
 from spangraph.session import written
 
@@ -201,6 +205,102 @@ def node_order(steps: DataFrame) -> DataFrame:
     return rows.withColumn("rank", F.row_number().over(order)).drop("__known")
 
 
+def _stretches(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(site, kmer, is_a, k-mers of a at each site, of b) of the discriminating sites of two texts, which are given by their k-mers in order.
+
+    A site is a stretch between the same two shared k-mers (or ends) where both texts hold k-mers that the other lacks; each counts once there.
+    """
+    shared, own = np.intersect1d(a, b), []
+    for is_a, codes in ((1, a), (0, b)):
+        met = np.isin(codes, shared)
+        place = np.arange(len(codes))
+        before = np.maximum.accumulate(np.where(met, place, -1))
+        after = np.minimum.accumulate(np.where(met, place, len(codes))[::-1])[::-1]
+        ends = np.append(codes, -1)  # beyond either end of the text
+        at = np.flatnonzero(~met)
+        own.append(np.stack([ends[before[at]], ends[after[at]], np.full(len(at), is_a), codes[at]], axis=1))
+    rows = np.unique(np.concatenate(own), axis=0)
+    _, site = np.unique(rows[:, :2], axis=0, return_inverse=True)
+    site = site.reshape(-1)
+    sizes = [np.bincount(site[rows[:, 2] == x], minlength=site.max(initial=-1) + 1) for x in (1, 0)]
+    firm = (sizes[0] > 0) & (sizes[1] > 0)
+    number = np.cumsum(firm) - 1
+    kept = firm[site]
+    return number[site[kept]], rows[kept, 3], rows[kept, 2] == 1, sizes[0][firm], sizes[1][firm]
+
+
+def _codes_of(texts: list[str], k: int) -> list[np.ndarray]:
+    codes, owner, _, plain = rolled(texts, k)
+    kept = np.flatnonzero(plain)
+    return np.split(codes[kept], np.searchsorted(owner[kept], np.arange(1, len(texts))))
+
+
+def _shares(part: DataFrame, totals: DataFrame) -> DataFrame:
+    """The share and copies of each (pair, hap) from ``part`` (pair, hap, a, b), the hits at each site over its size."""
+    voted = part.where("a + b >= 0.5").groupBy("pair", "hap").agg(F.count(F.lit(1)).alias("usable"), F.percentile(F.col("a") / (F.col("a") + F.col("b")), F.lit(0.5)).alias("share"))
+    cn_a = F.least("total", F.floor(F.round(F.col("share") * F.col("total"), 9) + 0.5).cast("long"))
+    out = voted.join(totals.select("pair", "hap", F.col("total").cast("long").alias("total")), ["pair", "hap"])
+    cn_a = F.when(F.col("total").isNotNull(), cn_a)
+    return out.select("pair", "hap", "total", "usable", F.round("share", 6).alias("share"), cn_a.alias("cn_a"), (F.col("total") - cn_a).alias("cn_b"))
+
+
+def allele_split(crossed: DataFrame, nodes: DataFrame, k: int = 11) -> DataFrame:
+    """What ``paralog_split`` gives for the two most carried alleles of each site, with the walks that cross it as haplotypes.
+
+    ``crossed`` is (bubble_id, path_name, signature, times), one row per walk and allele of a site, read more than once; ``nodes`` (node_id, sequence, bp). Each
+    distinct allele is spelled once. The alleles of a site come one after another, the most carried first, so a task holds the k-mers of two
+    of them and counts the others as they pass; what is shuffled are texts and hits at sites, not k-mers. A walk's hits are those of its alleles.
+    """
+    carried = crossed.groupBy("bubble_id", "signature").agg(F.count(F.lit(1)).alias("n"))
+    ranked = carried.withColumn("allele", F.row_number().over(W.partitionBy("bubble_id").orderBy(F.desc("n"), "signature"))).drop("n")
+    met = ranked.withColumn("__most", F.max("allele").over(W.partitionBy("bubble_id"))).where(F.col("__most") >= 2)
+    steps = met.select("bubble_id", "allele", F.posexplode_outer(F.regexp_extract_all("signature", F.lit("[<>][^<>]+"), F.lit(0))).alias("i", "step")).withColumn("node_id", F.expr("substring(step, 2)"))
+    base = F.coalesce("sequence", F.expr("repeat('N', cast(bp as int))"), F.lit(""))
+    piece = F.when(F.col("step").startswith("<"), reverse_complement(base)).otherwise(base)
+    pieces = steps.join(nodes, "node_id", "left").select("bubble_id", "allele", F.struct("i", piece.alias("t")).alias("p"))
+    # by site alone, so that the alleles of a site are put together where they are then read
+    made = pieces.repartition("bubble_id").groupBy("bubble_id", "allele").agg(F.array_sort(F.collect_list("p")).alias("p"))
+    texts = made.select("bubble_id", "allele", F.upper(F.array_join(F.transform("p", lambda p: p["t"]), "")).alias("text")).sortWithinPartitions("bubble_id", "allele")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bubble, first, marks = None, None, None
+        for batch in bounded(batches, 2):
+            out = []
+            for b, n, codes in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), _codes_of(batch.column(2).to_pylist(), k)):
+                if b != bubble:
+                    bubble, first, marks = b, None, None
+                if n == 1:
+                    first = codes.copy()
+                    continue
+                fresh = n == 2
+                if fresh:
+                    site, kmer, is_a, size_a, size_b = _stretches(first, codes)
+                    marks = np.unique(kmer)
+                if not len(marks):
+                    continue
+                for number, held in ((1, first), (2, codes)) if fresh else ((n, codes),):
+                    at = np.searchsorted(marks, held)
+                    at = at[(at < len(marks)) & (marks[np.minimum(at, len(marks) - 1)] == held)]
+                    times = np.bincount(at, minlength=len(marks))[np.searchsorted(marks, kmer)]
+                    hits = [np.bincount(site[x], times[x], len(size_a)).astype(np.int64) for x in (is_a, ~is_a)]
+                    some = np.flatnonzero(hits[0] + hits[1])
+                    out += zip([b] * len(some), [number] * len(some), some.tolist(), *(x[some].tolist() for x in (*hits, size_a, size_b)))
+                if fresh:
+                    first = None
+            names = ["bubble_id", "allele", "site", "hits_a", "hits_b", "size_a", "size_b"]
+            kinds = [batch.column(0).type, pa.int32(), *[pa.int64()] * 5]
+            yield pa.RecordBatch.from_arrays([pa.array(list(x), t) for x, t in zip(zip(*out) if out else [[]] * 7, kinds)], names)
+
+    hits = texts.mapInArrow(run, f"bubble_id {dict(crossed.dtypes)['bubble_id']}, allele int, site long, hits_a long, hits_b long, size_a long, size_b long")
+    walked = crossed.join(ranked, ["bubble_id", "signature"]).select("bubble_id", "path_name", "allele", "times")
+    # out of Python, hits are of a size that the planner does not know
+    both = walked.join(hits.hint("merge"), ["bubble_id", "allele"]).groupBy("bubble_id", "path_name", "site", "size_a", "size_b")
+    summed = both.agg(*[F.sum(F.col("times") * F.col(f"hits_{x}")).alias(f"hits_{x}") for x in "ab"])
+    part = summed.select(F.col("bubble_id").alias("pair"), F.col("path_name").alias("hap"), (F.col("hits_a") / F.col("size_a")).alias("a"), (F.col("hits_b") / F.col("size_b")).alias("b"))
+    totals = crossed.groupBy(F.col("bubble_id").alias("pair"), F.col("path_name").alias("hap")).agg(F.sum("times").alias("total"))
+    return _shares(part, totals).withColumnsRenamed({"pair": "bubble_id", "hap": "path_name"})
+
+
 def paralog_split(pairs: DataFrame, words: DataFrame, totals: DataFrame, k: int = 11) -> DataFrame:
     """(pair, hap, total, usable, share, cn_a, cn_b): the copies of a haplotype split between two near-identical sequences.
 
@@ -223,8 +323,4 @@ def paralog_split(pairs: DataFrame, words: DataFrame, totals: DataFrame, k: int
     sizes = own.groupBy("pair", "lo", "hi").agg(F.count_if("is_a").alias("size_a"), F.count_if(~F.col("is_a")).alias("size_b")).where("size_a > 0 and size_b > 0")
     hits = own.join(words, ["pair", "kmer"]).groupBy("pair", "hap", "lo", "hi").agg(*[F.sum(F.when(F.col("is_a") == F.lit(x == "a"), F.col("n")).otherwise(0)).alias(f"hits_{x}") for x in "ab"])
     part = hits.join(sizes, ["pair", "lo", "hi"]).select("pair", "hap", (F.col("hits_a") / F.col("size_a")).alias("a"), (F.col("hits_b") / F.col("size_b")).alias("b"))
-    voted = part.where("a + b >= 0.5").groupBy("pair", "hap").agg(F.count(F.lit(1)).alias("usable"), F.percentile(F.col("a") / (F.col("a") + F.col("b")), F.lit(0.5)).alias("share"))
-    cn_a = F.least("total", F.floor(F.round(F.col("share") * F.col("total"), 9) + 0.5).cast("long"))
-    out = voted.join(totals.select("pair", "hap", F.col("total").cast("long").alias("total")), ["pair", "hap"])
-    cn_a = F.when(F.col("total").isNotNull(), cn_a)
-    return out.select("pair", "hap", "total", "usable", F.round("share", 6).alias("share"), cn_a.alias("cn_a"), (F.col("total") - cn_a).alias("cn_b"))
+    return _shares(part, totals)

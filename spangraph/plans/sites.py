@@ -96,15 +96,8 @@ def copy_split(spark: SparkSession, folder: str) -> DataFrame:
 
 def allele_split(spark: SparkSession, folder: str) -> DataFrame:
     """A walk's crossings of a site split between the two most carried alleles, by the median over their discriminating positions."""
-    read = read_crossings(spark, folder)
-    texts = written(T.allele_texts(read, nodes(spark, folder)), "texts")  # read three times below
-    named = texts.join(site_alleles(spark, folder).where("allele <= 2").select("bubble_id", "signature", "allele"), ["bubble_id", "signature"])
-    side = lambda n: named.where(F.col("allele") == n).select(F.col("bubble_id").alias("pair"), F.col("text").alias("ab"[n - 1]))
-    counted = S.kmer_codes(texts, ["bubble_id", "signature"], "text", SEED).groupBy("bubble_id", "signature", "kmer").agg(F.count(F.lit(1)).alias("c"))
-    crossed = read.groupBy("bubble_id", "path_name", "signature").agg(F.count(F.lit(1)).alias("times"))
-    words = crossed.join(counted, ["bubble_id", "signature"]).groupBy(F.col("bubble_id").alias("pair"), F.col("path_name").alias("hap"), "kmer").agg(F.sum(F.col("times") * F.col("c")).alias("n"))
-    totals = crossed.groupBy(F.col("bubble_id").alias("pair"), F.col("path_name").alias("hap")).agg(F.sum("times").alias("total"))
-    return T.paralog_split(side(1).join(side(2), "pair"), words, totals, SEED).withColumnsRenamed({"pair": "bubble_id", "hap": "path_name"})
+    crossed = read_crossings(spark, folder).groupBy("bubble_id", "path_name", "signature").agg(F.count(F.lit(1)).alias("times"))
+    return T.allele_split(written(crossed, "crossed"), nodes(spark, folder), SEED)
 
 
 def walk_inversions(spark: SparkSession, folder: str) -> DataFrame:

@@ -274,3 +274,35 @@ def test_permutation_leaves_out_loci_without_a_result(spark, odd_loci):
 
 def test_fine_map_leaves_out_loci_without_a_result(spark, odd_loci):
     assert {r["graph_name"] for r in entry.queries()["locus_fine_map"](spark, odd_loci).collect()} == {"g", "k"}
+
+
+def test_alleles_split_without_shuffled_kmers(spark, tmp_path):
+    """Alleles are read one after another, so no k-mer is shuffled; results are those of the SQL, with empty, unknown, turned and repeated alleles."""
+    rng, con = random.Random(3), duckdb.connect()
+    text = lambda n: "".join(rng.choices("ACGT", k=n))
+    one, end = text(90), text(40)
+    parts = {"a": text(20), "b": text(20), "x": one, "y": one[:40] + text(3) + one[43:70] + text(1) + one[71:], "s": "acgtn", "u": None, "e": end, "f": end[:25] + text(2) + end[27:], "c": text(20), "d": text(20)}
+    inside = [">x>e", ">x>e", ">x>e", ">y>f", ">y>f", ">y>e", "", ">s", ">u>x", "<x", ">x>f>y"]
+    walks = [("g", f"w{i:02d}", f"s{i}", 1, "c", f">a{w}>b>c{'>x' if i % 3 else w}>d" + (f">a{inside[i - 3]}>b" if i % 2 else "")) for i, w in enumerate(inside)]
+    walks += [("g", "back", "s", 1, "c", "<b<f<y<a<d<x<c")]
+    folder = tables(
+        spark, tmp_path, graph_nodes=([(n, t, len(t or "N" * 15)) for n, t in parts.items()], NODES),
+        graph_paths=(walks, "graph_name string, path_name string, sample_name string, haplotype int, contig string, steps string"),
+        bubble_sites=([(1, 1, "a", "+", "b", "+"), (2, 2, "c", "+", "d", "+"), (3, 3, "a", "+", "d", "+"), (4, 4, "u", "+", "x", "+"), (5, None, "a", "+", "b", "+")], SITE),
+    )
+    made = entry.queries()["allele_split"](spark, folder)
+    assert "kmer" not in made._jdf.queryExecution().executedPlan().toString()
+    for table in ("graph_paths", "graph_nodes", "bubble_sites"):
+        con.execute(f"create view {table} as select * from read_parquet('{folder}/{table}.parquet/*.parquet')")
+    want = con.execute(entry.oracle_sql()["allele_split"])
+    columns = [c[0] for c in want.description]
+    want = sorted(map(str, want.fetchall()))
+    assert sorted(str(tuple(r)) for r in made.select(*columns).collect()) == want and len(want) > 10
+
+
+def test_stretches_of_texts_without_kmers():
+    empty, some = np.zeros(0, np.int64), np.array([3, 5, 3, 9])
+    for a, b in ((empty, empty), (some, empty), (empty, some), (some, some)):
+        assert all(len(x) == 0 for x in T._stretches(a, b))
+    site, kmer, is_a, size_a, size_b = T._stretches(np.array([1, 7, 7, 2, 8, 3]), np.array([1, 4, 2, 3, 6]))
+    assert (site.tolist(), kmer.tolist(), is_a.tolist(), size_a.tolist(), size_b.tolist()) == ([0, 0], [4, 7], [False, True], [1], [1])
